@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, linededup, secrets, topk
+from weftline.llm import decontaminate, htmltext, langid, linededup, secrets, topk
 from weftline.llm._spark import table
 
 
+def op2_html_extract(spark, sf_dir):
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return topk.top_k(e.where(F.col("vec_id") % 20 == 0), e)
@@ -21,11 +25,15 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark, sf_dir):
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_topk, op4_line_dedup, op5_decontaminate, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op2_html_extract, op3_topk, op4_line_dedup, op5_decontaminate, op8_language_id, op9_secrets)}
 
 _KEY = "regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '')"
 
