@@ -10,7 +10,7 @@ Models are fitted on a bounded sample: about ``max_docs`` whole labelled documen
 language, chosen by a hash of doc_id; a fifth of them is set aside to calibrate rejection: a
 text is rejected if its cross-entropy exceeds the language's mean by more than ``z`` standard
 errors, which combine the spread between documents and the spread between symbols at the
-text's length.  Everything else covers whole texts of all documents.
+text's length, and by ``margin`` nats at least.  Everything else covers whole texts of all documents.
 
 Defined cases: null text or text without letters is ``und`` with score 0, and rejected; with no
 labelled rows everything is.  Rows with a null doc_id or null lang are scored but not learned
@@ -210,7 +210,7 @@ def learn(labelled: DataFrame, max_docs: int = 1000) -> tuple[Model, dict] | Non
     return model, {r["lang"]: (r["m"], r["v"], r["s"]) for r in fit.collect()}  # a row a language
 
 
-def _predict(held, z: float):
+def _predict(held, z: float, margin: float = 1.0):
     def run(batches):
         model, limits = held.value
         bounds = np.array([limits.get(x, (np.inf, 0.0, 0.0)) for x in model.languages])
@@ -221,7 +221,7 @@ def _predict(held, z: float):
             odds = np.exp(-(mean - mean[rows, best][:, None]) * np.minimum(n, 100)[:, None])
             score = np.where(n > 0, 1 / odds.sum(1), 0.0)
             m, v, s = bounds[best].T
-            fits = (n > 0) & (mean[rows, best] <= m + z * np.sqrt(v + s / np.maximum(n, 1)))
+            fits = (n > 0) & (mean[rows, best] <= m + np.maximum(margin, z * np.sqrt(v + s / np.maximum(n, 1))))
             names = np.array([*model.languages, "und"], object)[np.where(n > 0, best, len(model.languages))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(np.where(n > 0, mean[rows, best], np.nan), mask=n == 0), pa.array(fits)], ["doc_id", "lang_pred", "score", "cross_entropy", "accepted"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, htmltext, langid, linededup, secrets, topk
+from weftline.llm import decontaminate, htmltext, langid, linededup, neardup, secrets, topk
 from weftline.llm._spark import table
 
 
@@ -33,11 +33,29 @@ def op9_secrets(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extract, op3_topk, op4_line_dedup, op5_decontaminate, op8_language_id, op9_secrets)}
+def op10_minhash(spark, sf_dir):
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_html_extract, op3_topk, op4_line_dedup, op5_decontaminate, op8_language_id, op9_secrets, op10_minhash)}
 
 _KEY = "regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '')"
 
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
 ORACLE = {
+    "op10_minhash": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+     s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN list_transform(list_slice(w, 1, 1), lambda x: x)
+                  ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+     x AS (SELECT doc_id, unnest(s) AS g FROM s),
+     n AS (SELECT doc_id, len(s) AS n FROM s),
+     i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+     e AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 80 * (p.n + q.n - i)),
+     u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+     r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.c = u.a)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept
+FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n""",
     "op3_topk": """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
