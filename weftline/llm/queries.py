@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, htmltext, langid, linededup, neardup, secrets, topk
+from weftline.llm import decontaminate, htmltext, langid, linededup, neardup, secrets, substrdedup, topk
 from weftline.llm._spark import table
 
 
@@ -25,6 +25,10 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return substrdedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark, sf_dir):
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -37,13 +41,25 @@ def op10_minhash(spark, sf_dir):
     return neardup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extract, op3_topk, op4_line_dedup, op5_decontaminate, op8_language_id, op9_secrets, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op2_html_extract, op3_topk, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op8_language_id, op9_secrets, op10_minhash)}
 
 _KEY = "regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '')"
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+_SPLIT = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
 ORACLE = {
+    "op6_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+     x AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h
+           FROM w WHERE len(w) >= 50),
+     m AS (SELECT h, min(doc_id) AS lo FROM x GROUP BY h),
+     g AS (SELECT DISTINCT doc_id, p + unnest(range(50)) AS pos FROM x JOIN m USING (h) WHERE doc_id > lo),
+     a AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM w),
+     k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.pos) AS kept, count(*) AS n FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.pos = g.pos WHERE g.pos IS NULL GROUP BY a.doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id""",
     "op10_minhash": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
      s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN list_transform(list_slice(w, 1, 1), lambda x: x)
