@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, htmltext, langid, linededup, neardup, secrets, substrdedup, topk
+from weftline.llm import ctw, decontaminate, htmltext, langid, linededup, neardup, secrets, substrdedup, topk
 from weftline.llm._spark import table
 
 
+def op1_ctw_score(spark, sf_dir):
+    return ctw.report(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extract(spark, sf_dir):
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -41,7 +45,7 @@ def op10_minhash(spark, sf_dir):
     return neardup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extract, op3_topk, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op8_language_id, op9_secrets, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_html_extract, op3_topk, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op8_language_id, op9_secrets, op10_minhash)}
 
 _KEY = "regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '')"
 
