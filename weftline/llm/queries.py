@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import ctw, decontaminate, htmltext, langid, linededup, neardup, secrets, substrdedup, topk
+from weftline.llm import ctw, decontaminate, htmltext, langid, linededup, mergedropout, neardup, secrets, substrdedup, topk
 from weftline.llm._spark import table
 
+#: The public vocabulary that the queries encode with; a parameter of the operator.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_ctw_score(spark, sf_dir):
     return ctw.report(table(spark, sf_dir, "documents"))
@@ -33,6 +36,10 @@ def op6_substring_dedup(spark, sf_dir):
     return substrdedup.report(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark, sf_dir):
+    return mergedropout.encode(table(spark, sf_dir, "documents"), MODEL_FILE)
+
+
 def op8_language_id(spark, sf_dir):
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -45,7 +52,7 @@ def op10_minhash(spark, sf_dir):
     return neardup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_html_extract, op3_topk, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op8_language_id, op9_secrets, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_html_extract, op3_topk, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op7_sentencepiece, op8_language_id, op9_secrets, op10_minhash)}
 
 _KEY = "regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '')"
 
