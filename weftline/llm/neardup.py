@@ -11,13 +11,15 @@ similarity of 0.8, 32 bands miss with a probability near 5e-8.  Sets of up to 11
 found exactly: their partners differ in two shingles at most on either side, so the hashes of
 the set with up to a fifth of its shingles left out take the place of bands.
 
-Within a band no pairs are enumerated.  In rounds, the smallest document of each band's open
-group is compared with the others that are not yet in its component; the collision-corrected
-estimate of the registers (chance agreements removed) drops the hopeless ones, and the exact
-similarity on full sets decides.  Documents joined to one component need no further
-comparison, so a large group of near copies ends after a round or two.  After ``rounds`` every
-pair of different components that is left in a group is compared, so no link is lost to the
-short cut.
+Within a band no pairs are enumerated.  In rounds, one document of each band's open group, the
+hub, is compared with the others that are not yet in its component; the hub is the document
+that shares the most bands with the most others (in a group of copies, the original), ties to
+the smallest id.  The collision-corrected estimate of 64 further registers (chance agreements removed)
+drops the hopeless pairs, and the exact similarity on full sets decides.  Documents joined to
+one component need no further comparison, so a large group of near copies ends after a round
+or two.  Once the groups left are so small that their pairs are few for their rows - or after
+``rounds`` - every pair of different components in a group is compared, so no link is lost to
+the short cut.
 
 Defined cases: null or blank texts have an empty set and link with nothing; texts with fewer
 words than a shingle are one shingle, the whole sequence.  Rows that repeat a doc_id are one
@@ -39,6 +41,8 @@ from weftline.llm.components import components
 REGISTERS, ROWS = 128, 4
 MANTISSA = 8
 EXACT = 11
+#: Pairs are listed in full once the open groups hold so few for each of their rows.
+PAIRS_A_ROW = 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -113,6 +117,11 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+#: Registers of the sketch that stands before verification, and the words that hold it.
+SKETCH = 64
+#: Members of a group that are compared at a time when its pairs are listed in full.
+TILE = 512
+WORDS = [f"w{i}" for i in range(SKETCH // 16)]
 PASS = "doc_id long, n long, s1 long, s2 long, keys array<long>"
 
 
@@ -138,43 +147,105 @@ def _bands(size: int, similarity: float):
     return run
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH one-bucket registers of as many permutations, the low four mantissa bits of each, in 64-bit words."""
+    low = np.array([(mix(shingles ^ salt) & U(2**48 - 1)).min() for salt in _SALTS[:SKETCH]], U)
+    nibbles = (_register(low) & np.uint16(15)).astype(U).reshape(-1, 16)
+    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=U) * U(4)), axis=1)
+
+
 def _sets(size: int):
     def run(batches):
         for batch, data, offsets in slices(batches):
-            want, sets, regs, ok = batch.column(2).to_numpy().view(U), [], [], []
+            want, sets, words, ok = batch.column(2).to_numpy().view(U), [], [], []
             for i, s in enumerate(shingle_sets(data, offsets, size)):
-                ok.append(_signature(s)[0] == want[i])
+                ok.append(len(s) > 0 and _signature(s)[0] == want[i])
                 sets.append(s)
-                regs.append(registers(s, REGISTERS, 1))
-            flat = pa.array(np.concatenate([np.zeros(0, np.uint16), *regs]).astype(np.int32))
-            ends = pa.array(np.arange(len(regs) + 1, dtype=np.int32) * REGISTERS)
-            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat), _lists(sets)], ["id", "reg", "set"])
+                words.append(sketch(s) if ok[-1] else np.zeros(SKETCH // 16, U))
+            columns = [_long(np.ascontiguousarray(c)) for c in np.array(words).reshape(-1, SKETCH // 16).T]
+            rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *columns, _lists(sets)], ["id", "size", *WORDS, "set"])
             yield rows.filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _hopeful(similarity: float):
-    """Do the registers allow the similarity?  Collision-corrected, six standard errors wide."""
-    chance = 2.0 ** -(MANTISSA + 1)
-    both = F.zip_with("ra", "rb", lambda x, y: F.when((x == 0) & (y == 0), F.lit(0)).when(x == y, F.lit(1001)).otherwise(F.lit(1)))
-    total = F.aggregate(both, F.lit(0), lambda a, x: a + x)
-    agree = F.floor(total / 1000)
-    some = total - agree * 1000
-    jaccard = (agree / some - chance) / (1 - chance)
-    return jaccard >= similarity - 6 * F.sqrt(F.lit(similarity * (1 - similarity)) / some)
+def _hopeful(percent: int):
+    """Do sizes and sketches of two rows (columns x_ and y_) allow the similarity?
+
+    The share of equal nibbles is corrected for the sixteenth that chance makes equal, and the
+    bound lies six standard errors below the similarity.
+    """
+    p = percent / 100 + (1 - percent / 100) / 16
+    least = int(SKETCH * (p - 6 * (p * (1 - p) / SKETCH) ** 0.5))
+    differ = F.lit(0)
+    for w in WORDS:
+        x = F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))
+        half = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        differ = differ + F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    sizes = F.col("x_size"), F.col("y_size")
+    return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (SKETCH - differ >= least)
+
+
+def _as(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns if c != "key"])
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    a = sets.select(F.col("id").alias("a"), F.col("reg").alias("ra"), F.col("set").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("reg").alias("rb"), F.col("set").alias("sb"))
-    met = pairs.join(a, "a").join(b, "b").where(100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb")))
-    common = F.when(_hopeful(percent / 100), F.size(F.array_intersect("sa", "sb"))).otherwise(0)
-    return met.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
+    a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
+    b = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    met = pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    return met.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
+
+
+def _tile(percent: int):
+    p = percent / 100 + (1 - percent / 100) / 16
+    least = int(SKETCH * (p - 6 * (p * (1 - p) / SKETCH) ** 0.5))
+    ones = U(0x1111111111111111)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rep, comp, size, tile = (rows.column(c).to_numpy() for c in ("rep", "comp", "size", "tile"))
+        words = np.array([rows.column(w).to_numpy() for w in WORDS]).view(U)
+        sets = rows.column("set").combine_chunks()
+        flat, ends = sets.flatten().to_numpy().view(U), np.concatenate([[0], np.cumsum(size)])
+        ti, tj = rows.column("ti")[0].as_py(), rows.column("tj")[0].as_py()
+        ys, a, b = np.flatnonzero(tile == tj), [], []
+        for x in np.flatnonzero(tile == ti):
+            fit = ys[(comp[ys] != comp[x]) & ((rep[ys] > rep[x]) | (ti != tj)) & (100 * np.minimum(size[ys], size[x]) >= percent * np.maximum(size[ys], size[x]))]
+            differ = words[:, fit] ^ words[:, x][:, None]
+            differ |= differ >> U(1)
+            differ |= differ >> U(2)
+            fit = fit[SKETCH - np.bitwise_count(differ & ones).sum(0, dtype=np.int64) >= least]
+            own = flat[ends[x] : ends[x + 1]]
+            for at in range(0, len(fit), 64):
+                part = fit[at : at + 64]
+                n = size[part]
+                other = flat[np.repeat(ends[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                same = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                both = np.bincount(np.repeat(np.arange(len(part)), n), same, len(part)).astype(np.int64)
+                good = part[100 * both >= percent * (n + size[x] - both)]
+                a.append(np.full(len(good), rep[x]))
+                b.append(rep[good])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
 
 
-def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80, rounds: int = 4, broadcast_ids: int = 1_000_000) -> DataFrame:
+def _in_tiles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within the groups, all pairs considered.
+
+    A group is dealt into tiles of about TILE members; each pair of tiles is compared by itself,
+    so no task holds more than two tiles, and only links come out.
+    """
+    tiles = open_.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = open_.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("rep", "key"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.join(sets.select(F.col("id").alias("rep"), "set"), "rep").select("key", "rep", "comp", "size", *WORDS, "set", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
+    return rows.groupBy("key", "ti", "tj").applyInArrow(_tile(percent), "a long, b long").distinct()
+
+
+def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80, rounds: int = 2, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): a row for each non-null doc_id.
 
     class_id is the smallest doc_id with an equal set, component_id the smallest reachable.
@@ -194,32 +265,37 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80, roun
     ids = written(ids)
     few = ids.count() <= broadcast_ids
     mine = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "s1")
-    sets = written(mine.mapInArrow(_sets(size), "id long, reg array<int>, set array<long>").dropDuplicates(["id"]))
+    sets = written(mine.mapInArrow(_sets(size), f"id long, size long, {', '.join(w + ' long' for w in WORDS)}, set array<long>").dropDuplicates(["id"]))
+    sizes = groups.groupBy("key").agg(F.count("*").alias("c"))
+    hubs = groups.join(sizes, "key").groupBy("rep").agg(F.sum("c").alias("deg"))
+    held = ["rep", "deg", "size", *WORDS]
+    groups = written(groups.join(hubs.join(sets.drop("set").withColumnRenamed("id", "rep"), "rep"), "rep").select("key", *held))
     labels = edges = None
     for turn in range(rounds + 1):
         if labels is None:
             open_ = groups.withColumn("comp", F.col("rep"))
         else:
-            named = groups.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+            named = groups.join(labels, F.col("rep") == F.col("node"), "left").select("key", *held, F.coalesce("comp", "rep").alias("comp"))
             still = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
             open_ = written(named.join(still, "key"))
-            groups = open_.select("key", "rep")
-        pivots = open_.groupBy("key").agg(F.min(F.struct("rep", "comp")).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.comp").alias("pc"))
-        if turn < rounds:
-            pairs = open_.join(pivots, "key").where((F.col("comp") != F.col("pc"))).select("a", F.col("rep").alias("b"))
-        else:  # whatever is left, in full
-            other = open_.select("key", F.col("rep").alias("a"), F.col("comp").alias("pc"))
-            pairs = open_.join(other, "key").where((F.col("a") < F.col("rep")) & (F.col("comp") != F.col("pc"))).select("a", F.col("rep").alias("b"))
-        found = written(_links(pairs.distinct(), sets, percent))
+        rows, all_pairs = open_.groupBy("key").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2), F.lit(0.0))).first()
+        if not rows and labels is not None:
+            break
+        last = turn == rounds or all_pairs <= PAIRS_A_ROW * rows
+        best = open_.groupBy("key").agg(F.max(F.struct("deg", (-F.col("rep")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("rep"))
+        if last:
+            found = written(_in_tiles(open_, sets, percent))
+        else:
+            fit = F.col("x_comp") != F.col("y_comp")
+            met = _as(open_.join(best, ["key", "rep"]), "x").join(_as(open_, "y"), "key")
+            pairs = met.where(fit & _hopeful(percent)).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+            found = written(_links(pairs.distinct(), sets, percent))
         edges = found if edges is None else edges.unionByName(found)
         if labels is None or not found.isEmpty():
             labels = components(edges, "a", "b")
-        if turn == rounds:
-            break
-        groups = open_.join(pivots.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
-        groups = written(groups)
-        if groups.isEmpty():
+        if last:
             break
+        groups = written(open_.join(best, ["key", "rep"], "left_anti").select("key", *held))
     members = one.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
     out = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id")).join(labels, F.col("class_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("comp", "class_id").alias("component_id"))
