@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,13 @@ def session(name: str = "weftline", master: str | None = None, **conf: str) -> S
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers of a local session find this package; on a cluster it comes with the job (--py-files)."""
+    own = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    held = env.get("PYTHONPATH", "")
+    if own not in held.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (own, held)))
+    return spark
