@@ -94,5 +94,5 @@ def leaks(documents: DataFrame, benchmark: DataFrame, min_score: int = 12, min_s
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without those that hold a leak."""
-    bad = leaks(documents, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = leaks(documents, benchmark, **options).select(F.col("doc_id").alias("__weft_bad")).distinct()
+    return documents.join(bad, F.col("doc_id") == F.col("__weft_bad"), "left_anti")

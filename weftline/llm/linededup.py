@@ -52,23 +52,23 @@ def dropped_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3)
 
 
 def with_kept_text(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """The rows of ``documents`` with _kept (text), _n_lines and _n_dropped."""
+    """The rows of ``documents`` with __weft_kept (text), __weft_n_lines and __weft_n_dropped."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    gone = dropped_lines(documents, min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("pos").alias("_gone"))
-    joined = documents.withColumns({"_lines": lines, "_hash": F.xxhash64("text")}).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_th")), "left")
-    n = F.size("_lines")
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return joined.withColumns({"_kept": kept, "_n_lines": n.cast("long"), "_n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).drop("_lines", "_gone", "_id", "_th", "_hash")
+    gone = dropped_lines(documents, min_chars, min_docs).select(F.col("doc_id").alias("__weft_id"), F.col("th").alias("__weft_th"), F.col("pos").alias("__weft_gone"))
+    joined = documents.withColumns({"__weft_lines": lines, "__weft_hash": F.xxhash64("text")}).join(gone, (F.col("doc_id") == F.col("__weft_id")) & (F.col("__weft_hash") == F.col("__weft_th")), "left")
+    n = F.size("__weft_lines")
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__weft_gone"))
+    kept = F.when(F.col("__weft_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__weft_lines"), i)), "\n"))
+    return joined.withColumns({"__weft_kept": kept, "__weft_n_lines": n.cast("long"), "__weft_n_dropped": F.coalesce(F.size("__weft_gone"), F.lit(0)).cast("long")}).drop("__weft_lines", "__weft_gone", "__weft_id", "__weft_th", "__weft_hash")
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """The documents with their kept lines as text (null stays null); n_chars follows where it exists."""
-    out = with_kept_text(documents, min_chars, min_docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
+    out = with_kept_text(documents, min_chars, min_docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("__weft_kept")))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
 
 
 def report(documents: DataFrame) -> DataFrame:
-    return with_kept_text(documents).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    return with_kept_text(documents).select("doc_id", F.col("__weft_n_lines").alias("n_lines"), F.col("__weft_n_dropped").alias("n_dropped"), F.sha2(F.col("__weft_kept").cast("binary"), 256).alias("kept_sha256"))

@@ -304,8 +304,8 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80, roun
 def dedup(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which one of each component, the smallest doc_id, stays; null ids stay."""
     out = near_duplicates(documents, size, percent)
-    gone = out.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return documents.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = out.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__weft_gone"))
+    return documents.join(gone, F.col("doc_id") == F.col("__weft_gone"), "left_anti")
 
 
 def report(documents: DataFrame) -> DataFrame:
