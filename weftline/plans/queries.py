@@ -161,7 +161,7 @@ def quality_score(spark, sf_dir):  # A8, A9
 
 
 def params_rollup(spark, sf_dir):  # A16
-    return _t(spark, sf_dir, "labels").rollup("quality", "toxic").agg(F.count("*").alias("n"))
+    return _t(spark, sf_dir, "labels").rollup("quality", "toxic").agg(F.count("*").alias("n")).select(F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), "n")
 
 
 def nearest_match(spark, sf_dir):  # J9, J13: each of 1 in 10 vectors to its nearest of the same class
@@ -209,7 +209,7 @@ ORACLE = {
     "unpack_positions": "SELECT conv_id, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pos_sum, '0,' || string_agg(CAST(e AS VARCHAR), ',' ORDER BY turn) AS boundaries FROM (SELECT conv_id, turn, length(text) AS n, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS e FROM conversations) GROUP BY conv_id",
     "perplexity_like": "SELECT event_id // 100 AS step, count(*) AS n, round(avg(value), 6) AS loss FROM events GROUP BY 1",
     "quality_score": "SELECT doc_id, CAST(quality * 30 + (1 - toxic) * 30 + CASE WHEN n_chars BETWEEN 1000 AND 100000 THEN 20 WHEN n_chars >= 500 THEN 10 ELSE 0 END AS BIGINT) AS score FROM documents JOIN labels USING (doc_id)",
-    "params_rollup": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ROLLUP (quality, toxic)",
+    "params_rollup": "SELECT coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic, n FROM (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ROLLUP (quality, toxic))",
     "nearest_match": "WITH p AS (SELECT q.vec_id AS q, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 10 = 0) SELECT q, arg_min(vec_id, d) AS nearest FROM p GROUP BY q",
     "flagship": "WITH c AS (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(coalesce(text, '')) ELSE 0 END) AS s, sum(length(coalesce(text, ''))) AS a FROM conversations GROUP BY conv_id) SELECT count(*) AS conversations, CAST(sum(s) AS BIGINT) AS supervised, quantile_cont(CAST(s AS BIGINT), 0.5) AS p50, quantile_cont(CAST(s AS BIGINT), 0.95) AS p95 FROM c WHERE a <= 8192",
 }
