@@ -18,8 +18,10 @@ the smallest id.  The collision-corrected estimate of 64 further registers (chan
 drops the hopeless pairs, and the exact similarity on full sets decides.  Documents joined to
 one component need no further comparison, so a large group of near copies ends after a round
 or two.  Once the groups left are so small that their pairs are few for their rows - or after
-``rounds`` - every pair of different components in a group is compared, so no link is lost to
-the short cut.
+``rounds`` - the documents in them are dealt anew, by their rarest shingles: sets of n shingles
+that are similar enough share one of the first n - ceil(0.8 n) + 1 in any common order, and in
+an order by frequency that share is small for documents that only hold the same passages.
+There every pair of different components is compared, so no link is lost to the short cut.
 
 Defined cases: null or blank texts have an empty set and link with nothing; texts with fewer
 words than a shingle are one shingle, the whole sequence.  Rows that repeat a doc_id are one
@@ -245,6 +247,54 @@ def _in_tiles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key", "ti", "tj").applyInArrow(_tile(percent), "a long, b long").distinct()
 
 
+#: Shingles are put in order by the frequency of their hash bucket, so that the table of frequencies is bounded.
+RARITY = 1 << 20
+
+
+def _rarity_bucket(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles ^ U(0x4A4E)) & U(RARITY - 1)).astype(np.int64)
+
+
+def _frequencies(batches):
+    total = np.zeros(RARITY, np.int64)
+    for batch in batches:
+        total += np.bincount(_rarity_bucket(batch.column(0).flatten().to_numpy().view(U)), minlength=RARITY)
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bucket", "n"])
+
+
+def _rarest(held, percent: int):
+    def run(batches):
+        often = held.value
+        for batch in batches:
+            of, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+            for i, own in enumerate(batch.column(1)):
+                s = own.values.to_numpy().view(U)
+                n = often[_rarity_bucket(s)]
+                first = np.lexsort((s, n))[: len(s) + percent * -len(s) // 100 + 1]
+                first = first[n[first] > 1]  # what one document alone holds leads to none
+                of.append(np.full(len(first), i))
+                keys.append(s[first])
+            rows = batch.drop_columns(["set"]).take(pa.array(np.concatenate(of)))
+            yield pa.RecordBatch.from_arrays([_long(np.concatenate(keys)), *rows.columns], ["key", *rows.schema.names])
+
+    return run
+
+
+def _by_rarest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The documents of the open groups, grouped by each of their rarest shingles; groups of one component are left out."""
+    spark = open_.sparkSession
+    docs = open_.select("rep", "comp", "size", *WORDS).distinct()
+    docs = written(docs.join(sets.select(F.col("id").alias("rep"), "set"), "rep").select("rep", "set", "comp", "size", *WORDS))
+    counts = docs.select("set").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most RARITY rows
+    often = np.zeros(RARITY, np.int64)
+    often[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    held = spark.sparkContext.broadcast(np.minimum(often, 2**32 - 1).astype(np.uint32))
+    rows = written(docs.mapInArrow(_rarest(held, percent), f"key long, rep long, comp long, size long, {', '.join(w + ' long' for w in WORDS)}"))
+    several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return rows.join(several, "key")
+
+
 def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80, rounds: int = 2, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): a row for each non-null doc_id.
 
@@ -284,7 +334,7 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80, roun
         last = turn == rounds or all_pairs <= PAIRS_A_ROW * rows
         best = open_.groupBy("key").agg(F.max(F.struct("deg", (-F.col("rep")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("rep"))
         if last:
-            found = written(_in_tiles(open_, sets, percent))
+            found = written(_in_tiles(_by_rarest(open_, sets, percent), sets, percent))
         else:
             fit = F.col("x_comp") != F.col("y_comp")
             met = _as(open_.join(best, ["key", "rep"]), "x").join(_as(open_, "y"), "key")
