@@ -18,10 +18,10 @@ the smallest id.  The collision-corrected estimate of 64 further registers (chan
 drops the hopeless pairs, and the exact similarity on full sets decides.  Documents joined to
 one component need no further comparison, so a large group of near copies ends after a round
 or two.  Once the groups left are so small that their pairs are few for their rows - or after
-``rounds`` - the documents in them are dealt anew, by their rarest shingles: sets of n shingles
-that are similar enough share one of the first n - ceil(0.8 n) + 1 in any common order, and in
-an order by frequency that share is small for documents that only hold the same passages.
-There every pair of different components is compared, so no link is lost to the short cut.
+``rounds`` - every pair of different components in a group is compared, so no link is lost to
+the short cut.  Documents of groups beyond a tile are first dealt anew, by their rarest shingles:
+sets of n shingles that are similar enough share one of the first n - ceil(0.8 n) + 1 in any
+common order, and in an order by frequency documents that only hold the same passages share none.
 
 Defined cases: null or blank texts have an empty set and link with nothing; texts with fewer
 words than a shingle are one shingle, the whole sequence.  Rows that repeat a doc_id are one
@@ -334,7 +334,9 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80, roun
         last = turn == rounds or all_pairs <= PAIRS_A_ROW * rows
         best = open_.groupBy("key").agg(F.max(F.struct("deg", (-F.col("rep")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("rep"))
         if last:
-            found = written(_in_tiles(_by_rarest(open_, sets, percent), sets, percent))
+            large = open_.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > TILE).select("key")
+            small = _in_tiles(open_.join(large, "key", "left_anti"), sets, percent)
+            found = written(small.unionByName(_in_tiles(_by_rarest(open_.join(large, "key"), sets, percent), sets, percent)))
         else:
             fit = F.col("x_comp") != F.col("y_comp")
             met = _as(open_.join(best, ["key", "rep"]), "x").join(_as(open_, "y"), "key")
