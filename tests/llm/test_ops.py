@@ -56,7 +56,9 @@ def test_topk_brute_force(spark):
             assert sorted(got[q]) == [(n + 1, i, -x) for n, (x, i) in enumerate(s)]
 
 
-def test_near_duplicates_brute_force(spark):
+@pytest.mark.parametrize("tile", [512, 2])  # 2: all larger groups take the way by rarest shingles
+def test_near_duplicates_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(neardup, "TILE", tile)
     rng = np.random.default_rng(2)
     texts = []
     for size in (1, 3, 6, 12, 14, 30, 90, 300):
