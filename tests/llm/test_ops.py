@@ -131,6 +131,21 @@ def test_ctw_is_a_distribution():
     assert tree.log10(codes).sum() > 0.5 * len(codes) * math.log10(1 / 256)
 
 
+def test_ctw_keeps_every_context(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(100)]  # 1.1 million contexts and symbols
+    texts += ["abracadabra", "zz\x01é", ""]
+    data, offsets = raw(pa.array(texts))
+    codes, first = ctw.gram_codes(data, offsets)
+    tree = ctw.Tree([np.unique(codes & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(ctw.DEPTH + 1)])
+    want = np.add.reduceat(tree.log10(codes), first[:-1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for share in (2.0**-20, 2.0**-12):  # all grams broadcast; all but few joined
+        monkeypatch.setattr(ctw, "HOT_GRAMS", share)
+        got = {r["doc_id"]: r["score"] for r in ctw.score(df, df, min_count=1).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
+
+
 def test_language_on_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.report(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out")
