@@ -160,6 +160,15 @@ def test_pages():
     assert htmltext.extract(None) == htmltext.extract("") == ""
 
 
+@pytest.mark.parametrize("box", ["article", "div"])
+def test_paths_decide_inside_the_article(box):
+    real = "This is a sentence of the text, and it has some length, as sentences of texts do; here it ends."
+    page = f"""<html><body><nav><a href=x>Menu</a></nav><{box}><h1>T</h1><p>{real} 1</p><p>{real} 2</p><div class="qz7">Buy shoes now</div><p>{real} 3</p><h2>Part</h2>
+    <ul class="xk"><li><a href=a>One more page</a></li><li><a href=b>Another page</a></li></ul><ul><li>short one</li><li>short two</li></ul>
+    <div class="legal social"><p>{real} 4</p></div><div class="social">Tell all</div><p>{real} 5</p></{box}></body></html>"""
+    assert htmltext.extract(page).split("\n") == ["T", f"{real} 1", f"{real} 2", f"{real} 3", "Part", "short one", "short two", f"{real} 4", f"{real} 5"]
+
+
 def test_secrets():
     text = 'password = "abcdef1" and AKIA' + "B2" * 8 + "\nuser: bob key Xy7Zp0Qw9Lk2Mn4B at https://h.example/x"
     base = secrets.base_spans(text)

@@ -7,13 +7,16 @@ shares in the weight of the container around it.  Then, per path:
 
 * ratio: characters outside links per block, times one plus the punctuation per block;
 * smoothed: the mean of the ratios of neighbouring blocks in page order (radius 2);
-* fused: smoothed ratio times the share of text that is not in links.
+* fused: the lesser of the path's own and the smoothed ratio, times the share of text
+  that is not in links, times ``ROLE_WEIGHT`` if a role word of it or above it names a menu,
+  header, footer, sidebar, notice, advert, form or comment.
 
 The container is the deepest prefix that holds most of the fused weight (an article or main
 element, where the page has one, stands for it).  Within it a path is content if its fused
-value reaches ``threshold`` of the mean or it is of the container's own flow (headings, text
-and lists by the side of content); elements that by their tag or role word are menus, headers
-of the page, footers, sidebars, notices, adverts, forms or comments are never content.
+value reaches ``threshold`` of the mean, with or without an article.  Beside such paths, in the
+same parent, headings and short text elements (``FLOW``) without role words are admitted unless
+half of their text is in links.  Elements that by their tag are no content, and hidden ones,
+never are.
 
 Defined cases: null or empty html gives empty text; markup that ends early or nests wrongly is
 read as far as it goes; repeated rows and null ids are rows like any other.  The page is read
@@ -36,6 +39,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FLOW = HEADINGS | frozenset("p li dt dd th td pre blockquote caption figcaption".split())
+LISTS = frozenset("ul ol dl table thead tbody tfoot tr figure".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form head menu dialog button select fieldset".split())
 BOILERPLATE_ROLES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
@@ -43,6 +48,8 @@ BOILERPLATE_ROLES = frozenset(
     "comment comments disqus reply replies respond discussion notice notices cookie cookies consent gdpr popup modal overlay alert subscribe subscription newsletter "
     "signup login search form pagination pager copyright legal disclaimer hidden skip".split()
 )
+#: What a role word leaves of the fused value.
+ROLE_WEIGHT = 0.25
 CLOSED_BY_BLOCK = frozenset("p".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 PUNCTUATION = frozenset(",.;:!?…、。，！？،؟।¿¡")
@@ -54,10 +61,10 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\
 
 
 class Block:
-    __slots__ = ("path", "parts", "linked", "bad")
+    __slots__ = ("path", "parts", "linked", "bad", "role")
 
-    def __init__(self, path, bad):
-        self.path, self.parts, self.linked, self.bad = path, [], 0, bad
+    def __init__(self, path, bad, role):
+        self.path, self.parts, self.linked, self.bad, self.role = path, [], 0, bad, role
 
 
 def _labels(attributes: str) -> frozenset:
@@ -71,7 +78,7 @@ def _labels(attributes: str) -> frozenset:
 def read_blocks(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, label, boilerplate at or above it
+    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, boilerplate at or above it, role word at or above it
     links, at, fresh = 0, 0, True
 
     def text(raw: str) -> None:
@@ -81,7 +88,7 @@ def read_blocks(page: str) -> list[Block]:
         if fresh:
             if not raw.strip():
                 return
-            blocks.append(Block(tuple(x[1] for x in stack), bool(stack) and stack[-1][2]))
+            blocks.append(Block(tuple(x[1] for x in stack), bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
             fresh = False
         value = html.unescape(raw) if "&" in raw else raw
         blocks[-1].parts.append(value)
@@ -129,9 +136,10 @@ def read_blocks(page: str) -> list[Block]:
         words = _labels(m[3]) if m[3] else frozenset()
         root = tag in ("html", "body", "article", "main")
         bad = bool(stack) and stack[-1][2]
-        bad = bad or tag in BOILERPLATE_TAGS or (not root and bool(words & BOILERPLATE_ROLES)) or bool(m[3] and HIDDEN.search(m[3]))
+        bad = bad or tag in BOILERPLATE_TAGS or bool(m[3] and HIDDEN.search(m[3]))
         bad = bad or (tag == "header" and not any(x[0] in ("article", "main") for x in stack))
-        stack.append((tag, tag + "".join("." + w for w in sorted(words)), bad))
+        role = (bool(stack) and stack[-1][3]) or (not root and bool(words & BOILERPLATE_ROLES))
+        stack.append((tag, tag + "".join("." + w for w in sorted(words)), bad, role))
         if m[3].endswith("/") and tag not in ("p", "div"):
             stack.pop()
     text(page[at:])
@@ -148,11 +156,12 @@ def _fused(blocks: list[Block], texts: list[str]) -> list[float]:
         marks[b.path] += sum(c in PUNCTUATION for c in t)
         linked[b.path] += min(b.linked, len(t))
         count[b.path] += 1
+    role = {b.path: ROLE_WEIGHT if b.role else 1.0 for b in blocks}
     ratio = {p: (chars[p] - linked[p]) / count[p] * (1 + marks[p] / count[p]) for p in count}
     out = []
     for i, b in enumerate(blocks):
         near = [0.0 if x.bad else ratio[x.path] for x in blocks[max(0, i - 2) : i + 3]]
-        out.append(sum(near) / len(near) * (1 - linked[b.path] / max(1, chars[b.path])))
+        out.append(min(ratio[b.path], sum(near) / len(near)) * (1 - linked[b.path] / max(1, chars[b.path])) * role[b.path])
     return out
 
 
@@ -175,6 +184,22 @@ def _container(blocks: list[Block], fused: list[float]) -> tuple:
     return max((p for p in weight if weight[p] >= 0.6 * total), key=len, default=())
 
 
+def _tag(label: str) -> str:
+    return label.split(".", 1)[0]
+
+
+def _parent(path: tuple) -> tuple:
+    """The path above, without the lists and tables between."""
+    path = path[:-1]
+    while path and _tag(path[-1]) in LISTS:
+        path = path[:-1]
+    return path
+
+
+def _beside(block: Block, text: str) -> bool:
+    return bool(block.path) and not block.role and _tag(block.path[-1]) in FLOW and 2 * block.linked < len(text)
+
+
 def extract(page: str | None, threshold: float = 0.2) -> str:
     """The main text: content blocks in page order, joined by newlines."""
     blocks = read_blocks(page or "")
@@ -189,10 +214,9 @@ def extract(page: str | None, threshold: float = 0.2) -> str:
     if not own:
         return ""
     least = threshold * sum(fused[i] for i in own) / len(own)
-    named = bool(root) and bool(re.match(r"(article|main)\b", root[-1]))
     best = {blocks[i].path for i in own if fused[i] >= least}
-    flow = {p[:-1] for p in best} | best
-    keep = [i for i in own if blocks[i].path in best or (named and (blocks[i].path in flow or any(blocks[i].path[:n] in flow for n in range(len(root), len(blocks[i].path)))))]
+    flow = {_parent(p) for p in best}
+    keep = [i for i in own if blocks[i].path in best or (_beside(blocks[i], texts[i]) and _parent(blocks[i].path) in flow)]
     return "\n".join(texts[i] for i in keep)
 
 
