@@ -153,6 +153,19 @@ def test_language_on_held_out(spark):
     assert zlib.crc32(b"3") % 4 == [r["r"] for r in spark.range(1).select(langid.remainder(langid.F.lit(3), 4).alias("r")).collect()][0]
 
 
+def test_small_languages_reject(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(4)
+    junk = [(10_000 + i, "".join(map(chr, rng.integers(0x4E00, 0x9000, 300))), None) for i in range(20)]
+    junk += [(20_000, "zq xj " * 3, "stray")]
+    both = df.unionByName(spark.createDataFrame(junk, df.schema))
+    learned = langid.learn(both)
+    assert set(learned[1]) == set(learned[0].languages) >= {"stray", "es"} and all(map(math.isfinite, sum(learned[1].values(), ())))
+    got = langid.predict(both, learned).collect()
+    assert not any(r["accepted"] for r in got if 10_000 <= r["doc_id"] < 20_000)
+    assert sum(r["accepted"] for r in got if r["doc_id"] < 10_000) >= 0.97 * df.count()
+
+
 def test_pages():
     page = """<html><body><nav><a href=x>Menu</a></nav><div class="cookie-notice">We use cookies, really.</div><article><h1>T &amp; U</h1>
     <p>One,  two.<br>Three.<aside>no</aside><p>Four <b>five</b>, six.</p><script>var x="</p>"</script></article><section id="comments"><p>I agree, of course, entirely.</p></section><footer>f</footer>"""

@@ -10,7 +10,11 @@ Models are fitted on a bounded sample: about ``max_docs`` whole labelled documen
 language, chosen by a hash of doc_id; a fifth of them is set aside to calibrate rejection: a
 text is rejected if its cross-entropy exceeds the language's mean by more than ``z`` standard
 errors, which combine the spread between documents and the spread between symbols at the
-text's length, and by ``margin`` nats at least.  Everything else covers whole texts of all documents.
+text's length, and by ``margin`` nats at least.  Languages of fewer than ``SMALL`` labelled rows are
+calibrated by cross-fit instead: each document is measured by a model of the language without
+that document's part of ``FOLDS``.  A language that has no other document to be measured by
+takes the pooled values of the others (or, alone, those of its own documents), so every
+language has a bound.  Everything else covers whole texts of all documents.
 
 Defined cases: null text or text without letters is ``und`` with score 0, and rejected; with no
 labelled rows everything is.  Rows with a null doc_id or null lang are scored but not learned
@@ -22,13 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm._spark import arrow_batches, remainder
 from weftline.llm._text import Counts, SortedHashes, U, mix, slices
 
 ORDER = 4
+SMALL, FOLDS = 50, 10
 _tables: list = []
 
 
@@ -197,7 +202,7 @@ def learn(labelled: DataFrame, max_docs: int = 1000) -> tuple[Model, dict] | Non
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, int(1_000_000 * max_docs / n) + 1))])
     sample = rows.where(F.col("_h") < share[F.col("lang")])
-    test = (F.col("_h") % 5 == 0) & (share[F.col("lang")] > 5) & F.col("lang").isin([x for x, n in sizes.items() if n >= 50])
+    test = (F.col("_h") % 5 == 0) & (share[F.col("lang")] > 5) & F.col("lang").isin([x for x, n in sizes.items() if n >= SMALL])
     counts = sample.where(~test).select("text", "lang").mapInArrow(_remember(ORDER), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     got = counts.toPandas()  # bounded by the sample
     by = {lang: (x["code"].to_numpy().astype(np.int64).view(U), x["n"].to_numpy()) for lang, x in got.groupby("lang")}
@@ -206,14 +211,52 @@ def learn(labelled: DataFrame, max_docs: int = 1000) -> tuple[Model, dict] | Non
     model = Model({k: (c[np.argsort(c)], n[np.argsort(c)]) for k, (c, n) in by.items()})
     held = spark.sparkContext.broadcast(model)
     own = sample.where(F.col("lang").isin(model.languages)).where(test).select("text", "lang")
-    fit = own.mapInArrow(_calibrate(held), "lang string, mean double, var double").groupBy("lang").agg(F.avg("mean").alias("m"), F.coalesce(F.var_pop("mean"), F.lit(0.0)).alias("v"), F.avg("var").alias("s"))
-    return model, {r["lang"]: (r["m"], r["v"], r["s"]) for r in fit.collect()}  # a row a language
+    limits = _fit(own, held)
+    few = sample.where(F.col("lang").isin([x for x in model.languages if sizes[x] < SMALL]))
+    limits = _cross_fit(few) | limits
+    if not limits:
+        limits = _fit(sample.select("text", "lang"), held)
+    m, v, s = np.mean(list(limits.values()), 0) if limits else (0.0, 0.0, 0.0)
+    return model, {x: limits.get(x, (float(m), float(v), float(s))) for x in model.languages}
+
+
+def _fit(rows: DataFrame, held) -> dict[str, tuple]:
+    """For each language (mean, variance between documents, variance between symbols) of rows (text, lang)."""
+    return _spread(rows.mapInArrow(_calibrate(held), "lang string, mean double, var double"))
+
+
+def _spread(measured: DataFrame) -> dict[str, tuple]:
+    fit = measured.groupBy("lang").agg(F.avg("mean").alias("m"), F.coalesce(F.var_pop("mean"), F.lit(0.0)).alias("v"), F.avg("var").alias("s"))
+    return {r["lang"]: (r["m"], r["v"], r["s"]) for r in fit.collect()}  # a row a language
+
+
+def _cross_fit(few: DataFrame) -> dict[str, tuple]:
+    """The same for languages of few rows, each document measured by a model without its fold."""
+    order = Window.partitionBy("lang").orderBy("_h", F.xxhash64("text"))
+    rows = few.select("text", F.concat_ws("#", F.pmod(F.row_number().over(order), F.lit(FOLDS)), "lang").alias("lang"))
+    got = rows.mapInArrow(_remember(ORDER), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()  # less than SMALL documents a language
+    folds: dict = {}
+    for name, x in got.groupby("lang"):
+        fold, lang = name.split("#", 1)
+        folds.setdefault(lang, {})[fold] = (x["code"].to_numpy().astype(np.int64).view(U), x["n"].to_numpy())
+    counts = {}
+    for lang, parts in folds.items():
+        for fold in parts:
+            others = [x for k, x in parts.items() if k != fold]
+            if others:
+                codes, at = np.unique(np.concatenate([x[0] for x in others]), return_inverse=True)
+                counts[f"{fold}#{lang}"] = (codes, np.bincount(at, np.concatenate([x[1] for x in others])).astype(np.int64))
+    if not counts:
+        return {}
+    held = few.sparkSession.sparkContext.broadcast(Model(counts))
+    measured = rows.where(F.col("lang").isin(list(counts))).mapInArrow(_calibrate(held), "lang string, mean double, var double")
+    return _spread(measured.withColumn("lang", F.expr("substring(lang, locate('#', lang) + 1)")))
 
 
 def _predict(held, z: float, margin: float = 1.0):
     def run(batches):
         model, limits = held.value
-        bounds = np.array([limits.get(x, (np.inf, 0.0, 0.0)) for x in model.languages])
+        bounds = np.array([limits[x] for x in model.languages])
         for batch, data, offsets in slices(batches):
             n, mean, _ = _measure(model, data, offsets)
             best = mean.argmin(1)
