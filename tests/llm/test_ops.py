@@ -120,6 +120,26 @@ def test_encoding_is_plain_without_dropout_and_lossless_with():
         assert [v.decode(ids[at[i] : at[i + 1]].tolist()) for i in range(len(texts))] == texts
 
 
+def test_every_occurrence_is_dropped_on_its_own():
+    v = mergedropout.Vocabulary(MODEL)
+    text = " ".join(["nation", "internationalization", "of", "x" * 70] * 300)
+    data, offsets = raw(pa.array([text, text]))
+    docs = np.array([7, -3])
+    ids, at = mergedropout.encode_texts(v, data, offsets, docs, 5, 0.1)
+    forms, want = {}, []
+    for doc in docs:
+        place = 0
+        for word in text.split(" "):
+            sym = [v.space, *(int(v.first[ord(c)]) for c in word)]
+            key = mergedropout.mix(mergedropout.mix(np.array([doc]).view(np.uint64) ^ np.uint64(mergedropout.mix_int(5))) + np.uint64(place))
+            want += (got := mergedropout.agenda(v, sym, int(key[0]), np.uint64(int(0.1 * 2**64))))
+            forms.setdefault(word, []).append(tuple(got))
+            place += len(sym)
+    assert ids.tolist() == want
+    assert len(set(forms["internationalization"])) > 40
+    assert all(len(set(forms[w])) > 1 for w in ("of", "nation"))
+
+
 def test_ctw_is_a_distribution():
     texts = ["abracadabra " * 30, "banana " * 40]
     data, offsets = raw(pa.array(texts))

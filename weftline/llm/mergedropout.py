@@ -3,10 +3,13 @@
 The vocabulary file is read, never trained.  Encoding runs the agenda of a BPE model: adjacent
 symbols that together are a piece are candidates, and the candidate with the best score (the
 leftmost of equals) merges first.  With dropout, a candidate is skipped for good if the keyed
-hash of seed, stream, word and the candidate's place falls below ``dropout``; each occurrence
-of a word in a document draws one of ``streams`` streams by the hash of seed, doc_id and place,
-so the same text is segmented in varied ways, and the same seed gives the same result on any
-cluster.  Dropout 0 is the plain encoding.
+hash of seed, doc_id, the word's place in the document and the candidate's place in the word
+falls below ``dropout``; so every occurrence of a word is segmented on its own, and the same
+seed gives the same result on any cluster.  Dropout 0 is the plain encoding.
+
+An occurrence none of whose candidates on the way to the plain encoding is skipped has that
+encoding, which is kept from slice to slice with these candidates; only the others take the
+agenda.
 
 Merges never cross the start of a run of spaces nor a character that is no piece, so those cut
 a text into words.  The words of a slice are encoded together, one merge of each per round, as
@@ -84,11 +87,16 @@ class Vocabulary:
         return b"".join([self.bytes[i] for i in ids])[1:].decode()
 
 
+def _places(left, middle, right):
+    """A candidate's character places as one number."""
+    return left.astype(U) << U(42) | middle.astype(U) << U(21) | right.astype(U)
+
+
 def _dropped(key, left, middle, right, cut: np.uint64):
     """Is the candidate over these character places skipped?"""
     if not cut:
         return np.zeros(np.shape(left), bool)
-    return mix(key ^ (left.astype(U) << U(42) | middle.astype(U) << U(21) | right.astype(U))) < cut
+    return mix(key ^ _places(left, middle, right)) < cut
 
 
 def agenda(vocabulary: Vocabulary, symbols: list[int], key: int, cut: np.uint64) -> list[int]:
@@ -124,8 +132,8 @@ def agenda(vocabulary: Vocabulary, symbols: list[int], key: int, cut: np.uint64)
     return [i for i, ok in zip(ids, alive, strict=True) if ok]
 
 
-def batch_agenda(vocabulary: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, cut: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Many words together: (ids laid end to end, how many of each word)."""
+def batch_agenda(vocabulary: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, cut: np.uint64, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Many words together: (ids laid end to end, how many of each word); ``seen`` takes (word, places) of all candidates."""
     word = np.repeat(np.arange(len(lengths)), lengths)
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, np.int64)
     ids = symbols.astype(np.int64)
@@ -141,6 +149,8 @@ def batch_agenda(vocabulary: Vocabulary, symbols: np.ndarray, lengths: np.ndarra
         look = look[(ids[look] >= 0) & (ids[look + 1] >= 0)]
         at = vocabulary.index.find(mix((ids[look] * vocabulary.size + ids[look + 1]).astype(U)))
         look, at = look[at >= 0], at[at >= 0]
+        if seen is not None:
+            seen.append((word[look], _places(left[look], left[look + 1], right[look + 1])))
         stay = ~_dropped(keys[word[look]], left[look], left[look + 1], right[look + 1], cut)
         look, at = look[stay], at[stay]
         to[look] = vocabulary.merged[at]
@@ -184,15 +194,18 @@ def _expand(vocabulary: Vocabulary, ids: np.ndarray, count: np.ndarray) -> tuple
     return out, np.diff(ends[marks])
 
 
-def _encode_words(vocabulary: Vocabulary, sym: np.ndarray, begin: np.ndarray, lengths: np.ndarray, keys: np.ndarray, cut: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """(ids laid end to end, how many of each) of the words at these places."""
+def _encode_words(vocabulary: Vocabulary, sym: np.ndarray, begin: np.ndarray, lengths: np.ndarray, keys: np.ndarray, cut: np.uint64, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids laid end to end, how many of each) of the words at these places; ``seen`` takes the candidates of all but long words."""
     short = lengths <= LONG
     n = lengths[short]
     flat = np.repeat(begin[short] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-    ends, own_keys, parts = np.concatenate([[0], np.cumsum(n)]), keys[short], []
+    ends, own_keys, which, parts = np.concatenate([[0], np.cumsum(n)]), keys[short], np.flatnonzero(short), []
     cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(flat), AT_ONCE)), len(n)))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        parts.append(batch_agenda(vocabulary, sym[flat[ends[a] : ends[b]]], n[a:b], own_keys[a:b], cut))
+        met = None if seen is None else []
+        parts.append(batch_agenda(vocabulary, sym[flat[ends[a] : ends[b]]], n[a:b], own_keys[a:b], cut, met))
+        if seen is not None:
+            seen += [(which[a + w], places) for w, places in met]
     ids, sizes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     if short.all():
         return ids.astype(np.int32), sizes
@@ -209,32 +222,42 @@ def _encode_words(vocabulary: Vocabulary, sym: np.ndarray, begin: np.ndarray, le
 
 
 class Cache:
-    """Encoded words by key, from slice to slice of a worker; starts anew when it holds ``most`` words."""
+    """Plainly encoded words and their candidates by key, from slice to slice of a worker; starts anew when it holds ``most`` words."""
 
     def __init__(self, most: int = 800_000):
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.where, self.size, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.spans = np.zeros(0, U), np.zeros((0, 4), np.int64)
+        self.ids, self.places = np.zeros(0, np.int32), np.zeros(0, U)
 
     def find(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
+        """The spans (ids from, how many, places from, how many) of each, and whether it is held."""
         if not len(self.keys):
-            return np.full(len(kinds), -1), np.zeros(len(kinds), np.int64)
-        hit = self.keys[at] == kinds
-        return np.where(hit, self.where[at], -1), np.where(hit, self.size[at], 0)
+            return np.zeros((len(kinds), 4), np.int64), np.zeros(len(kinds), bool)
+        at = np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)
+        return self.spans[at], self.keys[at] == kinds
 
-    def keep(self, kinds: np.ndarray, where: np.ndarray, size: np.ndarray, ids: np.ndarray, new: np.ndarray) -> None:
-        if len(self.keys) + len(new) > self.most or len(ids) > 16 * self.most:
+    def keep(self, kinds: np.ndarray, spans: np.ndarray, ids: np.ndarray, places: np.ndarray) -> None:
+        if len(self.keys) + len(kinds) > self.most or max(len(ids), len(places)) > 16 * self.most:
             self.clear()
             return
-        at = np.searchsorted(self.keys, kinds[new])
-        self.keys, self.where, self.size = (np.insert(x, at, y[new]) for x, y in ((self.keys, kinds), (self.where, where), (self.size, size)))
-        self.ids = ids
+        at = np.searchsorted(self.keys, kinds)
+        self.keys, self.spans = np.insert(self.keys, at, kinds), np.insert(self.spans, at, spans, 0)
+        self.ids, self.places = ids, places
+
+
+def _starts(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n)])[:-1].astype(np.int64)
+
+
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of these spans, one after another."""
+    return np.repeat(begin - _starts(n), n) + np.arange(n.sum())
 
 
-def encode_texts(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray, seed: int = 0, dropout: float = 0.1, streams: int = 4, cache: Cache | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray, seed: int = 0, dropout: float = 0.1, cache: Cache | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts laid end to end, and where each text's begin."""
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
     count = np.zeros(len(data) + 1, np.int64)
@@ -259,28 +282,36 @@ def encode_texts(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray,
     text = np.searchsorted(first, begin, "right") - 1
     place = begin - first[text]
     word_hash = Spans(mix(sym.view(U))).hash(begin, begin + lengths)
-    stream = mix(mix(doc_ids[text].view(U) ^ U(mix_int(seed))) + place.astype(U)) % U(max(1, streams)) if dropout > 0 else np.zeros(len(begin), U)
-    keys = mix(word_hash ^ mix(stream + U(mix_int(seed + 1))))
-    kinds, at, back = np.unique(keys, return_index=True, return_inverse=True)
-    limit = U(min(2**64 - 1, int(dropout * 2**64)))
-    where, size = cache.find(kinds) if cache else (np.full(len(kinds), -1), np.zeros(len(kinds), np.int64))
-    new = np.flatnonzero(where < 0)
-    pool = cache.ids if cache else np.zeros(0, np.int32)
-    ids, sizes = _encode_words(vocabulary, sym, begin[at[new]], lengths[at[new]], kinds[new], limit)
-    where[new], size[new] = len(pool) + np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes
-    ids = np.concatenate([pool, ids])
-    if cache:
-        cache.keep(kinds, where, size, ids, new)
-    many = size[back]
-    ends = np.cumsum(many)
-    out = ids[np.repeat(where[back] - (ends - many), many) + np.arange(ends[-1])]
+    kinds, at, back = np.unique(word_hash, return_index=True, return_inverse=True)
+    cache = cache or Cache()
+    spans, known = cache.find(kinds)
+    new, seen = np.flatnonzero(~known), []
+    ids, n = _encode_words(vocabulary, sym, begin[at[new]], lengths[at[new]], kinds[new], U(0), seen)
+    word, places = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, U), zip(*seen, strict=True), strict=True)) if seen else (np.zeros(0, np.int64), np.zeros(0, U))
+    n_places = np.bincount(word, minlength=len(new))
+    spans[new] = np.stack([len(cache.ids) + _starts(n), n, len(cache.places) + _starts(n_places), n_places], 1)
+    ids, places = np.concatenate([cache.ids, ids]), np.concatenate([cache.places, places[np.argsort(word, kind="stable")]])
+    cache.keep(kinds[new], spans[new], ids, places)
+    where, size = spans[back, 0], spans[back, 1]
+    if dropout > 0:
+        keys = mix(mix(doc_ids[text].view(U) ^ U(mix_int(seed))) + place.astype(U))
+        limit = U(min(2**64 - 1, int(dropout * 2**64)))
+        n_places = spans[back, 2:].T
+        skipped = mix(np.repeat(keys, n_places[1]) ^ places[_spread(*n_places)]) < limit
+        far = lengths > LONG
+        far[np.repeat(np.arange(len(begin)), n_places[1])[skipped]] = True
+        own, n = _encode_words(vocabulary, sym, begin[far], lengths[far], keys[far], limit)
+        where[far], size[far] = len(ids) + _starts(n), n
+        ids = np.concatenate([ids, own])
+    ends = np.cumsum(size)
+    out = ids[_spread(where, size)]
     marks = np.concatenate([[0], ends])[np.searchsorted(begin, first)]
     out, n_tokens = _expand(vocabulary, out.astype(np.int64), np.diff(marks))
     return out, np.concatenate([[0], np.cumsum(n_tokens)])
 
 
 _held: dict[str, Vocabulary] = {}
-_caches: dict[tuple, Cache] = {}
+_caches: dict[str, Cache] = {}
 
 
 def vocabulary(name: str) -> Vocabulary:
@@ -293,13 +324,13 @@ def vocabulary(name: str) -> Vocabulary:
 ENCODED = "doc_id long, n_tokens long, ids array<int>, lossless boolean"
 
 
-def _encode(name: str, seed: int, dropout: float, streams: int):
+def _encode(name: str, seed: int, dropout: float):
     def run(batches):
         v = vocabulary(name)
-        cache = _caches.setdefault((name, seed, dropout), Cache())
+        cache = _caches.setdefault(name, Cache())
         for batch, data, offsets in slices(batches, limit=SLICE):
             docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids, marks = encode_texts(v, data, offsets, docs, seed, dropout, streams, cache)
+            ids, marks = encode_texts(v, data, offsets, docs, seed, dropout, cache)
             view, flat = memoryview(data), ids.tolist()
             same = [b"".join([v.bytes[k] for k in flat[marks[i] : marks[i + 1]]])[1:] == view[offsets[i] : offsets[i + 1]] for i in range(batch.num_rows)]
             lists = pa.ListArray.from_arrays(pa.array(marks.astype(np.int32)), pa.array(ids))
@@ -309,12 +340,12 @@ def _encode(name: str, seed: int, dropout: float, streams: int):
     return run
 
 
-def encode(documents: DataFrame, model_file: str, seed: int = 0, dropout: float = 0.1, streams: int = 4) -> DataFrame:
+def encode(documents: DataFrame, model_file: str, seed: int = 0, dropout: float = 0.1) -> DataFrame:
     """(doc_id, n_tokens, ids, lossless): tokens of whole texts, and whether decoding gives the text back."""
     spark = documents.sparkSession
     arrow_batches(spark)
     spark.sparkContext.addFile(model_file)
-    return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_encode(model_file.rsplit("/", 1)[-1], seed, dropout, streams), ENCODED)
+    return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_encode(model_file.rsplit("/", 1)[-1], seed, dropout), ENCODED)
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
