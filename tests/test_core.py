@@ -32,6 +32,15 @@ def test_query_equals_sql(spark, name):
     assert list(map(repr, _rows(got, sorted(got)))) == list(map(repr, _rows(want, sorted(got)))) or _rows(got, sorted(got)) == _rows(want, sorted(got))
 
 
+def test_every_vector_is_matched(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    got, want = QUERIES["nearest_match_all"](spark, SF).toPandas(), con.execute(ORACLE["nearest_match_all"]).fetchdf()
+    assert _rows(got, ["q", "nearest"]) == _rows(want, ["q", "nearest"])
+    classes = con.execute("SELECT label, count(*) FROM embeddings GROUP BY 1").fetchall()
+    assert len(got) == sum(n for _, n in classes if n > 1)
+
+
 def test_conversations(spark):
     raw = json.dumps(ROOM)
     df = spark.createDataFrame([("s", raw, "a bed", ["a", "b"]), ("t", "{bad", "x", ["a"]), ("u", raw, "", [])], "stem string, raw string, caption string, image_paths array<string>")

@@ -164,21 +164,30 @@ def params_rollup(spark, sf_dir):  # A16
     return _t(spark, sf_dir, "labels").rollup("quality", "toxic").agg(F.count("*").alias("n")).select(F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), "n")
 
 
-def nearest_match(spark, sf_dir):  # J9, J13: each of 1 in 10 vectors to its nearest of the same class
-    e = _t(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"), "label")
+def _nearest(e, queries):
+    q = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"), "label")
     d = F.aggregate(F.zip_with("a", "embedding", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     met = q.join(e, "label").where("q <> vec_id").select("q", "vec_id", d.alias("d"))
     return met.groupBy("q").agg(F.min_by("vec_id", F.struct("d", "vec_id")).alias("nearest"))
 
 
+def nearest_match(spark, sf_dir):  # a sample of nearest_match_all: 1 in 10 vectors
+    e = _t(spark, sf_dir, "embeddings")
+    return _nearest(e, e.where("vec_id % 10 = 0"))
+
+
+def nearest_match_all(spark, sf_dir):  # J13: every vector to its nearest of the same class
+    e = _t(spark, sf_dir, "embeddings")
+    return _nearest(e, e)
+
+
 def flagship(spark, sf_dir):
     """Supervised characters of conversations that survive a length limit, with quantiles."""
     rows = label_mask_counts(spark, sf_dir).where(F.col("supervised") + F.col("masked") <= 8192)
     return rows.agg(F.count("*").alias("conversations"), F.sum("supervised").alias("supervised"), F.percentile("supervised", 0.5).alias("p50"), F.percentile("supervised", 0.95).alias("p95"))
 
 
-QUERIES = {f.__name__: f for f in (chat_render, label_mask_counts, token_count, text_lengths, length_filter, length_stats, length_rollup, length_hist, length_index_percentile, pair_inner, pair_missing, content_hash_match, batch_assign, prefix_offsets, json_field_agg, top_keys, confusion_f1, strip_text, prompt_first_turn, min_views_filter, union_fill, key_set_ops, hash_split, pack_ffd, unpack_positions, perplexity_like, quality_score, params_rollup, nearest_match, flagship)}
+QUERIES = {f.__name__: f for f in (chat_render, label_mask_counts, token_count, text_lengths, length_filter, length_stats, length_rollup, length_hist, length_index_percentile, pair_inner, pair_missing, content_hash_match, batch_assign, prefix_offsets, json_field_agg, top_keys, confusion_f1, strip_text, prompt_first_turn, min_views_filter, union_fill, key_set_ops, hash_split, pack_ffd, unpack_positions, perplexity_like, quality_score, params_rollup, nearest_match, nearest_match_all, flagship)}
 
 _CASE = " ".join(f"WHEN n_chars < {BOUNDS[i + 1]} THEN {i}" for i in range(len(BOUNDS) - 1))
 
@@ -211,5 +220,6 @@ ORACLE = {
     "quality_score": "SELECT doc_id, CAST(quality * 30 + (1 - toxic) * 30 + CASE WHEN n_chars BETWEEN 1000 AND 100000 THEN 20 WHEN n_chars >= 500 THEN 10 ELSE 0 END AS BIGINT) AS score FROM documents JOIN labels USING (doc_id)",
     "params_rollup": "SELECT coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic, n FROM (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ROLLUP (quality, toxic))",
     "nearest_match": "WITH p AS (SELECT q.vec_id AS q, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 10 = 0) SELECT q, arg_min(vec_id, d) AS nearest FROM p GROUP BY q",
+    "nearest_match_all": "WITH p AS (SELECT q.vec_id AS q, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id) SELECT q, arg_min(vec_id, d) AS nearest FROM p GROUP BY q",
     "flagship": "WITH c AS (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(coalesce(text, '')) ELSE 0 END) AS s, sum(length(coalesce(text, ''))) AS a FROM conversations GROUP BY conv_id) SELECT count(*) AS conversations, CAST(sum(s) AS BIGINT) AS supervised, quantile_cont(CAST(s AS BIGINT), 0.5) AS p50, quantile_cont(CAST(s AS BIGINT), 0.95) AS p95 FROM c WHERE a <= 8192",
 }
