@@ -208,3 +208,10 @@ def test_secrets():
     assert [k for _, k, _ in base] == [0, 1]
     assert {3, 4, 5} <= {k for _, k, _ in secrets.linked_spans(text, base)}
     assert secrets.linked_spans("see https://h.example/x and Xy7Zp0Qw", []) == []
+
+
+def test_long_secrets_are_linked():
+    word = "Xy7Zp0Qw9Lk2Mn4B" * 12  # 192 characters
+    text = f"user: bob\n{word} at https://h.example/x"
+    spans = secrets.linked_spans(text, secrets.base_spans(text))
+    assert (4, word) in {(k, text[a:b]) for a, k, b in spans}
