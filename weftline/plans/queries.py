@@ -151,16 +151,16 @@ def unpack_positions(spark, sf_dir):  # R1, T15, T19
     return lens.select("conv_id", F.aggregate("pos", F.lit(0).cast("long"), lambda a, x: a + x).alias("pos_sum"), F.array_join(F.transform("cu", lambda x: x.cast("string")), ",").alias("boundaries"))
 
 
-def perplexity_like(spark, sf_dir):  # A26, A27
+def perplexity_like(spark, sf_dir):  # A27; A26 in part
     return _t(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 100).cast("long").alias("step")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("loss"))
 
 
-def quality_score(spark, sf_dir):  # A8, A9
+def quality_score(spark, sf_dir):  # A8, A9 in part
     fit = F.when(F.col("n_chars").between(1000, 100000), 20).when(F.col("n_chars") >= 500, 10).otherwise(0)
     return _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id").select("doc_id", (F.col("quality") * 30 + (1 - F.col("toxic")) * 30 + fit).cast("long").alias("score"))
 
 
-def params_rollup(spark, sf_dir):  # A16
+def params_rollup(spark, sf_dir):
     return _t(spark, sf_dir, "labels").rollup("quality", "toxic").agg(F.count("*").alias("n")).select(F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), "n")
 
 
