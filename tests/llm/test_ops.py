@@ -101,7 +101,7 @@ def test_leak_with_substitutions(spark):
     df = spark.createDataFrame([(1, " ".join(held)), (2, " ".join(W[200:280])), (3, " ".join(W[:6] + W[300:360]))], "doc_id long, text string")
     bench = spark.createDataFrame([(9, " ".join(item).upper())], "item_id long, text string")
     for limit in (10**6, 0):
-        assert [(r["doc_id"], r["item_id"], r["doc_from"]) for r in decontaminate.leaks(df, bench, broadcast_seeds=limit).collect()] == [(1, 9, 41)]
+        assert [(r["doc_id"], r["item_id"], r["doc_from"]) for r in decontaminate.leaks(df, bench, broadcast_rows=limit).collect()] == [(1, 9, 41)]
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()) == [2, 3]
 
 

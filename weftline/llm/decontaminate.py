@@ -3,18 +3,28 @@
 A mask such as 110101011 hashes the tokens of a window at its ones and ignores the others, so
 a substituted token breaks only the seeds that look at it.  Seeds of the documents meet seeds
 of the benchmark items; around each hit the item is laid along the document, and the best
-stretch of that diagonal (a match counts 1, a substitution -1) is the overlap.  An overlap is
-a leak if its score is at least ``min_score``, or ``min_share`` of the item where that is less.
+stretch of that diagonal (a match counts 1, a substitution -1) is the overlap.
 
-The benchmark side is broadcast only if its seeds, counted first, are at most
-``broadcast_seeds``; above that the joins are shuffled ones.  Documents are never shuffled in
-the first case: a hit is verified where it is found.
+An item of 9 tokens or more is leaked if the overlap scores at least ``min_score``, or
+``min_share`` of the item where that is less; a shorter one if the document holds all its tokens
+in place but one of each five (so items under 5 tokens without a change).
+
+What the masks find: items under 9 tokens - every such overlap (each token is left out once);
+items of 9 to 13 tokens - every such overlap (it has four tokens in a row, or two and two around
+one); longer items - every overlap with one or two substitutions, every regular one (each third,
+fourth, ... token replaced), and others unless a substitution hits all four masks at every
+place.  tests/llm measures the recall by pattern against a scan of all diagonals.
+
+Only hashes, ids and positions of the documents meet the benchmark's seeds.  The distinct
+diagonals that are hit are written out and joined back to the texts, so each is verified once.
+A side is broadcast only if its size, counted first, is at most ``broadcast_rows``; beyond that
+the joins are shuffled ones, between bare exchanges, which AQE splits where a seed, an item or a
+document is hot.
 
 Tokens: ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case.  Defined cases: null or empty texts have no
-tokens and no leaks.  Items of 5 to 8 tokens are sought by a contiguous seed of 5; shorter ones
-are too common to be evidence and are never reported.  Rows with a null id are not reported
-(and stay when filtering).  Repeated rows give one result row for a pair of ids, that with the
-highest score; ties go to the first stretch.
+tokens and no leaks.  Items under ``min_tokens`` tokens are reported, but too common to remove a
+document for.  Rows with a null id are not reported (and stay when filtering).  Repeated rows
+give one result row for a pair of ids, that with the highest score; ties go to the first stretch.
 """
 
 from __future__ import annotations
@@ -24,11 +34,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm._spark import result, written
 from weftline.llm.linededup import ascii_lower
 
-MASKS = ("110101011", "111001101", "101110011")
-SHORT_MASK = "11111"
-BROADCAST_SEEDS = 1_000_000
+#: Masks of items of LONG tokens or more, and of those from SHORT tokens on.
+MASKS = ("110101011", "111001101", "101110011", "11011011")
+MIDDLE_MASKS = ("1111", "11011")
+LONG, SHORT = 14, 9
+BROADCAST_ROWS = 1_000_000
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks that seek items of n tokens."""
+    if n >= SHORT:
+        return MASKS if n >= LONG else MIDDLE_MASKS
+    if n < 5:
+        return ("1" * n,)
+    return ("1" * (n - 1), *("1" * i + "0" + "1" * (n - 1 - i) for i in range(1, n - 1)))
 
 
 def token_hashes(text: Column) -> Column:
@@ -36,25 +58,23 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(mask: str, at: Column, number: int) -> Column:
-    return F.xxhash64(F.lit(number), *[F.get(F.col("wh"), (at + i).cast("int")) for i, one in enumerate(mask) if one == "1"])
+def _seed(mask: str, at: Column) -> Column:
+    held = [F.get(F.col("wh"), (at + i).cast("int")) for i, one in enumerate(mask) if one == "1"]
+    return F.when(at + len(mask) <= F.size("wh"), F.xxhash64(F.lit(mask), *held))
 
 
-def seeds(rows: DataFrame, masks: dict[int, str]) -> DataFrame:
-    """Each row once for every mask and position, with ``pos`` and ``h``; ``wh`` holds the token hashes."""
-    n = len(masks)
-    span = max(map(len, masks.values()))
-    count = F.greatest(F.size("wh") - span + 1, F.lit(0))
-    rows = rows.where(F.size("wh") >= span).withColumn("j", F.explode(F.sequence(F.lit(0), count * n - 1)))
+def seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
+    """Each row once for every mask and place that has room for it, with ``pos`` and ``h`` instead of ``wh``."""
+    n, span = len(masks), min(map(len, masks))
+    rows = rows.where(F.size("wh") >= span).withColumn("j", F.explode(F.sequence(F.lit(0), (F.size("wh") - span + 1) * n - 1)))
     at = F.floor(F.col("j") / n).cast("int") if n > 1 else F.col("j")
-    kinds = sorted(masks)
-    h = reduce(lambda rest, k: F.when(F.col("j") % n == k, _seed(masks[kinds[k]], at, kinds[k])).otherwise(rest), range(n - 1), _seed(masks[kinds[-1]], at, kinds[-1]))
-    return rows.withColumns({"pos": at, "h": h})
+    h = reduce(lambda rest, k: F.when(F.col("j") % n == k, _seed(masks[k], at)).otherwise(rest), range(n - 1), _seed(masks[-1], at))
+    return rows.withColumns({"pos": at, "h": h}).drop("wh", "j").where(F.col("h").isNotNull())
 
 
 def _overlap() -> Column:
-    """Best stretch of the item along the document: (score, matches, from, to) with positions in the item."""
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), F.lit(0).alias("run_at"), F.lit(0).alias("hits"), F.lit(0).alias("score"), F.lit(0).alias("matches"), F.lit(0).alias("from"), F.lit(0).alias("to"))
+    """Best stretch of the item along the document: (score, matches, from, to) with positions in the item; same: all matches."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("same"), F.lit(0).alias("run"), F.lit(0).alias("run_at"), F.lit(0).alias("hits"), F.lit(0).alias("score"), F.lit(0).alias("matches"), F.lit(0).alias("from"), F.lit(0).alias("to"))
 
     def step(a, item_token):
         same = F.coalesce(F.get(F.col("wh"), F.when(F.col("diag") + a["i"] >= 0, F.col("diag") + a["i"])) == item_token, F.lit(False))
@@ -63,36 +83,47 @@ def _overlap() -> Column:
         run_at = F.when(fresh, a["i"]).otherwise(a["run_at"])
         hits = F.when(fresh, F.lit(0)).otherwise(a["hits"]) + same.cast("int")
         better = run > a["score"]
-        return F.struct((a["i"] + 1).alias("i"), run.alias("run"), run_at.alias("run_at"), hits.alias("hits"), F.when(better, run).otherwise(a["score"]).alias("score"), F.when(better, hits).otherwise(a["matches"]).alias("matches"), F.when(better, run_at).otherwise(a["from"]).alias("from"), F.when(better, a["i"] + 1).otherwise(a["to"]).alias("to"))
+        return F.struct((a["i"] + 1).alias("i"), (a["same"] + same.cast("int")).alias("same"), run.alias("run"), run_at.alias("run_at"), hits.alias("hits"), F.when(better, run).otherwise(a["score"]).alias("score"), F.when(better, hits).otherwise(a["matches"]).alias("matches"), F.when(better, run_at).otherwise(a["from"]).alias("from"), F.when(better, a["i"] + 1).otherwise(a["to"]).alias("to"))
 
     return F.aggregate(F.col("item_wh"), start, step)
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, min_score: int = 12, min_share: float = 0.6, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def _diagonals(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(doc_id, th, item_id, diag): the distinct diagonals that a seed hits."""
+    kinds = [r["n"] for r in items.select(F.least(F.size("wh"), F.lit(LONG)).alias("n")).distinct().collect()]  # LONG rows at most
+    own = [seeds(items.where(F.least(F.size("wh"), F.lit(LONG)) == n), list(masks_of(n))) for n in sorted(kinds)]
+    sought = written(reduce(DataFrame.unionByName, own).select("item_id", F.col("pos").alias("item_pos"), "h").distinct())
+    met = seeds(docs, sorted({m for n in kinds for m in masks_of(n)}))
+    few = sought.count() <= broadcast_rows
+    hits = met.join(F.broadcast(sought) if few else sought, "h")
+    return hits.select("doc_id", "th", "item_id", (F.col("pos") - F.col("item_pos")).alias("diag")).distinct()
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, min_score: int = 12, min_share: float = 0.6, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, score, matches, overlap, doc_from, item_from, item_tokens): the best overlap of each pair."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", token_hashes(F.col("text")).alias("wh")).where(F.size("wh") >= len(SHORT_MASK))
-    span = len(MASKS[0])
-    n_seeds, n_short = items.agg(F.coalesce(F.sum(F.size("wh")), F.lit(0)), F.count(F.when(F.size("wh") < span, 1))).first()
-    n_seeds *= len(MASKS)
-    hint = F.broadcast if n_seeds <= broadcast_seeds else (lambda df: df)
-    docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", token_hashes(F.col("text")).alias("wh"))
-    kinds = [(dict(enumerate(MASKS)), items.where(F.size("wh") >= span))]
-    if n_short:
-        kinds.append(({len(MASKS): SHORT_MASK}, items.where(F.size("wh") < span)))
-    found = []
-    for masks, own in kinds:
-        sought = seeds(own, masks).select("item_id", F.col("pos").alias("item_pos"), "h").distinct()
-        hits = seeds(docs, masks).join(hint(sought), "h").withColumn("diag", F.col("pos") - F.col("item_pos"))
-        whole = own.select("item_id", F.col("wh").alias("item_wh")).distinct()
-        best = hits.join(hint(whole), "item_id").withColumn("best", _overlap())
-        enough = F.least(F.lit(min_score), F.ceil(F.size("item_wh") * min_share))
-        found.append(best.where(F.col("best.score") >= enough).select("doc_id", "item_id", F.col("best.score").alias("score"), F.col("best.matches").alias("matches"), (F.col("best.to") - F.col("best.from")).alias("overlap"), (F.col("diag") + F.col("best.from")).alias("doc_from"), F.col("best.from").alias("item_from"), F.size("item_wh").alias("item_tokens")))
-    rows = reduce(DataFrame.unionByName, found)
+    return result(lambda: _leaks(documents, benchmark, min_score, min_share, broadcast_rows), documents.sparkSession)
+
+
+def _leaks(documents: DataFrame, benchmark: DataFrame, min_score: int, min_share: float, broadcast_rows: int) -> DataFrame:
+    items = written(benchmark.where(F.col("item_id").isNotNull()).select("item_id", token_hashes(F.col("text")).alias("wh")).where(F.size("wh") > 0).distinct())
+    docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), token_hashes(F.col("text")).alias("wh"))
+    found = "doc_id long, item_id long, score int, matches int, overlap int, doc_from int, item_from int, item_tokens int"
+    if items.isEmpty():
+        return documents.sparkSession.createDataFrame([], found)
+    hits = written(_diagonals(docs, items, broadcast_rows))
+    asked = hits.join(items.withColumnRenamed("wh", "item_wh"), "item_id")
+    few = 8 * hits.count() <= broadcast_rows  # a diagonal comes with its item
+    best = docs.join(F.broadcast(asked) if few else asked, ["doc_id", "th"]).withColumn("best", _overlap())
+    n = F.size("item_wh")
+    enough = F.col("best.score") >= F.least(F.lit(min_score), F.ceil(n * min_share))
+    held = F.when(n < SHORT, F.col("best.same") >= n - F.floor(n / 5)).otherwise(enough)
+    rows = best.where(held).select("doc_id", "item_id", F.col("best.score").alias("score"), F.col("best.matches").alias("matches"), (F.col("best.to") - F.col("best.from")).alias("overlap"), (F.col("diag") + F.col("best.from")).alias("doc_from"), F.col("best.from").alias("item_from"), n.alias("item_tokens"))
     first = F.max_by(F.struct("matches", "overlap", "doc_from", "item_from", "item_tokens"), F.struct("score", -F.col("doc_from"), -F.col("item_from")))
     return rows.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), first.alias("x")).select("doc_id", "item_id", "score", "x.*")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without those that hold a leak."""
-    bad = leaks(documents, benchmark, **options).select(F.col("doc_id").alias("__weft_bad")).distinct()
+def decontaminate(documents: DataFrame, benchmark: DataFrame, min_tokens: int = 5, **options) -> DataFrame:
+    """The documents without those that hold a leak of an item of ``min_tokens`` tokens or more."""
+    found = leaks(documents, benchmark, **options).where(F.col("item_tokens") >= min_tokens)
+    bad = found.select(F.col("doc_id").alias("__weft_bad")).distinct()
     return documents.join(bad, F.col("doc_id") == F.col("__weft_bad"), "left_anti")
