@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.responses import parse_response, run_counters, strip_marks
-from weftline.operators import conversations, packing, scene, tokens
+from weftline.operators import conversations, packing, tokens
 from weftline.plans.queries import ORACLE, QUERIES
 from weftline.sources import files
 
@@ -19,26 +19,26 @@ ROOM = {
 
 
 def _rows(frame, columns):
-    return sorted(tuple(round(float(v), 4) if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else None if v is None or v != v else v for v in r) for r in frame[columns].astype(object).values.tolist())
+    return sorted((tuple(round(float(v), 4) if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else None if v is None or v != v else v for v in r) for r in frame[columns].astype(object).values.tolist()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["chat_render", "label_mask_counts", "content_hash_match", "prefix_offsets", "unpack_positions", "length_index_percentile", "hash_split", "flagship"])
-def test_query_equals_sql(spark, name):
+@pytest.fixture(scope="module")
+def duck():
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations", "events", "embeddings", "benchmark"):
+    for t in ("documents", "labels", "conversations", "events", "embeddings", "benchmark", "lineitem", "orders", "supplier", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE[name]).fetchdf()
+    return con
+
+
+@pytest.mark.parametrize("name", ["chat_render", "label_mask_counts", "vision_tokens", "collate", "prefix_offsets", "unpack_positions", "length_index_percentile", "hash_split", "packed_lengths", "pack_gate", "prompt_records", "scene_objects", "scene_f1", "scene_params", "params_accuracy", "garment_metrics", "file_profile", "content_match", "samples", "run_counters", "saved_batches", "nearest_match", "flagship"])
+def test_query_equals_sql(spark, duck, name):
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLE[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert list(map(repr, _rows(got, sorted(got)))) == list(map(repr, _rows(want, sorted(got)))) or _rows(got, sorted(got)) == _rows(want, sorted(got))
 
 
-def test_every_vector_is_matched(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-    got, want = QUERIES["nearest_match_all"](spark, SF).toPandas(), con.execute(ORACLE["nearest_match_all"]).fetchdf()
-    assert _rows(got, ["q", "nearest"]) == _rows(want, ["q", "nearest"])
-    classes = con.execute("SELECT label, count(*) FROM embeddings GROUP BY 1").fetchall()
-    assert len(got) == sum(n for _, n in classes if n > 1)
+def test_every_query_is_held_against_something():
+    assert set(QUERIES) - set(ORACLE) == {"pack_ffd"}  # test_bins_are_those_of_plain_first_fit
 
 
 def test_conversations(spark):
@@ -76,16 +76,6 @@ def test_pack_and_unpack(spark):
     assert packing.first_fit([5, 5, 3, 3], 8) == [0, 1, 0, 1]
 
 
-def test_scene_scores(spark):
-    less = {k: v for k, v in ROOM.items() if k != "object_1"}
-    gt = spark.createDataFrame([(f, json.dumps(ROOM)) for f in "abc"], "file string, raw string")
-    pred = spark.createDataFrame([("a", json.dumps(ROOM)), ("b", json.dumps(less))], "file string, raw string")
-    got = {(r["file"], r["threshold"]): r for r in scene.evaluate(gt, pred, n=3).collect()}
-    assert got["a", 0.25]["f1"] == 1 and got["b", 0.25]["tp"] == 1 and abs(got["b", 0.25]["f1"] - 2 / 3) < 1e-9
-    assert got["c", 0.25]["status"] == "missing_pred" and got["c", 0.25]["fn"] == 2
-    assert scene.summary(scene.evaluate(gt, pred, n=1)).count() == 3
-
-
 def test_responses(spark):
     df = spark.createDataFrame([('{"a":1}',), ('<think>x</think>{"a":1}',), ("",), ('{"a":',), ('{"a":NaN}',)], "r string").withColumn("p", parse_response("r")).select("p.*")
     assert [(e or "").split(":")[0] for e in (r["error"] for r in df.collect())] == ["", "", "empty_response", "json_error", ""]

@@ -1,15 +1,18 @@
-"""First-fit-decreasing packing and its inverse.
+"""First-fit-decreasing packing and its inverse.
 
 Bins are assigned on (row_id, n_tokens) alone, within a batch, in one grouped map; the token
-arrays never enter Python and are gathered by bin afterwards.
+arrays never enter Python and are gathered by bin afterwards.  Batches bound what a task holds:
+``ranks.batches`` numbers rows of any table in batches of a fixed size.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.responses import blueprint_of, strip_marks
+
 
 def first_fit(lengths: list[int], capacity: int) -> list[int]:
     """For lengths in order of placement the bin of each; a tree over free room finds the first bin that fits."""
@@ -44,20 +47,62 @@ def assign_bins(rows: DataFrame, capacity: int) -> DataFrame:
     return rows.select("batch_id", "row_id", "n_tokens").groupBy("batch_id").applyInPandas(run, "batch_id long, row_id long, bin_id long, place long")
 
 
+#: Optional columns of the rows and their names in packed ones; arrays of the rows are laid end to end.
+FLAT = {"image_refs": "image_refs", "image_bases": "image_bases", "image_token_counts": "image_token_counts"}
+LISTED = {"has_image": "has_image", "image_ref": "image_refs", "image_base": "image_bases"}
+
+
 def pack(tokens: DataFrame, capacity: int) -> DataFrame:
-    """(batch_id, bin_id, input_ids, labels, sequence_lengths, n_tokens)."""
+    """(batch_id, bin_id, input_ids, labels, sequence_lengths, n_tokens), and the image columns of the rows, if any.
+
+    has_image, image_ref and image_base become arrays; image_refs, image_bases and
+    image_token_counts are concatenated, uncut, so no image is lost.
+    """
     rows = tokens.join(assign_bins(tokens, capacity), ["batch_id", "row_id"])
     cut = lambda c: F.slice(F.col(c), 1, capacity)
-    parts = F.array_sort(F.collect_list(F.struct("place", cut("input_ids").alias("ids"), cut("labels").alias("labels"))))
+    more = [c for c in (*LISTED, *FLAT) if c in tokens.columns]
+    parts = F.array_sort(F.collect_list(F.struct("place", cut("input_ids").alias("ids"), cut("labels").alias("labels"), *more)))
     out = rows.groupBy("batch_id", "bin_id").agg(parts.alias("p"))
-    out = out.select("batch_id", "bin_id", F.flatten("p.ids").alias("input_ids"), F.flatten("p.labels").alias("labels"), F.transform("p", lambda x: F.size(x["ids"])).alias("sequence_lengths"))
+    images = [F.col(f"p.{c}").alias(to) for c, to in LISTED.items() if c in more] + [F.flatten(F.filter(F.col(f"p.{c}"), lambda x: x.isNotNull())).alias(to) for c, to in FLAT.items() if c in more]
+    out = out.select("batch_id", "bin_id", F.flatten("p.ids").alias("input_ids"), F.flatten("p.labels").alias("labels"), F.transform("p", lambda x: F.size(x["ids"])).alias("sequence_lengths"), *images)
     return out.withColumn("n_tokens", F.size("input_ids"))
 
 
+def packed_if(tokens: DataFrame, packing: bool, capacity: int) -> DataFrame:
+    """The gate of the build: packed rows, or the rows as they are."""
+    return pack(tokens, capacity) if packing else tokens
+
+
+def first_label(labels: Column) -> Column:
+    """1-based place of the first label, 0 where all are -100."""
+    return F.array_position(F.transform(labels, lambda x: x != -100), True).cast("int")
+
+
 def unpack(packed: DataFrame) -> DataFrame:
     """One row a sub-sequence: (batch_id, bin_id, seg, id, input_ids, labels, prompt_ids, answer_ids)."""
     before = F.aggregate(F.slice("sequence_lengths", F.lit(1), F.col("seg")), F.lit(0), lambda a, n: a + n)
     rows = packed.select("*", F.posexplode("sequence_lengths").alias("seg", "n")).withColumn("at", before + 1)
     rows = rows.select("batch_id", "bin_id", "seg", F.format_string("arrow_%06d_seg%02d", "bin_id", "seg").alias("id"), F.slice("input_ids", F.col("at"), F.col("n")).alias("input_ids"), F.slice("labels", F.col("at"), F.col("n")).alias("labels"))
-    first = F.array_position(F.transform("labels", lambda x: x != -100), True).cast("int")
-    return rows.withColumn("_f", first).withColumns({"prompt_ids": F.when(F.col("_f") > 0, F.slice("input_ids", F.lit(1), F.col("_f") - 1)).otherwise(F.col("input_ids")), "answer_ids": F.when(F.col("_f") > 0, F.slice("input_ids", F.col("_f"), F.size("input_ids")))}).drop("_f")
+    rows = rows.withColumn("_f", first_label(F.col("labels")))
+    return rows.withColumns({"prompt_ids": F.when(F.col("_f") > 0, F.slice("input_ids", F.lit(1), F.col("_f") - 1)).otherwise(F.col("input_ids")), "answer_ids": F.when(F.col("_f") > 0, F.slice("input_ids", F.col("_f"), F.size("input_ids")))}).drop("_f")
+
+
+def prompt_records(packed: DataFrame, tokenizer, mode: str = "", offset: int = 0, count: int | None = None) -> DataFrame:
+    """(id, prompt, ground_truth, blueprint): the decoded sub-sequences that have a prompt, from ``offset`` on, ``count`` of them.
+
+    Numbers run over decodable sub-sequences in the order of batch, bin and segment.  ground_truth
+    is null without labels; blueprint is read from the prompt in that mode only.
+    """
+
+    @F.pandas_udf("string")
+    def text(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: None if x is None else tokenizer.decode(x))
+
+    rows = unpack(packed).withColumns({"prompt": strip_marks(text("prompt_ids")), "ground_truth": strip_marks(text("answer_ids"))})
+    rows = rows.where(F.length("prompt") > 0).withColumn("blueprint", blueprint_of(F.col("prompt")) if mode == "blueprint" else F.lit(None).cast("string"))
+    out = rows.select("batch_id", "bin_id", "seg", "id", "prompt", "ground_truth", "blueprint")
+    if offset or count is not None:
+        from weftline.operators.ranks import positions
+
+        out = positions(out, ["batch_id", "bin_id", "seg"], offset, 2**62 if count is None else offset + count)
+    return out.drop("batch_id", "bin_id", "seg")

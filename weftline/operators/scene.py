@@ -1,109 +1,322 @@
-"""Scene evaluation: objects, rigid transforms, greedy matching and scores."""
+"""Scene geometry and evaluation.
+
+A scene is a JSON object: ``blueprint.rooms`` with rings of corners, objects with class and
+spatial entries, and ``portal`` segments.  Every move of a scene is one affine map of the plane
+and one map of angles, which is applied to all of these at once.
+"""
 
 from __future__ import annotations
 
 import itertools
 import json
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators import params
+from weftline.operators.stats import ratio_columns
+
 ANGLES, MIRRORS = (0, 90, 180, 270), ("none", "horizontal", "vertical")
+NO_OBJECT = ("blueprint", "portal")
+
+
+def spatial_items(scene: dict) -> list[tuple[str, dict]]:
+    return [(k, v) for k, v in scene.items() if k not in NO_OBJECT and isinstance(v, dict) and isinstance(v.get("spatial"), dict)]
 
 
 def objects(scene: dict) -> list[tuple[str, str, list[float]]]:
-    """(id, class, location) in document order; blueprint and portal are no objects."""
-    return [(k, v["class"], list((v["spatial"] or {}).get("location") or [0, 0, 0])) for k, v in scene.items() if k not in ("blueprint", "portal") and isinstance(v, dict) and "class" in v and "spatial" in v]
+    """(id, class, location) in document order; what lacks a class or a place is no object."""
+    return [(k, v["class"], list(v["spatial"].get("location") or [0, 0, 0])) for k, v in spatial_items(scene) if "class" in v]
+
+
+def locations(scene: dict) -> list[list[float]]:
+    return [at for _, _, at in objects(scene)]
+
+
+def _rings(scene: dict):
+    for room in ((scene.get("blueprint") or {}).get("rooms") or {}).values():
+        shape = room.get("shape") or {}
+        yield from ((shape, i) for i in range(len(shape.get("coordinates") or [])))
 
 
 def points(scene: dict) -> np.ndarray:
     """All xy points: room corners, object places, portal ends."""
-    out = [p[:2] for room in ((scene.get("blueprint") or {}).get("rooms") or {}).values() for ring in room.get("shape", {}).get("coordinates", []) for p in ring]
-    out += [at[:2] for _, _, at in objects(scene)]
-    out += [p[:2] for portal in scene.get("portal") or [] for p in portal.get("seg", [])]
+    out = [p[:2] for shape, i in _rings(scene) for p in shape["coordinates"][i] if len(p) >= 2]
+    out += [at[:2] for v in (v["spatial"].get("location") or [0, 0, 0] for _, v in spatial_items(scene)) if len(at := v) >= 2]
+    out += [p[:2] for portal in scene.get("portal") or [] for p in portal.get("seg") or [] if len(p) >= 2]
     return np.array(out, float).reshape(-1, 2)
 
 
+@dataclass(frozen=True)
+class Move:
+    """p -> matrix p + shift, and an object's angle a -> sign a + turn."""
+
+    matrix: np.ndarray
+    shift: np.ndarray
+    sign: float = 1.0
+    turn: float = 0.0
+
+    def __call__(self, xy: np.ndarray) -> np.ndarray:
+        return xy @ self.matrix.T + self.shift
+
+
+STAY = Move(np.eye(2), np.zeros(2))
+
+
+def _centre(xy: np.ndarray) -> np.ndarray:
+    return (xy.min(0) + xy.max(0)) / 2 if len(xy) else np.zeros(2)
+
+
+def turned(xy: np.ndarray, degrees: float) -> Move:
+    """Rotation about the centre of the bounding box of these points; 0 degrees leaves all as it is."""
+    if not degrees or not len(xy):
+        return STAY
+    a, c = math.radians(degrees), _centre(xy)
+    m = np.array([[math.cos(a), -math.sin(a)], [math.sin(a), math.cos(a)]])
+    return Move(m, c - m @ c, 1.0, a)
+
+
+def mirrored(xy: np.ndarray, kind: str) -> Move:
+    """Reflection about the centre: horizontal negates x, vertical y."""
+    if kind not in MIRRORS:
+        raise ValueError(f"unknown mirror {kind!r}; known: {', '.join(MIRRORS)}")
+    if kind == "none" or not len(xy):
+        return STAY
+    x = kind == "horizontal"
+    m = np.diag([-1.0, 1.0] if x else [1.0, -1.0])
+    c = _centre(xy)
+    return Move(m, c - m @ c, -1.0, math.pi if x else 0.0)
+
+
+def to_origin(xy: np.ndarray) -> Move:
+    """Translation that brings the least x and y to 0."""
+    return Move(np.eye(2), -xy.min(0)) if len(xy) else STAY
+
+
+def offset(dx: float, dy: float) -> Move:
+    return Move(np.eye(2), np.array([dx, dy]))
+
+
+def moved(scene: dict, move: Move) -> dict:
+    """A copy of the scene with rooms, objects and portals moved."""
+    out = json.loads(json.dumps(scene))
+    one = lambda p: [*map(float, move(np.array(p[:2], float))), *p[2:]] if len(p) >= 2 else p
+    for shape, i in _rings(out):
+        shape["coordinates"][i] = [one(p)[:2] for p in shape["coordinates"][i]]
+    angle = (lambda a: move.sign * a + move.turn) if move.sign != 1 or move.turn else (lambda a: a)
+    for _, v in spatial_items(out):
+        spatial = v["spatial"]
+        spatial["location"] = one(spatial.get("location") or [0, 0, 0])
+        rotation = spatial.get("rotation") or [0, 0, 0]
+        if len(rotation) >= 3:
+            spatial["rotation"] = [*rotation[:2], angle(rotation[2])]
+    for portal in out.get("portal") or []:
+        if "seg" in portal:
+            portal["seg"] = [one(p)[:2] for p in portal["seg"]]
+        if "rot" in portal:
+            portal["rot"] = angle(portal["rot"])
+    return out
+
+
 def placed(scene: dict, angle: int = 0, mirror: str = "none") -> tuple[list[str], np.ndarray]:
-    """Classes and xy of the objects after turning about the bounding box's centre, mirroring and moving its corner to 0."""
+    """Classes and xy of the objects after turning, mirroring and moving the corner of all points to 0."""
     xy, all_ = np.array([o[2][:2] for o in objects(scene)], float).reshape(-1, 2), points(scene)
-    if len(all_):
-        centre = (all_.min(0) + all_.max(0)) / 2
-        c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
-        turn = np.array([[c, s], [-s, c]])
-        flip = np.array([-1.0 if mirror == "horizontal" else 1.0, -1.0 if mirror == "vertical" else 1.0])
-        move = lambda p: ((p - centre) @ turn if angle else p - centre) * flip
+    for step in (lambda p: turned(p, angle), lambda p: mirrored(p, mirror), to_origin):
+        move = step(all_)
         all_, xy = move(all_), move(xy)
-        xy = xy - all_.min(0)
     return [o[1] for o in objects(scene)], xy
 
 
-def match(gt: tuple, pred: tuple, offset: tuple[float, float], threshold: float) -> list[tuple[int, int]]:
-    """Greedy pairs: each truth in order takes its nearest free prediction of its class, strictly within the threshold."""
+def transform(scenes: DataFrame, angle: float = 0, mirror: str = "none", origin: bool = False, dx: float = 0.0, dy: float = 0.0) -> DataFrame:
+    """The scenes with ``raw`` turned, mirrored, moved to the origin and shifted, in this order; null where it is no scene."""
+    if mirror not in MIRRORS:
+        raise ValueError(f"unknown mirror {mirror!r}; known: {', '.join(MIRRORS)}")
+
+    def one(text):
+        try:
+            scene = json.loads(text)
+            for step in (lambda p: turned(p, angle), lambda p: mirrored(p, mirror), to_origin if origin else lambda p: STAY, lambda p: offset(dx, dy)):
+                scene = moved(scene, step(points(scene)))
+            return json.dumps(scene, ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, TypeError, AttributeError):
+            return None
+
+    @F.pandas_udf("string")
+    def run(raw: pd.Series) -> pd.Series:
+        return raw.map(one)
+
+    return scenes.withColumn("raw", run("raw"))
+
+
+def object_table(scenes: DataFrame, key: str = "file") -> DataFrame:
+    """(file, pos, id, class, location): the objects of each scene in document order, read by the JVM's JSON parser.
+
+    Malformed scenes have none.
+    """
+    items = F.from_json("raw", "map<string,string>")
+    rows = scenes.select(F.col(key), F.posexplode(F.map_entries(items)).alias("pos", "x"))
+    spatial = F.get_json_object("x.value", "$.spatial")
+    rows = rows.where(~F.col("x.key").isin(*NO_OBJECT) & F.get_json_object("x.value", "$.class").isNotNull() & spatial.startswith("{"))
+    at = F.coalesce(F.from_json(F.get_json_object("x.value", "$.spatial.location"), "array<double>"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    return rows.select(key, "pos", F.col("x.key").alias("id"), F.get_json_object("x.value", "$.class").alias("class"), at.alias("location"))
+
+
+def object_lookup(scenes: DataFrame, wanted: DataFrame, key: str = "file") -> DataFrame:
+    """(file, id, object): the whole JSON of objects asked for by (file, id); null where there is none (P10)."""
+    found = scenes.select(key, F.explode(F.from_json("raw", "map<string,string>")).alias("id", "object"))
+    return wanted.join(found, [key, "id"], "left")
+
+
+def bounds(scenes: DataFrame, key: str = "file") -> DataFrame:
+    """(file, min_x, max_x, min_y, max_y, centre_x, centre_y) over all points of a scene; nulls where it has none."""
+
+    def run(batches):
+        for part in batches:
+            out = []
+            for name, raw in zip(part[key], part["raw"], strict=True):
+                try:
+                    xy = points(json.loads(raw))
+                except (ValueError, TypeError, AttributeError):
+                    xy = np.zeros((0, 2))
+                out.append((name, *(map(float, (*np.array([xy.min(0), xy.max(0)]).T.ravel(), *_centre(xy))) if len(xy) else [None] * 6)))
+            yield pd.DataFrame(out, columns=[key, "min_x", "max_x", "min_y", "max_y", "centre_x", "centre_y"])
+
+    kind = scenes.schema[key].dataType.simpleString()
+    return scenes.select(key, "raw").mapInPandas(run, f"{key} {kind}, min_x double, max_x double, min_y double, max_y double, centre_x double, centre_y double")
+
+
+def grid(n: int, reach: float) -> np.ndarray:
+    return np.zeros(1) if n == 1 else -reach + 2 * reach * np.arange(n) / (n - 1)
+
+
+def match_counts(gt: tuple, pred: tuple, offsets: np.ndarray, thresholds) -> np.ndarray:
+    """Greedy matches for every threshold and offset, thresholds x offsets.
+
+    Each truth in document order takes its nearest free prediction of its class, strictly within
+    the threshold; the first of equals.  All offsets go through the greedy steps together.
+    """
+    out = np.zeros((len(thresholds), len(offsets)), np.int64)
+    kinds, truth = np.array(gt[0], object), np.asarray(gt[1], float)
+    own_kinds = np.array(pred[0], object)
+    for kind in dict.fromkeys(gt[0]):
+        own = np.asarray(pred[1], float)[own_kinds == kind] if len(own_kinds) else np.zeros((0, 2))
+        if not len(own):
+            continue
+        used = np.zeros((len(thresholds), len(offsets), len(own)), bool)
+        for at in truth[kinds == kind]:
+            d = own[None] + offsets[:, None] - at
+            d = np.sqrt(d[..., 0] ** 2 + d[..., 1] ** 2)
+            for k, t in enumerate(thresholds):
+                free = np.where(used[k], np.inf, d)
+                j = free.argmin(1)
+                hit = np.flatnonzero(free[np.arange(len(j)), j] < t)
+                used[k, hit, j[hit]] = True
+                out[k, hit] += 1
+    return out
+
+
+def match(gt: tuple, pred: tuple, shift=(0.0, 0.0), threshold: float = 0.5) -> list[tuple[int, int]]:
+    """The pairs (truth, prediction) of one offset and threshold."""
     used: set[int] = set()
     out = []
     for i, (kind, at) in enumerate(zip(*gt, strict=True)):
-        near = sorted((math.sqrt((x + offset[0] - at[0]) ** 2 + (y + offset[1] - at[1]) ** 2), j) for j, (k, (x, y)) in enumerate(zip(*pred, strict=True)) if k == kind)
-        for d, j in near:
-            if d >= threshold:
-                break
-            if j not in used:
-                used.add(j)
-                out.append((i, j))
-                break
+        near = [(math.sqrt((x + shift[0] - at[0]) ** 2 + (y + shift[1] - at[1]) ** 2), j) for j, (k, (x, y)) in enumerate(zip(*pred, strict=True)) if k == kind and j not in used]
+        if near and min(near)[0] < threshold:
+            used.add(min(near)[1])
+            out.append((i, min(near)[1]))
     return out
 
 
-def ratios(tp: int, fp: int, fn: int) -> tuple[float, float, float]:
-    p, r = tp / (tp + fp) if tp + fp else 0.0, tp / (tp + fn) if tp + fn else 0.0
-    return p, r, 2 * p * r / (p + r) if p + r else 0.0
+def main_threshold(thresholds) -> float:
+    return 0.5 if 0.5 in thresholds else thresholds[len(thresholds) // 2]
 
 
-def grid(n: int, reach: float) -> list[float]:
-    return [0.0] if n == 1 else [-reach + 2 * reach * i / (n - 1) for i in range(n)]
+def _ratios(tp, n_pred: int, n_gt: int) -> tuple:
+    p, r = (tp / n if n else np.zeros_like(tp, float) for n in (n_pred, n_gt))
+    both = p + r
+    return p, r, np.divide(2 * p * r, both, out=np.zeros_like(both), where=both > 0)
 
 
-def best_scores(gt: dict, pred: dict, thresholds=(0.1, 0.25, 0.5), n: int = 5, reach: float = 0.5) -> dict[float, tuple]:
-    """For each threshold the best (f1, precision, recall, tp, fp, fn) over transforms and offsets; the earliest of equals."""
+def best_scores(gt: dict, pred: dict, thresholds, n: int, reach: float) -> list[dict]:
+    """For each threshold the best score over transforms and offsets; the earliest of equals (angle, mirror, x, y)."""
     truth = placed(gt)
-    best = {t: (-1.0,) for t in thresholds}
+    line = grid(n, reach)
+    offsets = np.stack(np.meshgrid(line, line, indexing="ij"), -1).reshape(-1, 2)
+    best = [{"f1": -1.0} for _ in thresholds]
     for angle, mirror in itertools.product(ANGLES, MIRRORS):
         own = placed(pred, angle, mirror)
-        for offset in itertools.product(grid(n, reach), repeat=2):
-            for t in thresholds:
-                tp = len(match(truth, own, offset, t))
-                fp, fn = len(own[0]) - tp, len(truth[0]) - tp
-                p, r, f1 = ratios(tp, fp, fn)
-                if f1 > best[t][0]:
-                    best[t] = (f1, p, r, tp, fp, fn)
+        counts = match_counts(truth, own, offsets, thresholds)
+        for k, tp in enumerate(counts):
+            p, r, f1 = _ratios(tp.astype(float), len(own[0]), len(truth[0]))
+            at = int(f1.argmax())
+            if f1[at] > best[k]["f1"]:
+                best[k] = {"f1": float(f1[at]), "precision": float(p[at]), "recall": float(r[at]), "tp": int(tp[at]), "fp": len(own[0]) - int(tp[at]), "fn": len(truth[0]) - int(tp[at]), "angle": angle, "mirror": mirror, "dx": float(offsets[at, 0]), "dy": float(offsets[at, 1])}
     return best
 
 
-def evaluate(truths: DataFrame, predictions: DataFrame, thresholds=(0.1, 0.25, 0.5), n: int = 5, reach: float = 0.5) -> DataFrame:
-    """(file, threshold, status, f1, precision, recall, tp, fp, fn); scenes without a prediction count their objects as missed."""
-    rows = truths.select("file", F.col("raw").alias("gt")).join(predictions.select("file", F.col("raw").alias("pred")), "file", "left")
+def matched_pairs(gt: dict, pred: dict, score: dict, threshold: float) -> list[tuple]:
+    """(class, truth's params, prediction's params) of the pairs behind a score."""
+    pairs = match(placed(gt), placed(pred, score["angle"], score["mirror"]), (score["dx"], score["dy"]), threshold)
+    ids, own = [o[0] for o in objects(gt)], [o[0] for o in objects(pred)]
+    text = lambda scene, k: json.dumps(scene[k].get("params") or {}, ensure_ascii=False)
+    return [(gt[ids[i]]["class"], text(gt, ids[i]), text(pred, own[j])) for i, j in pairs]
+
+
+SCORES = "file string, threshold double, main boolean, status string, f1 double, precision double, recall double, tp long, fp long, fn long, angle int, mirror string, dx double, dy double, n_gt long, pairs array<struct<class:string,gt:string,pred:string>>"
+
+
+def evaluate(truths: DataFrame, predictions: DataFrame, thresholds=(0.1, 0.25, 0.5), n: int = 100, reach: float = 0.5) -> DataFrame:
+    """The best score of each scene and threshold, over 12 transforms and n x n offsets; ``pairs`` at the main threshold.
+
+    truths, predictions: (file, raw).  status: ok, missing_pred, or error (malformed); only ok has scores.
+    Predictions without a truth are left out; repeated files are scored each.
+    """
+    rows = truths.select("file", F.col("raw").alias("gt"), F.lit(True).alias("_t")).join(predictions.select("file", F.col("raw").alias("pred"), F.lit(True).alias("_p")), "file", "left")
+    main = main_threshold(thresholds)
+    columns = [c.split()[0] for c in SCORES.split(", ")[:-1]] + ["pairs"]
 
     def run(batches):
         for part in batches:
             out = []
-            for file, gt, pred in part[["file", "gt", "pred"]].itertuples(index=False):
+            for file, gt, pred, there in zip(part["file"], part["gt"], part["pred"], part["_p"], strict=True):
+                status, got, n_gt, pairs = "ok" if there is True or there == 1 else "missing_pred", [{} for _ in thresholds], None, None
                 try:
                     gt = json.loads(gt)
-                    status = "ok" if pred is not None else "missing_pred"
-                    got = best_scores(gt, json.loads(pred) if pred is not None else {}, thresholds, n, reach)
+                    n_gt = len(objects(gt))
+                    if status == "ok":
+                        pred = json.loads(pred)
+                        got = best_scores(gt, pred, thresholds, n, reach)
+                        pairs = matched_pairs(gt, pred, got[list(thresholds).index(main)], main)
                 except (ValueError, TypeError, KeyError, AttributeError):
-                    status, got = "error", {t: (0.0, 0.0, 0.0, 0, 0, 0) for t in thresholds}
-                out += [(file, t, status, *got[t]) for t in thresholds]
-            yield pd.DataFrame(out, columns=["file", "threshold", "status", "f1", "precision", "recall", "tp", "fp", "fn"])
+                    status, got, pairs = "error", [{} for _ in thresholds], None
+                out += [{"file": file, "threshold": t, "main": t == main, "status": status, "n_gt": n_gt, "pairs": pairs if t == main else None} | s for t, s in zip(thresholds, got, strict=True)]
+            yield pd.DataFrame(out, columns=columns).astype(dict.fromkeys(("tp", "fp", "fn", "n_gt"), "Int64") | {"angle": "Int32"})
+
+    return rows.mapInPandas(run, SCORES)
+
+
+def summary(scores: DataFrame, missing_as_misses: bool = False) -> DataFrame:
+    """Macro means and micro ratios for each threshold, with the numbers of scenes by status.
+
+    Over the scenes that were scored; with ``missing_as_misses`` those without a valid prediction
+    count as well, with score 0 and all their objects missed.
+    """
+    ok = F.col("status") == "ok"
+    counted = scores.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("f1", "precision", "recall", "tp", "fp")}).withColumn("fn", F.coalesce("fn", "n_gt", F.lit(0))) if missing_as_misses else scores
+    own = (lambda c: F.col(c)) if missing_as_misses else (lambda c: F.when(ok, F.col(c)))
+    by = counted.groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.count_if(F.col("status") == "missing_pred").alias("n_missing"), F.count_if(F.col("status") == "error").alias("n_error"), *[F.avg(own(c)).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], *[F.coalesce(F.sum(own(c)), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    return by.withColumns(ratio_columns(F.col("tp"), F.col("fp"), F.col("fn"), "micro_"))
+
 
-    return rows.mapInPandas(run, "file string, threshold double, status string, f1 double, precision double, recall double, tp long, fp long, fn long")
+def over_thresholds(summed: DataFrame) -> DataFrame:
+    """One row: the means of the micro figures over the thresholds."""
+    return summed.agg(*[F.avg(f"micro_{c}").alias(f"mean_{c}") for c in ("precision", "recall", "f1")])
 
 
-def summary(scores: DataFrame) -> DataFrame:
-    """Macro means and micro ratios for each threshold."""
-    s = scores.groupBy("threshold").agg(F.count("*").alias("n"), F.avg("f1").alias("macro_f1"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    p, r = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0))
-    return s.withColumns({"micro_precision": p, "micro_recall": r}).withColumn("micro_f1", F.coalesce(F.try_divide(2 * F.col("micro_precision") * F.col("micro_recall"), F.col("micro_precision") + F.col("micro_recall")), F.lit(0.0)))
+def matched_params(scores: DataFrame) -> DataFrame:
+    """Parameter sums of the matched objects, by class and kind of value and in total."""
+    return params.compare(scores.where("main").select(F.explode("pairs").alias("x")).select("x.*"))

@@ -1,9 +1,8 @@
-"""Tokenizing, label masks, length rules, padding and position ids."""
+"""Tokenizers, label masks, length rules, padding and position ids."""
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,17 +10,118 @@ from pyspark.sql import functions as F
 
 IGNORE = -100
 START, STOP = "<|im_start|>", "<|im_end|>"
+#: Fixed marks of the chat form, each one token behind the vocabulary.
+SPECIALS = (START, STOP, "<|vision_start|>", "<|vision_end|>", "<|image_pad|>", "<|endoftext|>")
+_MARK = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
 
 
-class WordTokenizer:
-    """Deterministic built-in tokenizer: special marks are single ids, then words, blanks and signs by hash."""
+class Tokenizer:
+    """Plain text by the subclass, chat marks as single ids from ``size`` on; pickled to the workers by its file name."""
 
-    specials = {START: 0, STOP: 1, "<|vision_start|>": 2, "<|vision_end|>": 3, "<|image_pad|>": 4, "<|endoftext|>": 5}
-    size = 1 << 20
-    pattern = re.compile(r"<\|[a-z_]+\|>|\w+|\s+|[^\w\s]")
+    size = 0
+    eos, pad = "<|endoftext|>", None
+
+    def plain(self, text: str) -> list[int]:
+        raise NotImplementedError
+
+    def text(self, ids: list[int]) -> str:
+        raise NotImplementedError
+
+    def special(self, mark: str) -> int:
+        return self.size + SPECIALS.index(mark)
+
+    @property
+    def pad_id(self) -> int:
+        """The padding id; that of the end mark where no padding mark is set."""
+        return self.special(self.pad or self.eos)
 
     def encode(self, text: str) -> list[int]:
-        return [self.specials[x] if x in self.specials else 16 + zlib.crc32(x.encode()) % self.size for x in self.pattern.findall(text)]
+        out: list[int] = []
+        for part in _MARK.split(text):
+            out += [self.special(part)] if part in SPECIALS else self.plain(part) if part else []
+        return out
+
+    def decode(self, ids, skip_marks: bool = False) -> str:
+        out, run = [], []
+        for i in [*ids, None]:
+            if i is not None and i < self.size:
+                run.append(int(i))
+                continue
+            out.append(self.text(run) if run else "")
+            run = []
+            if i is not None and not skip_marks and i - self.size < len(SPECIALS):
+                out.append(SPECIALS[i - self.size])
+        return "".join(out)
+
+
+class ByteTokenizer(Tokenizer):
+    """The built-in one: a token for each UTF-8 byte, so that nothing is lost and lengths can be told from the text."""
+
+    size = 256
+
+    def plain(self, text: str) -> list[int]:
+        return list(text.encode())
+
+    def text(self, ids: list[int]) -> str:
+        return bytes(ids).decode(errors="replace")
+
+
+class FileTokenizer(Tokenizer):
+    """A public vocabulary file: .json (tokenizers), .tiktoken or .model (sentencepiece); read once in each worker.
+
+    pattern: the splitting pattern that a .tiktoken file goes with.
+    """
+
+    def __init__(self, path: str, pattern: str = r"\S+|\s+"):
+        self.path, self.pattern, self._held = path, pattern, None
+        self.size = self._size()
+
+    def __getstate__(self):
+        return self.__dict__ | {"_held": None}
+
+    @property
+    def held(self):
+        if self._held is None:
+            self._held = self._load()
+        return self._held
+
+    def _load(self):
+        if self.path.endswith(".json"):
+            from tokenizers import Tokenizer as Own
+
+            out = Own.from_file(self.path)
+            out.encode_special_tokens = True
+            return out
+        if self.path.endswith(".tiktoken"):
+            import base64
+
+            import tiktoken
+
+            with open(self.path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            return tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        if self.path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            return SentencePieceProcessor(model_file=self.path)
+        raise ValueError(f"unknown vocabulary file {self.path!r}; known: .json, .tiktoken, .model")
+
+    def _size(self) -> int:
+        own = self.held
+        return own.get_vocab_size() if self.path.endswith(".json") else own.n_vocab if self.path.endswith(".tiktoken") else own.get_piece_size()
+
+    def plain(self, text: str) -> list[int]:
+        if self.path.endswith(".json"):
+            return self.held.encode(text, add_special_tokens=False).ids
+        return self.held.encode_ordinary(text) if self.path.endswith(".tiktoken") else self.held.encode(text)
+
+    def text(self, ids: list[int]) -> str:
+        return self.held.decode(ids)
+
+
+def load_tokenizer(path: str | None = None, **options) -> Tokenizer:
+    """The tokenizer of a vocabulary file, or the built-in one."""
+    return FileTokenizer(path, **options) if path else ByteTokenizer()
 
 
 def turn_text(role: str, content: str) -> str:
@@ -29,11 +129,12 @@ def turn_text(role: str, content: str) -> str:
 
 
 def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, all_roles: bool = False) -> DataFrame:
-    """Adds input_ids, labels and n_tokens from ``messages``; rows beyond ``max_length`` go.
+    """Adds input_ids, labels and n_tokens from ``messages``; rows beyond ``max_length`` go, and empty ones.
 
-    Labels are the ids of assistant turns (``all_roles``: of every turn but the user's) and -100 elsewhere.
+    Labels are the ids of assistant turns (``all_roles``: of every turn but the user's) and -100
+    elsewhere.  A turn ends in marks that are tokens by themselves, so turns are encoded one by one.
     """
-    tok = tokenizer or WordTokenizer()
+    tok = tokenizer or ByteTokenizer()
 
     @F.pandas_udf("input_ids array<int>, labels array<int>")
     def run(messages: pd.Series) -> pd.DataFrame:
@@ -51,6 +152,24 @@ def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, all_role
     return length_filter(rows.withColumn("n_tokens", F.size("input_ids")), 1, max_length)
 
 
+def tokenize_mode(conversations: DataFrame, mode: str, max_length: int, tokenizer=None, **vision) -> DataFrame:
+    """Tokens by mode: with images for panorama and multi-view modes, else text alone."""
+    from weftline.operators import conversations as known
+    from weftline.operators import vision as images
+
+    if mode not in known.MODES:
+        raise ValueError(f"unknown mode {mode!r}; known: {', '.join(known.MODES)}")
+    if mode == "panorama" or mode in known.MULTI_VIEW:
+        return images.tokenize(conversations, max_length, tokenizer, **vision)
+    return tokenize(conversations, max_length, tokenizer)
+
+
+def discarded(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: rows before and after a filter, and those discarded."""
+    n = before.agg(F.count("*").alias("before")).crossJoin(after.agg(F.count("*").alias("after")))  # one row each
+    return n.withColumn("discarded", F.col("before") - F.col("after"))
+
+
 def length_filter(tokens: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
     """Both ends belong to the range; works on the stored ``n_tokens``, so it reaches the scan."""
     kept = tokens.where(F.col("n_tokens") >= least)
@@ -67,6 +186,33 @@ def padded(column: Column, to: Column, fill: int) -> Column:
     return F.concat(cut, F.array_repeat(F.lit(fill), to - F.size(cut)))
 
 
+def collate(rows: DataFrame, batch_size: int, pad_id: int, order: list[str], max_length: int | None = None, fixed: bool = False) -> DataFrame:
+    """Adds batch_id and attention_mask, and pads input_ids and labels to the longest of the batch (or to max_length if ``fixed``).
+
+    Longer rows are cut to ``max_length``.
+    """
+    from weftline.operators.ranks import batches
+
+    cut = (lambda c: F.slice(c, F.lit(1), F.lit(max_length))) if max_length else F.col
+    held = batches(rows, batch_size, order).withColumns({"input_ids": cut("input_ids"), "labels": cut("labels")})
+    longest = held.groupBy("batch_id").agg(F.lit(max_length).alias("_to") if fixed and max_length else F.max(F.size("input_ids")).alias("_to"))
+    held = held.join(longest, "batch_id").withColumn("_n", F.size("input_ids"))
+    mask = F.concat(F.array_repeat(F.lit(1), F.col("_n")), F.array_repeat(F.lit(0), F.col("_to") - F.col("_n")))
+    out = held.withColumns({"attention_mask": mask, "input_ids": padded(F.col("input_ids"), F.col("_to"), pad_id), "labels": padded(F.col("labels"), F.col("_to"), IGNORE)})
+    return out.drop("_n", "_to")
+
+
+def decoded(rows: DataFrame, tokenizer=None) -> DataFrame:
+    """Adds ``text`` (decoded input_ids) and ``label_text`` (decoded labels without -100)."""
+    tok = tokenizer or ByteTokenizer()
+
+    @F.pandas_udf("string")
+    def run(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: None if x is None else tok.decode(x))
+
+    return rows.withColumns({"text": run("input_ids"), "label_text": run(F.filter("labels", lambda x: x != IGNORE))})
+
+
 def position_ids(lengths: Column, to: Column) -> Column:
     """Positions that start anew at each sub-sequence and in the padding, cut at ``to``."""
     total = F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
