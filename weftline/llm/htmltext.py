@@ -11,8 +11,8 @@ shares in the weight of the container around it.  Then, per path:
   that is not in links, times ``ROLE_WEIGHT`` if a role word of it or above it names a menu,
   header, footer, sidebar, notice, advert, form or comment.
 
-The container is the deepest prefix that holds most of the fused weight (an article or main
-element, where the page has one, stands for it).  Within it a path is content if its fused
+The container is the deepest prefix that holds most of the fused weight, to which blocks in an
+article or main element add by half as a prior.  Within it a path is content if its fused
 value reaches ``threshold`` of the mean, with or without an article.  Beside such paths, in the
 same parent, headings and short text elements (``FLOW``) without role words are admitted unless
 half of their text is in links.  Elements that by their tag are no content, and hidden ones,
@@ -50,6 +50,8 @@ BOILERPLATE_ROLES = frozenset(
 )
 #: What a role word leaves of the fused value.
 ROLE_WEIGHT = 0.25
+#: What an article or main element adds to the weight of its blocks, and the share of all weight that a container holds.
+ARTICLE_WEIGHT, CONTAINER_SHARE = 1.5, 0.6
 CLOSED_BY_BLOCK = frozenset("p".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 PUNCTUATION = frozenset(",.;:!?…、。，！？،؟।¿¡")
@@ -168,20 +170,16 @@ def _fused(blocks: list[Block], texts: list[str]) -> list[float]:
 def _container(blocks: list[Block], fused: list[float]) -> tuple:
     """The path prefix that stands for the article."""
     weight: dict = defaultdict(float)
-    named: dict = defaultdict(float)
     total = 0.0
     for b, f in zip(blocks, fused, strict=True):
         if b.bad:
             continue
+        if any(_tag(x) in ("article", "main") for x in b.path):
+            f *= ARTICLE_WEIGHT
         total += f
         for n in range(len(b.path)):
             weight[b.path[:n]] += f
-            if re.match(r"(article|main)\b", b.path[n]):
-                named[b.path[: n + 1]] += f
-                break
-    if named:
-        return max(named, key=lambda p: (named[p], -len(p)))
-    return max((p for p in weight if weight[p] >= 0.6 * total), key=len, default=())
+    return max((p for p in weight if weight[p] >= CONTAINER_SHARE * total), key=len, default=())
 
 
 def _tag(label: str) -> str:
