@@ -1,79 +1,16 @@
-"""Session helpers: shared scratch tables and Arrow batch sizes."""
+"""Session helpers: Arrow batch sizes, id remainders, and the shared scratch tables under their names here."""
 
 from __future__ import annotations
 
 import os
-import re
-import tempfile
-import uuid
 import zlib
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.scratch import result, scope, scratch, written
 
-_scopes: list[list[str]] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir, deleted when the session's JVM ends.
-
-    Where that is unset, a local session makes itself a temporary folder; on a cluster, whose
-    executors would each write to their own disk, it is an error.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not top:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/weftline-{uuid.uuid4().hex}"
-    at, files = _file(spark, path)
-    files.deleteOnExit(at)
-    for scope in _scopes[-1:]:
-        scope.append(path)
-    return path
-
-
-def _file(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[list[str]]:
-    """Deletes at its end the scratch tables made within, so that a long session does not gather them."""
-    _scopes.append(made := [])
-    try:
-        yield made
-    finally:
-        _scopes.pop()
-        for path in made:
-            at, files = _file(spark, path)
-            files.delete(at, True)
-
-
-def result(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
-    """The rows of ``make()`` as one written table; what was written on the way is deleted."""
-    with scope(spark) as made:
-        out, path = _written(make())
-        made.remove(path)
-    for outer in _scopes[-1:]:
-        outer.append(path)
-    return out
-
-
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes the rows to the shared folder and reads them back."""
-    return _written(df)[0]
+__all__ = ["arrow_batches", "remainder", "remainder_py", "result", "scope", "scratch", "table", "written"]
 
 
 def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
