@@ -1,8 +1,9 @@
 """Exact top-k search by distributed histogram selection.
 
 Every candidate is scored against every query with integer inner products.  The candidates'
-partitions send histograms of their scores, not the scores; the summed histogram of a query
-shows in which bin its k-th highest score lies, and the next pass divides that bin alone.
+partitions send histograms of their scores, not the scores; the histograms are summed and the
+bin that holds a query's k-th highest score is found on the executors, so the driver gets one
+row a query, and the next pass divides that bin alone.
 When the bins are single values, the k-th score is known exactly, and a last pass keeps the
 candidates that reach it.  Ties at the k-th score are settled towards smaller ids, first
 within each task, so that a query never gets more than k rows from one task.
@@ -28,8 +29,10 @@ from weftline.llm._spark import arrow_batches, written
 
 #: A pass broadcasts so many bytes of query vectors at most; more queries take more passes.
 QUERY_BYTES = 8 << 20
-#: Candidates scored at a time, and bins that a pass divides a range into.
-BLOCK, BINS = 2048, 256
+#: Scores held at a time (queries times candidates), and bins that a pass divides a range into.
+SCORES, BINS = 1 << 20, 256
+#: Rows of a histogram that a task gives out at a time.
+GIVEN = 1 << 18
 LOW, HIGH = -(2**63), 2**63 - 1
 
 
@@ -58,15 +61,16 @@ def clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], dim: int, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], queries: np.ndarray, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    dim, block = queries.shape[1], max(1, SCORES // len(queries))
     for batch in batches:
         ids, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
         flat = v.flatten().to_numpy(zero_copy_only=False)
         lengths = np.diff(np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1])
         first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         own = np.flatnonzero(lengths == dim)
-        for at in range(0, len(own), BLOCK):
-            rows = own[at : at + BLOCK]
+        for at in range(0, len(own), block):
+            rows = own[at : at + block]
             yield ids[rows], integer_matrix(flat[first[rows][:, None] + np.arange(dim)], scale)
 
 
@@ -80,14 +84,16 @@ def _histogram(held, scale: int):
     def run(batches):
         ids, vectors, low, high, width = held.value
         n = np.zeros((len(ids), BINS), np.int64)
-        for own, block in _blocks(batches, vectors.shape[1], scale):
+        for own, block in _blocks(batches, vectors, scale):
             score = inner(vectors, block)
             at = (score.astype(object) - low[:, None]) // width[:, None] if low.dtype == object else (score - low[:, None]) // width[:, None]
             inside = (score >= low[:, None]) & (score <= high[:, None]) & (own[None, :] != ids[:, None])
             q, c = np.nonzero(inside)
             n += np.bincount(q * BINS + at[q, c].astype(np.int64), minlength=n.size).reshape(n.shape)
-        q, b = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(b.astype(np.int32)), pa.array(n[q, b])], ["q", "bin", "n"])
+        for first in range(0, len(ids), GIVEN // BINS):
+            part = n[first : first + GIVEN // BINS]
+            q, b = np.nonzero(part)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first + q]), pa.array(b.astype(np.int32)), pa.array(part[q, b])], ["q", "bin", "n"])
 
     return run
 
@@ -98,7 +104,7 @@ def _extent(held, scale: int):
     def run(batches):
         ids, vectors = held.value
         low, high = np.full(len(ids), HIGH), np.full(len(ids), LOW)
-        for own, block in _blocks(batches, vectors.shape[1], scale):
+        for own, block in _blocks(batches, vectors, scale):
             score, other = inner(vectors, block), own[None, :] != ids[:, None]
             low = np.minimum(low, np.where(other, score, HIGH).min(1))
             high = np.maximum(high, np.where(other, score, LOW).max(1))
@@ -114,7 +120,7 @@ def _reach(held, scale: int, k: int):
     def run(batches):
         ids, vectors, kth = held.value
         best_q, best_c, best_s = (np.zeros(0, np.int64) for _ in range(3))
-        for own, block in _blocks(batches, vectors.shape[1], scale):
+        for own, block in _blocks(batches, vectors, scale):
             score = inner(vectors, block)
             q, c = np.nonzero((score >= kth[:, None]) & (own[None, :] != ids[:, None]))
             best_q, best_c, best_s = np.concatenate([best_q, q]), np.concatenate([best_c, own[c]]), np.concatenate([best_s, score[q, c]])
@@ -127,8 +133,20 @@ def _reach(held, scale: int, k: int):
     return run
 
 
+def _kth_bins(histograms: DataFrame, need: DataFrame) -> DataFrame:
+    """(q, bin, above): for each query the bin that holds its k-th score, or its last one, and the scores in the bins above.
+
+    histograms (q, bin, n) of all tasks; need (q, need).  A query has BINS rows here at most.
+    """
+    order = Window.partitionBy("q").orderBy(F.desc("bin"))
+    sums = histograms.groupBy("q", "bin").agg(F.sum("n").alias("n"))
+    sums = sums.withColumns({"upto": F.sum("n").over(order), "below": F.lead("bin").over(order)}).join(F.broadcast(need), "q")
+    hit = sums.where((F.col("upto") >= F.col("need")) | F.col("below").isNull())
+    return hit.groupBy("q").agg(F.max(F.struct("bin", (F.col("upto") - F.col("n")).alias("above"))).alias("x")).select("q", "x.*")
+
+
 def _chunk(spark, candidates: DataFrame, rows: list, k: int, scale: int) -> DataFrame:
-    """The result for one bounded set of queries of one vector length."""
+    """The result for one bounded set of queries of one vector length; what the driver gets is a row a query and pass."""
     ids, vectors = _queries_of(rows, scale)
     held = spark.sparkContext.broadcast((ids, vectors))
     found = candidates.mapInArrow(_extent(held, scale), "q long, low long, high long").groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()  # a row for each query of the chunk
@@ -145,20 +163,15 @@ def _chunk(spark, candidates: DataFrame, rows: list, k: int, scale: int) -> Data
         big = max(high[i] for i in at) - min(low[i] for i in at) >= 2**62
         as_ = (lambda x: np.array(x, object)) if big else (lambda x: np.array(x, np.int64))
         held = spark.sparkContext.broadcast((ids[at], vectors[at], as_([low[i] for i in at]), as_([high[i] for i in at]), as_([width[i] for i in at])))
-        bins: dict[int, list] = {i: [] for i in at}
-        for r in candidates.mapInArrow(_histogram(held, scale), "q long, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).collect():  # at most BINS rows a query
-            bins[place[r["q"]]].append((r["bin"], r["n"]))
-        for i in at:
-            got = sorted(bins[i], reverse=True)
-            for b, n in got:
-                if need[i] <= n or (b, n) == got[-1]:
-                    low[i] = low[i] + b * width[i]
-                    if width[i] == 1:
-                        kth[i] = low[i]
-                        open_.discard(i)
-                    high[i], width[i] = low[i] + width[i] - 1, max(1, -(-width[i] // BINS))
-                    break
-                need[i] -= n
+        wanted = spark.createDataFrame([(int(ids[i]), need[i]) for i in at], "q long, need long")
+        for r in _kth_bins(candidates.mapInArrow(_histogram(held, scale), "q long, bin int, n long"), wanted).collect():  # a row for each query of the chunk
+            i = place[r["q"]]
+            need[i] -= r["above"]
+            low[i] = low[i] + r["bin"] * width[i]
+            if width[i] == 1:
+                kth[i] = low[i]
+                open_.discard(i)
+            high[i], width[i] = low[i] + width[i] - 1, max(1, -(-width[i] // BINS))
     held = spark.sparkContext.broadcast((ids, vectors, np.array(kth, np.int64)))
     return candidates.mapInArrow(_reach(held, scale, k), "query_id long, vec_id long, score long")
 
