@@ -15,17 +15,19 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, comp): for each node that has an edge, the smallest node of its component.
 
-    Each round points nodes at the smallest neighbour (by map-side minima and a join that AQE
-    can split, so a hub costs no single task its whole neighbourhood) and is written to the
-    shared folder; the rounds needed grow with the logarithm of the longest path.
+    Each round points nodes at the smallest neighbour and is written to the shared folder; the
+    rounds needed grow with the logarithm of the longest path.  Minima are made map-side first
+    and written out before they are joined back: both sides of the join are then bare shuffles,
+    which AQE splits, so a hub costs no single task its whole neighbourhood.  Rows with a null
+    end, loops and repeated edges do not count; without edges the result is empty.
     """
     now = written(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u > v").distinct())
     before = _state(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(small)
         after = _state(now)

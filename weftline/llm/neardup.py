@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._spark import arrow_batches, written
+from weftline.llm._spark import arrow_batches, result, written
 from weftline.llm._text import Spans, U, Words, mix, mix_int, slices
 from weftline.llm.components import components
 
@@ -240,7 +240,7 @@ def _in_tiles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A group is dealt into tiles of about TILE members; each pair of tiles is compared by itself,
     so no task holds more than two tiles, and only links come out.
     """
-    tiles = open_.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = written(open_.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
     rows = open_.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("rep", "key"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.join(sets.select(F.col("id").alias("rep"), "set"), "rep").select("key", "rep", "comp", "size", *WORDS, "set", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
@@ -291,7 +291,7 @@ def _by_rarest(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     often[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     held = spark.sparkContext.broadcast(np.minimum(often, 2**32 - 1).astype(np.uint32))
     rows = written(docs.mapInArrow(_rarest(held, percent), f"key long, rep long, comp long, size long, {', '.join(w + ' long' for w in WORDS)}"))
-    several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    several = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
     return rows.join(several, "key")
 
 
@@ -300,6 +300,10 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80, roun
 
     class_id is the smallest doc_id with an equal set, component_id the smallest reachable.
     """
+    return result(lambda: _near_duplicates(documents, size, percent, rounds, broadcast_ids), documents.sparkSession)
+
+
+def _near_duplicates(documents: DataFrame, size: int, percent: int, rounds: int, broadcast_ids: int) -> DataFrame:
     assert percent >= 80, "the exact keys of small sets hold from a similarity of 0.8"
     spark = documents.sparkSession
     arrow_batches(spark)
@@ -309,15 +313,14 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80, roun
     full = one.where("n > 0")
     classes = written(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
     banded = classes.select("rep", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     groups = written(banded.join(shared, "key"))
     ids = groups.select(F.col("rep")).distinct().join(classes.select("rep", "s1"), "rep")
     ids = written(ids)
     few = ids.count() <= broadcast_ids
     mine = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "s1")
     sets = written(mine.mapInArrow(_sets(size), f"id long, size long, {', '.join(w + ' long' for w in WORDS)}, set array<long>").dropDuplicates(["id"]))
-    sizes = groups.groupBy("key").agg(F.count("*").alias("c"))
-    hubs = groups.join(sizes, "key").groupBy("rep").agg(F.sum("c").alias("deg"))
+    hubs = groups.groupBy("rep").agg(F.sum("c").alias("deg"))
     held = ["rep", "deg", "size", *WORDS]
     groups = written(groups.join(hubs.join(sets.drop("set").withColumnRenamed("id", "rep"), "rep"), "rep").select("key", *held))
     labels = edges = None
@@ -326,7 +329,7 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80, roun
             open_ = groups.withColumn("comp", F.col("rep"))
         else:
             named = groups.join(labels, F.col("rep") == F.col("node"), "left").select("key", *held, F.coalesce("comp", "rep").alias("comp"))
-            still = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+            still = written(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
             open_ = written(named.join(still, "key"))
         rows, all_pairs = open_.groupBy("key").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2), F.lit(0.0))).first()
         if not rows and labels is not None:
@@ -334,7 +337,7 @@ def near_duplicates(documents: DataFrame, size: int = 2, percent: int = 80, roun
         last = turn == rounds or all_pairs <= PAIRS_A_ROW * rows
         best = open_.groupBy("key").agg(F.max(F.struct("deg", (-F.col("rep")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("rep"))
         if last:
-            large = open_.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > TILE).select("key")
+            large = written(open_.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > TILE).select("key"))
             small = _in_tiles(open_.join(large, "key", "left_anti"), sets, percent)
             found = written(small.unionByName(_in_tiles(_by_rarest(open_.join(large, "key"), sets, percent), sets, percent)))
         else:
