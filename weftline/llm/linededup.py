@@ -5,8 +5,9 @@ A-Z in lower case.  Keys of at least ``min_chars`` code points that ``min_docs``
 documents hold lose all their lines, but not those of the largest doc_id that holds them.
 
 Only 128-bit key hashes and positions are shuffled for counting: each document sends a key
-once, partial aggregation brings a hot key to one row a task, and the join that carries the
-verdict back is one that AQE can split.  The texts move once, to meet their verdicts.
+once, partial aggregation brings a hot key to one row a task.  The verdicts, a row for each key
+that goes, are written out first: the join that carries them back then has a bare shuffle on
+both sides, which AQE splits where a key is hot.  The texts move once, to meet their verdicts.
 
 Defined cases: null or empty text is one empty line.  A document is a distinct pair of doc_id
 and text: repeated rows count once for the threshold, and each loses the same lines; rows of
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm._spark import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\f\r"
 
@@ -47,15 +50,16 @@ def dropped_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3)
     lines = lines.select("doc_id", "th", F.col("x.pos").alias("pos"), key.alias("key")).select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     once = lines.groupBy("doc_id", "th", "h1", "h2").agg(F.collect_set("pos").alias("pos"))
     held = once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("owner")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner")
+    held = written(held)
     gone = once.join(held, ["h1", "h2"]).where(F.col("doc_id") < F.col("owner"))
     return gone.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("pos")).alias("pos"))
 
 
 def with_kept_text(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """The rows of ``documents`` with __weft_kept (text), __weft_n_lines and __weft_n_dropped."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     gone = dropped_lines(documents, min_chars, min_docs).select(F.col("doc_id").alias("__weft_id"), F.col("th").alias("__weft_th"), F.col("pos").alias("__weft_gone"))
-    joined = documents.withColumns({"__weft_lines": lines, "__weft_hash": F.xxhash64("text")}).join(gone, (F.col("doc_id") == F.col("__weft_id")) & (F.col("__weft_hash") == F.col("__weft_th")), "left")
+    joined = documents.withColumn("__weft_hash", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("__weft_id")) & (F.col("__weft_hash") == F.col("__weft_th")), "left")
+    joined = joined.withColumn("__weft_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))  # behind the join: only the text is shuffled
     n = F.size("__weft_lines")
     stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__weft_gone"))
     kept = F.when(F.col("__weft_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__weft_lines"), i)), "\n"))
