@@ -270,3 +270,19 @@ def test_profiles(spark, tmp_path):
     mapping = spark.createDataFrame([(str(tmp_path / "in" / "q.json"), "p.json")], "path string, to string")
     for how in ("copy", "symlink", "hardlink", "copy"):
         assert profile.materialize(mapping, str(tmp_path / "out"), how) == 1 and (tmp_path / "out" / "p.json").read_text() == "{}"
+
+
+def test_nearest_in_tiles(spark):
+    from weftline.operators.nearest import nearest
+
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=3)], int(i % 2)) for i in range(40)]
+    rows += [(40, rows[3][1], 1), (41, rows[3][1], 1), (42, None, 1), (43, [], 0), (44, [1.0, 2.0], 0), (45, [0.0] * 3, None), (46, [1.0] * 3, None), (47, [0.0] * 3, 9)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, c int")
+    want = {}
+    for i, v, c in rows:
+        far = sorted((math.dist(v, w), j) for j, w, d in rows if v and w and j != i and d == c and len(v) == len(w))
+        if far:
+            want[i] = far[0][1]
+    for tile in (4, 2048):
+        assert {r["id"]: r["nearest"] for r in nearest(df, "id", "v", "c", tile).collect()} == want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import responses
-from weftline.operators import conversations, ranks, stats
+from weftline.operators import conversations, nearest, ranks, stats
 from weftline.plans import inputs
 from weftline.plans.inputs import table
 from weftline.scratch import scratch
@@ -200,11 +200,8 @@ def strip_text(spark, sf_dir):  # R4, 2.11
 
 
 def nearest_match(spark, sf_dir):  # J13: every vector to its nearest of the same class
-    e = table(spark, sf_dir, "embeddings")
-    q = e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"), "label")
-    d = F.aggregate(F.zip_with("a", "embedding", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    met = q.join(e, "label").where("q <> vec_id").select("q", "vec_id", d.alias("d"))
-    return met.groupBy("q").agg(F.min_by("vec_id", F.struct("d", "vec_id")).alias("nearest"))
+    got = nearest.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return got.select(F.col("vec_id").alias("q"), "nearest", F.round("distance", 5).alias("distance"))
 
 
 QUERIES = {f.__name__: f for f in (caption_pairs, unpaired, panorama_pairs, view_pairs, flat_views, front_views, eligible_views, built_conversations, built_views, built_blueprints, samples, rejected_records, resolutions, parsed_responses, run_counters, contour_report, prompt_blueprints, archive_refs, saved_splits, saved_batches, saved_filtered, saved_statistics, merged_splits, union_fill, key_set_ops, json_field_agg, confusion_f1, strip_text, nearest_match)}
@@ -242,5 +239,5 @@ ORACLE = {
     "json_field_agg": "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY event_type",
     "confusion_f1": "WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS fp, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS fn FROM labels) SELECT *, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0.0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0.0), 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1 FROM c",
     "strip_text": r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS stripped_md5 FROM documents",
-    "nearest_match": "WITH p AS (SELECT q.vec_id AS q, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id) SELECT q, arg_min(vec_id, d) AS nearest FROM p GROUP BY q",
+    "nearest_match": "WITH p AS (SELECT q.vec_id AS q, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS d FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id) SELECT q, arg_min(vec_id, d) AS nearest, round(sqrt(min(d)), 5) AS distance FROM p GROUP BY q",
 }
