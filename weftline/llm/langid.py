@@ -253,7 +253,7 @@ def _cross_fit(few: DataFrame) -> dict[str, tuple]:
     return _spread(measured.withColumn("lang", F.expr("substring(lang, locate('#', lang) + 1)")))
 
 
-def _predict(held, z: float, margin: float = 1.0):
+def _predict(held, z: float, margin: float = 1.0, evidence: int = 100):
     def run(batches):
         model, limits = held.value
         bounds = np.array([limits[x] for x in model.languages])
@@ -261,7 +261,7 @@ def _predict(held, z: float, margin: float = 1.0):
             n, mean, _ = _measure(model, data, offsets)
             best = mean.argmin(1)
             rows = np.arange(len(n))
-            odds = np.exp(-(mean - mean[rows, best][:, None]) * np.minimum(n, 100)[:, None])
+            odds = np.exp(-(mean - mean[rows, best][:, None]) * np.minimum(n, evidence)[:, None])
             score = np.where(n > 0, 1 / odds.sum(1), 0.0)
             m, v, s = bounds[best].T
             fits = (n > 0) & (mean[rows, best] <= m + np.maximum(margin, z * np.sqrt(v + s / np.maximum(n, 1))))
@@ -274,14 +274,20 @@ def _predict(held, z: float, margin: float = 1.0):
 PREDICTION = "doc_id long, lang_pred string, score double, cross_entropy double, accepted boolean"
 
 
-def predict(documents: DataFrame, learned: tuple[Model, dict] | None, z: float = 6.0) -> DataFrame:
-    """(doc_id, lang_pred, score, cross_entropy, accepted) for every row."""
+def predict(documents: DataFrame, learned: tuple[Model, dict] | None, z: float = 6.0, evidence: int = 100) -> DataFrame:
+    """(doc_id, lang_pred, score, cross_entropy, accepted) for every row.
+
+    The language, the cross-entropy and the acceptance are those of the whole text; the score, a
+    softmax over the languages, takes the mean cross-entropy of the whole text for that of
+    ``evidence`` symbols at most, since symbols are not independent and it would be 1 for all
+    longer texts.
+    """
     arrow_batches(documents.sparkSession)
     rows = documents.selectExpr("cast(doc_id as long) doc_id", "text")
     if learned is None:
         return rows.selectExpr("doc_id", "'und' lang_pred", "0D score", "cast(null as double) cross_entropy", "false accepted")
     held = documents.sparkSession.sparkContext.broadcast(learned)
-    return rows.mapInArrow(_predict(held, z), PREDICTION)
+    return rows.mapInArrow(_predict(held, z, evidence=evidence), PREDICTION)
 
 
 def _keep(held, z: float, schema: pa.Schema):
