@@ -58,18 +58,24 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(mask: str, at: Column) -> Column:
-    held = [F.get(F.col("wh"), (at + i).cast("int")) for i, one in enumerate(mask) if one == "1"]
-    return F.when(at + len(mask) <= F.size("wh"), F.xxhash64(F.lit(mask), *held))
+#: Masks hashed in one pass over the tokens: the code of more would be too large for the JVM to compile.
+MASKS_AT_ONCE = 4
+
+
+def _seed(mask: str) -> Column:
+    """The hash of a window's tokens at the mask's ones; where the text ends within the window, of those that it has."""
+    return F.xxhash64(F.lit(int(mask, 2)), *[F.get(F.col("wh"), F.col("pos") + i) for i, one in enumerate(mask) if one == "1"])
 
 
 def seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
-    """Each row once for every mask and place that has room for it, with ``pos`` and ``h`` instead of ``wh``."""
-    n, span = len(masks), min(map(len, masks))
-    rows = rows.where(F.size("wh") >= span).withColumn("j", F.explode(F.sequence(F.lit(0), (F.size("wh") - span + 1) * n - 1)))
-    at = F.floor(F.col("j") / n).cast("int") if n > 1 else F.col("j")
-    h = reduce(lambda rest, k: F.when(F.col("j") % n == k, _seed(masks[k], at)).otherwise(rest), range(n - 1), _seed(masks[-1], at))
-    return rows.withColumns({"pos": at, "h": h}).drop("wh", "j").where(F.col("h").isNotNull())
+    """Each row once for every mask and place, with ``pos`` and ``h`` instead of ``wh``."""
+    parts = []
+    for at in range(0, len(masks), MASKS_AT_ONCE):
+        own = masks[at : at + MASKS_AT_ONCE]
+        span = min(map(len, own))
+        each = rows.where(F.size("wh") >= span).withColumn("pos", F.explode(F.sequence(F.lit(0), F.size("wh") - span)))
+        parts.append(each.withColumn("h", F.explode(F.array(*map(_seed, own)))).drop("wh"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _overlap() -> Column:
