@@ -76,3 +76,19 @@ def test_pipeline_against_brute_force(spark):
     out = corpus_pipeline.run(spark, SF)
     got = {r["doc_id"]: r["text"] for r in mergedropout.decode(out, corpus_pipeline.MODEL_FILE).collect()}
     assert got == want
+
+
+def test_odd_rows_pass_every_stage(spark):
+    text = "Dies ist ein Satz von etwas mehr als zwanzig Zeichen, und er ist lang genug. "
+    schema = "doc_id long, text string, lang string, source string, n_chars long, item_id int, key string"
+    rows = [(None, text * 3, "de", None, None, 1, None), (1, None, None, None, None, None, "a"), (2, "", "de", "s", 0, 1, "b"), (3, "12345 !!", "en", "s", 8, 1, ""), (4, text * 4, "de", "s", 1, 2, "c"), (4, text * 4, "de", "s", 1, 2, "c"), (5, text * 4, None, "t", 1, None, None), (6, text * 400, "de", "t", 1, 0, "d")]
+    docs = spark.createDataFrame(rows, schema)
+    for df in (docs, docs.where("false")):
+        now = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = written(stage(spark, now, SF))
+            assert now.columns == docs.columns
+        out = corpus_pipeline.STAGES[-1][1](spark, now, SF)
+        ids = sorted((r["doc_id"] or 0) for r in out.collect())
+        assert ids == ([] if df is not docs else [0, 4, 4])
+        assert out.where("not lossless").count() == 0
