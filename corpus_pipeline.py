@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  The first
 four return the columns of ``documents``; the last returns the encoded corpus.
+
+Odd rows: the first stage drops texts that are null or without letters, whose language cannot be
+told; documents with a null doc_id pass all stages, compared with nothing, and are encoded under
+the id 0.  Repeated rows of one doc_id stay or go together.  Further columns pass the first four
+stages unchanged.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the languages that the labels teach go."""
+    """Documents in none of the languages that the labels teach go, and those without letters."""
     return langid.keep_accepted(docs, langid.learn(docs))
 
 
@@ -26,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (shingles of five words, similarity 0.8)."""
+    """One document of each group of near copies stays (shingles of five words, similarity 0.8): that of the smallest id."""
     return neardup.dedup(docs, size=5, percent=80)
 
 
