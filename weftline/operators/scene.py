@@ -22,6 +22,8 @@ from weftline.operators.stats import ratio_columns
 
 ANGLES, MIRRORS = (0, 90, 180, 270), ("none", "horizontal", "vertical")
 NO_OBJECT = ("blueprint", "portal")
+#: Scenes that a task evaluates.
+SCENES_A_TASK = 4
 
 
 def spatial_items(scene: dict) -> list[tuple[str, dict]]:
@@ -197,8 +199,10 @@ def match_counts(gt: tuple, pred: tuple, offsets: np.ndarray, thresholds) -> np.
     """Greedy matches for every threshold and offset, thresholds x offsets.
 
     Each truth in document order takes its nearest free prediction of its class, strictly within
-    the threshold; the first of equals.  All offsets go through the greedy steps together.
+    the threshold; the first of equals.  All offsets go through the greedy steps together; what no
+    offset brings within the largest threshold is not looked at.
     """
+    reach = max(thresholds) + np.sqrt((offsets**2).sum(1)).max()
     out = np.zeros((len(thresholds), len(offsets)), np.int64)
     kinds, truth = np.array(gt[0], object), np.asarray(gt[1], float)
     own_kinds = np.array(pred[0], object)
@@ -208,13 +212,16 @@ def match_counts(gt: tuple, pred: tuple, offsets: np.ndarray, thresholds) -> np.
             continue
         used = np.zeros((len(thresholds), len(offsets), len(own)), bool)
         for at in truth[kinds == kind]:
-            d = own[None] + offsets[:, None] - at
+            near = np.flatnonzero(((own - at) ** 2).sum(1) <= reach**2 * (1 + 1e-9))
+            if not len(near):
+                continue
+            d = own[near][None] + offsets[:, None] - at
             d = np.sqrt(d[..., 0] ** 2 + d[..., 1] ** 2)
             for k, t in enumerate(thresholds):
-                free = np.where(used[k], np.inf, d)
+                free = np.where(used[k][:, near], np.inf, d)
                 j = free.argmin(1)
                 hit = np.flatnonzero(free[np.arange(len(j)), j] < t)
-                used[k, hit, j[hit]] = True
+                used[k, hit, near[j[hit]]] = True
                 out[k, hit] += 1
     return out
 
@@ -276,6 +283,7 @@ def evaluate(truths: DataFrame, predictions: DataFrame, thresholds=(0.1, 0.25, 0
     Predictions without a truth are left out; repeated files are scored each.
     """
     rows = truths.select("file", F.col("raw").alias("gt"), F.lit(True).alias("_t")).join(predictions.select("file", F.col("raw").alias("pred"), F.lit(True).alias("_p")), "file", "left")
+    rows = rows.repartition(max(1, min(100_000, rows.count() // SCENES_A_TASK + 1)))  # small rows, long work
     main = main_threshold(thresholds)
     columns = [c.split()[0] for c in SCORES.split(", ")[:-1]] + ["pairs"]
 
