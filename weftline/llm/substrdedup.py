@@ -11,8 +11,10 @@ is left - the smallest documents of anchors that have several classes - is exten
 word: each window through the anchor is looked up by its hash, and repeats if a smaller
 document holds it.  Overlapping repeated windows run together into the maximal repeats.
 
-Each step is a minimum over hashes (with map-side partial minima) and a join back that AQE can
-split, so a passage that a third of the documents share costs no task more than its part.
+Each step is a minimum over hashes (with map-side partial minima), written out, and a join back.
+Both sides of such a join are bare shuffles, which AQE splits where a hash is hot, so a passage
+that a third of the documents share costs no task more than its part.  The texts meet their
+anchors, and later their repeats, in shuffled joins at every size.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Defined cases: null or blank texts have no words;
 texts of fewer than ``length`` words have no windows.  Rows with a null doc_id are neither
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._spark import arrow_batches, written
+from weftline.llm._spark import arrow_batches, result, written
 from weftline.llm._text import Spans, U, Words, mix, slices
 
 SEEDS = "doc_id long, th long, at long, ah long, nh long"
@@ -100,7 +102,7 @@ def _windows(length: int):
     return run
 
 
-def repeats(documents: DataFrame, length: int = 50, broadcast_rows: int = 200_000) -> DataFrame:
+def repeats(documents: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, th, spans array<struct<lo int, hi int>>): stretches of words that smaller documents hold.
 
     th is xxhash64(text); spans of one document may overlap.
@@ -109,20 +111,20 @@ def repeats(documents: DataFrame, length: int = 50, broadcast_rows: int = 200_00
     arrow_batches(spark)
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     seeds = docs.mapInArrow(_seeds(length), SEEDS)
-    shared = seeds.groupBy("ah").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("ah")
+    shared = written(seeds.groupBy("ah").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("ah"))
     met = written(seeds.join(shared, "ah"))
-    classes = met.groupBy("ah", "nh").agg(F.min("doc_id").alias("d0"))
-    split = classes.groupBy("ah").agg(F.count("*").alias("kinds"))
+    classes = written(met.groupBy("ah", "nh").agg(F.min("doc_id").alias("d0")))
+    split = written(classes.groupBy("ah").agg(F.count("*").alias("kinds")).where("kinds > 1").select("ah"))
     judged = met.join(classes, ["ah", "nh"])
     p, n = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     reach = length - length // 2
     whole = judged.where("doc_id > d0").select("doc_id", "th", F.struct(F.greatest(F.lit(0), p - reach).alias("lo"), F.least(n, p + length).alias("hi")).alias("span"))
-    left = judged.where("doc_id = d0").join(split.where("kinds > 1"), "ah")
+    left = judged.where("doc_id = d0").join(split, "ah")
     left = written(left.select("doc_id", "th", p.alias("p")).groupBy("doc_id", "th").agg(F.collect_set("p").alias("at")))
-    few = left.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0] <= broadcast_rows
-    asked = docs.join(F.broadcast(left) if few else left, ["doc_id", "th"]).select("doc_id", "text", "th", "at")
+    asked = docs.join(left.hint("merge"), ["doc_id", "th"]).select("doc_id", "text", "th", "at")
     windows = written(asked.mapInArrow(_windows(length), "doc_id long, th long, start long, w1 long, w2 long"))
     held = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
+    held = written(held)
     single = windows.join(held, ["w1", "w2"]).where("doc_id > lo").select("doc_id", "th", F.struct(F.col("start").cast("int").alias("lo"), (F.col("start") + length).cast("int").alias("hi")).alias("span"))
     return whole.unionByName(single).groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
 
@@ -150,12 +152,11 @@ def _apply(want_text: bool):
     return run
 
 
-def without_repeats(documents: DataFrame, length: int = 50, want_text: bool = True, broadcast_rows: int = 200_000) -> DataFrame:
+def without_repeats(documents: DataFrame, length: int = 50, want_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the text of the words that stay, or its SHA-256."""
-    spans = written(repeats(documents, length, broadcast_rows))
-    few = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= broadcast_rows
+    spans = result(lambda: repeats(documents, length), documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    met = docs.join(F.broadcast(spans) if few else spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
+    met = docs.join(spans.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
     return met.mapInArrow(_apply(want_text), "doc_id long, n_words long, n_removed long, kept string")
 
 
