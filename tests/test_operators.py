@@ -286,3 +286,18 @@ def test_nearest_in_tiles(spark):
             want[i] = far[0][1]
     for tile in (4, 2048):
         assert {r["id"]: r["nearest"] for r in nearest(df, "id", "v", "c", tile).collect()} == want
+
+
+def test_packed_images_come_back(spark):
+    tok = tokens.ByteTokenizer()
+    rows = [(0, i, [("user", f"q{i}"), ("assistant", f"a{i}")], k, [3, 2][:k] or None, [f"s.tar::d{i}/v{j}.png" for j in range(k)]) for i, k in enumerate((1, 0, 2))]
+    df = spark.createDataFrame(rows, "batch_id long, row_id long, messages array<struct<role:string,content:string>>, num_images int, image_token_counts array<int>, image_refs array<string>")
+    own = vision.tokenize(df, 1000)
+    packed = packing.pack(own.withColumn("n_tokens", F.col("n_tokens").cast("long")), 1000)
+    assert len(packed.first()["image_refs"]) == 3 and sorted(packed.first()["has_image"]) == [False, True, True]
+    got = {r["prompt"]: r for r in packing.prompt_records(packed, tok, "multi_view").collect()}
+    assert {p: (r["id"][:2], r["image_refs"], r["ground_truth"]) for p, r in got.items() if p != "q1"} == {"q0": ("d0", ["s.tar::d0/v0.png"], "a0"), "q2": ("d2", ["s.tar::d2/v0.png", "s.tar::d2/v1.png"], "a2")}
+    assert got["q1"]["id"].startswith("arrow_") and got["q1"]["image_refs"] == []
+    one = {r["prompt"]: (r["id"], len(r["image_refs"])) for r in packing.prompt_records(packed, tok, "panorama").collect()}
+    assert one["q2"] == ("v0", 1)
+    assert packing.prompt_records(packed, tok, offset=1, count=1).count() == 1

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.responses import blueprint_of, strip_marks
+from weftline.functions.responses import blueprint_of, strip_marks, without_role
 
 
 def first_fit(lengths: list[int], capacity: int) -> list[int]:
@@ -87,20 +87,46 @@ def unpack(packed: DataFrame) -> DataFrame:
     return rows.withColumns({"prompt_ids": F.when(F.col("_f") > 0, F.slice("input_ids", F.lit(1), F.col("_f") - 1)).otherwise(F.col("input_ids")), "answer_ids": F.when(F.col("_f") > 0, F.slice("input_ids", F.col("_f"), F.size("input_ids")))}).drop("_f")
 
 
+def image_name(refs: Column, mode: str) -> Column:
+    """The name that a sample takes from its first image's member: its stem, or for views the folder it lies in, if any."""
+    member = F.regexp_replace(F.get(refs, 0), "^.*?::", "")
+    stem = F.regexp_extract(member, r"([^/]+?)(\.[^./]*)?$", 1)
+    folder = F.regexp_extract(member, r"([^/]+)/[^/]+$", 1)
+    return F.when(F.size(refs) > 0, F.when(F.length(folder) > 0, folder).otherwise(stem) if mode == "multi_view" else stem)
+
+
 def prompt_records(packed: DataFrame, tokenizer, mode: str = "", offset: int = 0, count: int | None = None) -> DataFrame:
-    """(id, prompt, ground_truth, blueprint): the decoded sub-sequences that have a prompt, from ``offset`` on, ``count`` of them.
+    """(id, prompt, ground_truth, blueprint, image_refs): the decoded sub-sequences that have a prompt, from ``offset`` on, ``count`` of them.
 
     Numbers run over decodable sub-sequences in the order of batch, bin and segment.  ground_truth
-    is null without labels; blueprint is read from the prompt in that mode only.
+    is null without labels, and without its role line; blueprint is read from the prompt in that mode only.  In panorama and
+    multi_view mode each gets its part of the row's image references - one, or all of its images -
+    and the id is the name of the image.
     """
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         return ids.map(lambda x: None if x is None else tokenizer.decode(x))
 
-    rows = unpack(packed).withColumns({"prompt": strip_marks(text("prompt_ids")), "ground_truth": strip_marks(text("answer_ids"))})
+    @F.pandas_udf("string")
+    def plain(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: None if x is None else tokenizer.decode(x, skip_marks=True))
+
+    images = mode in ("panorama", "multi_view") and "image_refs" in packed.columns
+    rows = unpack(packed)
+    if images:
+        from weftline.operators.vision import segment_refs
+
+        own = segment_refs(packed, tokenizer.special("<|vision_start|>"), tokenizer.special("<|image_pad|>")).select("batch_id", "bin_id", "seg", "image_refs")
+        rows = rows.join(own, ["batch_id", "bin_id", "seg"])
+        rows = rows.withColumn("id", F.coalesce(image_name(F.col("image_refs"), mode), "id"))
+        if mode == "panorama":
+            rows = rows.withColumn("image_refs", F.slice("image_refs", 1, 1))
+    else:
+        rows = rows.withColumn("image_refs", F.array().cast("array<string>"))
+    rows = rows.withColumns({"prompt": strip_marks(text("prompt_ids")), "ground_truth": without_role(F.regexp_replace(plain("answer_ids"), r"^\s+|\s+$", ""))})
     rows = rows.where(F.length("prompt") > 0).withColumn("blueprint", blueprint_of(F.col("prompt")) if mode == "blueprint" else F.lit(None).cast("string"))
-    out = rows.select("batch_id", "bin_id", "seg", "id", "prompt", "ground_truth", "blueprint")
+    out = rows.select("batch_id", "bin_id", "seg", "id", "prompt", "ground_truth", "blueprint", "image_refs")
     if offset or count is not None:
         from weftline.operators.ranks import positions
 
