@@ -40,7 +40,7 @@ def parse_response(response: pd.Series) -> pd.DataFrame:
 
 def strip_marks(text: Column) -> Column:
     """The user's prompt without chat marks."""
-    c = F.when(F.instr(text, "<|im_start|>user") > 0, F.split_part(text, F.lit("<|im_start|>user"), F.lit(2))).otherwise(text)
+    c = F.regexp_replace(text, r"(?s)^.*?<\|im_start\|>user", "")
     for mark in ("<|im_start|>assistant", "<|im_end|>"):
         c = F.substring_index(c, mark, 1)
     for mark in ("<|vision_start|>", "<|vision_end|>", "<|image_pad|>", "</s>", "<|endoftext|>"):

@@ -17,6 +17,7 @@ PROMPTS = {
     "contour": "Generate B-spline contour slices for a 3D shape in UDF contour token format:",
     "panorama": "Based on this panorama image, generate a 3D scene in JSON format:",
     "multi_view": "Based on these {n} multi-view images, generate a 3D scene in JSON format:",
+    "multi_view_inference": "Based on these multi-view images, generate a 3D scene in JSON format:",
 }
 MULTI_VIEW = ("multi_view", "multi_view2", "multi_view3")
 MODES = ("unconditional", "blueprint", "caption", "panorama", *MULTI_VIEW, "contour")
@@ -62,7 +63,7 @@ def _filled(column: Column) -> Column:
 
 
 def build(scenes: DataFrame, mode: str) -> DataFrame:
-    """Adds ``messages``; rows whose condition or answer is empty go, but not in unconditional mode."""
+    """Adds ``messages``, and ``num_images`` in modes with images; rows whose condition or answer is empty go, but not in unconditional mode."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
     kind = "multi_view" if mode in MULTI_VIEW else mode
@@ -79,9 +80,9 @@ def build(scenes: DataFrame, mode: str) -> DataFrame:
             rows = rows.where(F.coalesce(F.length("caption"), F.lit(0)) > 0)
             ask = F.concat(ask, F.col("caption"))
         elif kind == "panorama":
-            rows = rows.where(F.coalesce(F.length("image_path"), F.lit(0)) > 0)
+            rows = rows.where(F.coalesce(F.length("image_path"), F.lit(0)) > 0).withColumn("num_images", F.lit(1))
         elif kind == "multi_view":
-            rows = rows.where(F.coalesce(F.size("image_paths"), F.lit(0)) > 0)
+            rows = rows.where(F.coalesce(F.size("image_paths"), F.lit(0)) > 0).withColumn("num_images", F.size("image_paths"))
             before, after = PROMPTS[kind].split("{n}")
             ask = F.concat(F.lit(before), F.size("image_paths").cast("string"), F.lit(after))
     turns = F.array(F.struct(F.lit("user").alias("role"), ask.alias("content")), F.struct(F.lit("assistant").alias("role"), answer.alias("content")))
@@ -89,13 +90,12 @@ def build(scenes: DataFrame, mode: str) -> DataFrame:
 
 
 def with_images(messages: Column, n: Column) -> Column:
-    """Content of each message as typed parts; the first user message gets ``n`` image parts in front."""
+    """Content of each message as typed parts; the first message, if it is the user's, gets ``n`` image parts in front."""
     part = "array<struct<type:string,text:string>>"
     image = F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"))
-    first = F.array_position(F.transform(messages, lambda m: m["role"]), "user") - 1
 
     def one(m, i):
         text = F.array(F.struct(F.lit("text").alias("type"), m["content"].alias("text"))).cast(part)
-        return F.struct(m["role"].alias("role"), F.when(i == first, F.concat(F.array_repeat(image, n).cast(part), text)).otherwise(text).alias("content"))
+        return F.struct(m["role"].alias("role"), F.when((i == 0) & (m["role"] == "user"), F.concat(F.array_repeat(image, n).cast(part), text)).otherwise(text).alias("content"))
 
     return F.transform(messages, one)

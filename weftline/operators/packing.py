@@ -84,7 +84,7 @@ def unpack(packed: DataFrame) -> DataFrame:
     rows = packed.select("*", F.posexplode("sequence_lengths").alias("seg", "n")).withColumn("at", before + 1)
     rows = rows.select("batch_id", "bin_id", "seg", F.format_string("arrow_%06d_seg%02d", "bin_id", "seg").alias("id"), F.slice("input_ids", F.col("at"), F.col("n")).alias("input_ids"), F.slice("labels", F.col("at"), F.col("n")).alias("labels"))
     rows = rows.withColumn("_f", first_label(F.col("labels")))
-    return rows.withColumns({"prompt_ids": F.when(F.col("_f") > 0, F.slice("input_ids", F.lit(1), F.col("_f") - 1)).otherwise(F.col("input_ids")), "answer_ids": F.when(F.col("_f") > 0, F.slice("input_ids", F.col("_f"), F.size("input_ids")))}).drop("_f")
+    return rows.withColumns({"prompt_ids": F.when(F.col("_f") > 1, F.slice("input_ids", F.lit(1), F.col("_f") - 1)).otherwise(F.col("input_ids")), "answer_ids": F.when(F.col("_f") > 0, F.slice("input_ids", F.col("_f"), F.size("input_ids")))}).drop("_f")
 
 
 def image_name(refs: Column, mode: str) -> Column:
@@ -124,7 +124,8 @@ def prompt_records(packed: DataFrame, tokenizer, mode: str = "", offset: int = 0
             rows = rows.withColumn("image_refs", F.slice("image_refs", 1, 1))
     else:
         rows = rows.withColumn("image_refs", F.array().cast("array<string>"))
-    rows = rows.withColumns({"prompt": strip_marks(text("prompt_ids")), "ground_truth": without_role(F.regexp_replace(plain("answer_ids"), r"^\s+|\s+$", ""))})
+    own = F.regexp_replace(text("prompt_ids"), r"^\s+|\s+$", "")
+    rows = rows.withColumns({"prompt": F.coalesce(F.nullif(strip_marks(own), F.lit("")), own), "ground_truth": without_role(F.regexp_replace(plain("answer_ids"), r"^\s+|\s+$", ""))})
     rows = rows.where(F.length("prompt") > 0).withColumn("blueprint", blueprint_of(F.col("prompt")) if mode == "blueprint" else F.lit(None).cast("string"))
     out = rows.select("batch_id", "bin_id", "seg", "id", "prompt", "ground_truth", "blueprint", "image_refs")
     if offset or count is not None:

@@ -54,8 +54,9 @@ def expanded(ids, counts, start: int, image: int) -> list[int]:
 
 
 def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, fixed: int | None = None, truncate: bool = False) -> DataFrame:
-    """Adds input_ids, labels, has_image and n_tokens from ``messages`` with image counts in ``num_images``.
+    """Adds input_ids, labels, has_image and n_tokens from ``messages`` with image counts in ``num_images`` (without it one each).
 
+    The images stand in front of the first message, if it is the user's; else there are none.
     Every image takes ``fixed`` tokens, or its count in ``image_token_counts``.  All roles but the
     user's are labelled; where the text's own labels are shorter than the expanded ids they are
     filled up at the left.  Rows beyond ``max_length`` go, or are cut with ``truncate``.
@@ -69,10 +70,12 @@ def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, fixed: i
         for turns, k, own in zip(messages, n, counts, strict=True):
             ids, labels = [], []
             k = 0 if k is None or k != k else int(k)
-            for i, m in enumerate([] if turns is None else turns):
+            turns = [] if turns is None else turns
+            k = k if len(turns) and turns[0]["role"] == "user" else 0
+            for i, m in enumerate(turns):
                 part = tok.encode(tokens.turn_text(m["role"], m["content"] or ""))
                 labels += [tokens.IGNORE] * len(part) if m["role"] == "user" else part
-                if i == 0 and k and m["role"] == "user":
+                if i == 0 and k:
                     head = tok.encode(f"{tokens.START}user\n")
                     part = head + [start, image, end] * k + part[len(head) :]
                 ids += part
@@ -85,7 +88,7 @@ def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, fixed: i
             out.append((ids, labels, k > 0))
         return pd.DataFrame(out, columns=["input_ids", "labels", "has_image"])
 
-    n = F.col("num_images") if "num_images" in conversations.columns else F.lit(0)
+    n = F.col("num_images") if "num_images" in conversations.columns else F.lit(1)
     counts = F.col("image_token_counts") if "image_token_counts" in conversations.columns else F.lit(None).cast("array<int>")
     rows = conversations.withColumn("_t", run("messages", n, counts)).select(*[c for c in conversations.columns if c != "messages"], "_t.*")
     return tokens.length_filter(rows.withColumn("n_tokens", F.size("input_ids")), 1, max_length)

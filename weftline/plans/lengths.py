@@ -234,7 +234,7 @@ ORACLE = {
     "shuffled_rows": "SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS total FROM documents",
     "pack_totals": "WITH b AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 500 AS batch_id, least(n_chars, 20000) AS n FROM documents) SELECT batch_id, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS sequences, true AS all_fit FROM b GROUP BY batch_id",
     "pack_gate": f"SELECT conv_id % 4 AS batch_id, count(*) AS sequences, CAST(sum(least(n, 4096)) AS BIGINT) AS tokens FROM ({_LENGTH}) GROUP BY 1",
-    "prompt_records": r"WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS r, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id) SELECT md5(p) AS prompt_md5, count(*) AS n FROM (SELECT regexp_replace(coalesce(t, ''), '^\s+|\s+$', '', 'g') AS p FROM c WHERE r = ['user', 'assistant']) WHERE p <> '' GROUP BY 1",
+    "prompt_records": r"WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS r, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id) SELECT md5(CASE WHEN p = '' THEN '<|im_start|>user' || chr(10) || coalesce(t, '') || '<|im_end|>' ELSE p END) AS prompt_md5, count(*) AS n FROM (SELECT t, regexp_replace(coalesce(t, ''), '^\s+|\s+$', '', 'g') AS p FROM c WHERE r = ['user', 'assistant']) GROUP BY 1",
     "unpack_positions": "SELECT conv_id, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pos_sum, '0,' || string_agg(CAST(e AS VARCHAR), ',' ORDER BY turn) AS boundaries FROM (SELECT conv_id, turn, length(text) AS n, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS e FROM conversations) GROUP BY conv_id",
     # start 0; image t 1, h 1 1 1 2 2 2, w 1 2 3 1 2 3; text from 1 + the largest, 4 to 8; padding 0 to 3
     "vision_positions": "SELECT doc_id, CAST(66 + 6 AS BIGINT) AS run, CAST(6 + 30 + 6 AS BIGINT) AS t, CAST(9 + 30 + 6 AS BIGINT) AS h, CAST(12 + 30 + 6 AS BIGINT) AS w FROM labels",

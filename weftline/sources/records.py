@@ -153,7 +153,7 @@ def samples(records: DataFrame, mode: str, image_root: str | None = None, known:
         ask, fault = F.coalesce(either("prompt"), F.lit(PROMPTS["panorama"])), F.when(raw.isNull(), "panorama mode requires image_path")
     else:
         raw = F.when(F.size("image_paths") > 0, F.to_json("image_paths"))
-        ask, fault = F.coalesce(either("prompt"), F.lit("Based on these multi-view images, generate a 3D scene in JSON format:")), F.lit(None)
+        ask, fault = F.coalesce(either("prompt"), F.lit(PROMPTS["multi_view_inference"])), F.lit(None)
     own = F.array(F.struct(F.lit("user").alias("role"), ask.alias("content")))
     at = resolved(image, image_root)
     paths = F.when(F.size("image_paths") > 0, F.transform("image_paths", lambda p: resolved(p, image_root)))
