@@ -362,4 +362,4 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
             texts = pa.array([None if x is None else v.decode(x) for x in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "text"])
 
-    return encoded.drop("text").mapInArrow(run, encoded.drop("text").withColumn("text", F.lit("").cast("string")).schema)
+    return encoded.drop("text").mapInArrow(run, encoded.drop("text").withColumn("text", F.lit(None).cast("string")).schema)
