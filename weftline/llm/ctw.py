@@ -9,9 +9,9 @@ weights.  A text is its bytes and one end symbol (0xFF), its context begins with
 and the score is the base-10 logarithm of its probability.
 
 Counting is distributed: tasks send sums of (DEPTH + 1)-byte grams, which give the counts of
-all nodes.  A context is a node of the model from ``min_count`` occurrences on, whatever the
-size of the input, with all its symbols; the occurrences of rarer ones still count in the
-shallower nodes, and for their own depth as one pooled child.
+all nodes.  Every context that occurs is a node of the model, whatever the size of the input.
+(``min_count`` above 1 leaves rarer contexts out; their occurrences still count in the
+shallower nodes, and for their own depth as one pooled child.)
 
 The tree is never in one place.  Grams are dealt by the ``SPLIT`` bytes next to the symbol, so
 that all deeper contexts of a path meet in one group; groups give the sums that their parents
@@ -42,8 +42,8 @@ from weftline.llm._spark import arrow_batches, remainder, written
 from weftline.llm._text import Counts, SortedHashes, U, Words, mix, mix_int, slices
 
 DEPTH = 5
-#: A context enters the tree from so many occurrences on.
-MIN_COUNT = 32
+#: A context enters the tree from so many occurrences on: all do.
+MIN_COUNT = 1
 SPLIT = 2
 HOT_GRAMS = 2.0**-21
 #: Kinds of grams and occurrences of a group, on average.
