@@ -1,0 +1,34 @@
+"""Files that tasks open by themselves, at any offset: on shared folders and in the stores that Arrow reaches."""
+
+from __future__ import annotations
+
+from urllib.parse import unquote, urlsplit
+
+from pyarrow import fs
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (file, hdfs, s3 and s3a, gs, abfs), and the path within it."""
+    scheme = urlsplit(uri).scheme if "://" in uri or uri.startswith("file:") else ""
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem(), (unquote(urlsplit(uri).path) if scheme else uri)
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + uri[len(scheme) :])
+
+
+class Upload:
+    """A file that appears under its name when it is whole, so that a task may be lost or run twice."""
+
+    def __init__(self, uri: str, attempt: str):
+        self.files, self.path = opened(uri)
+        moves = isinstance(self.files, (fs.LocalFileSystem, fs.HadoopFileSystem))  # stores show an object when it is closed
+        self.at = f"{self.path}.{attempt}" if moves else self.path
+        self.out, self.size = self.files.open_output_stream(self.at), 0
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        if self.at != self.path:
+            self.files.move(self.at, self.path)

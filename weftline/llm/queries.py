@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import ctw, decontaminate, htmltext, langid, linededup, mergedropout, neardup, secrets, substrdedup, topk
+from weftline.llm import ctw, decontaminate, htmltext, langid, linededup, mergedropout, neardup, runs, secrets, substrdedup, topk, warc, whitening
 from weftline.llm._spark import table
 
 #: The public vocabulary that the queries encode with; a parameter of the operator.
@@ -52,7 +52,19 @@ def op10_minhash(spark, sf_dir):
     return neardup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_html_extract, op3_topk, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op7_sentencepiece, op8_language_id, op9_secrets, op10_minhash)}
+def op11_periodic_runs(spark, sf_dir):
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark, sf_dir):
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_html_extract, op3_topk, op4_line_dedup, op5_decontaminate, op6_substring_dedup, op7_sentencepiece, op8_language_id, op9_secrets, op10_minhash, op11_periodic_runs, op12_whitening, op13_warc)}
 
 _KEY = "regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '')"
 
@@ -100,4 +112,10 @@ WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM f GROUP BY doc_id""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS b, sha256(coalesce(html, '')) AS d FROM pages),
+     f AS (SELECT d, min(page_id) AS first FROM p WHERE b >= 100 GROUP BY d)
+SELECT page_id, b AS payload_bytes, p.d AS payload_digest, CASE WHEN first IS NOT NULL AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, true AS verified, url AS uri
+FROM p LEFT JOIN f ON p.d = f.d""",
 }
