@@ -111,6 +111,12 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
+def _odds(one: np.ndarray) -> np.ndarray:
+    """The logarithm of the odds of a one: unlike a probability it keeps what little is left for the other bit in single precision."""
+    one = np.clip(one, 2.0**-50, 1 - 2.0**-50)
+    return np.log(one) - np.log1p(-one)
+
+
 def _parents(keys: np.ndarray, depth: int) -> np.ndarray:
     """The keys of the nodes one context byte above nodes of this depth."""
     return (((keys >> U(8)) & U((1 << (8 * (depth - 1))) - 1)) << U(8)) | (keys & U(0xFF))
@@ -168,7 +174,7 @@ class Tree:
             if d:
                 mixed, rest = (x[above[d]] for x in (mixed, rest))
             before = (ones + 0.5) / (zeros + ones + 1)
-            self.nodes.append(self._sorted(keys, mixed + rest * before))
+            self.nodes.append(self._sorted(keys, _odds(mixed + rest * before)))
             mixed, rest = mixed + rest * weight[d] * before, rest * (1 - weight[d])
         self.last = (nodes[-1][0], mixed, rest)
 
@@ -198,17 +204,17 @@ class Tree:
             symbol = codes & U(0xFF)
             bit = ((symbol >> U(7 - b)) & U(1)).astype(bool)
             prefix = U(1 << b) | (symbol >> U(8 - b))
-            one = np.full(len(codes), 0.5)
+            odds = np.zeros(len(codes))
             left = np.arange(len(codes))
             for d in range(self.depth, -1, -1):
                 index, values = self.nodes[d]
                 context = (codes[left] >> U(8)) & U((1 << (8 * d)) - 1)
                 at = index.find(mix(context << U(8) | prefix[left]))
                 hit = at >= 0
-                one[left[hit]] = np.clip(values[at[hit]], 1e-9, 1 - 1e-9)
+                odds[left[hit]] = values[at[hit]]
                 left = left[~hit]
-            total += np.log10(np.where(bit, one, 1 - one))
-        return total
+            total -= np.logaddexp(0, np.where(bit, -odds, odds))
+        return total / np.log(10)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         kinds, back = np.unique(codes, return_inverse=True)
