@@ -21,6 +21,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -60,21 +61,37 @@ def looks_random(word: str) -> bool:
 
 
 class _Near:
-    """Interval join of one kind of part: is one within reach of a span, in the same paragraph?"""
+    """Interval join of one kind of part: is one within reach of a span, in the same paragraph?
+
+    Of the parts behind a span the nearest decides, as no other is within reach or the paragraph if
+    it is not; of those before it, all that end within reach are looked at.
+    """
 
     def __init__(self, spans, reach: int, cuts: list[int]):
-        self.spans, self.reach, self.cuts = sorted(spans), reach, cuts
-        self.starts = [s for s, _ in self.spans]
-        self.longest = max((e - s for s, e in self.spans), default=0)
+        self.reach, self.cuts = reach, cuts
+        self.starts = sorted(s for s, _ in spans)
+        self.by_end = sorted((e, s) for s, e in spans)
 
     def beside(self, start: int, end: int) -> bool:
-        at = bisect_left(self.starts, start - self.reach - self.longest)
-        to = bisect_right(self.starts, end + self.reach)
-        for s, e in self.spans[at:to]:
-            apart = e <= start or s >= end
-            if apart and s - end <= self.reach and start - e <= self.reach and bisect_right(self.cuts, min(start, s)) == bisect_right(self.cuts, max(start, s)):
-                return True
-        return False
+        own = bisect_right(self.cuts, start)
+        at = bisect_left(self.starts, end)
+        if at < len(self.starts) and self.starts[at] - end <= self.reach and bisect_right(self.cuts, self.starts[at]) == own:
+            return True
+        at, to = bisect_left(self.by_end, (start - self.reach, -1)), bisect_right(self.by_end, (start, start))
+        return any(bisect_right(self.cuts, s) == own for _, s in self.by_end[at:to])
+
+
+class _Taken:
+    """Which stretches overlap no span of a list."""
+
+    def __init__(self, spans):
+        spans = sorted(spans)
+        self.starts = [s for s, _ in spans]
+        self.ends = list(accumulate((e for _, e in spans), max))
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return not at or self.ends[at - 1] <= start
 
 
 def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = 200) -> list[tuple[int, int, int]]:
@@ -84,12 +101,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = 200)
     ids = [(s, e) for s, k, e in base if k == 1] + weak_ids
     if not ids and not ends:
         return []
-    taken = _Near([(s, e) for s, _, e in base] + weak_ids + ends, 0, [])
-
-    def free(s, e):
-        at = bisect_left(taken.starts, s - taken.longest)
-        return all(b <= s or a >= e for a, b in taken.spans[at : bisect_right(taken.starts, e)])
-
+    free = _Taken([(s, e) for s, _, e in base] + weak_ids + ends).free
     weak_secrets = [m.span() for m in RANDOM.finditer(text) if looks_random(m[0]) and free(*m.span())]
     cuts = [m.start() for m in BLANK_LINE.finditer(text)]
     near = {"id": _Near(ids, reach, cuts), "end": _Near(ends, reach, cuts), "secret": _Near([(s, e) for s, k, e in base if k != 1] + weak_secrets, reach, cuts)}
