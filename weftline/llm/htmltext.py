@@ -18,6 +18,9 @@ same parent, headings and short text elements (``FLOW``) without role words are
 half of their text is in links.  Elements that by their tag are no content, and hidden ones,
 never are.
 
+A link holds all blocks within it, up to its end or that of the element around it; inline elements that
+are hidden or whose class or id names an advert are left out.  Time is linear in the length of a page.
+
 Defined cases: null or empty html gives empty text; markup that ends early or nests wrongly is
 read as far as it goes; repeated rows and null ids are rows like any other.  The page is read
 whole, whatever its length.
@@ -48,6 +51,8 @@ BOILERPLATE_ROLES = frozenset(
     "comment comments disqus reply replies respond discussion notice notices cookie cookies consent gdpr popup modal overlay alert subscribe subscription newsletter "
     "signup login search form pagination pager copyright legal disclaimer hidden skip".split()
 )
+#: Role words of inline elements whose text is left out.
+AD_ROLES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo".split())
 #: What a role word leaves of the fused value.
 ROLE_WEIGHT = 0.25
 #: What an article or main element adds to the weight of its blocks, and the share of all weight that a container holds.
@@ -56,7 +61,8 @@ CLOSED_BY_BLOCK = frozenset("p".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 PUNCTUATION = frozenset(",.;:!?…、。，！？،؟।¿¡")
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+SPECIAL = re.compile(r"""[>"']""")
 ROLE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -69,6 +75,53 @@ class Block:
         self.path, self.parts, self.linked, self.bad, self.role = path, [], 0, bad, role
 
 
+class Paths:
+    """The paths of a page, each a number above that of the path it extends; 0 is the empty one.
+
+    flow: the path above, without the lists and tables between.
+    """
+
+    def __init__(self):
+        self.known: dict[tuple[int, str], int] = {}
+        self.parent, self.tag, self.depth, self.article, self.flow = [0], [""], [0], [False], [0]
+
+    def below(self, path: int, tag: str, label: str) -> int:
+        own = self.known.setdefault((path, label), len(self.parent))
+        if own == len(self.parent):
+            self.parent.append(path)
+            self.tag.append(tag)
+            self.depth.append(self.depth[path] + 1)
+            self.article.append(self.article[path] or tag in ("article", "main"))
+            self.flow.append(self.flow[path] if self.tag[path] in LISTS else path)
+        return own
+
+
+class _Ends:
+    """Where tags end, by quotes, in time that is linear in the page: no quote is tried twice in vain."""
+
+    def __init__(self, page: str):
+        self.page, self.near, self.vain = page, -1, set()
+
+    def find(self, at: int) -> int:
+        """Behind the ``>`` that ends a tag whose name ends here; -1 if none does."""
+        page = self.page
+        if self.near < at:
+            m = SPECIAL.search(page, at)
+            self.near = m.start() if m else len(page)
+        p, tried = self.near, []
+        while p < len(page) and p not in self.vain:
+            if page[p] == ">":
+                return p + 1
+            tried.append(p)
+            close = page.find(page[p], p + 1)
+            if close < 0:
+                break
+            m = SPECIAL.search(page, close + 1)
+            p = m.start() if m else len(page)
+        self.vain.update(tried)
+        return -1
+
+
 def _labels(attributes: str) -> frozenset:
     words: set = set()
     for m in ROLE.finditer(attributes):
@@ -77,75 +130,118 @@ def _labels(attributes: str) -> frozenset:
     return frozenset(words)
 
 
-def read_blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
+class _Open:
+    """The open block elements: (tag, path, boilerplate at or above it, role word at or above it), and where each tag stands."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, tag: str, path: int, bad: bool, role: bool) -> None:
+        self.places[tag].append(len(self.stack))
+        self.stack.append((tag, path, bad, role))
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
+
+    def last(self, tags) -> int:
+        """The innermost open element of one of these tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tag: str) -> None:
+        if at := self.last((tag,)):
+            self.cut(at)
+
+    def implied(self, tag: str) -> None:
+        """Closes what the beginning of a tag ends."""
+        while self.stack[-1][0] in CLOSED_BY_BLOCK:
+            self.cut(len(self.stack) - 1)
+        if tag in HEADINGS and self.stack[-1][0] in HEADINGS:
+            self.cut(len(self.stack) - 1)
+        if tag in SIBLINGS:
+            at = self.last({"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,)))
+            if at > self.last((*SIBLINGS[tag], "table")):
+                self.cut(at)
+
+
+def read_blocks(page: str) -> tuple[list[Block], Paths]:
+    """Blocks with text, in page order, and their paths."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, boilerplate at or above it, role word at or above it
-    links, at, fresh = 0, 0, True
+    paths, opened, ends = Paths(), _Open(), _Ends(page)
+    stack = opened.stack
+    link = mute = 0  # the number of elements around an open link, or around an inline advert
+    muted, nested = "", 0
+    at, fresh = 0, True
 
     def text(raw: str) -> None:
         nonlocal fresh
-        if not raw:
+        if not raw or mute:
             return
         if fresh:
             if not raw.strip():
                 return
-            blocks.append(Block(tuple(x[1] for x in stack), bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
+            blocks.append(Block(*stack[-1][1:]))
             fresh = False
         value = html.unescape(raw) if "&" in raw else raw
         blocks[-1].parts.append(value)
-        if links:
+        if link:
             blocks[-1].linked += len(value)
 
-    while m := TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
+    done = 0
+    while m := TAG.search(page, at):
+        start, at = m.start(), m.end()
         if m[2] is None:
+            end = page.find("-->", at) if m[0] == "<!--" else page.find(">", at)
+            if end < 0 and m[0] != "<!--":
+                break
+            text(page[done:start])
+            at = done = len(page) if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        end = ends.find(at)
+        if end < 0:
+            continue  # no tag ends here: text
+        text(page[done:start])
+        tag, closing, attributes = m[2].lower(), bool(m[1]), page[at : end - 1]
+        at = done = end
         if tag in INLINE:
             if tag == "a":
-                links = 0 if closing else 1
+                link = len(stack) if not closing and "href" in attributes.lower() else 0
+            if mute:
+                nested += (-1 if closing else 1) * (tag == muted)
+                mute = mute if nested else 0
+            elif attributes and not closing and (HIDDEN.search(attributes) or _labels(attributes) & AD_ROLES):
+                mute, muted, nested = len(stack), tag, 1
             continue
         if tag == "br":
             text(" " if not fresh else "")
             continue
         if tag in RAW and not closing:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not attributes.endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                end = page.find(">", end.end()) if end else -1
+                at = done = len(page) if end < 0 else end + 1
             continue
-        fresh, links = True, 0
+        fresh = True
         if tag in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            opened.close(tag)
+        else:
+            opened.implied(tag)
+        link, mute = (x if x <= len(stack) else 0 for x in (link, mute))  # they end with the element around them
+        if closing:
             continue
-        while stack and stack[-1][0] in CLOSED_BY_BLOCK:
-            stack.pop()
-        if tag in HEADINGS and stack and stack[-1][0] in HEADINGS:
-            stack.pop()
-        if tag in SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SIBLINGS[tag] or stack[i][0] == "table":
-                    break
-                if stack[i][0] == tag or (tag, stack[i][0]) in (("dt", "dd"), ("dd", "dt"), ("td", "th"), ("th", "td")):
-                    del stack[i:]
-                    break
-        words = _labels(m[3]) if m[3] else frozenset()
-        root = tag in ("html", "body", "article", "main")
-        bad = bool(stack) and stack[-1][2]
-        bad = bad or tag in BOILERPLATE_TAGS or bool(m[3] and HIDDEN.search(m[3]))
-        bad = bad or (tag == "header" and not any(x[0] in ("article", "main") for x in stack))
-        role = (bool(stack) and stack[-1][3]) or (not root and bool(words & BOILERPLATE_ROLES))
-        stack.append((tag, tag + "".join("." + w for w in sorted(words)), bad, role))
-        if m[3].endswith("/") and tag not in ("p", "div"):
-            stack.pop()
-    text(page[at:])
-    return blocks
+        words = _labels(attributes) if attributes else frozenset()
+        _, path, bad, role = stack[-1]
+        bad = bad or tag in BOILERPLATE_TAGS or bool(attributes and HIDDEN.search(attributes))
+        bad = bad or (tag == "header" and not opened.last(("article", "main")))
+        role = role or (tag not in ("html", "body", "article", "main") and bool(words & BOILERPLATE_ROLES))
+        opened.push(tag, paths.below(path, tag, tag + "".join("." + w for w in sorted(words))), bad, role)
+        if attributes.endswith("/") and tag not in ("p", "div"):
+            opened.cut(len(stack) - 1)
+    text(page[done:])
+    return blocks, paths
 
 
 def _fused(blocks: list[Block], texts: list[str]) -> list[float]:
@@ -167,54 +263,49 @@ def _fused(blocks: list[Block], texts: list[str]) -> list[float]:
     return out
 
 
-def _container(blocks: list[Block], fused: list[float]) -> tuple:
-    """The path prefix that stands for the article."""
-    weight: dict = defaultdict(float)
-    total = 0.0
+def _container(blocks: list[Block], fused: list[float], paths: Paths) -> int:
+    """The path that stands for the article: the deepest with most of the weight below it."""
+    n = len(paths.parent)
+    weight, inner, total = [0.0] * n, [False] * n, 0.0
+    below = [0.0] * n
     for b, f in zip(blocks, fused, strict=True):
-        if b.bad:
-            continue
-        if any(_tag(x) in ("article", "main") for x in b.path):
-            f *= ARTICLE_WEIGHT
-        total += f
-        for n in range(len(b.path)):
-            weight[b.path[:n]] += f
-    return max((p for p in weight if weight[p] >= CONTAINER_SHARE * total), key=len, default=())
-
-
-def _tag(label: str) -> str:
-    return label.split(".", 1)[0]
-
-
-def _parent(path: tuple) -> tuple:
-    """The path above, without the lists and tables between."""
-    path = path[:-1]
-    while path and _tag(path[-1]) in LISTS:
-        path = path[:-1]
-    return path
+        if not b.bad:
+            f *= ARTICLE_WEIGHT if paths.article[b.path] else 1.0
+            total += f
+            weight[b.path] += f
+            if b.path:
+                inner[paths.parent[b.path]] = True
+    for p in range(n - 1, 0, -1):
+        below[paths.parent[p]] += weight[p] + below[p]
+        inner[paths.parent[p]] |= inner[p]
+    least = CONTAINER_SHARE * total * (1 - 1e-12)
+    return max((p for p in range(n) if inner[p] and below[p] >= least), key=lambda p: (paths.depth[p], -p), default=0)
 
 
-def _beside(block: Block, text: str) -> bool:
-    return bool(block.path) and not block.role and _tag(block.path[-1]) in FLOW and 2 * block.linked < len(text)
+def _beside(block: Block, text: str, paths: Paths) -> bool:
+    return not block.role and paths.tag[block.path] in FLOW and 2 * block.linked < len(text)
 
 
 def extract(page: str | None, threshold: float = 0.2) -> str:
     """The main text: content blocks in page order, joined by newlines."""
-    blocks = read_blocks(page or "")
+    blocks, paths = read_blocks(page or "")
     texts = [" ".join("".join(b.parts).split()) for b in blocks]
     held = [i for i, t in enumerate(texts) if t]
     blocks, texts = [blocks[i] for i in held], [texts[i] for i in held]
     if not blocks:
         return ""
     fused = _fused(blocks, texts)
-    root = _container(blocks, fused)
-    own = [i for i, b in enumerate(blocks) if not b.bad and b.path[: len(root)] == root]
+    root = _container(blocks, fused, paths)
+    inside = [False] * len(paths.parent)
+    for p in range(root, len(inside)):
+        inside[p] = p == root or (p > 0 and inside[paths.parent[p]])
+    own = [i for i, b in enumerate(blocks) if not b.bad and inside[b.path]]
     if not own:
         return ""
     least = threshold * sum(fused[i] for i in own) / len(own)
     best = {blocks[i].path for i in own if fused[i] >= least}
-    flow = {_parent(p) for p in best}
-    keep = [i for i in own if blocks[i].path in best or (_beside(blocks[i], texts[i]) and _parent(blocks[i].path) in flow)]
+    flow = {paths.flow[p] for p in best}
+    keep = [i for i in own if blocks[i].path in best or (_beside(blocks[i], texts[i], paths) and paths.flow[blocks[i].path] in flow)]
     return "\n".join(texts[i] for i in keep)
 
 
