@@ -19,6 +19,31 @@ ROOM = {
 }
 
 
+def test_stretches_of_bins_are_those_of_plain_first_fit():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        capacity = int(rng.choice([1, 5, 10, 50, 200]))
+        lengths = sorted(rng.integers(0, capacity + 1, rng.integers(0, 100)).tolist() + [capacity, capacity // 2] * int(rng.integers(0, 4)), reverse=True)
+        bins, got = packing.Bins(capacity), []
+        for n in dict.fromkeys(lengths):
+            got += [first + i // k for m, first, k in bins.place(n, lengths.count(n)) for i in range(m)]
+        assert got == packing.first_fit(lengths, capacity)
+
+
+def test_a_batch_of_a_whole_corpus(spark):
+    """One batch (its number null) with a hot length, rows beyond the capacity and rows without a length; no task holds it."""
+    length = F.when(F.col("id") % 3 == 0, 512).when(F.col("id") % 97 == 0, None).otherwise(F.pmod(F.hash("id"), F.lit(600)))
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("batch_id"), F.col("id").alias("row_id"), length.cast("long").alias("n_tokens"))
+    got = {r["row_id"]: (r["bin_id"], r["place"]) for r in packing.assign_bins(rows, 512).collect()}
+    own = [(r["row_id"], r["n_tokens"] or 0) for r in rows.collect()]
+    alone = [i for i, n in own if n > 512]
+    rest = sorted((x for x in own if x[1] <= 512), key=lambda x: (-x[1], x[0]))
+    want = {i: (k, k) for k, i in enumerate(alone)}
+    for k, ((i, _), b) in enumerate(zip(rest, packing.first_fit([n for _, n in rest], 512))):
+        want[i] = (len(alone) + b, len(alone) + k)
+    assert got == want and len(alone) > 1000
+
+
 def test_bins_are_those_of_plain_first_fit(spark):
     rng = np.random.default_rng(1)
     rows = [(b, i, int(n)) for b in range(3) for i, n in enumerate(rng.integers(1, 130, 80))]

@@ -1,50 +1,131 @@
 """First-fit-decreasing packing and its inverse.
 
-Bins are assigned on (row_id, n_tokens) alone, within a batch, in one grouped map; the token
-arrays never enter Python and are gathered by bin afterwards.  Batches bound what a task holds:
-``ranks.batches`` numbers rows of any table in batches of a fixed size.
+Bins are assigned within a batch, which may be the whole corpus.  First fit treats rows of one length
+alike, so it runs on the counts of lengths - no more of them than the capacity has tokens - and on
+stretches of bins with the same room; a row finds its bin by its place in the order of placement.
+Token arrays never enter Python and are gathered by bin afterwards.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.responses import blueprint_of, strip_marks, without_role
+from weftline.operators.ranks import ranked
+from weftline.scratch import written
+
+#: Places that are looked up together.
+CHUNK = 256
 
 
 def first_fit(lengths: list[int], capacity: int) -> list[int]:
-    """For lengths in order of placement the bin of each; a tree over free room finds the first bin that fits."""
-    size = 1
-    while size < max(1, len(lengths)):
-        size *= 2
-    room = [capacity] * (2 * size)
+    """The plain form of first fit, for a list in order of placement: the bin of each.  ``Bins`` is held against it."""
+    room: list[int] = []
     out = []
     for n in lengths:
-        at = 1
-        while at < size:
-            at = 2 * at if room[2 * at] >= n else 2 * at + 1
-        out.append(at - size)
+        at = next((i for i, r in enumerate(room) if r >= n), len(room))
+        if at == len(room):
+            room.append(capacity)
         room[at] -= n
-        while at > 1:
-            at //= 2
-            room[at] = max(room[2 * at], room[2 * at + 1])
+        out.append(at)
     return out
 
 
-def assign_bins(rows: DataFrame, capacity: int) -> DataFrame:
-    """(batch_id, row_id, bin_id, place): rows beyond the capacity first, each alone, then bins as they open."""
+class Bins:
+    """Bins in the order in which they opened, as stretches (number of bins, room left in each)."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.opened = capacity, 0
+        self.size, self.room = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def place(self, length: int, count: int) -> list[tuple[int, int, int]]:
+        """Puts ``count`` items of one length where each fits first; stretches (items, first bin, items a bin) in order."""
+        if not length:
+            if not self.opened:
+                self._open([(1, self.capacity)])
+            return [(count, 0, count)]
+        out = []
+        fits = np.flatnonzero(self.room >= length)
+        if len(fits):
+            first = np.cumsum(self.size) - self.size
+            per = self.room[fits] // length
+            upto = np.cumsum(per * self.size[fits])
+            whole = int(np.searchsorted(upto, count, "right"))  # stretches that are filled up
+            for i in range(whole):
+                out.append((int(per[i] * self.size[fits[i]]), int(first[fits[i]]), int(per[i])))
+            self.room[fits[:whole]] -= per[:whole] * length
+            count -= int(upto[whole - 1]) if whole else 0
+            if whole < len(fits):
+                if count:
+                    at, k = int(fits[whole]), int(per[whole])
+                    out.append((count, int(first[at]), k))
+                    self._cut(at, count, k, length)
+                count = 0
+        if count:
+            k = self.capacity // length
+            out.append((count, self.opened, k))
+            self._open(self._filled(-(-count // k), count, k, length, self.capacity))
+        return out
+
+    @staticmethod
+    def _filled(bins: int, count: int, k: int, length: int, room: int) -> list[tuple[int, int]]:
+        """A stretch of bins with this room after ``count`` items went into it, k a bin."""
+        full, rest = divmod(count, k)
+        parts = [(full, room - k * length), (min(1, rest), room - rest * length), (bins - full - min(1, rest), room)]
+        return [(n, r) for n, r in parts if n]
+
+    def _cut(self, at: int, count: int, k: int, length: int) -> None:
+        parts = self._filled(int(self.size[at]), count, k, length, int(self.room[at]))
+        self.size, self.room = (np.concatenate([own[:at], [p[i] for p in parts], own[at + 1 :]]) for i, own in enumerate((self.size, self.room)))
+
+    def _open(self, parts: list[tuple[int, int]]) -> None:
+        self.opened += sum(n for n, _ in parts)
+        size, room = (np.concatenate([own, [p[i] for p in parts]]).astype(np.int64) for i, own in enumerate((self.size, self.room)))
+        edge = np.flatnonzero(np.concatenate([[True], room[1:] != room[:-1]]))  # stretches of the same room become one
+        self.size, self.room = np.add.reduceat(size, edge), room[edge]
+
+
+STRETCHES = "batch_id long, first long, last long, first_bin long, per_bin long"
+
+
+def bin_stretches(counts: DataFrame, capacity: int) -> DataFrame:
+    """(batch_id, first, last, first_bin, per_bin): the places first to last, exclusive, lie ``per_bin`` a bin from ``first_bin`` on.
+
+    counts: (batch_id, length, n), lengths of up to the capacity, and those beyond it as capacity + 1, which are placed alone.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row_id")
-        over = part["n_tokens"] > capacity
-        large, rest = part[over], part[~over].sort_values(["n_tokens", "row_id"], ascending=[False, True])
-        bins = list(range(len(large))) + [len(large) + b for b in first_fit(rest["n_tokens"].tolist(), capacity)]
-        out = pd.concat([large, rest])
-        return pd.DataFrame({"batch_id": out["batch_id"], "row_id": out["row_id"], "bin_id": bins, "place": range(len(out))})
-
-    return rows.select("batch_id", "row_id", "n_tokens").groupBy("batch_id").applyInPandas(run, "batch_id long, row_id long, bin_id long, place long")
+        part = part.sort_values("length", ascending=False)
+        bins, out, at, alone = Bins(capacity), [], 0, 0
+        for length, n in zip(part["length"].tolist(), part["n"].tolist(), strict=True):
+            if length > capacity:
+                alone, pieces = n, [(n, 0, 1)]
+            else:
+                pieces = [(m, first + alone, k) for m, first, k in bins.place(length, n)]
+            for m, first, k in pieces:
+                out.append((at, at + m, first, k))
+                at += m
+        return pd.DataFrame(out, columns=["first", "last", "first_bin", "per_bin"]).assign(batch_id=part["batch_id"].iloc[0])[[c.split()[0] for c in STRETCHES.split(", ")]]
+
+    return counts.groupBy("batch_id").applyInPandas(run, STRETCHES)
+
+
+def assign_bins(rows: DataFrame, capacity: int) -> DataFrame:
+    """(batch_id, row_id, bin_id, place): rows beyond the capacity first, each alone, then bins as they open, longest rows first.
+
+    A row without a length counts as empty.
+    """
+    length = F.least(F.coalesce("n_tokens", F.lit(0)), F.lit(capacity + 1)).cast("long")
+    keys = rows.select("batch_id", "row_id", length.alias("length"))
+    stretches = written(bin_stretches(keys.groupBy("batch_id", "length").agg(F.count("*").alias("n")), capacity))
+    chunks = F.sequence(F.expr(f"first div {CHUNK}"), F.expr(f"(last - 1) div {CHUNK}"))
+    wanted = stretches.select(F.col("batch_id").alias("_b"), "first", "last", "first_bin", "per_bin", F.explode(chunks).alias("_c"))
+    placed = ranked(keys, ["batch_id"], [F.desc("length"), "row_id"], "place").withColumn("_k", F.expr(f"place div {CHUNK}"))
+    met = placed.join(wanted, F.col("batch_id").eqNullSafe(F.col("_b")) & (F.col("_k") == F.col("_c")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("last")))
+    return met.select("batch_id", "row_id", (F.col("first_bin") + F.expr("(place - first) div per_bin")).alias("bin_id"), "place")
 
 
 #: Optional columns of the rows and their names in packed ones; arrays of the rows are laid end to end.

@@ -9,31 +9,29 @@ from pyspark.sql import functions as F
 
 from weftline.scratch import written
 
-#: Rows of a range partition, on average.
-ROWS = 1_000_000
-
-
-def ranked(rows: DataFrame, within: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
-    """Adds the 0-based position of each row among those of equal ``within`` columns, in ``order``.
+def ranked(rows: DataFrame, within: Sequence[str], order: Sequence[Column | str], name: str = "rank", size: str | None = None) -> DataFrame:
+    """Adds the 0-based position of each row among those of equal ``within`` columns, in ``order``; as ``size`` their number.
 
     Rows are range-partitioned and sorted, so one group may spread over many tasks; a row's
     position is its place in its partition plus the counts of the partitions before, a table of
     one row for each group and partition.  Nulls sort first and are a group like any other;
-    make the order total, or rows that tie are numbered in any order.
+    make the order total, or rows that tie are numbered in any order.  All columns are written
+    once on the way: rank keys, and join, where rows are heavy.
     """
     keys = [F.col(c) for c in within] + [F.col(c) if isinstance(c, str) else c for c in order]
-    n = max(1, rows.count() // ROWS + 1, min(8, rows.sparkSession.sparkContext.defaultParallelism))
-    held = written(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__weft_mid", F.monotonically_increasing_id()))
+    held = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__weft_mid", F.monotonically_increasing_id()))
     held = held.withColumn("__weft_pid", F.shiftright("__weft_mid", 33))
     parts = held.groupBy(*within, "__weft_pid").agg(F.min("__weft_mid").alias("__weft_first"), F.count("*").alias("__weft_n"))
-    before = Window.partitionBy(*within).orderBy("__weft_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("__weft_before", F.coalesce(F.sum("__weft_n").over(before), F.lit(0))).drop("__weft_n")
+    group = Window.partitionBy(*within)
+    before = F.sum("__weft_n").over(group.orderBy("__weft_pid").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*within, "__weft_pid", (F.coalesce(before, F.lit(0)) - F.col("__weft_first")).alias("__weft_shift"), F.sum("__weft_n").over(group).alias("__weft_n"))
+    parts = written(parts)  # so that its size is known: it is broadcast only if it is small
     same = F.col("h.__weft_pid") == F.col("p.__weft_pid")
     for c in within:
         same = same & F.col(f"h.{c}").eqNullSafe(F.col(f"p.{c}"))
-    met = held.alias("h").join(F.broadcast(parts.alias("p")) if n <= 100_000 else parts.alias("p"), same)
-    place = F.col("h.__weft_mid") - F.col("p.__weft_first") + F.col("p.__weft_before")
-    return met.select(*[F.col(f"h.{c}") for c in rows.columns], place.alias(name))
+    met = held.alias("h").join(parts.alias("p"), same)
+    more = [F.col("p.__weft_n").alias(size)] if size else []
+    return met.select(*[F.col(f"h.{c}") for c in rows.columns], (F.col("h.__weft_mid") + F.col("p.__weft_shift")).alias(name), *more)
 
 
 def batches(rows: DataFrame, size: int, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
@@ -50,15 +48,7 @@ def positions(rows: DataFrame, order: Sequence[str], start: int, stop: int) -> D
 def split(rows: DataFrame, key: str, test_share: float, seed: int = 42, within: Sequence[str] = ()) -> DataFrame:
     """Adds ``split``: exactly floor(share) of each group is 'test', by a keyed hash order; the same on any layout."""
     drawn = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")).cast("binary"))
-    out = ranked(rows, within, [drawn], "__weft_rank")
-    sizes = rows.groupBy(*within).agg(F.count("*").alias("__weft_n"))
-    if within:
-        same = F.lit(True)
-        for c in within:
-            same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
-        out = out.alias("r").join(F.broadcast(sizes.alias("s")), same).select("r.*", "s.__weft_n")
-    else:
-        out = out.crossJoin(F.broadcast(sizes))  # one row
+    out = ranked(rows, within, [drawn], "__weft_rank", "__weft_n")
     test = F.col("__weft_rank") < F.floor(F.col("__weft_n") * F.lit(test_share))
     return out.withColumn("split", F.when(test, "test").otherwise("train")).drop("__weft_rank", "__weft_n")
 

@@ -116,14 +116,19 @@ def shuffled_rows(spark, sf_dir):  # O8: the same rows in another order
     return rows.agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"))
 
 
-def pack_ffd(spark, sf_dir):  # T12; tests hold the bins against plain first fit
+def pack_ffd(spark, sf_dir):  # T12, O2
     return packing.assign_bins(inputs.token_rows(spark, sf_dir), 20000)
 
 
-def pack_totals(spark, sf_dir):  # T12: what packing keeps, by batch
+def pack_corpus(spark, sf_dir):  # T12, S32: the whole corpus is one batch
+    rows = table(spark, sf_dir, "documents").select(F.lit(0).cast("long").alias("batch_id"), F.col("doc_id").alias("row_id"), F.col("n_chars").alias("n_tokens"))
+    return packing.assign_bins(rows, 9000)
+
+
+def pack_totals(spark, sf_dir):  # T12: what packing keeps, by batch, and its bins
     b = packing.assign_bins(inputs.token_rows(spark, sf_dir), 20000).join(inputs.token_rows(spark, sf_dir), ["batch_id", "row_id"])
     fits = b.groupBy("batch_id", "bin_id").agg(F.sum(F.least("n_tokens", F.lit(20000))).alias("n"), F.count("*").alias("k"))
-    return fits.groupBy("batch_id").agg(F.sum("n").alias("tokens"), F.sum("k").alias("sequences"), (F.max("n") <= 20000).alias("all_fit"))
+    return fits.groupBy("batch_id").agg(F.sum("n").alias("tokens"), F.sum("k").alias("sequences"), F.count("*").alias("bins"), F.max("n").alias("fullest"), F.min("n").alias("emptiest"))
 
 
 def pack_gate(spark, sf_dir):  # T13: packed conversations taken apart again, R1
@@ -199,7 +204,7 @@ def flagship(spark, sf_dir):
     return rows.agg(F.count("*").alias("conversations"), F.sum("supervised").alias("supervised"), F.percentile("supervised", 0.5).alias("p50"), F.percentile("supervised", 0.95).alias("p95"))
 
 
-QUERIES = {f.__name__: f for f in (chat_render, label_mask_counts, labels_all_roles, label_texts, over_length, vision_tokens, collate, text_lengths, length_filter, length_stats, length_rollup, length_hist, length_hist_closed, length_index_percentile, length_report, packed_lengths, batch_assign, page_of_rows, hash_split, row_sample, shuffled_rows, pack_ffd, pack_totals, pack_gate, prompt_records, unpack_positions, vision_positions, image_token_counts, rows_with_images, segment_images, perplexity, running_loss, prefix_offsets, flagship)}
+QUERIES = {f.__name__: f for f in (chat_render, label_mask_counts, labels_all_roles, label_texts, over_length, vision_tokens, collate, text_lengths, length_filter, length_stats, length_rollup, length_hist, length_hist_closed, length_index_percentile, length_report, packed_lengths, batch_assign, page_of_rows, hash_split, row_sample, shuffled_rows, pack_ffd, pack_corpus, pack_totals, pack_gate, prompt_records, unpack_positions, vision_positions, image_token_counts, rows_with_images, segment_images, perplexity, running_loss, prefix_offsets, flagship)}
 
 _TURN = "(4 + octet_length(encode(role)) + octet_length(encode(coalesce(text, ''))))"
 _LENGTH = f"SELECT conv_id, sum({_TURN}) AS n, sum(CASE WHEN role = 'assistant' THEN {_TURN} ELSE 0 END) AS s, sum(CASE WHEN role <> 'user' THEN {_TURN} ELSE 0 END) AS o FROM conversations GROUP BY conv_id"
@@ -210,6 +215,16 @@ _Q = ", ".join(f"round(quantile_cont(n, {p / 100}), 6) AS p{p}" for p in (10, 25
 _IDX = ", ".join(f"l[CAST(floor(len(l) * {p}) AS INT) + 1] AS {a}" for a, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99)))
 _FIT = "CASE WHEN w * h > 16777216 THEN greatest(floor({x} / sqrt(x * y / 16777216.0::DOUBLE) / 32) * 32, 32) WHEN w * h < 65536 THEN ceil({x} * sqrt(65536 / (x::DOUBLE * y)) / 32) * 32 ELSE {own} END"
 
+_BATCHES = "SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 500 AS batch_id, doc_id AS row_id, n_chars AS n FROM documents"
+_CORPUS = "SELECT 0 AS batch_id, doc_id AS row_id, n_chars AS n FROM documents"
+#: First fit row by row: the room of all bins after each, and the bin that each takes (from 1).
+_FFD = """WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n > {capacity} DESC, CASE WHEN n > {capacity} THEN 0 ELSE -n END, row_id) - 1 AS place FROM ({rows})),
+     f AS (SELECT DISTINCT batch_id, CAST(NULL AS BIGINT) AS row_id, CAST(-1 AS BIGINT) AS place, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS room, CAST(0 AS BIGINT) AS bin FROM p
+           UNION ALL
+           SELECT batch_id, row_id, place, n, CASE WHEN bin > len(room) THEN list_append(room, {capacity} - n) ELSE list_transform(room, lambda r, i: CASE WHEN i = bin THEN r - n ELSE r END) END, bin
+           FROM (SELECT p.batch_id, p.row_id, p.place, p.n, f.room, CAST(coalesce(nullif(list_position(list_transform(f.room, lambda r: r >= p.n), true), 0), len(f.room) + 1) AS BIGINT) AS bin
+                 FROM f JOIN p ON p.batch_id = f.batch_id AND p.place = f.place + 1))"""
+
 ORACLE = {
     "chat_render": f"SELECT c.conv_id, md5(string_agg({_CHAT}, '' ORDER BY turn, role, text)) AS chat_md5, CAST(sum({_TURN}) AS BIGINT) AS n_tokens FROM conversations c GROUP BY conv_id",
     "label_mask_counts": f"SELECT conv_id, CAST(s AS BIGINT) AS supervised, CAST(n - s AS BIGINT) AS masked FROM ({_LENGTH})",
@@ -232,7 +247,9 @@ ORACLE = {
     "hash_split": "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42')) <= floor(count(*) OVER (PARTITION BY lang) * 0.1) THEN 'test' ELSE 'train' END AS split FROM documents",
     "row_sample": "SELECT least(50, count(*)) AS n, least(50, count(*)) AS ids FROM documents",
     "shuffled_rows": "SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS total FROM documents",
-    "pack_totals": "WITH b AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 500 AS batch_id, least(n_chars, 20000) AS n FROM documents) SELECT batch_id, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS sequences, true AS all_fit FROM b GROUP BY batch_id",
+    "pack_ffd": f"{_FFD.format(rows=_BATCHES, capacity=20000)} SELECT batch_id, row_id, bin - 1 AS bin_id, place FROM f WHERE bin > 0",
+    "pack_corpus": f"{_FFD.format(rows=_CORPUS, capacity=9000)} SELECT batch_id, row_id, bin - 1 AS bin_id, place FROM f WHERE bin > 0",
+    "pack_totals": f"{_FFD.format(rows=_BATCHES, capacity=20000)}, b AS (SELECT batch_id, bin, sum(least(n, 20000)) AS n, count(*) AS k FROM f WHERE bin > 0 GROUP BY ALL) SELECT batch_id, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(k) AS BIGINT) AS sequences, count(*) AS bins, CAST(max(n) AS BIGINT) AS fullest, CAST(min(n) AS BIGINT) AS emptiest FROM b GROUP BY batch_id",
     "pack_gate": f"SELECT conv_id % 4 AS batch_id, count(*) AS sequences, CAST(sum(least(n, 4096)) AS BIGINT) AS tokens FROM ({_LENGTH}) GROUP BY 1",
     "prompt_records": r"WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS r, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id) SELECT md5(CASE WHEN p = '' THEN '<|im_start|>user' || chr(10) || coalesce(t, '') || '<|im_end|>' ELSE p END) AS prompt_md5, count(*) AS n FROM (SELECT t, regexp_replace(coalesce(t, ''), '^\s+|\s+$', '', 'g') AS p FROM c WHERE r = ['user', 'assistant']) GROUP BY 1",
     "unpack_positions": "SELECT conv_id, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pos_sum, '0,' || string_agg(CAST(e AS VARCHAR), ',' ORDER BY turn) AS boundaries FROM (SELECT conv_id, turn, length(text) AS n, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS e FROM conversations) GROUP BY conv_id",
