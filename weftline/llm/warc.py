@@ -40,6 +40,7 @@ from weftline.scratch import hadoop_file
 ARCHIVE, INDEX, ABOUT, SUFFIX = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json", ".wacz"
 #: Bytes of a span, the bytes between records that are read with them, and the bytes at which a package is full.
 SPAN, GAP, FULL = 8 << 20, 64 << 10, 256 << 20
+SPANS_A_TASK = 8
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 KEY = "urn:weftline:page:"
 
@@ -309,7 +310,8 @@ def records(spark: SparkSession, folder: str, pattern: str = f"*{SUFFIX}") -> Da
     arrow_batches(spark)
     found = packages(spark, folder, pattern)
     cut = written(spans(found.repartition(max(1, spark.sparkContext.defaultParallelism), "path")))
-    return cut.repartition("path", F.col("starts")[0]).mapInArrow(_read, RECORDS)
+    tasks = max(1, min(n := cut.count(), max(spark.sparkContext.defaultParallelism, n // SPANS_A_TASK)))  # a fixed number: spans are small rows and long work
+    return cut.repartition(tasks, "path", F.col("starts")[0]).mapInArrow(_read, RECORDS)
 
 
 def report(pages: DataFrame, least: int = 100) -> DataFrame:
