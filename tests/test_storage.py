@@ -1,11 +1,19 @@
 """Scans and sinks on files: round trips and errors."""
 
 import json
+import os
+import signal
+import subprocess
+import sys
+import tarfile
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftline import snapshots, stores
 from weftline.functions import images, responses
 from weftline.operators import tokens
 from weftline.scratch import result, scratch, written
@@ -106,7 +114,7 @@ def test_archives(spark, tmp_path):
     held = {r["path"]: r["ref"] for r in refs.collect()}
     assert held["/x/z/0.png"] is None and held["/x/a/0.png"] == "images_shard_0000.tar::a_00000000.png" and held["/x/b/2.png"].startswith("images_shard_0001.tar::b_0000000")
     assert archives.known_index(spark, root).count() == 6 and archives.create_index(spark, root) == 0
-    archives.write_info(str(tmp_path / "data"), "base", "images", "png")
+    archives.write_info(spark, str(tmp_path / "data"), "base", "images", "png")
     (tmp_path / "data" / "x" / "y").mkdir(parents=True)
     known = archives.roots(spark, [str(tmp_path / "data" / "x" / "y"), "/"])
     rows = archives.with_root(refs.select("path", F.col("ref").alias("image_ref")).withColumn("image_base", F.lit("base")), known)
@@ -126,6 +134,44 @@ def test_archives(spark, tmp_path):
     assert archives.create_index(spark, root) == 12
 
 
+def test_archives_of_a_store_that_only_spark_opens(spark, tmp_path):
+    """Written and read through a path with another scheme: view file systems are none that tasks open."""
+    (tmp_path / "far").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.weft.link./far", f"file://{tmp_path}/far")
+    rng = np.random.default_rng(8)
+    sizes = [0, 1, 511, 512, 513, 1024, *rng.integers(0, 3000, 60).tolist()]
+    rows = [(f"s{i % 7}" if i % 9 else "län" * 60, f"/x/{i:03d}.png", bytes(rng.integers(0, 256, n, dtype=np.uint8))) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame([*rows, rows[3], ("n", "/x/none.png", None)], "stem string, path string, image binary").repartition(5)
+    root = "viewfs://weft/far/images"
+    assert not stores.reachable(root)
+    refs = written(archives.write_archives(df, archives.fresh_root(spark, root), shard_size=8))
+    held = {r["path"]: r["ref"] for r in refs.collect()}
+    assert len(held) == 67 and held["/x/none.png"] is None and sorted(p.name for p in (tmp_path / "far" / "images").iterdir() if p.suffix == ".tar") == [f"images_shard_{i:04d}.tar" for i in range(9)]
+    own = refs.select("path", F.col("ref").alias("image_ref"), F.lit(root).alias("root"))
+    got = {r["path"]: r["content"] and bytes(r["content"]) for r in archives.cut_images(own, archives.known_index(spark, root)).collect()}
+    assert {p: d or b"" for p, d in got.items()} == {p: d for _, p, d in rows} | {"/x/none.png": b""}
+    near = own.withColumn("root", F.lit(str(tmp_path / "far" / "images")))  # the same shards, opened by tasks and by tar
+    assert {r["path"]: r["content"] and bytes(r["content"]) for r in archives.load_images(near, archives.known_index(spark, root)).collect()} == got
+    order = sorted((s, p) for s, p, _ in rows)
+    for shard in range(9):
+        with tarfile.open(tmp_path / "far" / "images" / f"images_shard_{shard:04d}.tar") as tar:
+            want = [f"{s}_{8 * shard + i:08d}.png" for i, (s, _) in enumerate(order[8 * shard : 8 * shard + 8])]
+            assert tar.getnames() == want and {m.mode for m in tar} == {0o644}
+    again = written(archives.write_archives(df.where("stem = 's1'"), root, shard_size=8)).where("path = '/x/001.png'").first()
+    assert again["ref"].startswith("images_shard_0009.tar::") and archives.create_index(spark, root) == 0
+    archives.write_info(spark, "viewfs://weft/far", "far", "images", "png")
+    assert archives.roots(spark, [f"{root}/a/b", "viewfs://weft/"]).collect() == [("far", root)]
+    assert archives.write_archives(df.where("image is null"), root).collect() == [("/x/none.png", None, None, None, None, None)]
+
+
+def test_a_task_that_fails_leaves_no_shards(spark, tmp_path):
+    root = archives.fresh_root(spark, str(tmp_path / "images"))
+    bad = F.when(F.col("id") == 7, F.raise_error(F.lit("no image"))).otherwise(F.lit("x")).cast("binary")
+    with pytest.raises(Exception, match="no image"):
+        archives.write_archives(spark.range(9).select(F.lit("s").alias("stem"), F.col("id").cast("string").alias("path"), bad.alias("image")), root)
+    assert not [n for n in stores.names(spark, root) if n.endswith(".tar")]
+
+
 def test_datasets(spark, tmp_path):
     top = str(tmp_path / "d")
     rows = spark.range(10).select("id", F.when(F.col("id") < 2, "test").otherwise("train").alias("split"))
@@ -148,6 +194,90 @@ def test_datasets(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "t")).first()[0] == "a\\nb"
 
 
+def _ids(df):
+    return sorted(r["id"] for r in df.collect())
+
+
+def test_versions_of_a_dataset(spark, tmp_path):
+    top = str(tmp_path / "d")
+    rows = lambda a, b, n=3: spark.range(a, b).select("id", (F.col("id") % n).alias("batch_id"))
+    assert snapshots.commit(rows(0, 6), top, "batch_id", "partitions") == 1
+    assert snapshots.commit(rows(6, 12).where("batch_id < 2"), top, "batch_id", "partitions", {"a": 1}) == 2
+    assert _ids(snapshots.read(spark, top)) == [2, 5, 6, 7, 9, 10] and _ids(snapshots.read(spark, top, 1)) == list(range(6))
+    assert snapshots.commit(rows(20, 21).withColumn("text", F.lit("x")), top, "batch_id", "append") == 3
+    got = snapshots.read(spark, top)
+    assert got.columns == ["id", "batch_id", "text"] and got.where("text = 'x'").count() == 1 and dict(got.dtypes)["batch_id"] == "bigint"
+    plan = got.where("batch_id = 2 and id > 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), GreaterThan(id,3)]" in plan and "PartitionFilters: [isnotnull(batch_id" in plan
+    assert snapshots.values(spark, top) == ["0", "1", "2"] and snapshots.manifest(spark, top)["info"] == {"a": 1}
+    with pytest.raises(ValueError, match="column id"):
+        snapshots.commit(rows(0, 3).withColumn("id", F.lit("x")), top, "batch_id", "append")
+    with pytest.raises(ValueError, match="partitioned by"):
+        snapshots.commit(rows(0, 3), top, None, "append")
+    with pytest.raises(ValueError, match="no version 9"):
+        snapshots.read(spark, top, 9)
+    assert snapshots.commit(rows(0, 0), top, "batch_id") == 4 and snapshots.read(spark, top).count() == 0
+    assert snapshots.vacuum(spark, top, keep=2) >= 2 and snapshots.versions(spark, top) == [3, 4] and _ids(snapshots.read(spark, top, 3)) == [2, 5, 6, 7, 9, 10, 20]
+
+
+def test_jobs_that_end_at_once_keep_each_others_rows(spark, tmp_path):
+    top = str(tmp_path / "d")
+    parts = [snapshots.write_part(spark.range(10 * i, 10 * i + 3).withColumn("batch_id", F.lit(i).cast("long")), top, "batch_id") for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda p: snapshots.publish(spark, top, p, "partitions"), parts))
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6] and _ids(snapshots.read(spark, top)) == sorted(10 * i + k for i in range(6) for k in range(3))
+
+
+def test_a_job_that_fails_or_is_killed_leaves_the_old_rows(spark, tmp_path):
+    top = str(tmp_path / "d")
+    sinks.save(spark.range(5), top, "caption", "m")
+    bad = spark.range(100, 200).repartition(8).withColumn("id", F.when(F.col("id") == 150, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("long"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.save(bad, top, "caption", "m")
+    assert _ids(datasets.read(spark, top)) == list(range(5))
+    code = """
+import sys, time
+from weftline.session import session
+from weftline.sinks import datasets as sinks
+from pyspark.sql import functions as F
+spark = session("killed", "local[2]")
+
+@F.udf("long")
+def slow(x):
+    time.sleep(0 if x < 150 else 3600)
+    return x
+
+sinks.save(spark.range(100, 200, 1, 10).select(slow("id").alias("id")), sys.argv[1], "caption", "m")
+"""
+    before = set((tmp_path / "d" / "_data").iterdir())
+    run = subprocess.Popen([sys.executable, "-c", code, top], start_new_session=True, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+    try:
+        for _ in range(600):
+            new = set((tmp_path / "d" / "_data").iterdir()) - before
+            if any(p.rglob("*.parquet") and list(p.rglob("*.parquet")) for p in new):
+                break
+            time.sleep(0.1)
+        else:
+            raise AssertionError("it wrote nothing")
+    finally:
+        os.killpg(run.pid, signal.SIGKILL)
+        run.wait()
+    assert _ids(datasets.read(spark, top)) == list(range(5)) and snapshots.versions(spark, top) == [1]
+    sinks.save(spark.range(7), top, "caption", "m")
+    assert _ids(datasets.read(spark, top)) == list(range(7)) and snapshots.vacuum(spark, top) >= 2 and _ids(datasets.read(spark, top)) == list(range(7))
+
+
+def test_a_tokenizer_is_told_by_its_vocabulary(tmp_path):
+    own = tokens.load_tokenizer("/opt/tokenizers/piece_bpe_32k.model")
+    told = own.told()
+    assert tokens.told_tokenizer(told).told() == told
+    (tmp_path / "other.model").write_bytes(b"other")
+    with pytest.raises(Exception):
+        tokens.told_tokenizer(told, str(tmp_path / "other.model"))
+    with pytest.raises(ValueError, match="not the vocabulary"):
+        tokens.told_tokenizer(told | {"sha256": "0"})
+
+
 def test_arrow_files(spark, tmp_path):
     import pyarrow as pa
 
@@ -173,7 +303,10 @@ def test_build_to_dataset(spark, tmp_path):
     assert datasets.batch_ids(spark, str(tmp_path / "b")) == [0, 1, 2]
     text = tokens.decoded(datasets.read(spark, str(tmp_path / "b"))).where("stem = 's1'").first()["label_text"]
     assert '{"blueprint":{"rooms":{}},"object_1":{"n":1}}' in text
-    assert set(sinks.statistics(datasets.read(spark, str(tmp_path / "b")))) >= {"total_batches", "total_samples", "total_tokens"}
+    totals, per = sinks.statistics(datasets.read(spark, str(tmp_path / "b")))
+    assert set(totals) >= {"total_batches", "total_samples", "total_tokens"} and per.count() == totals["total_batches"] == 3
+    told = datasets.side_car(spark, str(tmp_path / "b"), sinks.MODE_INFO)["tokenizer"]
+    assert tokens.told_tokenizer(told).told() == told
 
 
 def test_inference_run(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
@@ -27,6 +28,10 @@ class Tokenizer:
     def text(self, ids: list[int]) -> str:
         raise NotImplementedError
 
+    def told(self) -> dict:
+        """What a dataset says of its tokenizer: enough to load it again, and to tell another vocabulary."""
+        return {"kind": "bytes", "size": self.size, "specials": list(SPECIALS)}
+
     def special(self, mark: str) -> int:
         return self.size + SPECIALS.index(mark)
 
@@ -76,6 +81,11 @@ class FileTokenizer(Tokenizer):
         self.path, self.pattern, self._held = path, pattern, None
         self.size = self._size()
 
+    def told(self) -> dict:
+        with open(self.path, "rb") as f:
+            own = hashlib.file_digest(f, "sha256").hexdigest()
+        return super().told() | {"kind": "file", "path": self.path, "pattern": self.pattern, "sha256": own}
+
     def __getstate__(self):
         return self.__dict__ | {"_held": None}
 
@@ -124,6 +134,14 @@ def load_tokenizer(path: str | None = None, **options) -> Tokenizer:
     return FileTokenizer(path, **options) if path else ByteTokenizer()
 
 
+def told_tokenizer(told: dict, path: str | None = None) -> Tokenizer:
+    """The tokenizer that a dataset names, its vocabulary at the place that it names or at another; a different vocabulary is an error."""
+    own = load_tokenizer(path or told["path"], pattern=told["pattern"]) if told["kind"] == "file" else ByteTokenizer()
+    if own.told().get("sha256") != told.get("sha256") or own.size != told["size"]:
+        raise ValueError(f"{own.path} is not the vocabulary of the dataset")
+    return own
+
+
 def turn_text(role: str, content: str) -> str:
     return f"{START}{role}\n{content}{STOP}\n"
 

@@ -162,8 +162,10 @@ def saved_filtered(spark, sf_dir):  # K3, P3b
 
 
 def saved_statistics(spark, sf_dir):  # K12
-    out = sinks.save_statistics(table(spark, sf_dir, "documents"), scratch(spark), length="n_chars", by="source")
-    return spark.createDataFrame([(out["total_batches"], out["total_samples"], out["total_tokens"], round(out["weighted_mean_length"], 6), len(out["batches"]))], "total_batches long, total_samples long, total_tokens long, weighted_mean_length double, listed long")
+    folder = scratch(spark)
+    out = sinks.save_statistics(table(spark, sf_dir, "documents"), folder, length="n_chars", by="source")
+    listed = spark.read.json(f"{folder}/{sinks.BATCHES}").count()
+    return spark.createDataFrame([(out["total_batches"], out["total_samples"], out["total_tokens"], round(out["weighted_mean_length"], 6), listed)], "total_batches long, total_samples long, total_tokens long, weighted_mean_length double, listed long")
 
 
 def merged_splits(spark, sf_dir):  # O10, O14: new rows without a test split

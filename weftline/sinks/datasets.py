@@ -3,46 +3,38 @@
 from __future__ import annotations
 
 import json
-import os
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline import snapshots, stores
 from weftline.operators import conversations, packing, ranks, stats, tokens
-from weftline.scratch import hadoop_file, written
+from weftline.scratch import written
 
-MODE_INFO, STATISTICS = "mode_info.json", "dataset_statistics.json"
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, by the driver, on any file system that Spark knows."""
-    at, files = hadoop_file(spark, path)
-    out = files.create(at, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
+MODE_INFO, STATISTICS, BATCHES = "mode_info.json", "dataset_statistics.json", "batch_statistics"
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
-    write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2))
+    stores.write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2))
 
 
-def save(rows: DataFrame, folder: str, mode: str, model_name: str, is_vl: bool = False, merge: bool = False) -> None:
-    """Writes rows by split with the mode's side-car; rows without a split are training rows.
+def save(rows: DataFrame, folder: str, mode: str, model_name: str, is_vl: bool = False, merge: bool = False, tokenizer: tokens.Tokenizer | None = None) -> int:
+    """Writes rows by split with the mode's side-car, as the next version, whose number it gives; rows without a split are training rows.
 
     With ``merge`` the rows are added to those that are there, whose splits all stay; without it
-    they take their place.
+    they take their place.  The side-car also names the tokenizer, if given, by its vocabulary's hash.
     """
-    rows = rows if "split" in rows.columns else rows.withColumn("split", F.lit("train"))
-    rows.write.partitionBy("split").mode("append" if merge else "overwrite").parquet(folder)
-    write_json(rows.sparkSession, f"{folder.rstrip('/')}/{MODE_INFO}", {"mode": mode, "model_name": model_name, "is_vl": is_vl})
+    split = F.coalesce("split", F.lit("train")) if "split" in rows.columns else F.lit("train")
+    info = {"mode": mode, "model_name": model_name, "is_vl": is_vl} | ({"tokenizer": tokenizer.told()} if tokenizer else {})
+    number = snapshots.commit(rows.withColumn("split", split), folder, "split", "append" if merge else "replace", info)
+    write_json(rows.sparkSession, f"{folder.rstrip('/')}/{MODE_INFO}", info)
+    return number
 
 
-def save_batches(rows: DataFrame, folder: str) -> None:
-    """Writes rows by ``batch_id``; batches that are there are replaced, others stay, so a batch can be run again."""
-    rows.write.partitionBy("batch_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+def save_batches(rows: DataFrame, folder: str, info: dict | None = None) -> int:
+    """Writes rows by ``batch_id`` as the next version; batches that are there are replaced, others stay, so a batch can be run again."""
+    return snapshots.commit(rows, folder, "batch_id", "partitions", info)
 
 
 def save_filtered(rows: DataFrame, folder: str, least: int = 0, most: int | None = None, order: list[str] | None = None, batch_size: int | None = None) -> DataFrame:
@@ -53,21 +45,22 @@ def save_filtered(rows: DataFrame, folder: str, least: int = 0, most: int | None
     if batch_size:
         save_batches(ranks.batches(kept.drop("batch_id"), batch_size, order or ["row_id"]), folder)
     else:
-        kept.write.mode("overwrite").parquet(folder)
+        snapshots.commit(kept, folder)
     return tokens.discarded(rows, kept)
 
 
-def statistics(rows: DataFrame, length: str = "n_tokens", by: str = "batch_id") -> dict:
-    """Totals over all batches, and the figures of each."""
-    per = stats.batch_stats(rows, length, by)
+def statistics(rows: DataFrame, length: str = "n_tokens", by: str = "batch_id") -> tuple[dict, DataFrame]:
+    """Totals over all batches, and a row of figures for each."""
+    per = written(stats.batch_stats(rows, length, by))
     total = stats.rollup(per).first()
-    held = [r.asDict() for r in per.orderBy(by).collect()]  # a row a batch
-    return {"total_batches": total["batches"], "total_samples": total["n"], "total_tokens": total["total"], "weighted_mean_length": total["weighted_mean"], "global_min_length": total["least"], "global_max_length": total["most"], "batches": held}
+    return {"total_batches": total["batches"], "total_samples": total["n"], "total_tokens": total["total"], "weighted_mean_length": total["weighted_mean"], "global_min_length": total["least"], "global_max_length": total["most"]}, per
 
 
 def save_statistics(rows: DataFrame, folder: str, **columns) -> dict:
-    out = statistics(rows, **columns)
-    write_json(rows.sparkSession, f"{folder.rstrip('/')}/{STATISTICS}", out)
+    """Writes the totals as one JSON file and the batches' figures beside it as JSON lines; gives the totals."""
+    out, per = statistics(rows, **columns)
+    per.write.mode("overwrite").json(f"{folder.rstrip('/')}/{BATCHES}")
+    write_json(rows.sparkSession, f"{folder.rstrip('/')}/{STATISTICS}", out | {"batches": BATCHES})
     return out
 
 
@@ -77,20 +70,16 @@ def save_result(spark: SparkSession, frames: dict[str, DataFrame], path: str) ->
 
 
 def save_each(rows: DataFrame, folder: str, name: str = "stem", text: str = "raw", suffix: str = ".json") -> int:
-    """One file a row on a shared folder; rows without text are left out. The number of files.
+    """One file a row in a folder; rows without text are left out. The number of files.
 
-    Written under another name first, so that a task that is run again leaves whole files.
+    A file appears when it is whole, so that a task may be lost or run twice.
     """
-    at = folder.removeprefix("file://").removeprefix("file:")
+    at = stores.qualified(rows.sparkSession, folder).rstrip("/")
 
     def run(batches):
-        os.makedirs(at, exist_ok=True)
         for part in batches:
             for stem, value in zip(part[name], part[text], strict=True):
-                path = os.path.join(at, f"{stem}{suffix}")
-                with open(f"{path}.{os.getpid()}", "w", encoding="utf-8") as f:
-                    f.write(value)
-                os.replace(f"{path}.{os.getpid()}", path)
+                stores.upload(f"{at}/{stem}{suffix}", value.encode())
             yield pd.DataFrame({"n": [len(part)]})
 
     return rows.where(F.col(text).isNotNull()).select(name, text).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -107,6 +96,7 @@ def prepare(scenes: DataFrame, mode: str, folder: str, max_length: int, tokenize
     With ``batch_size`` scenes are numbered in batches by stem, packed within each and written by
     batch; else the whole corpus is one batch for packing and is written by split.
     """
+    tokenizer = tokenizer or tokens.load_tokenizer()
     built = ranks.ranked(conversations.build(scenes, mode), (), ["stem"], "row_id")
     size = batch_size or 2**62
     built = built.withColumn("batch_id", F.floor(F.col("row_id") / size).cast("long"))
@@ -114,11 +104,12 @@ def prepare(scenes: DataFrame, mode: str, folder: str, max_length: int, tokenize
     counts = tokens.discarded(built, own)
     vision = mode == "panorama" or mode in conversations.MULTI_VIEW
     if batch_size:
-        save_batches(packing.packed_if(own, pack, max_length), folder)
-        write_json(scenes.sparkSession, f"{folder.rstrip('/')}/{MODE_INFO}", {"mode": mode, "model_name": model_name, "is_vl": vision})
+        info = {"mode": mode, "model_name": model_name, "is_vl": vision, "tokenizer": tokenizer.told()}
+        save_batches(packing.packed_if(own, pack, max_length), folder, info)
+        write_json(scenes.sparkSession, f"{folder.rstrip('/')}/{MODE_INFO}", info)
         return counts
     rows = packing.packed_if(own, pack, max_length).drop("batch_id")
     if test_share:
         rows = ranks.split(rows, "bin_id" if pack else "row_id", test_share, seed)
-    save(rows, folder, mode, model_name, vision, merge)
+    save(rows, folder, mode, model_name, vision, merge, tokenizer)
     return counts

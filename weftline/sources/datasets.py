@@ -1,6 +1,7 @@
 """Scans of tokenized and packed data.
 
-A dataset is a Parquet folder, partitioned by ``split`` or by ``batch_id``; side-cars lie beside it.
+A dataset is a versioned folder (``weftline.snapshots``), or a plain Parquet folder, partitioned by
+``split`` or by ``batch_id``; side-cars lie beside it.
 """
 
 from __future__ import annotations
@@ -13,22 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from weftline import snapshots, stores
 from weftline.operators.tokens import parse_batches
-from weftline.scratch import hadoop_file
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows of a dataset, split and batch_id as columns where it has them."""
+    """All rows of a dataset, split and batch_id as columns where it has them; of the latest version, if it has versions."""
+    if snapshots.is_versioned(spark, folder):
+        return snapshots.read(spark, folder)
     return spark.read.option("pathGlobFilter", "*.parquet").parquet(folder)
 
 
 def batch_ids(spark: SparkSession, folder: str) -> list[int]:
-    """The batches of a dataset in order, from the folder names alone."""
-    at, files = hadoop_file(spark, folder)
-    if not files.exists(at):
+    """The batches of a dataset in order, from its manifest or its folder names alone."""
+    if not stores.exists(spark, folder):
         raise FileNotFoundError(f"no folder {folder}")
-    names = [x.getPath().getName() for x in files.listStatus(at)]
-    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch_id="))
+    if snapshots.is_versioned(spark, folder):
+        return sorted(map(int, snapshots.values(spark, folder)))
+    return sorted(int(n.partition("=")[2]) for n in stores.names(spark, folder) if n.startswith("batch_id="))
 
 
 def training(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None]:
@@ -69,10 +72,8 @@ def merged(new: DataFrame, old: DataFrame | None) -> DataFrame:
 
 def side_car(spark: SparkSession, folder: str, name: str) -> dict | None:
     """A JSON file beside the data, or None."""
-    at, files = hadoop_file(spark, f"{folder.rstrip('/')}/{name}")
-    if not files.exists(at):
-        return None
-    return json.loads("\n".join(r[0] for r in spark.read.text(str(at.toString())).collect()))  # one small file
+    text = stores.read_text(spark, f"{folder.rstrip('/')}/{name}")
+    return None if text is None else json.loads(text)
 
 
 class ArrowFile(InputPartition):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weftline.operators import conversations, tokens
+from weftline.sinks.datasets import save_batches
 from weftline.sources.files import stem_of
 
 
@@ -25,7 +26,7 @@ def append(spark: SparkSession, folder: str, out: str, checkpoint: str, mode: st
 
     def write(rows: DataFrame, number: int) -> None:
         own = tokens.tokenize(conversations.build(rows, mode).select("stem", "messages"), max_length, tokenizer)
-        own.withColumn("batch_id", F.lit(number)).write.partitionBy("batch_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(out)
+        save_batches(own.withColumn("batch_id", F.lit(number).cast("long")), out)
 
     stream = scenes(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()
