@@ -30,6 +30,44 @@ def test_stretches_of_bins_are_those_of_plain_first_fit():
         assert got == packing.first_fit(lengths, capacity)
 
 
+def _brute_scores(gt, pred, thresholds, n, reach):
+    """The best of all transforms and offsets, each offset tried."""
+    truth, line = scene.placed(gt), scene.grid(n, reach)
+    offsets = np.stack(np.meshgrid(line, line, indexing="ij"), -1).reshape(-1, 2)
+    best = [(-1, None) for _ in thresholds]
+    for move in itertools.product(scene.ANGLES, scene.MIRRORS):
+        counts = scene.match_counts(truth, scene.placed(pred, *move), offsets, thresholds)
+        for k, tp in enumerate(counts):
+            if tp.max() > best[k][0]:
+                best[k] = (int(tp.max()), (*move, *offsets[tp.argmax()].tolist()))
+    return best
+
+
+def test_best_places_are_those_of_all_places():
+    draw = np.random.default_rng(4)
+
+    def made(xy, kinds):
+        things = {f"object_{i + 1}": {"class": str(k), "spatial": {"location": [float(x), float(y), 0.0]}} for i, ((x, y), k) in enumerate(zip(xy, kinds))}
+        return {"blueprint": {"rooms": {"r": {"shape": {"coordinates": [[[0, 0], [5, 0], [5, 3], [1, 4]]]}}}}} | things
+
+    for _ in range(40):
+        side = draw.choice([0.7, 2, 5])
+        a = draw.random((draw.integers(0, 30), 2)) * [side, 0.6 * side]
+        kinds = draw.choice(["Bed", "Chair"], len(a))
+        b, own = a + draw.normal(0, 0.08, a.shape) + draw.uniform(-0.3, 0.3, 2), kinds
+        if draw.random() < 0.5:  # rivals of each second object
+            b, own = np.concatenate([b, b[::2] + 0.04]), np.concatenate([own, own[::2]])
+        if draw.random() < 0.3:  # equal distances
+            a, b = np.round(a, 1), np.round(b, 1)
+        gt, pred = made(a, kinds), made(b, own)
+        if draw.random() < 0.5:
+            pred = scene.moved(pred, scene.turned(scene.points(pred), float(draw.choice(scene.ANGLES))))
+        n, thresholds = int(draw.choice([1, 6, 25])), (0.1, 0.25, 0.5)
+        got = scene.best_scores(gt, pred, thresholds, n, 0.5)
+        assert [(s["tp"], (s["angle"], s["mirror"], s["dx"], s["dy"])) for s in got] == _brute_scores(gt, pred, thresholds, n, 0.5)
+        assert all(s["tp"] + s["fn"] == len(a) and s["tp"] + s["fp"] == len(b) for s in got)
+
+
 def test_a_batch_of_a_whole_corpus(spark):
     """One batch (its number null) with a hot length, rows beyond the capacity and rows without a length; no task holds it."""
     length = F.when(F.col("id") % 3 == 0, 512).when(F.col("id") % 97 == 0, None).otherwise(F.pmod(F.hash("id"), F.lit(600)))

@@ -22,8 +22,8 @@ from weftline.operators.stats import ratio_columns
 
 ANGLES, MIRRORS = (0, 90, 180, 270), ("none", "horizontal", "vertical")
 NO_OBJECT = ("blueprint", "portal")
-#: Scenes that a task evaluates.
-SCENES_A_TASK = 4
+#: Tasks that evaluate scenes, for each core, at least.
+TASKS_A_CORE = 4
 
 
 def spatial_items(scene: dict) -> list[tuple[str, dict]]:
@@ -248,21 +248,79 @@ def _ratios(tp, n_pred: int, n_gt: int) -> tuple:
     return p, r, np.divide(2 * p * r, both, out=np.zeros_like(both), where=both > 0)
 
 
+def _covered(group: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """For each point of the grid the number of groups with an interval low:high of its row over it."""
+    order = np.lexsort((low, row, group))
+    group, row, low, high = group[order], row[order], low[order], high[order]
+    key = (group * n + row) * (n + 2)  # intervals of one group and row stand together
+    upto = np.maximum.accumulate(high + key)
+    begin = low.copy()
+    begin[1:] = np.maximum(low[1:], upto[:-1] - key[1:])  # what is left of an interval by those before it
+    left = begin < high
+    edges = np.bincount(row[left] * (n + 1) + begin[left], minlength=n * (n + 1)) - np.bincount(row[left] * (n + 1) + high[left], minlength=n * (n + 1))
+    return np.cumsum(edges.reshape(n, n + 1), 1)[:, :n]
+
+
+def most_matches(gt: tuple, pred: tuple, line: np.ndarray, threshold: float) -> np.ndarray:
+    """For each offset of the grid line x line a bound of the matches: no more than truths, or predictions, that have a partner there.
+
+    A truth and a prediction of its class match at the offsets of a disc, which cuts an interval from each row of the grid.
+    """
+    n, out = len(line), np.zeros((len(line), len(line)), np.int64)
+    slack = threshold * 1e-9 + 1e-12
+    kinds, own_kinds = np.array(gt[0], object), np.array(pred[0], object)
+    truth, own = np.asarray(gt[1], float).reshape(-1, 2), np.asarray(pred[1], float).reshape(-1, 2)
+    for kind in dict.fromkeys(gt[0]):
+        g, p = truth[kinds == kind], own[own_kinds == kind]
+        if not len(p):
+            continue
+        apart = g[:, None] - p[None]
+        i, j = np.nonzero((np.abs(apart) < threshold + np.abs(line).max() + slack).all(2))
+        centre = apart[i, j]
+        rest = (threshold + slack) ** 2 - (line[None] - centre[:, :1]) ** 2
+        pair, row = np.nonzero(rest > 0)
+        half = np.sqrt(rest[pair, row]) + slack
+        low, high = np.searchsorted(line, centre[pair, 1] - half), np.searchsorted(line, centre[pair, 1] + half, "right")
+        some = low < high
+        pair, row, low, high = pair[some], row[some], low[some], high[some]
+        if len(pair):
+            out += np.minimum(_covered(i[pair], row, low, high, n), _covered(j[pair], row, low, high, n))
+    return out
+
+
+def best_place(truth: tuple, preds: list[tuple], line: np.ndarray, threshold: float, block: int = 64) -> tuple[int, int, int]:
+    """(matches, transform, offset) with the most greedy matches; the first transform, then the first offset, of equals.
+
+    Offsets are tried from the greatest bound on, until no other can be better or as good and earlier.
+    """
+    offsets = np.stack(np.meshgrid(line, line, indexing="ij"), -1).reshape(-1, 2)
+    bounds = [most_matches(truth, p, line, threshold).ravel() for p in preds]
+    best = (-1, 0, 0)  # matches, and transform and offset below zero, so that greater is better
+    for k in sorted(range(len(preds)), key=lambda k: -bounds[k].max()):
+        order = np.lexsort((np.arange(len(offsets)), -bounds[k]))
+        size = block
+        while len(order):
+            bound = bounds[k][order]
+            order = order[(bound > best[0]) | (bound == best[0]) & ((-k > best[1]) | (-k == best[1]) & (-order > best[2]))]
+            tried, order = order[:size], order[size:]
+            if len(tried):
+                counts = match_counts(truth, preds[k], offsets[tried], (threshold,))[0]
+                best = max(best, max(zip(counts.tolist(), [-k] * len(tried), (-tried).tolist(), strict=True)))
+            size = min(2 * size, 4096)
+    return best[0], -best[1], -best[2]
+
+
 def best_scores(gt: dict, pred: dict, thresholds, n: int, reach: float) -> list[dict]:
     """For each threshold the best score over transforms and offsets; the earliest of equals (angle, mirror, x, y)."""
-    truth = placed(gt)
-    line = grid(n, reach)
-    offsets = np.stack(np.meshgrid(line, line, indexing="ij"), -1).reshape(-1, 2)
-    best = [{"f1": -1.0} for _ in thresholds]
-    for angle, mirror in itertools.product(ANGLES, MIRRORS):
-        own = placed(pred, angle, mirror)
-        counts = match_counts(truth, own, offsets, thresholds)
-        for k, tp in enumerate(counts):
-            p, r, f1 = _ratios(tp.astype(float), len(own[0]), len(truth[0]))
-            at = int(f1.argmax())
-            if f1[at] > best[k]["f1"]:
-                best[k] = {"f1": float(f1[at]), "precision": float(p[at]), "recall": float(r[at]), "tp": int(tp[at]), "fp": len(own[0]) - int(tp[at]), "fn": len(truth[0]) - int(tp[at]), "angle": angle, "mirror": mirror, "dx": float(offsets[at, 0]), "dy": float(offsets[at, 1])}
-    return best
+    truth, line = placed(gt), grid(n, reach)
+    moves = list(itertools.product(ANGLES, MIRRORS))
+    preds = [placed(pred, *move) for move in moves]
+    n_pred, n_gt, out = len(preds[0][0]), len(truth[0]), []
+    for t in thresholds:
+        tp, k, at = best_place(truth, preds, line, t)
+        p, r, f1 = (float(x[0]) for x in _ratios(np.array([float(tp)]), n_pred, n_gt))
+        out.append({"f1": f1, "precision": p, "recall": r, "tp": tp, "fp": n_pred - tp, "fn": n_gt - tp, "angle": moves[k][0], "mirror": moves[k][1], "dx": float(line[at // n]), "dy": float(line[at % n])})
+    return out
 
 
 def matched_pairs(gt: dict, pred: dict, score: dict, threshold: float) -> list[tuple]:
@@ -283,7 +341,8 @@ def evaluate(truths: DataFrame, predictions: DataFrame, thresholds=(0.1, 0.25, 0
     Predictions without a truth are left out; repeated files are scored each.
     """
     rows = truths.select("file", F.col("raw").alias("gt"), F.lit(True).alias("_t")).join(predictions.select("file", F.col("raw").alias("pred"), F.lit(True).alias("_p")), "file", "left")
-    rows = rows.repartition(max(1, min(100_000, rows.count() // SCENES_A_TASK + 1)))  # small rows, long work
+    spark = truths.sparkSession
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism))  # small rows, long work: a fixed number of tasks
     main = main_threshold(thresholds)
     columns = [c.split()[0] for c in SCORES.split(", ")[:-1]] + ["pairs"]
 

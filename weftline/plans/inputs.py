@@ -54,6 +54,30 @@ def supplier_scenes(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     return rows.select(F.col("s_nationkey").cast("string").alias("file"), json_object(F.concat(room, F.transform("o", lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))))).alias("raw"))
 
 
+def crowded_scenes(spark: SparkSession, sf_dir: str, predicted: bool = False) -> DataFrame:
+    """(file, raw): a scene for each nation and market segment in a room of 10 x 6, with an object a customer in two classes.
+
+    Predictions lack each seventh object, are off by up to 0.2, and have a rival beside each fifth;
+    each object has parameters of all kinds, some of which predictions miss.
+    """
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    x, y = k * 7919 % 100003 / F.lit(11111.3) + 0.4, k * 104729 % 99991 / F.lit(19999.7) + 0.4
+    own = {"share": (k % 50) / 100.0, "count": k % 9, "wallThickness": 0.25 + (k % 3) / 8.0, "big": k % 2 == 0, "name": F.concat(F.lit("n"), (k % 4).cast("string"))}
+    if predicted:
+        c = c.where(k % 7 != 0)
+        x, y = x + (k * 31 % 41 - 20) / 100.0, y + (k * 37 % 41 - 20) / 100.0
+        own |= {"share": own["share"] + 0.125, "count": own["count"] + k % 2, "name": F.when(k % 3 != 0, own["name"]), "extra": F.lit(1)}
+    params = F.struct(*[v.alias(n) for n, v in own.items()])
+    thing = lambda x, y: F.to_json(F.struct(F.when(k % 2 == 0, "Bed").otherwise("Chair").alias("class"), F.struct(F.array(x, y, F.lit(0.0)).alias("location"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.25)).alias("rotation")).alias("spatial"), params.alias("params")))
+    pairs = [F.struct(k.alias("at"), F.lit(0).alias("rival"), F.concat(F.lit("object_"), k.cast("string")).alias("key"), thing(x, y).alias("value"))]
+    if predicted:
+        pairs.append(F.when(k % 5 == 0, F.struct(k.alias("at"), F.lit(1).alias("rival"), F.concat(F.lit("object_r"), k.cast("string")).alias("key"), thing(x + 0.071, y - 0.053).alias("value"))))
+    rows = c.groupBy("c_nationkey", "c_mktsegment").agg(F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(*pairs))))).alias("o"))
+    room = F.array(F.struct(F.lit("blueprint").alias("key"), F.lit('{"rooms":{"r":{"shape":{"coordinates":[[[0,0],[10,0],[10,6],[0,6]]]}}}}').alias("value")))
+    things = F.transform("o", lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
+    return rows.select(F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("file"), json_object(F.concat(room, things)).alias("raw"))
+
+
 def patterns(spark: SparkSession, sf_dir: str, grown: int = 0) -> DataFrame:
     """(stem, raw): a garment a supplier, of two rectangles; ``grown`` changes their sides, and the stitch of every third."""
     w, h = F.col("s_suppkey") % 11 + 5 + grown, F.col("s_suppkey") % 7 + 5 + 2 * grown

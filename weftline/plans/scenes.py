@@ -65,6 +65,21 @@ def scene_params(spark, sf_dir):  # A16: objects of the two classes that were ma
     return got.select(F.coalesce("class", F.lit("all")).alias("class"), "n", "ok")
 
 
+def _crowded(spark, sf_dir):
+    pred = scene.transform(inputs.crowded_scenes(spark, sf_dir, predicted=True), 90, "vertical", dx=3.0)
+    return scene.evaluate(inputs.crowded_scenes(spark, sf_dir), pred, thresholds=(0.3,), n=1)
+
+
+def scene_rivals(spark, sf_dir):  # J9, G2-G4, G7: rivals within a threshold; predictions are turned and mirrored
+    got = _crowded(spark, sf_dir).select("file", "f1", "precision", "recall", "tp", "fp", "fn", F.col("angle").cast("long").alias("angle"), "mirror")
+    return _round(got)
+
+
+def scene_pair_params(spark, sf_dir):  # A15, A16: the parameters of matched objects, by class and kind
+    got = scene.matched_params(_crowded(spark, sf_dir))
+    return _round(got.select(F.coalesce("class", F.lit("all")).alias("class"), "kind", "n", "ok", "extra", "abs_error", "least", "most"))
+
+
 def params_accuracy(spark, sf_dir):  # A15-A18
     p = table(spark, sf_dir, "part")
     whole = F.col("p_size").cast("int")
@@ -146,7 +161,7 @@ def converted_yaml(spark, sf_dir):  # S10, O15, K4
     return rows.select("stem", F.array_join(F.map_keys(own), ",").alias("keys"), F.get_json_object(F.element_at(own, "object_1"), "$.w").cast("double").alias("w"))
 
 
-QUERIES = {f.__name__: f for f in (scene_objects, object_lookup, scene_bounds, scene_turned, scene_mirrored, scene_f1, scene_status, scene_f1_mean, scene_params, params_accuracy, garment_panels, garment_metrics, garment_same, garment_pairs, room_counts, single_rooms, file_profile, file_quality, key_counts, json_structure, malformed_files, content_match, first_by_name, converted_yaml)}
+QUERIES = {f.__name__: f for f in (scene_objects, object_lookup, scene_bounds, scene_turned, scene_mirrored, scene_f1, scene_status, scene_f1_mean, scene_params, scene_rivals, scene_pair_params, params_accuracy, garment_panels, garment_metrics, garment_same, garment_pairs, room_counts, single_rooms, file_profile, file_quality, key_counts, json_structure, malformed_files, content_match, first_by_name, converted_yaml)}
 
 _X, _Y = "s_suppkey % 97 + 1", "s_suppkey // 97 % 50 + 1"
 _SCORED = "s AS (SELECT s_nationkey AS f, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 4 <> 1) AS tp FROM supplier GROUP BY s_nationkey), k AS (SELECT *, f <> 0 AND tp > 0 AS ok FROM s), t AS (SELECT unnest([0.1::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE]) AS threshold)"
@@ -159,7 +174,36 @@ _PROFILE = f"""p AS (SELECT count(*) AS files, count(*) FILTER (WHERE valid) AS
   avg({_DUMP}) FILTER (WHERE valid) AS avg_length, min({_DUMP}) FILTER (WHERE valid) AS min_length, max({_DUMP}) FILTER (WHERE valid) AS max_length,
   'k=' || count(*) FILTER (WHERE valid) || ',type=' || count(*) FILTER (WHERE valid) || ',odd=' || count(*) FILTER (WHERE valid AND NOT even) AS common_keys, 2 / 3.0::DOUBLE AS consistency FROM e)"""
 
+#: Crowded scenes, and greedy matches row by row: of each truth in order the nearest free prediction of its class, for each of the twelve moves.
+_RIVALS = """WITH RECURSIVE c AS (SELECT c_custkey AS k, c_nationkey || '/' || c_mktsegment AS f, c_custkey % 2 AS kind, c_custkey * 7919 % 100003 / 11111.3::DOUBLE + 0.4::DOUBLE AS x, c_custkey * 104729 % 99991 / 19999.7::DOUBLE + 0.4::DOUBLE AS y FROM customer),
+  g AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY k) AS i FROM c),
+  p AS (SELECT f, k, kind, 0 AS rival, x + (k * 31 % 41 - 20) / 100.0::DOUBLE AS x, y + (k * 37 % 41 - 20) / 100.0::DOUBLE AS y FROM c WHERE k % 7 <> 0),
+  q AS (SELECT * FROM p UNION ALL SELECT f, k, kind, 1, x + 0.071::DOUBLE, y - 0.053::DOUBLE FROM p WHERE k % 5 = 0),
+  r AS (SELECT f, k, kind, row_number() OVER (PARTITION BY f ORDER BY k, rival) AS i, 6 - y AS x, 10 - x AS y FROM q),
+  a AS (SELECT * FROM (VALUES (0, 0), (1, 90), (2, 180), (3, 270)) t(a, angle)), m AS (SELECT * FROM (VALUES (0, 'none'), (1, 'horizontal'), (2, 'vertical')) t(m, mirror)),
+  t AS (SELECT r.*, a.a, CASE a.a WHEN 0 THEN x WHEN 1 THEN 10 - y WHEN 2 THEN 6 - x ELSE y END AS u, CASE a.a WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 10 - y ELSE 6 - x END AS v, CASE WHEN a.a % 2 = 0 THEN 6 ELSE 10 END AS w, CASE WHEN a.a % 2 = 0 THEN 10 ELSE 6 END AS h FROM r, a),
+  s AS (SELECT f, a, m, list({'i': i, 'k': k, 'kind': kind, 'x': CASE WHEN m = 1 THEN w - u ELSE u END, 'y': CASE WHEN m = 2 THEN h - v ELSE v END}) AS p FROM t, m GROUP BY f, a, m),
+  z AS (SELECT f, a, m, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS k, CAST(NULL AS BIGINT) AS pk, CAST(NULL AS BIGINT) AS kind FROM s
+        UNION ALL
+        SELECT f, a, m, i, CASE WHEN b.i IS NULL THEN used ELSE list_append(used, b.i) END, k, b.k, kind FROM (
+          SELECT z.f, z.a, z.m, g.i, z.used, g.k, g.kind, list_sort(list_transform(list_filter(s.p, lambda o: o.kind = g.kind AND NOT list_contains(z.used, o.i) AND sqrt((o.x - g.x) ** 2 + (o.y - g.y) ** 2) < 0.3), lambda o: {'d': sqrt((o.x - g.x) ** 2 + (o.y - g.y) ** 2), 'i': o.i, 'k': o.k}))[1] AS b
+          FROM z JOIN g ON g.f = z.f AND g.i = z.i + 1 JOIN s ON s.f = z.f AND s.a = z.a AND s.m = z.m)),
+  e AS (SELECT z.f, z.a, z.m, count(pk) AS tp FROM z GROUP BY ALL),
+  best AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY tp DESC, a, m) AS place FROM e),
+  n AS (SELECT f, (SELECT count(*) FROM g WHERE g.f = x.f) AS n_gt, (SELECT count(*) FROM r WHERE r.f = x.f) AS n_pred FROM (SELECT DISTINCT f FROM g) x)"""
+
 ORACLE = {
+    "scene_rivals": f"{_RIVALS} SELECT f AS file, round(2 * tp / (n_gt + n_pred)::DOUBLE, 6) AS f1, round(tp / n_pred::DOUBLE, 6) AS precision, round(tp / n_gt::DOUBLE, 6) AS recall, tp, n_pred - tp AS fp, n_gt - tp AS fn, CAST(angle AS BIGINT) AS angle, mirror FROM best JOIN n USING (f) JOIN a USING (a) JOIN m USING (m) WHERE place = 1",
+    "scene_pair_params": f"""{_RIVALS}, u AS (SELECT CASE WHEN z.kind = 0 THEN 'Bed' ELSE 'Chair' END AS class, z.k, z.pk FROM z JOIN best USING (f, a, m) WHERE place = 1 AND pk IS NOT NULL),
+  o AS (SELECT class, 'object' AS kind, 1 AS n, CASE WHEN pk % 3 <> 0 THEN 1 ELSE 0 END AS ok, 0 AS extra, 0.0::DOUBLE AS e, NULL::DOUBLE AS v FROM u
+    UNION ALL SELECT class, 'keys', 5, CASE WHEN pk % 3 <> 0 THEN 5 ELSE 4 END, 1, 0, NULL FROM u
+    UNION ALL SELECT class, 'float', 1, 0, 0, abs(pk % 50 / 100.0::DOUBLE + 0.125 - k % 50 / 100.0::DOUBLE), k % 50 / 100.0::DOUBLE FROM u
+    UNION ALL SELECT class, 'thickness', 1, 0, 0, abs(pk % 3 / 8.0::DOUBLE - k % 3 / 8.0::DOUBLE), 0.25 + k % 3 / 8.0::DOUBLE FROM u
+    UNION ALL SELECT class, 'int', 1, 0, 0, abs(pk % 9 + pk % 2 - k % 9), k % 9 FROM u
+    UNION ALL SELECT class, 'bool', 1, CASE WHEN pk % 2 = k % 2 THEN 1 ELSE 0 END, 0, 0, NULL FROM u
+    UNION ALL SELECT class, 'str', 1, CASE WHEN pk % 3 <> 0 AND pk % 4 = k % 4 THEN 1 ELSE 0 END, 0, 0, NULL FROM u),
+  x AS (SELECT * FROM o UNION ALL SELECT 'all', kind, n, ok, extra, e, v FROM o)
+SELECT class, kind, CAST(sum(n) AS BIGINT) AS n, CAST(sum(ok) AS BIGINT) AS ok, CAST(sum(extra) AS BIGINT) AS extra, round(sum(e), 6) AS abs_error, round(min(v), 6) AS least, round(max(v), 6) AS most FROM x GROUP BY class, kind""",
     "scene_objects": "SELECT CAST(l_orderkey AS VARCHAR) AS file, row_number() OVER w AS pos, 'object_' || row_number() OVER w AS id, l_returnflag AS class, l_quantity AS x, l_linenumber::DOUBLE AS y FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity)",
     "object_lookup": "WITH l AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity) AS i FROM lineitem) SELECT CAST(o_orderkey AS VARCHAR) AS file, l_returnflag AS class FROM orders LEFT JOIN l ON o_orderkey = l_orderkey AND i = 2",
     "scene_bounds": "SELECT CAST(l_orderkey AS VARCHAR) AS file, 0.0::DOUBLE AS min_x, 60.0::DOUBLE AS max_x, 0.0::DOUBLE AS min_y, 8.0::DOUBLE AS max_y, 30.0::DOUBLE AS centre_x, 4.0::DOUBLE AS centre_y FROM lineitem GROUP BY l_orderkey",
