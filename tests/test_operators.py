@@ -203,7 +203,7 @@ def test_garments(spark):
         assert own == pytest.approx(a.sum() * cell, rel=0.02) and other == pytest.approx(b.sum() * cell, rel=0.02) and both == pytest.approx((a & b).sum() * cell, rel=0.03)
     square = {"panel_id": 1, "vertices": [[0, 0], [275, 0], [275, 275], [0, 275]], "edges": [{"curve_type": "quadratic", "curve_params": [0.5, 0.1]}, {"edge_index": 2, "curve_type": "cubic", "curve_params": [1, 2, 3, 4]}]}
     whole = {"meta": {"scale": 2.75}, "panels": [square, square | {"panel_id": 2}], "stitches": [{"from_panel_id": 1, "from_edge_index": 0, "to_panel_id": 2, "to_edge_index": 1}, {"from_panel_id": 9, "to_panel_id": 1}]}
-    made = garment.decode(whole)["pattern"]
+    made = json.loads(garment.specification(spark.createDataFrame([("a", json.dumps(whole))], "stem string, raw string")).first()["spec"])["pattern"]
     assert made["panels"]["panel_1"]["vertices"][2] == [1.0, 1.0] and len(made["stitches"]) == 1
     assert made["panels"]["panel_1"]["edges"][0]["curvature"] == [0.5, 0.1] and made["panels"]["panel_1"]["edges"][2]["curvature"]["type"] == "cubic"
     text = json.dumps(whole)

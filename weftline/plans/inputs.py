@@ -89,6 +89,27 @@ def patterns(spark: SparkSession, sf_dir: str, grown: int = 0) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("stem"), raw.alias("raw"))
 
 
+#: The outlines of shaped patterns: a triangle and a convex pentagon.
+SHAPES = (((0, 0), (9, 1), (3, 7)), ((0, 0), (8, -1), (11, 4), (5, 9), (-1, 5)))
+
+
+def shaped_patterns(spark: SparkSession, sf_dir: str, grown: bool = False) -> DataFrame:
+    """(stem, raw): a garment a supplier, of a triangle and a pentagon, curved edges and five stitches between them.
+
+    ``grown``: the outlines grow by eighths and are moved, and the stitches run to other edges.
+    """
+    k = F.col("s_suppkey")
+    factor, dx = (1 + k % 4 / 8.0, k % 3) if grown else (F.lit(1.0), F.lit(0))
+    line = lambda p: F.array(*[F.array((F.lit(float(x)) * factor + dx) * 275, (F.lit(float(y)) * factor - dx) * 275) for x, y in p])
+    curve = lambda i, kind, n: F.struct(i.cast("int").alias("edge_index"), F.lit(kind).alias("curve_type"), F.array(*[(k % 7 + j).cast("double") for j in range(n)]).alias("curve_params"))
+    none = F.lit(None)
+    curves = F.array(curve(none, "line", 0), curve(none, "quadratic", 2), curve(k % 5, "cubic", 4), curve(none, "circle", 3), curve(F.lit(1), "cubic", 3))
+    panel = lambda i: F.struct(F.lit(i).alias("panel_id"), F.lit(f"p{i}").alias("panel_label"), F.lit("front" if i else "back").alias("side"), line(SHAPES[i]).alias("vertices"), curves.alias("edges"), (k % 10).cast("double").alias("translation_x"))
+    stitch = lambda j: F.struct(F.lit(0).alias("from_panel_id"), ((k + j) % 3).cast("int").alias("from_edge_index"), F.when((k + j) % 11 == 0, 9).otherwise(1).alias("to_panel_id"), ((k * (2 if grown else 1) + j) % 6).cast("int").alias("to_edge_index"))
+    raw = F.to_json(F.struct(F.struct(F.lit(2.75).alias("scale")).alias("meta"), F.array(panel(0), panel(1)).alias("panels"), F.array(*[stitch(j) for j in range(5)]).alias("stitches")))
+    return table(spark, sf_dir, "supplier").select(k.cast("string").alias("stem"), raw.alias("raw"))
+
+
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, stem, raw): a JSON file an event, keys in one of two orders; each tenth is cut short."""
     a, b = F.concat(F.lit('"k": '), F.get_json_object("props", "$.k")), F.concat(F.lit('"type": "'), F.col("event_type"), F.lit('"'))

@@ -106,6 +106,22 @@ def garment_same(spark, sf_dir):  # A21, A25: a pattern against itself
     return _round(garment.summary(garment.evaluate(own, own)))
 
 
+def garment_curves(spark, sf_dir):  # G9: curves by number and by place, with too few numbers, of straight edges
+    rows = garment.curves(garment.panels(inputs.shaped_patterns(spark, sf_dir), "stem"), "stem")
+    return rows.select("stem", "panel", F.col("edge").cast("long").alias("edge"), "kind", F.array_join(F.transform("params", lambda x: x.cast("long").cast("string")), ",").alias("params"))
+
+
+def garment_spec(spark, sf_dir):  # G8-G10, G14: figures read from the decoded form
+    rows = garment.specification(inputs.shaped_patterns(spark, sf_dir))
+    at = lambda path: F.get_json_object("spec", f"$.pattern.{path}")
+    return rows.select("stem", at("panels.panel_1.vertices[2][0]").cast("double").alias("x"), F.round(at("panels.panel_0.translation[0]").cast("double"), 6).alias("tx"), at("panels.panel_0.translation[2]").cast("double").alias("tz"), F.json_array_length(at("panels.panel_1.edges")).cast("long").alias("n_edges"), at("panels.panel_1.edges[4].endpoints").alias("last"), F.json_array_length(at("stitches")).cast("long").alias("n_stitches"), F.get_json_object("spec", "$.properties.units_in_meter").cast("long").alias("units"))
+
+
+def garment_shapes(spark, sf_dir):  # G11-G13, J8, J14, A21-A24: shapes that grow, and stitches with rivals
+    out = garment.evaluate(inputs.shaped_patterns(spark, sf_dir), inputs.shaped_patterns(spark, sf_dir, grown=True))
+    return _round(out.select("sample", "chamfer_mm", "iou", "stitch_accuracy", "stitch_precision", *[F.col(c).cast("long").alias(c) for c in ("stitches_correct", "stitches_pred", "stitches_gt")]))
+
+
 def garment_pairs(spark, sf_dir):  # J6
     s = table(spark, sf_dir, "supplier")
     side = lambda k: s.where(F.col("s_suppkey") % k != 0).select(F.col("s_suppkey").cast("string").alias("stem"))
@@ -161,7 +177,7 @@ def converted_yaml(spark, sf_dir):  # S10, O15, K4
     return rows.select("stem", F.array_join(F.map_keys(own), ",").alias("keys"), F.get_json_object(F.element_at(own, "object_1"), "$.w").cast("double").alias("w"))
 
 
-QUERIES = {f.__name__: f for f in (scene_objects, object_lookup, scene_bounds, scene_turned, scene_mirrored, scene_f1, scene_status, scene_f1_mean, scene_params, scene_rivals, scene_pair_params, params_accuracy, garment_panels, garment_metrics, garment_same, garment_pairs, room_counts, single_rooms, file_profile, file_quality, key_counts, json_structure, malformed_files, content_match, first_by_name, converted_yaml)}
+QUERIES = {f.__name__: f for f in (scene_objects, object_lookup, scene_bounds, scene_turned, scene_mirrored, scene_f1, scene_status, scene_f1_mean, scene_params, scene_rivals, scene_pair_params, params_accuracy, garment_panels, garment_metrics, garment_same, garment_curves, garment_spec, garment_shapes, garment_pairs, room_counts, single_rooms, file_profile, file_quality, key_counts, json_structure, malformed_files, content_match, first_by_name, converted_yaml)}
 
 _X, _Y = "s_suppkey % 97 + 1", "s_suppkey // 97 % 50 + 1"
 _SCORED = "s AS (SELECT s_nationkey AS f, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 4 <> 1) AS tp FROM supplier GROUP BY s_nationkey), k AS (SELECT *, f <> 0 AND tp > 0 AS ok FROM s), t AS (SELECT unnest([0.1::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE]) AS threshold)"
@@ -192,7 +208,33 @@ _RIVALS = """WITH RECURSIVE c AS (SELECT c_custkey AS k, c_nationkey || '/' || c
   best AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY tp DESC, a, m) AS place FROM e),
   n AS (SELECT f, (SELECT count(*) FROM g WHERE g.f = x.f) AS n_gt, (SELECT count(*) FROM r WHERE r.f = x.f) AS n_pred FROM (SELECT DISTINCT f FROM g) x)"""
 
+_SHAPES = ", ".join(f"({p}, {i}, {float(x)}::DOUBLE, {float(y)}::DOUBLE)" for p, shape in enumerate(inputs.SHAPES) for i, (x, y) in enumerate(shape))
+#: Outlines of both sides, their sampled points, the geometry of edges and stitches, and greedy matches of stitches, prediction by prediction.
+_SEWN = f"""WITH RECURSIVE o AS (SELECT * FROM (VALUES {_SHAPES}) t(p, i, x, y)), k AS (SELECT s_suppkey AS k, grown, CASE WHEN grown THEN 1 + s_suppkey % 4 / 8.0::DOUBLE ELSE 1 END AS f, CASE WHEN grown THEN s_suppkey % 3 ELSE 0 END AS d FROM supplier, (SELECT unnest([false, true]) AS grown)),
+  v AS (SELECT k, grown, f, p, i, x * f + d AS x, y * f - d AS y FROM k, o), n AS (SELECT p, count(*) AS n FROM o GROUP BY p),
+  e AS (SELECT a.k, a.grown, a.p, a.i, a.x, a.y, b.x AS u, b.y AS w, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS len FROM v a JOIN n USING (p) JOIN v b ON b.k = a.k AND b.grown = a.grown AND b.p = a.p AND b.i = (a.i + 1) % n.n),
+  b AS (SELECT k, grown, p, x + t / 19.0::DOUBLE * (u - x) AS x, y + t / 19.0::DOUBLE * (w - y) AS y FROM e, (SELECT unnest(range(19)) AS t)),
+  c AS (SELECT k, grown, p, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y FROM b WINDOW w AS (PARTITION BY k, grown, p)),
+  d AS (SELECT a.k, a.p, a.grown, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM c a JOIN c b ON a.k = b.k AND a.p = b.p AND a.grown <> b.grown GROUP BY a.k, a.p, a.grown, a.x, a.y),
+  ch AS (SELECT k, avg(c) AS chamfer FROM (SELECT k, p, 10 * (avg(d) FILTER (WHERE grown) + avg(d) FILTER (WHERE NOT grown)) / 2 AS c FROM d GROUP BY k, p) GROUP BY k),
+  l AS (SELECT k, grown, j, (k + j) % 3 AS a, (k * CASE WHEN grown THEN 2 ELSE 1 END + j) % 6 AS b FROM k, (SELECT unnest(range(5)) AS j) WHERE (k + j) % 11 <> 0),
+  g AS (SELECT l.*, row_number() OVER (PARTITION BY l.k, l.grown ORDER BY j) AS place, x.mx AS ax, x.my AS ay, x.len AS al, y.mx AS bx, y.my AS by_, y.len AS bl FROM l JOIN e x ON x.k = l.k AND x.grown = l.grown AND x.p = 0 AND x.i = l.a JOIN e y ON y.k = l.k AND y.grown = l.grown AND y.p = 1 AND y.i = l.b),
+  t AS (SELECT k.k, coalesce(list(g ORDER BY place) FILTER (WHERE g.k IS NOT NULL), []) AS t FROM k LEFT JOIN g ON g.k = k.k AND NOT g.grown WHERE NOT k.grown GROUP BY k.k),
+  z AS (SELECT k, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS used, t FROM t
+        UNION ALL
+        SELECT z.k, z.place + 1, CASE WHEN len(hit) > 0 THEN list_append(used, hit[1].place) ELSE used END, t
+        FROM (SELECT z.*, list_filter(z.t, lambda o: NOT list_contains(z.used, o.place) AND sqrt((o.ax - g.ax) ** 2 + (o.ay - g.ay) ** 2) <= 8 AND sqrt((o.bx - g.bx) ** 2 + (o.by_ - g.by_) ** 2) <= 8 AND abs(g.al - o.al) / o.al <= 0.6 AND abs(g.bl - o.bl) / o.bl <= 0.6) AS hit
+              FROM z JOIN g ON g.k = z.k AND g.grown AND g.place = z.place + 1) z),
+  r AS (SELECT k, max(len(used)) AS correct FROM z GROUP BY k),
+  m AS (SELECT k.k, count(g.k) FILTER (WHERE g.grown) AS n_pred, count(g.k) FILTER (WHERE NOT g.grown) AS n_gt FROM (SELECT DISTINCT k FROM k) k LEFT JOIN g ON g.k = k.k GROUP BY k.k)"""
+
 ORACLE = {
+    "garment_shapes": f"{_SEWN} SELECT CAST(r.k AS VARCHAR) AS sample, round(chamfer, 6) AS chamfer_mm, round(100 / ((1 + r.k % 4 / 8.0::DOUBLE) ** 2), 6) AS iou, round(CASE WHEN n_gt > 0 THEN 100.0::DOUBLE * correct / n_gt ELSE 0 END, 6) AS stitch_accuracy, round(CASE WHEN n_pred > 0 THEN 100.0::DOUBLE * correct / n_pred ELSE 0 END, 6) AS stitch_precision, CAST(correct AS BIGINT) AS stitches_correct, n_pred AS stitches_pred, n_gt AS stitches_gt FROM r JOIN ch USING (k) JOIN m USING (k)",
+    # the edges 0 line, 1 quadratic, k % 5 cubic, then a circle at the number of different edges so far, at last a cubic without its numbers at 1
+    "garment_curves": """WITH s AS (SELECT s_suppkey AS k FROM supplier), e AS (SELECT k, 0 AS pl, 0 AS edge, 'line' AS kind, 0 AS n FROM s UNION ALL SELECT k, 1, 1, 'quadratic', 2 FROM s UNION ALL SELECT k, 2, k % 5, 'cubic', 4 FROM s UNION ALL SELECT k, 3, CASE WHEN k % 5 < 2 THEN 2 ELSE 3 END, 'circle', 3 FROM s UNION ALL SELECT k, 4, 1, 'cubic', 3 FROM s),
+      l AS (SELECT k, edge, arg_max(kind, pl) AS kind, arg_max(n, pl) AS n FROM e GROUP BY k, edge), p AS (SELECT unnest([0, 1]) AS p)
+      SELECT CAST(k AS VARCHAR) AS stem, 'panel_' || p AS panel, CAST(edge AS BIGINT) AS edge, kind, array_to_string(list_transform(range(n), lambda j: CAST(k % 7 + j AS VARCHAR)), ',') AS params FROM l, p WHERE edge < CASE p WHEN 0 THEN 3 ELSE 5 END AND n = CASE kind WHEN 'quadratic' THEN 2 WHEN 'cubic' THEN 4 WHEN 'circle' THEN 3 ELSE -1 END""",
+    "garment_spec": "SELECT CAST(s_suppkey AS VARCHAR) AS stem, 11.0::DOUBLE AS x, round(s_suppkey % 10 * 640 / 275.0::DOUBLE, 6) AS tx, -30.0::DOUBLE AS tz, 5::BIGINT AS n_edges, '[4,0]' AS last, len(list_filter(range(5), lambda j: (s_suppkey + j) % 11 <> 0))::BIGINT AS n_stitches, 100::BIGINT AS units FROM supplier",
     "scene_rivals": f"{_RIVALS} SELECT f AS file, round(2 * tp / (n_gt + n_pred)::DOUBLE, 6) AS f1, round(tp / n_pred::DOUBLE, 6) AS precision, round(tp / n_gt::DOUBLE, 6) AS recall, tp, n_pred - tp AS fp, n_gt - tp AS fn, CAST(angle AS BIGINT) AS angle, mirror FROM best JOIN n USING (f) JOIN a USING (a) JOIN m USING (m) WHERE place = 1",
     "scene_pair_params": f"""{_RIVALS}, u AS (SELECT CASE WHEN z.kind = 0 THEN 'Bed' ELSE 'Chair' END AS class, z.k, z.pk FROM z JOIN best USING (f, a, m) WHERE place = 1 AND pk IS NOT NULL),
   o AS (SELECT class, 'object' AS kind, 1 AS n, CASE WHEN pk % 3 <> 0 THEN 1 ELSE 0 END AS ok, 0 AS extra, 0.0::DOUBLE AS e, NULL::DOUBLE AS v FROM u
