@@ -5,6 +5,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,46 @@ def test_stretches_of_bins_are_those_of_plain_first_fit():
         assert got == packing.first_fit(lengths, capacity)
 
 
+def test_order_statistics_of_many_values_in_one_group(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=300_000) * 10.0 ** rng.integers(-200, 200, 300_000), np.full(50_000, 0.25), [-0.0, 1e308, -1e308]])
+    df = spark.createDataFrame(pd.DataFrame({"x": values, "g": np.where(np.arange(len(values)) % 1000 == 7, "few", "many")})).repartition(6)
+    few, many = (np.sort(values[(np.arange(len(values)) % 1000 == 7) == own]) for own in (True, False))
+    shares = {"a": 0.0, "b": 0.123456, "c": 0.5, "d": 0.999999, "e": 1.0}
+    got = {r["g"]: r for r in ranks.percentiles(df, "x", shares, ["g"]).collect()}
+    index = {r["g"]: r for r in ranks.index_quantiles(df, "x", {k: p for k, p in shares.items() if p < 1}, ["g"]).collect()}
+    for g, own in (("few", few), ("many", many)):
+        for k, p in shares.items():
+            assert got[g][k] == pytest.approx(np.percentile(own, 100 * p), rel=1e-12)
+            assert p == 1 or index[g][k] == own[int(len(own) * p)]
+    assert ranks.percentiles(df.where("false"), "x", shares).collect()[0]["a"] is None
+    assert ranks.percentiles(df.select(F.lit(None).cast("double").alias("x"), "g"), "x", shares, ["g"]).count() == 0
+
+
+def test_samples_are_those_of_the_least_hashes(spark):
+    import hashlib
+
+    rows = [(i, "a" if i % 10 else ("b" if i % 20 else None)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, g string").repartition(5)
+    least = lambda own, n: sorted(own, key=lambda k: hashlib.md5(f"{k}-4".encode()).hexdigest())[:n]
+    for n in (1, 40, 149, 150, 151, 5000):
+        got = {}
+        for r in ranks.sample(df, "k", n, 4, ["g"]).collect():
+            got.setdefault(r["g"], []).append(r["k"])
+        assert {g: sorted(v) for g, v in got.items()} == {g: sorted(least([k for k, h in rows if h == g], n)) for g in ("a", "b", None)}
+    assert sorted(r["k"] for r in ranks.sample(df, "k", 7, 4).collect()) == sorted(least([k for k, _ in rows], 7))
+    assert ranks.sample(df.where("false"), "k", 7).count() == 0
+    order = [r["k"] for r in ranks.shuffled(df, "k", 4).orderBy("place").collect()]
+    assert order == least([k for k, _ in rows], 3000)
+
+
+def test_samples_where_the_hashes_are_uneven(spark, monkeypatch):
+    """Hashes that all lie high: too few rows are below the bound, and all of the group are ranked."""
+    monkeypatch.setattr(ranks, "drawn", lambda key, seed: F.concat(F.lit("ffff"), F.md5(key.cast("string").cast("binary"))))
+    assert ranks.sample(spark.range(1000), "id", 3).count() == 3
+    assert ranks.sample(spark.range(1000).withColumn("g", F.col("id") % 2), "id", 3, 0, ["g"]).count() == 6
+
+
 def _brute_scores(gt, pred, thresholds, n, reach):
     """The best of all transforms and offsets, each offset tried."""
     truth, line = scene.placed(gt), scene.grid(n, reach)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.ranks import index_quantiles, percentiles
+
 #: Lower bounds of the half-open length bins; the last one is open.
 BOUNDS = (0, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768)
 
@@ -14,8 +16,10 @@ BOUNDS = (0, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768)
 def batch_stats(rows: DataFrame, length: str, by: str, shares: Sequence[int] = (25, 50, 75, 90, 95, 99)) -> DataFrame:
     """A row for each ``by``: count, extremes, mean, median, population deviation, sum and interpolated percentiles."""
     x = F.col(length)
-    exact = [F.percentile(x, p / 100).alias(f"p{p}") for p in shares]
-    return rows.groupBy(by).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("std"), F.sum(x).alias("total"), *exact)
+    sums = rows.groupBy(by).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.sum(x).alias("total"))
+    exact = percentiles(rows, length, {"median": 0.5} | {f"p{p}": p / 100 for p in shares}, [by])
+    met = sums.alias("s").join(exact.alias("e"), F.col(f"s.{by}").eqNullSafe(F.col(f"e.{by}")), "left")
+    return met.select(f"s.{by}", "n", "least", "most", "mean", "median", "std", "total", *[f"p{p}" for p in shares])
 
 
 def rollup(per_batch: DataFrame) -> DataFrame:
@@ -52,14 +56,13 @@ def packed_stats(packed: DataFrame, shares: Sequence[int] = (10, 25, 50, 75, 90,
     per_row = F.greatest(F.size("sequence_lengths"), F.lit(0)) if "sequence_lengths" in packed.columns else F.lit(1)
     rows = packed.select(per_row.alias("k")).agg(F.count("*").alias("packed_rows"), F.avg("k").alias("mean_per_row"), F.min("k").alias("least_per_row"), F.max("k").alias("most_per_row"))
     x = F.col("length")
-    own = sequences(packed).agg(F.count(x).alias("sequences"), F.sum(x).alias("tokens"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"), *[F.percentile(x, p / 100).alias(f"p{p}") for p in shares])
-    return own.crossJoin(rows).withColumn("ratio", F.try_divide("sequences", "packed_rows"))  # one row each
+    own = sequences(packed).agg(F.count(x).alias("sequences"), F.sum(x).alias("tokens"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
+    exact = percentiles(sequences(packed), "length", {"median": 0.5} | {f"p{p}": p / 100 for p in shares})
+    return own.crossJoin(exact).crossJoin(rows).withColumn("ratio", F.try_divide("sequences", "packed_rows"))  # one row each
 
 
 def length_report(rows: DataFrame, length: str, limit: int) -> DataFrame:
     """One row: the index-rule median, P95, P99, extremes, mean and the share that fits ``limit``."""
-    from weftline.operators.ranks import index_quantiles
-
     x = F.col(length)
     total = rows.agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.try_divide(F.count_if(x <= limit), F.count(x)).alias("fits"))
     return total.crossJoin(index_quantiles(rows, length, {"median": 0.5, "p95": 0.95, "p99": 0.99}))  # one row each

@@ -107,13 +107,22 @@ def hash_split(spark, sf_dir):  # O9
     return ranks.split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 0.1, 42, ["lang"]).select("doc_id", "split")
 
 
-def row_sample(spark, sf_dir):  # O7: how many rows a sample has
-    return ranks.sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, 3).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
+def row_sample(spark, sf_dir):  # O7: the rows that are drawn
+    return ranks.sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, 3)
 
 
-def shuffled_rows(spark, sf_dir):  # O8: the same rows in another order
-    rows = ranks.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 1)
-    return rows.agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"))
+def group_sample(spark, sf_dir):  # O7: of each source
+    return ranks.sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 12, 5, ["source"])
+
+
+def shuffled_rows(spark, sf_dir):  # O8: each row's place in another order
+    return ranks.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 1)
+
+
+def price_percentiles(spark, sf_dir):  # A1, A6: order statistics of decimal values, of which there are many
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 7).cast("double").alias("x"))
+    out = ranks.percentiles(rows, "x", {"p01": 0.01, "p50": 0.5, "p99": 0.99}, ["l_returnflag"]).join(ranks.index_quantiles(rows, "x", {"least": 0.0, "third": 1 / 3}, ["l_returnflag"]), "l_returnflag")
+    return out.withColumns({c: _digits(F.col(c), 4) for c in out.columns[1:]})
 
 
 def pack_ffd(spark, sf_dir):  # T12, O2
@@ -204,7 +213,7 @@ def flagship(spark, sf_dir):
     return rows.agg(F.count("*").alias("conversations"), F.sum("supervised").alias("supervised"), F.percentile("supervised", 0.5).alias("p50"), F.percentile("supervised", 0.95).alias("p95"))
 
 
-QUERIES = {f.__name__: f for f in (chat_render, label_mask_counts, labels_all_roles, label_texts, over_length, vision_tokens, collate, text_lengths, length_filter, length_stats, length_rollup, length_hist, length_hist_closed, length_index_percentile, length_report, packed_lengths, batch_assign, page_of_rows, hash_split, row_sample, shuffled_rows, pack_ffd, pack_corpus, pack_totals, pack_gate, prompt_records, unpack_positions, vision_positions, image_token_counts, rows_with_images, segment_images, perplexity, running_loss, prefix_offsets, flagship)}
+QUERIES = {f.__name__: f for f in (chat_render, label_mask_counts, labels_all_roles, label_texts, over_length, vision_tokens, collate, text_lengths, length_filter, length_stats, length_rollup, length_hist, length_hist_closed, length_index_percentile, length_report, packed_lengths, batch_assign, page_of_rows, hash_split, row_sample, group_sample, shuffled_rows, price_percentiles, pack_ffd, pack_corpus, pack_totals, pack_gate, prompt_records, unpack_positions, vision_positions, image_token_counts, rows_with_images, segment_images, perplexity, running_loss, prefix_offsets, flagship)}
 
 _TURN = "(4 + octet_length(encode(role)) + octet_length(encode(coalesce(text, ''))))"
 _LENGTH = f"SELECT conv_id, sum({_TURN}) AS n, sum(CASE WHEN role = 'assistant' THEN {_TURN} ELSE 0 END) AS s, sum(CASE WHEN role <> 'user' THEN {_TURN} ELSE 0 END) AS o FROM conversations GROUP BY conv_id"
@@ -245,8 +254,10 @@ ORACLE = {
     "batch_assign": "SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS batch_id FROM documents",
     "page_of_rows": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 50 OFFSET 100",
     "hash_split": "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42')) <= floor(count(*) OVER (PARTITION BY lang) * 0.1) THEN 'test' ELSE 'train' END AS split FROM documents",
-    "row_sample": "SELECT least(50, count(*)) AS n, least(50, count(*)) AS ids FROM documents",
-    "shuffled_rows": "SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS total FROM documents",
+    "row_sample": "SELECT doc_id FROM documents QUALIFY row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '-3')) <= 50",
+    "group_sample": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR) || '-5')) <= 12",
+    "shuffled_rows": "SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '-1')) - 1 AS place FROM documents",
+    "price_percentiles": "WITH x AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) / 7 AS x FROM lineitem), s AS (SELECT l_returnflag, quantile_cont(x, 0.01) AS p01, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.99) AS p99, list_sort(list(x)) AS l FROM x GROUP BY l_returnflag) SELECT l_returnflag, round(p01, 4) AS p01, round(p50, 4) AS p50, round(p99, 4) AS p99, round(l[1], 4) AS least, round(l[CAST(floor(len(l) * (1 / 3.0::DOUBLE)) AS INT) + 1], 4) AS third FROM s",
     "pack_ffd": f"{_FFD.format(rows=_BATCHES, capacity=20000)} SELECT batch_id, row_id, bin - 1 AS bin_id, place FROM f WHERE bin > 0",
     "pack_corpus": f"{_FFD.format(rows=_CORPUS, capacity=9000)} SELECT batch_id, row_id, bin - 1 AS bin_id, place FROM f WHERE bin > 0",
     "pack_totals": f"{_FFD.format(rows=_BATCHES, capacity=20000)}, b AS (SELECT batch_id, bin, sum(least(n, 20000)) AS n, count(*) AS k FROM f WHERE bin > 0 GROUP BY ALL) SELECT batch_id, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(k) AS BIGINT) AS sequences, count(*) AS bins, CAST(max(n) AS BIGINT) AS fullest, CAST(min(n) AS BIGINT) AS emptiest FROM b GROUP BY batch_id",

@@ -44,6 +44,11 @@ def view_pairs(spark, sf_dir):  # S4, S5, J3, O7: how many views, within the ran
     return got.select("stem", F.size("image_paths").cast("long").alias("views"))
 
 
+def drawn_views(spark, sf_dir):  # S4, J3, O7: the very views that are drawn, two to four of up to seven
+    got = files.image_pairs(_docs(spark, sf_dir), _images(spark, sf_dir), "multi_view", (2, 4), 9)
+    return got.select("stem", F.array_join("image_paths", ",").alias("paths"))
+
+
 def flat_views(spark, sf_dir):  # S6
     got = files.image_pairs(_docs(spark, sf_dir), _images(spark, sf_dir), "multi_view2", (1, 1))
     return got.select("stem", F.array_join("image_paths", ",").alias("paths"))
@@ -206,7 +211,7 @@ def nearest_match(spark, sf_dir):  # J13: every vector to its nearest of the sam
     return got.select(F.col("vec_id").alias("q"), "nearest", F.round("distance", 5).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (caption_pairs, unpaired, panorama_pairs, view_pairs, flat_views, front_views, eligible_views, built_conversations, built_views, built_blueprints, samples, rejected_records, resolutions, parsed_responses, run_counters, contour_report, prompt_blueprints, archive_refs, saved_splits, saved_batches, saved_filtered, saved_statistics, merged_splits, union_fill, key_set_ops, json_field_agg, confusion_f1, strip_text, nearest_match)}
+QUERIES = {f.__name__: f for f in (caption_pairs, unpaired, panorama_pairs, view_pairs, drawn_views, flat_views, front_views, eligible_views, built_conversations, built_views, built_blueprints, samples, rejected_records, resolutions, parsed_responses, run_counters, contour_report, prompt_blueprints, archive_refs, saved_splits, saved_batches, saved_filtered, saved_statistics, merged_splits, union_fill, key_set_ops, json_field_agg, confusion_f1, strip_text, nearest_match)}
 
 _R = "CASE event_id % 5 WHEN 2 THEN 'empty_response' WHEN 3 THEN 'json_error' ELSE 'ok' END"
 _RESPONSE = "CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '<think>{</think> ' || props WHEN 2 THEN ' ' || chr(10) WHEN 3 THEN '{\"a\":' ELSE '{\"a\":NaN}' END"
@@ -217,6 +222,9 @@ ORACLE = {
     "unpaired": "SELECT CAST(doc_id AS VARCHAR) AS stem FROM documents ANTI JOIN labels USING (doc_id)",
     "panorama_pairs": "SELECT CAST(doc_id AS VARCHAR) AS stem, 'file:/img/' || doc_id || '/panorama/panorama_rgb.png' AS image_path FROM documents WHERE doc_id % 2 = 0",
     "view_pairs": "SELECT CAST(doc_id AS VARCHAR) AS stem, 4::BIGINT AS views FROM documents WHERE doc_id % 7 >= 3",
+    "drawn_views": """WITH v AS (SELECT doc_id, 'file:/img/' || doc_id || '/orbit/orbit_' || unnest(range(doc_id % 7 + 1)) || '.png' AS path FROM documents),
+      s AS (SELECT doc_id, list(path ORDER BY md5(path || '-9')) AS p, ('0x' || substr(md5(doc_id || '-9'), 1, 8))::BIGINT AS h FROM v GROUP BY doc_id HAVING count(*) >= 2)
+      SELECT CAST(doc_id AS VARCHAR) AS stem, array_to_string(p[1:2 + h % (least(len(p), 4) - 1)], ',') AS paths FROM s""",
     "flat_views": "SELECT CAST(doc_id AS VARCHAR) AS stem, 'file:/img/' || doc_id || '/front.png' AS paths FROM documents WHERE doc_id % 3 = 0",
     "front_views": "SELECT CAST(doc_id AS VARCHAR) AS stem, 'file:/img/' || doc_id || '/front.png' AS paths FROM documents WHERE doc_id % 3 = 0",
     "eligible_views": "SELECT CAST(doc_id AS VARCHAR) AS stem FROM documents WHERE doc_id % 7 >= 3",

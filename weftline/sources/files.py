@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.ranks import drawn
 from weftline.scratch import hadoop_file
 
 #: Fixed layouts of image folders by mode: the path below the image folder, from the scene's stem on.
@@ -113,10 +114,10 @@ def view_sets(images: DataFrame, least: int = 4, most: int | None = None, seed:
     sets = images.groupBy("parent").agg(F.array_sort(F.collect_list("path")).alias("image_paths")).where(F.size("image_paths") >= least)
     if most is None:
         return sets
-    drawn = F.array_sort(F.transform("image_paths", lambda p: F.struct(F.xxhash64(p, F.lit(seed)).alias("h"), p.alias("p"))))
+    order = F.array_sort(F.transform("image_paths", lambda p: F.struct(drawn(p, seed).alias("h"), p.alias("p"))))
     top = F.least(F.size("image_paths"), F.lit(most))
-    n = F.pmod(F.xxhash64("parent", F.lit(seed)), top - least + 1).cast("int") + least
-    return sets.select("parent", F.slice(drawn["p"], F.lit(1), n).alias("image_paths"))
+    n = F.pmod(F.conv(F.substring(drawn(F.col("parent"), seed), 1, 8), 16, 10).cast("long"), top - least + 1).cast("int") + least
+    return sets.select("parent", F.slice(order["p"], F.lit(1), n).alias("image_paths"))
 
 
 def eligible(scenes: DataFrame, mode: str, captions: DataFrame | None = None, images: DataFrame | None = None, least: int = VIEWS[0]) -> DataFrame:
