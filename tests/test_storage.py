@@ -292,6 +292,38 @@ def test_arrow_files(spark, tmp_path):
         datasets.arrow_paths(str(tmp_path / "none"))
 
 
+def test_one_large_arrow_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    n = 4000
+    table = pa.table({"id": range(n), "text": [None if i % 7 == 0 else f"t{i % 10}" for i in range(n)], "x": [float("nan") if i % 5 == 0 else i / 2 for i in range(n)], "wide": [[i] * 20 for i in range(n)]})
+    path = str(tmp_path / "a b.arrow")
+    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as w:
+        for b in table.to_batches(max_chunksize=100):
+            w.write_batch(b)
+    monkeypatch.setattr(datasets, "ARROW_SPLIT", os.path.getsize(path) // 8)
+    rows = datasets.arrow_files(spark, path)
+    assert rows.count() == n
+    parts = datasets.ArrowReader(path, rows.schema, False, []).partitions()
+    assert len(parts) >= 8 and [p.first for p in parts[1:]] == [p.last for p in parts[:-1]] and (parts[0].first, parts[-1].last) == (0, 40)
+    assert datasets.arrow_files(spark, path, ["text", "id"]).columns == ["text", "id"]
+    for condition, filters in FILTERS.items():
+        got = datasets.arrow_files(spark, path, ["id"], filters)
+        assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in rows.where(condition).select("id").collect()), condition
+    few = datasets.arrow_files(spark, path, ["text"], [("id", "<", 10)])
+    assert few.where("text is not null").count() == 8 and few.count() == 10
+    with pytest.raises(Exception, match="no columns"):
+        datasets.arrow_files(spark, path, ["none"]).count()
+    with pytest.raises(ValueError, match="unknown comparison"):
+        datasets.arrow_files(spark, path, filters=[("id", "~", 1)])
+
+
+FILTERS = {
+    "id > 3900": [("id", ">", 3900)], "id >= 10 and id < 20 and text is not null": [("id", ">=", 10), ("id", "<", 20), ("text", "is not null")], "text in ('t1', 't2') and id <= 500": [("text", "in", ["t1", "t2"]), ("id", "<=", 500)],
+    "text != 't3'": [("text", "!=", "t3")], "text is null": [("text", "is null")], "text like 't1%'": [("text", "startswith", "t1")], "text not in ('t1')": [("text", "not in", ["t1"])], "x > 1900": [("x", ">", 1900)], "x < 3 or isnan(x) and false": [("x", "<", 3)], "x = 1.0": [("x", "=", 1.0)],
+}
+
+
 def test_build_to_dataset(spark, tmp_path):
     scenes = spark.createDataFrame([(f"s{i}", json.dumps({"blueprint": {"rooms": {}}, "object_1": {"n": i}}) if i % 4 else "{bad", f"words {i}") for i in range(12)], "stem string, raw string, caption string")
     counts = sinks.prepare(scenes, "caption", str(tmp_path / "a"), 400, pack=True, test_share=0.5).first()
