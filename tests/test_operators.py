@@ -287,6 +287,32 @@ def test_vision_positions(spark):
     assert got[1][0] == [*range(len(ids)), *range(20 - len(ids))] and got[1][1:] == both[:, :20].tolist() and got[2] == [[0, 1]] * 4
 
 
+def test_positions_of_the_jvm_are_those_of_each_sequence(spark):
+    start, image, draw, rows = 100, 101, np.random.default_rng(2), []
+    for k in range(200):
+        ids, lengths, grids = [], [], []
+        for _ in range(draw.integers(0, 4)):
+            own = []
+            for _ in range(draw.integers(0, 4)):
+                if draw.random() < 0.6:
+                    t, h, w = map(int, draw.integers(1, 4, 3))
+                    grids.append([t, 2 * h, 2 * w])
+                    own += [start] + [image] * (t * h * w)
+                own += draw.choice([1, 2, 3], draw.integers(0, 5)).tolist() + ([start, 1] if draw.random() < 0.2 else [])
+            lengths.append(len(own))
+            ids += own
+        ids += [0] * int(draw.integers(0, 5))
+        rows.append((k, ids, lengths if draw.random() < 0.9 else None, grids[:-1] if draw.random() < 0.1 else grids))
+    df = spark.createDataFrame(rows, "k int, input_ids array<int>, sequence_lengths array<int>, image_grids array<array<int>>")
+    for to in (None, 7, 20):
+        got = {r["k"]: r["positions"] for r in vision.position_ids(df, start, image, to).collect()}
+        for k, ids, lengths, grids in rows:
+            x = ids[:to]
+            n = np.diff([0, *np.minimum(np.cumsum(lengths), len(x))]).tolist() if lengths else [len(x)]
+            run = [i for m in (*n, len(x) - sum(n)) for i in range(m)]
+            assert got[k] == [run, *vision.packed_axes(x, n, [tuple(g) for g in grids], start, image).tolist()], (to, k)
+
+
 def test_image_tokens(spark):
     df = spark.createDataFrame([([9, 100, 101, 101, 8, 100, 101, 7], [3, 1]), ([100, 5], [2]), ([5], [2])], "ids array<int>, n array<int>")
     rows = df.select(vision.expand(F.col("ids"), F.col("n"), 100, 101).alias("x"), vision.image_count(F.col("ids"), 100, 101).alias("c")).collect()

@@ -171,24 +171,59 @@ def packed_axes(ids, lengths, grids, start: int, image: int, merge: int = 2) ->
     return np.concatenate(parts, 1) if parts else np.zeros((3, 0), np.int64)
 
 
+_RUN = "struct<text: int, top: int, cells: int, base: int, h: int, w: int>"
+
+
+def _runs(ids: Column, lengths: Column, grids: Column, start: int, image: int, merge: int) -> Column:
+    """Stretches of text and of an image's cells behind it, from one pass over the starts of sub-sequences and of images.
+
+    ``top`` is the position of a stretch's first text token, ``base`` that of its first cell.
+    """
+    total = F.size(ids)
+    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.least(F.element_at(a, -1) + n, total)))
+    begins = F.transform(F.array_append(ends, total), lambda x, i: F.struct(F.get(F.concat(F.array(F.lit(0)), ends), i).alias("at"), F.lit(0).alias("kind"), x.alias("end")))
+    sequences = F.slice(begins, F.lit(2), F.size(begins) - 1)
+    firsts = F.filter(F.transform(F.arrays_zip(ids.alias("x"), F.slice(ids, F.lit(2), F.greatest(total, F.lit(1))).alias("y")), lambda p, i: F.when((p["x"] == start) & (p["y"] == image), i + 1)), lambda i: i.isNotNull() & ~F.array_contains(ends, i))
+    events = F.array_sort(F.concat(sequences, F.transform(firsts, lambda i: F.struct(i.alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("end")))))
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("top"), F.lit(0).alias("end"), F.lit(0).alias("used"), F.array().cast(f"array<{_RUN}>").alias("runs"))
+    run = lambda text, top, cells, base, h, w: F.struct(text.alias("text"), top.alias("top"), cells.alias("cells"), base.alias("base"), h.alias("h"), w.alias("w"))
+    none = F.lit(0)
+
+    def step(a, e):
+        text = e["at"] - a["at"]
+        sequence = F.struct(e["at"].alias("at"), none.alias("top"), e["end"].alias("end"), a["used"].alias("used"), F.array_append(a["runs"], run(text, a["top"], none, none, none, none)).alias("runs"))
+        grid = F.get(grids, a["used"])
+        h, w = (F.floor(F.get(grid, i) / merge).cast("int") for i in (1, 2))
+        n = F.least(F.get(grid, 0) * h * w, a["end"] - e["at"])
+        last = n - 1
+        most = F.greatest(F.floor(last / (h * w)).cast("int"), F.least(F.floor(last / w).cast("int"), h - 1), F.least(last, w - 1))
+        base = a["top"] + text
+        pictured = F.struct((e["at"] + n).alias("at"), (base + F.when(n > 0, most + 1).otherwise(0)).alias("top"), a["end"].alias("end"), (a["used"] + 1).alias("used"), F.array_append(a["runs"], run(text, a["top"], n, base, h, w)).alias("runs"))
+        return F.when(e["kind"] == 0, sequence).when((a["used"] < F.size(grids)) & (e["at"] >= a["at"]), pictured).otherwise(a)
+
+    return F.aggregate(events, begin, step, lambda a: F.array_append(a["runs"], run(total - a["at"], a["top"], none, none, none, none)))
+
+
+def _counted(n: Column, value) -> Column:
+    """An array of ``value(0)`` to ``value(n - 1)``."""
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.array().cast("array<int>"))
+
+
 def position_ids(packed: DataFrame, start: int, image: int, to: int | None = None, merge: int = 2) -> DataFrame:
     """Adds ``positions``: four arrays a row - the running position within each sub-sequence, then time, height and width.
 
     packed: input_ids, sequence_lengths (null: one sequence) and image_grids (arrays of t, h, w).
-    Rows are cut to ``to`` tokens, the lengths with them.
+    Rows are cut to ``to`` tokens, the lengths with them.  The same as ``packed_axes``, by expressions of the JVM.
     """
-
-    @F.pandas_udf("array<array<int>>")
-    def run(ids: pd.Series, lengths: pd.Series, grids: pd.Series) -> pd.Series:
-        out = []
-        for x, n, g in zip(ids, lengths, grids, strict=True):
-            x = np.asarray(x, np.int64)[:to]
-            ends = np.minimum(np.cumsum(n), len(x)) if n is not None and len(n) else np.array([len(x)])
-            n = np.diff(np.concatenate([[0], ends]))
-            runs = np.concatenate([np.arange(k) for k in (*n, len(x) - n.sum())])
-            own = packed_axes(x, n, [tuple(map(int, y)) for y in g] if g is not None else [], start, image, merge)
-            out.append(np.concatenate([runs[None], own]).astype(np.int32).tolist())
-        return pd.Series(out)
-
     lengths = F.col("sequence_lengths") if "sequence_lengths" in packed.columns else F.lit(None).cast("array<int>")
-    return packed.withColumn("positions", run("input_ids", lengths, "image_grids"))
+    ids = F.col("input_ids") if to is None else F.slice("input_ids", 1, to)
+    rows = packed.withColumn("_ids", F.coalesce(ids, F.array().cast("array<int>")))
+    rows = rows.withColumn("_n", F.when(F.size(lengths) > 0, lengths.cast("array<int>")).otherwise(F.array(F.size("_ids"))))
+    rows = rows.withColumn("_g", F.coalesce(F.col("image_grids").cast("array<array<int>>"), F.array().cast("array<array<int>>")))
+    rows = rows.withColumn("_r", _runs(F.col("_ids"), F.col("_n"), F.col("_g"), start, image, merge))
+    cell = (lambda r, k: F.floor(k / (r["h"] * r["w"])), lambda r, k: F.floor(k / r["w"]) % r["h"], lambda r, k: k % r["w"])
+    axis = lambda of: F.flatten(F.transform("_r", lambda r: F.concat(_counted(r["text"], lambda k: r["top"] + k), _counted(r["cells"], lambda k: (r["base"] + of(r, k)).cast("int")))))
+    ends = F.aggregate("_n", F.array(F.lit(0)), lambda a, n: F.array_append(a, F.least(F.element_at(a, -1) + n, F.size("_ids"))))
+    own = F.zip_with(F.array_append(ends, F.size("_ids")), F.concat(F.array(F.lit(0)), ends), lambda b, a: b - a)
+    running = F.flatten(F.transform(own, lambda n: _counted(n, lambda k: k.cast("int"))))
+    return rows.withColumn("positions", F.array(F.filter(running, lambda x: x.isNotNull()), *[axis(c) for c in cell])).select(*packed.columns, "positions")

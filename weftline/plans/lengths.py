@@ -170,6 +170,21 @@ def vision_positions(spark, sf_dir):  # T16-T18: an image of 2 x 3 merged patche
     return own.select("doc_id", *[total(i).cast("long").alias(c) for i, c in enumerate(("run", "t", "h", "w"))])
 
 
+def vision_grids(spark, sf_dir):  # T16-T18: two sequences a row, three images of grids that vary, text between them, padding, cut rows
+    start, image = VISION
+    k = F.col("doc_id").cast("int")
+    grid = lambda j: F.array(1 + (k + j) % 2, 2 * (1 + (k + j) % 3), 2 * (1 + (k + 2 * j) % 4))
+    cells = lambda j: ((1 + (k + j) % 2) * (1 + (k + j) % 3) * (1 + (k + 2 * j) % 4)).cast("int")
+    picture = lambda j: F.concat(F.array(F.lit(start)), F.array_repeat(F.lit(image), cells(j)))
+    words = lambda n: F.array_repeat(F.lit(1), n.cast("int"))
+    first = F.concat(words(k % 5), picture(0), words(1 + k % 3), picture(1), words(k % 4))
+    second = F.concat(picture(2), words(2 + k % 2))
+    rows = table(spark, sf_dir, "labels").select("doc_id", first.alias("a"), second.alias("b"), F.array(grid(0), grid(1), grid(2)).alias("image_grids"))
+    rows = rows.select("doc_id", F.concat("a", "b", F.array_repeat(F.lit(0), (k % 6).cast("int"))).alias("input_ids"), F.array(F.size("a"), F.size("b")).alias("sequence_lengths"), "image_grids")
+    told = lambda i: F.md5(F.array_join(F.transform(F.get("positions", i), lambda x: x.cast("string")), ",").cast("binary"))
+    return vision.position_ids(rows, start, image, 60).select("doc_id", *[told(i).alias(c) for i, c in enumerate(("run", "t", "h", "w"))])
+
+
 def image_token_counts(spark, sf_dir):  # T7-T9, J16
     rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 3, F.col("p_size") * 40).alias("width"), (F.col("p_size") * 24).alias("height"))
     return vision.with_token_counts(rows).select("p_partkey", F.col("image_tokens").cast("long").alias("image_tokens"))
@@ -213,7 +228,7 @@ def flagship(spark, sf_dir):
     return rows.agg(F.count("*").alias("conversations"), F.sum("supervised").alias("supervised"), F.percentile("supervised", 0.5).alias("p50"), F.percentile("supervised", 0.95).alias("p95"))
 
 
-QUERIES = {f.__name__: f for f in (chat_render, label_mask_counts, labels_all_roles, label_texts, over_length, vision_tokens, collate, text_lengths, length_filter, length_stats, length_rollup, length_hist, length_hist_closed, length_index_percentile, length_report, packed_lengths, batch_assign, page_of_rows, hash_split, row_sample, group_sample, shuffled_rows, price_percentiles, pack_ffd, pack_corpus, pack_totals, pack_gate, prompt_records, unpack_positions, vision_positions, image_token_counts, rows_with_images, segment_images, perplexity, running_loss, prefix_offsets, flagship)}
+QUERIES = {f.__name__: f for f in (chat_render, label_mask_counts, labels_all_roles, label_texts, over_length, vision_tokens, collate, text_lengths, length_filter, length_stats, length_rollup, length_hist, length_hist_closed, length_index_percentile, length_report, packed_lengths, batch_assign, page_of_rows, hash_split, row_sample, group_sample, shuffled_rows, price_percentiles, pack_ffd, pack_corpus, pack_totals, pack_gate, prompt_records, unpack_positions, vision_positions, vision_grids, image_token_counts, rows_with_images, segment_images, perplexity, running_loss, prefix_offsets, flagship)}
 
 _TURN = "(4 + octet_length(encode(role)) + octet_length(encode(coalesce(text, ''))))"
 _LENGTH = f"SELECT conv_id, sum({_TURN}) AS n, sum(CASE WHEN role = 'assistant' THEN {_TURN} ELSE 0 END) AS s, sum(CASE WHEN role <> 'user' THEN {_TURN} ELSE 0 END) AS o FROM conversations GROUP BY conv_id"
@@ -266,6 +281,15 @@ ORACLE = {
     "unpack_positions": "SELECT conv_id, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pos_sum, '0,' || string_agg(CAST(e AS VARCHAR), ',' ORDER BY turn) AS boundaries FROM (SELECT conv_id, turn, length(text) AS n, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS e FROM conversations) GROUP BY conv_id",
     # start 0; image t 1, h 1 1 1 2 2 2, w 1 2 3 1 2 3; text from 1 + the largest, 4 to 8; padding 0 to 3
     "vision_positions": "SELECT doc_id, CAST(66 + 6 AS BIGINT) AS run, CAST(6 + 30 + 6 AS BIGINT) AS t, CAST(9 + 30 + 6 AS BIGINT) AS h, CAST(12 + 30 + 6 AS BIGINT) AS w FROM labels",
+    # parts in order: (sequence, number, text tokens or 0, image or none); an image moves what follows by its longest side
+    "vision_grids": """WITH k AS (SELECT doc_id, CAST(doc_id AS BIGINT) AS k FROM labels), g AS (SELECT k.*, j, 1 + (k + j) % 2 AS t, 1 + (k + j) % 3 AS h, 1 + (k + 2 * j) % 4 AS w FROM k, (SELECT unnest([0, 1, 2]) AS j)),
+      p AS (SELECT doc_id, 0 AS s, 0 AS n, k % 5 + 1 AS c, 0 AS t, 0 AS h, 0 AS w FROM k UNION ALL SELECT doc_id, 0, 1, 0, t, h, w FROM g WHERE j = 0 UNION ALL SELECT doc_id, 0, 2, 2 + k % 3, 0, 0, 0 FROM k UNION ALL SELECT doc_id, 0, 3, 0, t, h, w FROM g WHERE j = 1
+            UNION ALL SELECT doc_id, 0, 4, k % 4, 0, 0, 0 FROM k UNION ALL SELECT doc_id, 1, 0, 1, 0, 0, 0 FROM k UNION ALL SELECT doc_id, 1, 1, 0, t, h, w FROM g WHERE j = 2 UNION ALL SELECT doc_id, 1, 2, 2 + k % 2, 0, 0, 0 FROM k UNION ALL SELECT doc_id, 2, 0, k % 6, 0, 0, 0 FROM k),
+      q AS (SELECT *, coalesce(sum(c + greatest(t, h, w)) OVER v, 0) AS top, coalesce(sum(c + t * h * w) OVER v, 0) AS before FROM p WINDOW v AS (PARTITION BY doc_id, s ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      r AS (SELECT *, unnest(range(c + t * h * w)) AS i FROM q),
+      x AS (SELECT doc_id, s, before + i AS run, CASE WHEN c > 0 THEN top + i ELSE top + i // (h * w) END AS t, CASE WHEN c > 0 THEN top + i ELSE top + i // w % h END AS h, CASE WHEN c > 0 THEN top + i ELSE top + i % w END AS w FROM r),
+      y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, run) AS place FROM x)
+      SELECT doc_id, md5(string_agg(CAST(CAST(run AS BIGINT) AS VARCHAR), ',' ORDER BY place)) AS run, md5(string_agg(CAST(CAST(t AS BIGINT) AS VARCHAR), ',' ORDER BY place)) AS t, md5(string_agg(CAST(CAST(h AS BIGINT) AS VARCHAR), ',' ORDER BY place)) AS h, md5(string_agg(CAST(CAST(w AS BIGINT) AS VARCHAR), ',' ORDER BY place)) AS w FROM y WHERE place <= 60 GROUP BY doc_id""",
     "image_token_counts": f"WITH s AS (SELECT p_partkey, CASE WHEN p_size > 3 THEN p_size * 40 END AS x, p_size * 24 AS y FROM part), r AS (SELECT *, greatest(round(x / 32.0) * 32, 32) AS w, greatest(round(y / 32.0) * 32, 32) AS h FROM s), f AS (SELECT p_partkey, {_FIT.format(x='x', own='w')} AS fw, {_FIT.format(x='y', own='h')} AS fh FROM r WHERE x IS NOT NULL) SELECT p_partkey, CAST(coalesce(fw / 32 * (fh / 32), 256) AS BIGINT) AS image_tokens FROM s LEFT JOIN f USING (p_partkey)",
     "rows_with_images": "SELECT conv_id, count(*) AS num_images, string_agg('shard::' || conv_id || '/' || turn, ',' ORDER BY conv_id || '/' || turn) AS refs, CAST(sum(length(text)) AS BIGINT) AS image_tokens FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE length(text) % 5 = 0) = 0",
     "segment_images": "SELECT doc_id, CAST(0 AS BIGINT) AS seg, array_to_string(list_transform(range(1, doc_id % 3 + 1), lambda i: doc_id || '::' || i), ',') AS refs FROM labels UNION ALL SELECT doc_id, 1, doc_id || '::' || (doc_id % 3 + 1) || ',' || doc_id || '::' || (doc_id % 3 + 2) FROM labels",

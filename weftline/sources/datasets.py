@@ -130,7 +130,7 @@ def _condition(column: str, op: str, value=None) -> pc.Expression:
     if op == "startswith":
         return pc.starts_with(at, value)
     if op in (">", ">=") and isinstance(value, (int, float)) and not isinstance(value, bool):
-        number = pc.cast(at, pa.float64(), safe=False)
+        number = at.cast(pa.float64(), safe=False)
         return (at > value if op == ">" else at >= value) | pc.is_nan(number)
     known = {"=": at.__eq__, "!=": at.__ne__, "<": at.__lt__, "<=": at.__le__, ">": at.__gt__, ">=": at.__ge__}
     if op not in known:
