@@ -88,6 +88,36 @@ def test_near_duplicates_brute_force(spark, monkeypatch, tile):
     assert got == {i: find(i) for i in range(len(sets))}
 
 
+def test_near_duplicates_of_all_texts_of_a_repeated_id(spark):
+    rng, rows = np.random.default_rng(5), []
+    for k in range(60):
+        base = list(rng.choice(W, rng.integers(1, 60)))
+        for _ in range(3):
+            own = list(base)
+            if rng.random() < 0.5 and own:
+                own[rng.integers(len(own))] = str(rng.choice(W))
+            rows.append((int(rng.integers(0, 90)), " ".join(own) if rng.random() < 0.95 else ""))
+    rows += [(rows[0][0], rows[0][1])] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set() for w in (t.split() for _, t in rows)]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows[:i]):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.report(df).collect()}
+    assert got == {i: (max(len(s) for (j, _), s in zip(rows, sets) if j == i), find(i)) for i, _ in rows}
+    assert sum(i == c for i, (_, c) in got.items()) < len(got) - 10
+
+
 def test_substrings(spark):
     a, b = " ".join(W[:60]), " ".join(["x", *W[5:56], "y"])
     df = spark.createDataFrame([(1, a), (2, b), (3, " ".join(W[100:160]))], "doc_id long, text string")

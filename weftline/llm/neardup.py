@@ -25,8 +25,10 @@ common order, and in an order by frequency documents that only hold the same pas
 
 Defined cases: null or blank texts have an empty set and link with nothing; texts with fewer
 words than a shingle are one shingle, the whole sequence.  Rows that repeat a doc_id are one
-document, the one with the largest set.  Rows with a null doc_id are left out of the result,
-and ``dedup`` keeps them.  Shingles are compared by 64-bit hash, sets by 128-bit hash.
+document in the result, with the size of the largest of its sets, but each of its sets is compared, and
+what links with any of them is linked with the document.  Rows with a null doc_id are left out of
+the result, and ``dedup`` keeps them.  Shingles are compared by 64-bit hash, sets by 128-bit hash;
+ids are below 2^62, where the numbers of further sets of a document begin.
 """
 
 from __future__ import annotations
@@ -308,22 +310,32 @@ def _near_duplicates(documents: DataFrame, size: int, percent: int, rounds: int,
     spark = documents.sparkSession
     arrow_batches(spark)
     docs = documents.where(F.col("doc_id").isNotNull()).selectExpr("cast(doc_id as long) doc_id", "text")
-    one = docs.mapInArrow(_bands(size, percent / 100), PASS).groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2", "keys")).alias("x")).select("doc_id", "x.*")
-    one = written(one)
-    full = one.where("n > 0")
-    classes = written(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    one = docs.mapInArrow(_bands(size, percent / 100), PASS).groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2", "keys")).alias("x"), F.min(F.struct("n", "s1", "s2")).alias("other"))
+    one = written(one.select("doc_id", "x.*", (F.col("other") != F.struct("x.n", "x.s1", "x.s2")).alias("several")))
+    full, edges = one.where("n > 0").select("doc_id", F.col("doc_id").alias("node"), "n", "s1", "s2", "keys"), None
+    several = one.where("several").select("doc_id", F.struct("n", "s1", "s2").alias("held"))
+    if not several.isEmpty():  # the other sets of documents whose rows differ, as nodes that are linked with theirs
+        rows = docs.join(several.select("doc_id"), "doc_id", "left_semi").mapInArrow(_bands(size, percent / 100), PASS).where("n > 0").dropDuplicates(["doc_id", "n", "s1", "s2"])
+        rows = rows.join(several, "doc_id").where(F.struct("n", "s1", "s2") != F.col("held"))
+        number = F.xxhash64("doc_id", "n", "s1", "s2").bitwiseAND(F.lit(2**61 - 1)) + F.lit(2**62)
+        more = written(rows.select("doc_id", number.alias("node"), "n", "s1", "s2", "keys"))
+        full, edges = full.unionByName(more), more.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    classes = written(full.groupBy("n", "s1", "s2").agg(F.min(F.struct("node", "doc_id")).alias("x"), F.first("keys").alias("keys")).select("n", "s1", "s2", F.col("x.node").alias("rep"), F.col("x.doc_id").alias("of"), "keys"))
+    if edges is not None:  # a set is the node of its class
+        held = classes.select("n", "s1", "s2", "rep")
+        edges = written(more.join(held, ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(one.join(several.select("doc_id"), "doc_id", "left_semi").join(held, ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))).where("a <> b"))
     banded = classes.select("rep", F.explode("keys").alias("key"))
     shared = written(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     groups = written(banded.join(shared, "key"))
-    ids = groups.select(F.col("rep")).distinct().join(classes.select("rep", "s1"), "rep")
+    ids = groups.select(F.col("rep")).distinct().join(classes.select("rep", "of", "s1"), "rep")
     ids = written(ids)
     few = ids.count() <= broadcast_ids
-    mine = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "s1")
+    mine = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("of")).select(F.col("rep").alias("doc_id"), "text", "s1")
     sets = written(mine.mapInArrow(_sets(size), f"id long, size long, {', '.join(w + ' long' for w in WORDS)}, set array<long>").dropDuplicates(["id"]))
     hubs = groups.groupBy("rep").agg(F.sum("c").alias("deg"))
     held = ["rep", "deg", "size", *WORDS]
     groups = written(groups.join(hubs.join(sets.drop("set").withColumnRenamed("id", "rep"), "rep"), "rep").select("key", *held))
-    labels = edges = None
+    labels = None
     for turn in range(rounds + 1):
         if labels is None:
             open_ = groups.withColumn("comp", F.col("rep"))
@@ -351,7 +363,7 @@ def _near_duplicates(documents: DataFrame, size: int, percent: int, rounds: int,
         if last:
             break
         groups = written(open_.join(best, ["key", "rep"], "left_anti").select("key", *held))
-    members = one.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
+    members = one.join(classes.select("n", "s1", "s2", F.when(F.col("rep") < 2**62, F.col("rep")).alias("rep")), ["n", "s1", "s2"], "left")
     out = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id")).join(labels, F.col("class_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("comp", "class_id").alias("component_id"))
 
