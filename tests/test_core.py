@@ -30,7 +30,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["chat_render", "label_mask_counts", "vision_tokens", "collate", "prefix_offsets", "unpack_positions", "length_index_percentile", "hash_split", "packed_lengths", "pack_gate", "pack_ffd", "pack_corpus", "pack_totals", "batch_assign", "prompt_records", "scene_objects", "scene_f1", "scene_params", "scene_rivals", "scene_pair_params", "params_accuracy", "garment_metrics", "file_profile", "content_match", "samples", "run_counters", "saved_batches", "nearest_match", "flagship"])
+@pytest.mark.parametrize("name", ["chat_render", "label_mask_counts", "vision_tokens", "collate", "prefix_offsets", "unpack_positions", "length_index_percentile", "hash_split", "packed_lengths", "pack_gate", "pack_ffd", "pack_corpus", "pack_totals", "batch_assign", "prompt_records", "scene_objects", "scene_f1", "scene_params", "scene_rivals", "scene_pair_params", "params_accuracy", "garment_metrics", "file_profile", "content_match", "samples", "run_counters", "saved_batches", "nearest_match", "garment_shapes", "garment_curves", "vision_grids", "price_percentiles", "group_sample", "drawn_views", "record_files", "archived_images", "cut_images", "arrow_rows", "built_corpus", "run_files", "copied_files", "json_structure", "flagship"])
 def test_query_equals_sql(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLE[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)

@@ -31,6 +31,21 @@ def test_stretches_of_bins_are_those_of_plain_first_fit():
         assert got == packing.first_fit(lengths, capacity)
 
 
+def test_structure_is_that_of_a_walk(spark):
+    def walk(value, at="$", depth=0):
+        yield at, type(value).__name__, depth, len(value) if isinstance(value, (dict, list)) else None
+        for k, v in value.items() if isinstance(value, dict) else ():
+            yield from walk(v, f"{at}.{k}", depth + 1)
+
+    texts = ['{"a": 1, "b": 1.0, "c": 1e5, "d": -0.5, "e": 9223372036854775807, "f": 92233720368547758080, "g": 123456789012345678.25}', '{"x": {"y": {"z": {}, "l": [], "m": [1, {"q": 1}]}}, "t": true, "n": null, "s": "1"}', "[1, 2]", "3", '"text"', "null", "{", "", '{"é b": {"": 0}}']
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("none", None)], "path string, raw string")
+    want = sorted((str(i), *x) for i, t in enumerate(texts) if t not in ("{", "") for x in walk(json.loads(t)))
+    assert sorted(tuple(r) for r in profile.structure(df).collect()) == want
+    assert "Python" not in profile.structure(df)._jdf.queryExecution().executedPlan().toString()
+    assert profile.structure(df.where("false")).count() == 0
+    assert [tuple(r) for r in profile.key_counts(df).limit(2).collect()] == [("a", 1), ("b", 1)]
+
+
 def test_order_statistics_of_many_values_in_one_group(spark):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.normal(size=300_000) * 10.0 ** rng.integers(-200, 200, 300_000), np.full(50_000, 0.25), [-0.0, 1e308, -1e308]])
@@ -399,7 +414,7 @@ def test_profiles(spark, tmp_path):
     (tmp_path / "in" / "q.json").write_text("{}")
     mapping = spark.createDataFrame([(str(tmp_path / "in" / "q.json"), "p.json")], "path string, to string")
     for how in ("copy", "symlink", "hardlink", "copy"):
-        assert profile.materialize(mapping, str(tmp_path / "out"), how) == 1 and (tmp_path / "out" / "p.json").read_text() == "{}"
+        assert profile.materialize(mapping, str(tmp_path / "out"), how) == 1 and [r["to"] for r in spark.read.json(str(tmp_path / "out" / profile.MAPPING)).collect()] == ["p.json"] and (tmp_path / "out" / "p.json").read_text() == "{}"
 
 
 def test_nearest_in_tiles(spark):

@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline import stores
+from weftline.scratch import written
+
 #: Files by name whose keys are compared for consistency, and keys that count as frequent.
 FIRST, TOP = 100, 20
 
@@ -35,16 +37,22 @@ def room_distribution(files: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("rooms", "n", (100 * F.col("n") / F.col("all")).alias("percent"))  # one row
 
 
-@F.pandas_udf(T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("length", T.LongType()), T.StructField("keys", T.ArrayType(T.StringType()))]))
-def _read(raw: pd.Series) -> pd.DataFrame:
-    out = []
-    for text in raw:
+@F.pandas_udf(T.LongType())
+def _length(raw: pd.Series) -> pd.Series:
+    """The length of a text after a JSON round trip; null if it is malformed.  Only Python writes numbers as these lengths have them."""
+
+    def one(text):
         try:
-            scene = json.loads(text)
-            out.append((True, len(json.dumps(scene, ensure_ascii=False)), list(scene) if isinstance(scene, dict) else None))
+            return len(json.dumps(json.loads(text), ensure_ascii=False))
         except (ValueError, TypeError):
-            out.append((False, None, None))
-    return pd.DataFrame(out, columns=["valid", "length", "keys"])
+            return None
+
+    return raw.map(one).astype("Int64")
+
+
+def _keys(raw: Column) -> Column:
+    """The top-level keys of a readable object, each once; null for anything else."""
+    return F.when(F.get_json_object(raw, "$").isNotNull(), F.array_distinct(F.json_object_keys(raw)))
 
 
 def profile(files: DataFrame, first: int = FIRST, top: int = TOP) -> DataFrame:
@@ -52,12 +60,13 @@ def profile(files: DataFrame, first: int = FIRST, top: int = TOP) -> DataFrame:
 
     files: (path, raw).  Consistency looks at the first files by path; without any it is null.
     """
-    rows = files.select("path", F.octet_length("raw").alias("size"), _read("raw").alias("x")).select("path", "size", "x.*")
-    size, length = F.col("size"), F.col("length")
-    one = rows.agg(F.count("*").alias("files"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"), F.avg(size).alias("avg_size"), F.min(size).alias("min_size"), F.max(size).alias("max_size"), F.avg(length).alias("avg_length"), F.min(length).alias("min_length"), F.max(length).alias("max_length"))
+    length = F.col("length")
+    rows = files.select(F.octet_length("raw").alias("size"), _length("raw").alias("length"))
+    valid, size = length.isNotNull(), F.col("size")
+    one = rows.agg(F.count("*").alias("files"), F.count_if(valid).alias("valid"), F.count_if(~valid).alias("invalid"), F.avg(size).alias("avg_size"), F.min(size).alias("min_size"), F.max(size).alias("max_size"), F.avg(length).alias("avg_length"), F.min(length).alias("min_length"), F.max(length).alias("max_length"))
     counts = key_counts(files).limit(top)
     keys = counts.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "key"))).alias("k")).select(F.transform("k", lambda x: F.struct(x["key"].alias("key"), (-x["n"]).alias("n"))).alias("common_keys"))
-    seen = rows.where(F.col("keys").isNotNull()).orderBy("path").limit(first)
+    seen = files.select("path", _keys(F.col("raw")).alias("keys")).where(F.col("keys").isNotNull()).orderBy("path").limit(first)
     per = seen.select("path", F.explode("keys").alias("key")).groupBy("key").agg(F.countDistinct("path").alias("n"))
     shared = per.crossJoin(seen.agg(F.countDistinct("path").alias("k"))).agg(F.try_divide(F.count_if(F.col("n") == F.col("k")), F.count("*")).alias("consistency"))
     return one.crossJoin(keys).crossJoin(shared)  # one row each
@@ -65,7 +74,7 @@ def profile(files: DataFrame, first: int = FIRST, top: int = TOP) -> DataFrame:
 
 def key_counts(files: DataFrame) -> DataFrame:
     """(key, n) of the top-level keys, most frequent first, ties by name."""
-    rows = files.select(F.explode(_read("raw")["keys"]).alias("key"))
+    rows = files.select(F.explode(_keys(F.col("raw"))).alias("key"))
     return rows.groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key")
 
 
@@ -91,30 +100,40 @@ def quality(profiled: DataFrame) -> DataFrame:
     return out.withColumn("rating", F.when(F.col("percent").isNotNull(), rating))
 
 
+#: Names of the kinds of values as read, by the beginning of their Spark type.
+KINDS = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BOOLEAN": "bool", "VOID": "NoneType"}
+
+
+def _kind(value: Column) -> Column:
+    """The kind of a variant: whole numbers beyond a long are decimals of 19 digits or more without a fraction."""
+    told = F.schema_of_variant(value)
+    whole = told.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | (F.regexp_extract(told, r"^DECIMAL\((\d+),0\)", 1).try_cast("int") > 18)
+    out = F.when(F.coalesce(whole, F.lit(False)), "int").otherwise("float")
+    for name, kind in KINDS.items():
+        out = F.when(told.startswith(name), kind).otherwise(out)
+    return out
+
+
 def structure(files: DataFrame) -> DataFrame:
     """(path, at, type, depth, n): every object, list and value under dictionaries, by key path; n: keys or items.
 
     Type names are those of JSON as read: dict, list, str, int, float, bool, NoneType.  Lists are not entered.
+    Texts become variants once; level by level objects are taken apart by the JVM, as deep as the deepest.
+    Malformed texts, and objects that repeat a key, have no rows.
     """
-
-    def walk(value, at, depth):
-        n = len(value) if isinstance(value, (dict, list)) else None
-        yield at, type(value).__name__, depth, n
-        if isinstance(value, dict):
-            for k, v in value.items():
-                yield from walk(v, f"{at}.{k}", depth + 1)
-
-    def run(batches):
-        for part in batches:
-            out = []
-            for path, raw in zip(part["path"], part["raw"], strict=True):
-                try:
-                    out += [(path, *x) for x in walk(json.loads(raw), "$", 0)]
-                except (ValueError, TypeError):
-                    continue
-            yield pd.DataFrame(out, columns=["path", "at", "type", "depth", "n"]).astype({"n": "Int64"})
-
-    return files.select("path", "raw").mapInPandas(run, "path string, at string, type string, depth int, n long")
+    spark, out, depth = files.sparkSession, None, 0
+    level = files.select("path", F.lit("$").alias("at"), F.try_parse_json("raw").alias("v")).where("v is not null")
+    while True:
+        level = written(level.select("path", "at", "v", _kind(F.col("v")).alias("type")))
+        text = F.to_json("v")
+        n = F.when(F.col("type") == "dict", F.size(F.json_object_keys(text))).when(F.col("type") == "list", F.json_array_length(text))
+        rows = level.select("path", "at", "type", F.lit(depth).alias("depth"), n.cast("long").alias("n"))
+        out, depth = rows if out is None else out.unionByName(rows), depth + 1
+        objects = level.where("type = 'dict'")
+        if objects.isEmpty():
+            return out
+        inner = objects.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "value"))
+        level = inner.select("path", F.concat_ws(".", "at", "key").alias("at"), F.col("value").alias("v"))
 
 
 @F.pandas_udf(T.StringType())
@@ -141,20 +160,39 @@ def content_match(files: DataFrame, sources: DataFrame, name: str = "stem") -> D
     return own.join(content_index(sources, name).withColumnRenamed("name", "source"), "md5", "left").select("name", "md5", "source")
 
 
+MAPPING = "filename_mapping"
+
+
 def materialize(mapping: DataFrame, folder: str, how: str = "copy") -> int:
-    """Copies, symlinks or hard-links files to ``folder/to``; mapping: (path, to). The number of files; folder and paths are shared ones."""
+    """Copies, symlinks or hard-links files to ``folder/to``; mapping: (path, to). The number of files.
+
+    Which file is whose goes to ``filename_mapping`` in the folder, as JSON lines (to, path).  Links are for shared local folders only.
+    """
     if how not in ("copy", "symlink", "hardlink"):
         raise ValueError(f"unknown way {how!r}; known: copy, symlink, hardlink")
-    place = {"copy": shutil.copy2, "symlink": os.symlink, "hardlink": os.link}[how]
+    spark = mapping.sparkSession
+    at = stores.qualified(spark, folder).rstrip("/")
+    if how != "copy" and not at.startswith("file:"):
+        raise ValueError(f"no links in {at}")
+    stores.make_folder(spark, at)
+    held = written(mapping.select("path", F.regexp_extract("to", r"([^/]+)$", 1).alias("to")))
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
         for part in batches:
             for path, to in zip(part["path"], part["to"], strict=True):
-                at = os.path.join(folder, os.path.basename(to))
-                if os.path.lexists(at):
-                    os.remove(at)
-                place(path.removeprefix("file:").replace("///", "/"), at)
+                if how == "copy":
+                    with stores.input_file(path) as file:
+                        out = stores.Upload(f"{at}/{to}")
+                        while data := file.read(8 << 20):
+                            out.write(data)
+                        out.close()
+                    continue
+                own, new = stores.opened(path)[1], stores.opened(f"{at}/{to}")[1]
+                if os.path.lexists(new):
+                    os.remove(new)
+                (os.symlink if how == "symlink" else os.link)(own, new)
             yield pd.DataFrame({"n": [len(part)]})
 
-    return mapping.select("path", "to").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = held.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held.select("to", "path").write.mode("overwrite").json(f"{at}/{MAPPING}")
+    return n

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import lengths, records, scenes
+from weftline.plans import lengths, records, scenes, stored
 
-QUERIES = lengths.QUERIES | scenes.QUERIES | records.QUERIES
-ORACLE = lengths.ORACLE | scenes.ORACLE | records.ORACLE
+QUERIES = lengths.QUERIES | scenes.QUERIES | records.QUERIES | stored.QUERIES
+ORACLE = lengths.ORACLE | scenes.ORACLE | records.ORACLE | stored.ORACLE
 
 flagship = lengths.flagship

@@ -232,7 +232,7 @@ ORACLE = {
     "built_views": "SELECT CAST(doc_id AS VARCHAR) AS stem, 'Based on these 4 multi-view images, generate a 3D scene in JSON format:' AS ask FROM documents WHERE doc_id % 7 >= 3",
     "built_blueprints": "SELECT CAST(l_orderkey AS VARCHAR) AS file, count(*) AS objects, count(DISTINCT l_linestatus) AS rooms FROM lineitem GROUP BY l_orderkey",
     "samples": "SELECT CASE doc_id % 4 WHEN 1 THEN 'seed.v1' ELSE CAST(doc_id AS VARCHAR) END AS uid, 'Generate a 3D scene in JSON format based on the following description:' || chr(10) || c AS prompt_preview, 'Generate a 3D scene in JSON format based on the following description:' || chr(10) || c AS condition, 0::BIGINT AS num_images, CASE doc_id % 4 WHEN 2 THEN 'extra_tags' ELSE '' END AS tags FROM (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'c' || doc_id WHEN 2 THEN 'd' END AS c FROM labels) WHERE c IS NOT NULL",
-    "rejected_records": "SELECT printf('sample_%06d', doc_id) AS uid, 'caption mode requires caption or description' AS reject FROM labels WHERE doc_id % 4 IN (0, 3)",
+    "rejected_records": "SELECT printf('sample_%06d', doc_id) AS uid, 'no caption, description or prompt to ask with' AS reject FROM labels WHERE doc_id % 4 IN (0, 3)",
     "resolutions": "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN p_size::BIGINT END AS width, CASE WHEN p_size % 4 <> 0 THEN 48::BIGINT END AS height FROM part",
     "parsed_responses": f"SELECT event_id, {_R} AS status, CASE WHEN event_id % 5 < 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
     "run_counters": f"WITH r AS (SELECT event_id, {_RESPONSE} AS t, {_R} AS s, event_id % 7 <> 0 AND event_id % 5 <> 2 AS ok, event_id % 7 <> 0 AS called FROM events) SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS successful, count(*) FILTER (WHERE NOT ok) AS failed, count(*) FILTER (WHERE ok AND s = 'ok') AS json_parsed, count(*) FILTER (WHERE ok AND s = 'json_error') AS json_failed, count(*) FILTER (WHERE ok AND s = 'empty_response') AS empty, CAST(coalesce(sum(length(t)) FILTER (WHERE called), 0) AS BIGINT) AS prompt_tokens, count(*) FILTER (WHERE called) AS completion_tokens FROM r",

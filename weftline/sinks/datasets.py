@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,29 @@ def save_each(rows: DataFrame, folder: str, name: str = "stem", text: str = "raw
     return rows.where(F.col(text).isNotNull()).select(name, text).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def save_arrow(rows: DataFrame, folder: str) -> int:
+    """Writes rows as Arrow IPC files, one a task that has rows, each of which appears when it is whole; the number of rows."""
+    import pyarrow as pa
+
+    at = stores.qualified(rows.sparkSession, folder).rstrip("/")
+
+    def run(batches):
+        file = writer = None
+        n = 0
+        for batch in batches:
+            if writer is None:
+                file = stores.Upload(f"{at}/part-{TaskContext.get().partitionId():06d}.arrow")
+                writer = pa.ipc.new_file(pa.PythonFile(file, "w"), batch.schema)
+            writer.write_batch(batch)
+            n += batch.num_rows
+        if writer:
+            writer.close()
+            file.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def save_texts(rows: DataFrame, folder: str, text: str = "text") -> None:
     """Decoded rows as text files, a line a row; line breaks within a row are written as \\n."""
     rows.select(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit("\\n")).alias("value")).write.mode("overwrite").text(folder)

@@ -123,7 +123,7 @@ def uid() -> Column:
 def resolved(path: Column, image_root: str | None = None) -> Column:
     """An absolute path as it is; a relative one below the record's own folder, or below the image root."""
     base = F.coalesce(F.when(F.length("__source_dir") > 0, F.col("__source_dir")), F.lit(image_root))
-    return F.when(path.rlike(r"^(/|[a-z]+:/)"), path).otherwise(F.concat(F.coalesce(F.concat(base, F.lit("/")), F.lit("")), path))
+    return F.when(path.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*:/)"), path).otherwise(F.concat(F.coalesce(F.concat(base, F.lit("/")), F.lit("")), path))
 
 
 def samples(records: DataFrame, mode: str, image_root: str | None = None, known: DataFrame | None = None) -> DataFrame:
@@ -143,14 +143,14 @@ def samples(records: DataFrame, mode: str, image_root: str | None = None, known:
         raw = either("prompt", "instruction")
     elif mode == "caption":
         raw = either("caption", "description", "prompt")
-        ask, fault = F.concat(F.lit(PROMPTS["caption"]), raw), F.when(raw.isNull(), "caption mode requires caption or description")
+        ask, fault = F.concat(F.lit(PROMPTS["caption"]), raw), F.when(raw.isNull(), "no caption, description or prompt to ask with")
     elif mode == "blueprint":
         raw = plan
         ask = F.concat(F.lit(PROMPTS["blueprint"]), raw)
-        fault = F.when(raw.isNull(), "blueprint mode requires blueprint or plan").when(~raw.startswith("{"), "blueprint data must be an object")
+        fault = F.when(raw.isNull(), "neither a blueprint nor a plan is given").when(~raw.startswith("{"), "the blueprint is no JSON object")
     elif mode == "panorama":
         raw = image
-        ask, fault = F.coalesce(either("prompt"), F.lit(PROMPTS["panorama"])), F.when(raw.isNull(), "panorama mode requires image_path")
+        ask, fault = F.coalesce(either("prompt"), F.lit(PROMPTS["panorama"])), F.when(raw.isNull(), "no image is named")
     else:
         raw = F.when(F.size("image_paths") > 0, F.to_json("image_paths"))
         ask, fault = F.coalesce(either("prompt"), F.lit(PROMPTS["multi_view_inference"])), F.lit(None)
@@ -166,10 +166,10 @@ def samples(records: DataFrame, mode: str, image_root: str | None = None, known:
         there = known.select(F.regexp_replace("path", "^file:/+", "/").alias("_path")).distinct()
         asked = rows.select("__row_id", F.explode(ours).alias("_p")).withColumn("_path", F.regexp_replace("_p", "^file:/+", "/"))
         lost = asked.join(there, "_path", "left_anti").groupBy("__row_id").agg(F.min("_p").alias("_lost"))
-        rows = rows.join(lost, "__row_id", "left").withColumn("_fault", F.coalesce("_fault", F.concat(F.lit("image file not found: "), "_lost")))
+        rows = rows.join(lost, "__row_id", "left").withColumn("_fault", F.coalesce("_fault", F.concat(F.lit("no such image: "), "_lost")))
     condition = F.coalesce("_raw", F.when(F.length("prompt_preview") > 0, F.col("prompt_preview"))) if kind == "text" else F.col("_raw")
     rows = rows.withColumn("condition", F.when(F.lit(kind == "panorama"), F.col("_image")).when(F.lit(kind == "multi_view"), F.to_json("_paths")).otherwise(condition))
-    need = {"text": "text condition is missing", "blueprint": "blueprint condition must be an object"}.get(kind)
+    need = {"text": "there is no text to ask with", "blueprint": "the condition is no JSON object"}.get(kind)
     fault = F.coalesce("_fault", F.when(F.col("condition").isNull() | (F.lit(kind == "blueprint") & ~F.col("condition").startswith("{")), F.lit(need))) if need else F.col("_fault")
     metadata = F.map_filter(F.create_map(F.lit("source_path"), F.col("__source_path"), F.lit("extra_tags"), F.col("tags")), lambda k, v: v.isNotNull())
     return rows.select("uid", "messages", "prompt_preview", F.col("_image").alias("image_path"), F.col("_paths").alias("image_paths"), "num_images", F.lit(kind).alias("condition_type"), "condition", "ground_truth", metadata.alias("metadata"), fault.alias("reject"))

@@ -47,9 +47,19 @@ class Upload:
             self.files.create_dir(folder, recursive=True)
         self.out, self.size = self.files.open_output_stream(self.at), 0
 
-    def write(self, data: bytes) -> None:
+    closed = False  # as a file has it
+
+    def write(self, data) -> int:
         self.out.write(data)
-        self.size += len(data)
+        n = memoryview(data).nbytes
+        self.size += n
+        return n
+
+    def tell(self) -> int:
+        return self.size
+
+    def flush(self) -> None:
+        pass
 
     def close(self) -> None:
         self.out.close()
