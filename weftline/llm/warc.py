@@ -33,9 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import zips
-from weftline.llm._files import Upload, opened
 from weftline.llm._spark import arrow_batches, scratch, written
-from weftline.scratch import hadoop_file
+from weftline.stores import Upload, input_file, make_folder, qualified
 
 ARCHIVE, INDEX, ABOUT, SUFFIX = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json", ".wacz"
 #: Bytes of a span, the bytes between records that are read with them, and the bytes at which a package is full.
@@ -78,9 +77,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 class _Writer:
     """The package that a task is writing."""
 
-    def __init__(self, path: str, attempt: str, level: int, date: str):
+    def __init__(self, path: str, level: int, date: str):
         self.path, self.level, self.date = path, level, date
-        self.file = Upload(path, attempt)
+        self.file = Upload(path)
         self.zip = zips.Package(self.file.write)
         self.zip.begin(ARCHIVE)
         self.index, self.sum = [], hashlib.sha256()
@@ -116,15 +115,15 @@ def write_packages(rows: DataFrame, folder: str, level: int = 4, date: str = "20
     """
     spark = rows.sparkSession
     arrow_batches(spark)
-    at, files = hadoop_file(spark, folder)
-    files.mkdirs(at)
+    folder = qualified(spark, folder).rstrip("/")
+    make_folder(spark, folder)
 
     def run(batches):
         task, own, done = TaskContext.get(), None, []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")), strict=True):
                 if own is None:
-                    own = _Writer(f"{folder.rstrip('/')}/pages-{task.partitionId():06d}-{len(done):04d}{SUFFIX}", f"try{task.taskAttemptId()}", level, date)
+                    own = _Writer(f"{folder}/pages-{task.partitionId():06d}-{len(done):04d}{SUFFIX}", level, date)
                 own.add(row)
                 if own.file.size >= full:
                     done.append(own.close())
@@ -164,7 +163,7 @@ def contents(found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with _input(path) as file:
+                with input_file(path) as file:
                     rows = [(path, m.name, m.stored, m.start, m.size) for m in _members(file, path, length)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["path", "member", "stored", "start", "size"])
@@ -172,11 +171,6 @@ def contents(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "path string, member string, stored boolean, start long, size long")
 
 
-def _input(path: str):
-    files, own = opened(path)
-    return files.open_input_file(own)
-
-
 def _members(file, path: str, length: int) -> Iterator[zips.Member]:
     try:
         yield from zips.members(lambda at, n: file.read_at(n, at), length)
@@ -209,7 +203,7 @@ def spans(found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with _input(path) as file:
+                with input_file(path) as file:
                     all_ = [m for m in _members(file, path, length) if m.stored]
                     archives = {m.name.rsplit("/", 1)[-1]: m for m in all_ if re.search(r"\.warc(\.gz)?$", m.name)}
                     places: dict[str, list[tuple[int, int]]] = {}
@@ -278,7 +272,7 @@ def _read(batches):
 
     for batch in batches:
         for path, packed, starts, sizes in zip(*(batch.column(c).to_pylist() for c in ("path", "packed", "starts", "sizes")), strict=True):
-            with _input(path) as file:
+            with input_file(path) as file:
                 for found in _whole(file, packed, starts[0], -sizes[0]) if sizes[0] < 0 else _placed(file, packed, starts, sizes):
                     rows.append((path, *found))
                     size += len(found[-1])
