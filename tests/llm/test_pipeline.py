@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from weftline.llm import mergedropout
+from weftline.llm import mergedropout, neardup
 from weftline.llm._spark import table, written
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,39 @@ def test_odd_rows_pass_every_stage(spark):
         ids = sorted((r["doc_id"] or 0) for r in out.collect())
         assert ids == ([] if df is not docs else [0, 4, 4])
         assert out.where("not lossless").count() == 0
+
+
+def _shingles(t, size):
+    w = _words(t)
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def _alike(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_by_kind(spark):
+    """Copies by how many of their five-word shingles they share: all at 0.8 or more are caught, none below it is."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    by = defaultdict(list)
+    two = {i: _shingles(t, 2) for i, t in docs.items()}
+    for i in sorted(docs):
+        for s in two[i]:
+            by[s].append(i)
+    pairs = Counter()
+    for own in by.values():
+        if len(own) <= 30:  # shingles of few documents: near copies share many of these
+            pairs.update((a, b) for k, a in enumerate(own) for b in own[k + 1 :])
+    five = {i: _shingles(docs[i], 5) for pair in pairs for i in pair}
+    kinds = defaultdict(list)
+    for a, b in pairs:
+        x = _alike(five[a], five[b])
+        if x >= 0.3 or _alike(two[a], two[b]) >= 0.6:
+            kinds["exact" if docs[a] == docs[b] else "near" if x >= 0.8 else "below"].append((a, b))
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 5, 80).collect()}
+    joined = {kind: sum(found[a] == found[b] for a, b in own) for kind, own in kinds.items()}
+    assert len(kinds["exact"]) >= 5 and len(kinds["near"]) >= 5 and len(kinds["below"]) >= 5, {k: len(v) for k, v in kinds.items()}
+    assert joined["exact"] == len(kinds["exact"]) and joined["near"] == len(kinds["near"])
+    chained = sum(1 for a, b in kinds["below"] if found[a] == found[b])  # only through others that are near both
+    assert chained <= 0.2 * len(kinds["below"])
+    print({k: len(v) for k, v in kinds.items()}, joined)
