@@ -169,8 +169,10 @@ def object_table(scenes: DataFrame, key: str = "file") -> DataFrame:
 
 def object_lookup(scenes: DataFrame, wanted: DataFrame, key: str = "file") -> DataFrame:
     """(file, id, object): the whole JSON of objects asked for by (file, id); null where there is none (P10)."""
-    found = scenes.select(key, F.explode(F.from_json("raw", "map<string,string>")).alias("id", "object"))
-    return wanted.join(found, [key, "id"], "left")
+    asked = wanted.groupBy(F.col(key).alias("_k")).agg(F.collect_set("id").alias("_ids"))
+    known = scenes.join(asked, F.col(key) == F.col("_k"))  # only scenes and objects that are asked for are taken apart
+    entries = F.map_filter(F.from_json("raw", "map<string,string>"), lambda k, v: F.array_contains("_ids", k))
+    return wanted.join(known.select(key, F.explode(entries).alias("id", "object")), [key, "id"], "left")
 
 
 def bounds(scenes: DataFrame, key: str = "file") -> DataFrame:

@@ -160,6 +160,10 @@ def malformed_files(spark, sf_dir):  # S1
     return files.malformed(inputs.event_files(spark, sf_dir))
 
 
+def first_errors(spark, sf_dir):  # O6: the first ten files that cannot be read, and why
+    return files.first_errors(inputs.event_files(spark, sf_dir))
+
+
 def content_match(spark, sf_dir):  # J7, J7b: events by content, whatever the order of their keys
     rows = inputs.event_files(spark, sf_dir).withColumn("raw", F.regexp_replace("raw", ',"odd":null', ""))
     return profile.content_match(rows, rows).select("name", "source")
@@ -177,7 +181,7 @@ def converted_yaml(spark, sf_dir):  # S10, O15, K4
     return rows.select("stem", F.array_join(F.map_keys(own), ",").alias("keys"), F.get_json_object(F.element_at(own, "object_1"), "$.w").cast("double").alias("w"))
 
 
-QUERIES = {f.__name__: f for f in (scene_objects, object_lookup, scene_bounds, scene_turned, scene_mirrored, scene_f1, scene_status, scene_f1_mean, scene_params, scene_rivals, scene_pair_params, params_accuracy, garment_panels, garment_metrics, garment_same, garment_curves, garment_spec, garment_shapes, garment_pairs, room_counts, single_rooms, file_profile, file_quality, key_counts, json_structure, malformed_files, content_match, first_by_name, converted_yaml)}
+QUERIES = {f.__name__: f for f in (scene_objects, object_lookup, scene_bounds, scene_turned, scene_mirrored, scene_f1, scene_status, scene_f1_mean, scene_params, scene_rivals, scene_pair_params, params_accuracy, garment_panels, garment_metrics, garment_same, garment_curves, garment_spec, garment_shapes, garment_pairs, room_counts, single_rooms, file_profile, file_quality, key_counts, json_structure, malformed_files, first_errors, content_match, first_by_name, converted_yaml)}
 
 _X, _Y = "s_suppkey % 97 + 1", "s_suppkey // 97 % 50 + 1"
 _SCORED = "s AS (SELECT s_nationkey AS f, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 4 <> 1) AS tp FROM supplier GROUP BY s_nationkey), k AS (SELECT *, f <> 0 AND tp > 0 AS ok FROM s), t AS (SELECT unnest([0.1::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE]) AS threshold)"
@@ -277,6 +281,7 @@ SELECT kind, n::BIGINT AS n, ok::BIGINT AS ok, extra::BIGINT AS extra, round(e::
     "key_counts": "SELECT unnest(['k', 'type']) AS key, n FROM (SELECT count(*) FILTER (WHERE event_id % 10 <> 9) AS n FROM events)",
     "json_structure": "WITH v AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 2 = 1) AS odd FROM events WHERE event_id % 10 <> 9) SELECT '$' AS at, 'dict' AS type, n, 0::BIGINT AS depth FROM v UNION ALL SELECT '$.k', 'int', n, 1 FROM v UNION ALL SELECT '$.type', 'str', n, 1 FROM v UNION ALL SELECT '$.odd', 'NoneType', odd, 1 FROM v WHERE odd > 0",
     "malformed_files": "SELECT printf('scene_%09d', event_id) AS path FROM events WHERE event_id % 10 = 9",
+    "first_errors": "SELECT printf('scene_%09d', event_id) AS path, 'Unterminated string starting at: line 1 column 2 (char 1)' AS reason FROM events WHERE event_id % 10 = 9 ORDER BY event_id LIMIT 10",
     "content_match": "WITH e AS (SELECT printf('scene_%09d', event_id) AS name, event_type || '/' || (props->>'$.k') AS c, event_id % 10 <> 9 AS valid FROM events), f AS (SELECT c, min(name) AS source FROM e WHERE valid GROUP BY c) SELECT name, CASE WHEN valid THEN source END AS source FROM e LEFT JOIN f USING (c)",
     "first_by_name": "WITH f AS (SELECT 'f' || (doc_id % 50) || '.json' AS name, '/d' || doc_id || '/f' || (doc_id % 50) || '.json' AS path FROM labels) SELECT name, min(path) AS path FROM f GROUP BY name",
     "converted_yaml": "SELECT CAST(p_partkey AS VARCHAR) AS stem, 'object_1,blueprint,object_2' AS keys, round(p_retailprice / 7, 2) AS w FROM part",

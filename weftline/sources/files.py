@@ -64,11 +64,30 @@ def json_files(spark: SparkSession, folder: str, recursive: bool = False) -> Dat
     return rows.where(is_json("raw"))
 
 
+@F.pandas_udf(T.StringType())
+def _fault(raw: pd.Series) -> pd.Series:
+    """Why a text is no JSON; null if it is."""
+
+    def one(text):
+        try:
+            json.loads(text)
+            return None
+        except (ValueError, TypeError) as e:
+            return str(e) if text is not None else "no text"
+
+    return raw.map(one)
+
+
 def malformed(files: DataFrame) -> DataFrame:
     """(path): the files of ``texts`` that are no JSON."""
     return files.where(~is_json("raw")).select("path")
 
 
+def first_errors(files: DataFrame, n: int = 10) -> DataFrame:
+    """(path, reason): the first malformed files by path, and where their texts go wrong."""
+    return files.select("path", _fault("raw").alias("reason")).where(F.col("reason").isNotNull()).orderBy("path").limit(n)
+
+
 def listing(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
     """(path, stem, parent, size) of files, contents unread."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "length")
