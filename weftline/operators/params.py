@@ -17,7 +17,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +82,22 @@ def equal_values(a, b, tolerance: float = 1e-6) -> bool:
     return type(a) is type(b) and a == b
 
 
+def equal(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
+    """Are two JSON texts deeply equal, numbers within the tolerance (A19)? Malformed texts are equal to none."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for one, other in zip(x, y, strict=True):
+            try:
+                out.append(equal_values(json.loads(one), json.loads(other), tolerance))
+            except (ValueError, TypeError):
+                out.append(False)
+        return pd.Series(out, dtype=bool)
+
+    return run(a, b)
+
+
 def sums(pred: dict, truth: dict) -> list[tuple]:
     """The sums of one pair, a row a kind that occurs."""
     out: dict = {"object": [1, int(holds_keys(pred, truth)), 0, 0.0, 0.0, None, None]}

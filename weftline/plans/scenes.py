@@ -80,17 +80,33 @@ def scene_pair_params(spark, sf_dir):  # A15, A16: the parameters of matched obj
     return _round(got.select(F.coalesce("class", F.lit("all")).alias("class"), "kind", "n", "ok", "extra", "abs_error", "least", "most"))
 
 
-def params_accuracy(spark, sf_dir):  # A15-A18
+def _part_params(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     whole = F.col("p_size").cast("int")
     gt = F.to_json(F.struct(whole.alias("size"), (F.col("p_size") / 100.0).alias("share"), (F.col("p_size") / 4.0 + 100.5).alias("wallThickness"), F.col("p_brand").alias("brand"), (F.col("p_size") > 25).alias("big"), F.struct((F.col("p_size") / 64.0).alias("a")).alias("more"), F.array(F.lit("x"), F.col("p_type")).alias("tags")))
     odd = F.col("p_partkey") % 5 == 0
     pred = F.to_json(F.struct((whole + 1).alias("size"), (F.col("p_size") / 100.0 + 0.25).alias("share"), (F.col("p_size") / 4.0 + 101.0).alias("wallThickness"), F.when(odd, "none").otherwise(F.col("p_brand")).alias("brand"), F.when(~odd, F.lit(True)).alias("big"), F.struct(F.lit(0.5).alias("a"), F.lit(1).alias("b")).alias("more"), F.array(F.lit("x")).alias("tags")))
-    rows = params.summary(params.compare(p.select(gt.alias("gt"), pred.alias("pred"), F.col("p_brand").alias("class"))))
+    return p.select(gt.alias("gt"), pred.alias("pred"), F.col("p_brand").alias("class"))
+
+
+def params_accuracy(spark, sf_dir):  # A15-A18
+    rows = params.summary(params.compare(_part_params(spark, sf_dir)))
     out = rows.where("class is null").select("kind", "n", "ok", "extra", "abs_error", "mean_abs_error", "least", "most", "accuracy")
     return _round(out)
 
 
+def params_report(spark, sf_dir):  # A20: the printed table, line by line
+    text = params.report(params.compare(_part_params(spark, sf_dir)))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n long, line string")
+
+
+def equal_params(spark, sf_dir):  # A19: deep equality with a tolerance, whatever the order of keys
+    k = F.col("p_partkey")
+    a = F.to_json(F.struct(k.alias("k"), F.array(F.col("p_size") / 4.0, F.lit(1)).alias("l"), F.struct(F.col("p_name").alias("n")).alias("o")))
+    b = F.to_json(F.struct(F.struct(F.col("p_name").alias("n")).alias("o"), F.when(k % 5 == 0, k + 1).otherwise(k).alias("k"), F.array(F.col("p_size") / 4.0 + F.when(k % 3 == 0, 1e-3).otherwise(1e-8), F.lit(1)).alias("l")))
+    return table(spark, sf_dir, "part").select("p_partkey", params.equal(a, F.when(k % 7 != 0, b).otherwise("{")).alias("same"))
+
+
 def garment_panels(spark, sf_dir):  # G8-G11, G13
     rows = garment.panel_table(inputs.patterns(spark, sf_dir))
     return _round(rows.select("stem", "panel", F.col("vertex").cast("long").alias("vertex"), "x", "y", "length"))
@@ -181,7 +197,7 @@ def converted_yaml(spark, sf_dir):  # S10, O15, K4
     return rows.select("stem", F.array_join(F.map_keys(own), ",").alias("keys"), F.get_json_object(F.element_at(own, "object_1"), "$.w").cast("double").alias("w"))
 
 
-QUERIES = {f.__name__: f for f in (scene_objects, object_lookup, scene_bounds, scene_turned, scene_mirrored, scene_f1, scene_status, scene_f1_mean, scene_params, scene_rivals, scene_pair_params, params_accuracy, garment_panels, garment_metrics, garment_same, garment_curves, garment_spec, garment_shapes, garment_pairs, room_counts, single_rooms, file_profile, file_quality, key_counts, json_structure, malformed_files, first_errors, content_match, first_by_name, converted_yaml)}
+QUERIES = {f.__name__: f for f in (scene_objects, object_lookup, scene_bounds, scene_turned, scene_mirrored, scene_f1, scene_status, scene_f1_mean, scene_params, scene_rivals, scene_pair_params, params_accuracy, params_report, equal_params, garment_panels, garment_metrics, garment_same, garment_curves, garment_spec, garment_shapes, garment_pairs, room_counts, single_rooms, file_profile, file_quality, key_counts, json_structure, malformed_files, first_errors, content_match, first_by_name, converted_yaml)}
 
 _X, _Y = "s_suppkey % 97 + 1", "s_suppkey // 97 % 50 + 1"
 _SCORED = "s AS (SELECT s_nationkey AS f, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 4 <> 1) AS tp FROM supplier GROUP BY s_nationkey), k AS (SELECT *, f <> 0 AND tp > 0 AS ok FROM s), t AS (SELECT unnest([0.1::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE]) AS threshold)"
@@ -232,7 +248,24 @@ _SEWN = f"""WITH RECURSIVE o AS (SELECT * FROM (VALUES {_SHAPES}) t(p, i, x, y))
   r AS (SELECT k, max(len(used)) AS correct FROM z GROUP BY k),
   m AS (SELECT k.k, count(g.k) FILTER (WHERE g.grown) AS n_pred, count(g.k) FILTER (WHERE NOT g.grown) AS n_gt FROM (SELECT DISTINCT k FROM k) k LEFT JOIN g ON g.k = k.k GROUP BY k.k)"""
 
+_PARAMS = """
+WITH p AS (SELECT p_size::DOUBLE AS s, p_partkey % 5 = 0 AS odd, p_size > 25 AS big FROM part), n AS (SELECT count(*) AS n FROM part),
+  r AS (SELECT 'keys' AS kind, 8 * n AS n, 8 * n - (SELECT count(*) FROM p WHERE odd) AS ok, n AS extra, 0.0::DOUBLE AS e, NULL::DOUBLE AS least, NULL::DOUBLE AS most FROM n
+    UNION ALL SELECT 'float', 2 * n, 0, 0, (SELECT sum(0.25 + abs(0.5 - s / 64)) FROM p), (SELECT min(least(s / 100, s / 64)) FROM p), (SELECT max(greatest(s / 100, s / 64)) FROM p) FROM n
+    UNION ALL SELECT 'thickness', n, 0, 0, n * 0.5, (SELECT min(s / 4 + 100.5) FROM p), (SELECT max(s / 4 + 100.5) FROM p) FROM n
+    UNION ALL SELECT 'int', count(*), 0, 0, count(*), min(s), max(s) FROM p WHERE s < 32
+    UNION ALL SELECT 'bool', n, (SELECT count(*) FROM p WHERE big AND NOT odd), 0, 0, NULL, NULL FROM n
+    UNION ALL SELECT 'str', 3 * n, n + (SELECT count(*) FROM p WHERE NOT odd), 0, 0, NULL, NULL FROM n
+    UNION ALL SELECT 'list', n, 0, 0, 0, NULL, NULL FROM n
+    UNION ALL SELECT 'object', n, 0, 0, 0, NULL, NULL FROM n)
+"""
+#: Relative errors: a quarter of the share, half of the thickness, and one half against a 64th of the size.
+_RELATIVE = "CASE kind WHEN 'float' THEN (SELECT sum(0.25 / (s / 100) + abs(0.5 - s / 64) / (s / 64)) FROM p) WHEN 'thickness' THEN (SELECT sum(0.5 / (s / 4 + 100.5)) FROM p) ELSE 0 END"
+
 ORACLE = {
+    "params_report": _PARAMS + f""", l AS (SELECT list_position(['keys', 'float', 'int', 'bool', 'str', 'list', 'thickness', 'object'], kind) AS i, printf('%-10s%10d%10.4f%12.6f%12.6f', kind, n::BIGINT, ok / n::DOUBLE, e::DOUBLE / n, {_RELATIVE}::DOUBLE / n) AS line FROM r WHERE n > 0)
+      SELECT row_number() OVER (ORDER BY i) AS n, line FROM l UNION ALL SELECT 0, printf('%-10s%10s%10s%12s%12s', 'kind', 'n', 'accuracy', 'abs error', 'rel error')""",
+    "equal_params": "SELECT p_partkey, p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AS same FROM part",
     "garment_shapes": f"{_SEWN} SELECT CAST(r.k AS VARCHAR) AS sample, round(chamfer, 6) AS chamfer_mm, round(100 / ((1 + r.k % 4 / 8.0::DOUBLE) ** 2), 6) AS iou, round(CASE WHEN n_gt > 0 THEN 100.0::DOUBLE * correct / n_gt ELSE 0 END, 6) AS stitch_accuracy, round(CASE WHEN n_pred > 0 THEN 100.0::DOUBLE * correct / n_pred ELSE 0 END, 6) AS stitch_precision, CAST(correct AS BIGINT) AS stitches_correct, n_pred AS stitches_pred, n_gt AS stitches_gt FROM r JOIN ch USING (k) JOIN m USING (k)",
     # the edges 0 line, 1 quadratic, k % 5 cubic, then a circle at the number of different edges so far, at last a cubic without its numbers at 1
     "garment_curves": """WITH s AS (SELECT s_suppkey AS k FROM supplier), e AS (SELECT k, 0 AS pl, 0 AS edge, 'line' AS kind, 0 AS n FROM s UNION ALL SELECT k, 1, 1, 'quadratic', 2 FROM s UNION ALL SELECT k, 2, k % 5, 'cubic', 4 FROM s UNION ALL SELECT k, 3, CASE WHEN k % 5 < 2 THEN 2 ELSE 3 END, 'circle', 3 FROM s UNION ALL SELECT k, 4, 1, 'cubic', 3 FROM s),
@@ -259,17 +292,7 @@ SELECT class, kind, CAST(sum(n) AS BIGINT) AS n, CAST(sum(ok) AS BIGINT) AS ok,
     "scene_status": f"WITH {_SCORED} SELECT CAST(f AS VARCHAR) AS file, CASE WHEN ok THEN 'ok' ELSE 'missing_pred' END AS status, n AS n_gt FROM k",
     "scene_f1_mean": f"WITH {_SCORED}, a AS (SELECT {_MICRO} FROM k) SELECT 1.0::DOUBLE AS mean_precision, round(tp / (tp + fn), 6) AS mean_recall, round(2 * tp / (2 * tp + fn), 6) AS mean_f1 FROM a",
     "scene_params": "WITH m AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'Bed' ELSE 'Chair' END AS class FROM supplier WHERE s_nationkey <> 0 AND s_suppkey % 4 <> 1) SELECT class, count(*) AS n, count(*) AS ok FROM m GROUP BY class UNION ALL SELECT 'all', count(*), count(*) FROM m",
-    "params_accuracy": """
-WITH p AS (SELECT p_size::DOUBLE AS s, p_partkey % 5 = 0 AS odd, p_size > 25 AS big FROM part), n AS (SELECT count(*) AS n FROM part),
-  r AS (SELECT 'keys' AS kind, 8 * n AS n, 8 * n - (SELECT count(*) FROM p WHERE odd) AS ok, n AS extra, 0.0::DOUBLE AS e, NULL::DOUBLE AS least, NULL::DOUBLE AS most FROM n
-    UNION ALL SELECT 'float', 2 * n, 0, 0, (SELECT sum(0.25 + abs(0.5 - s / 64)) FROM p), (SELECT min(least(s / 100, s / 64)) FROM p), (SELECT max(greatest(s / 100, s / 64)) FROM p) FROM n
-    UNION ALL SELECT 'thickness', n, 0, 0, n * 0.5, (SELECT min(s / 4 + 100.5) FROM p), (SELECT max(s / 4 + 100.5) FROM p) FROM n
-    UNION ALL SELECT 'int', count(*), 0, 0, count(*), min(s), max(s) FROM p WHERE s < 32
-    UNION ALL SELECT 'bool', n, (SELECT count(*) FROM p WHERE big AND NOT odd), 0, 0, NULL, NULL FROM n
-    UNION ALL SELECT 'str', 3 * n, n + (SELECT count(*) FROM p WHERE NOT odd), 0, 0, NULL, NULL FROM n
-    UNION ALL SELECT 'list', n, 0, 0, 0, NULL, NULL FROM n
-    UNION ALL SELECT 'object', n, 0, 0, 0, NULL, NULL FROM n)
-SELECT kind, n::BIGINT AS n, ok::BIGINT AS ok, extra::BIGINT AS extra, round(e::DOUBLE, 6) AS abs_error, round(e::DOUBLE / n, 6) AS mean_abs_error, round(least, 6) AS least, round(most, 6) AS most, round(ok / n::DOUBLE, 6) AS accuracy FROM r WHERE n > 0""",
+    "params_accuracy": _PARAMS + """SELECT kind, n::BIGINT AS n, ok::BIGINT AS ok, extra::BIGINT AS extra, round(e::DOUBLE, 6) AS abs_error, round(e::DOUBLE / n, 6) AS mean_abs_error, round(least, 6) AS least, round(most, 6) AS most, round(ok / n::DOUBLE, 6) AS accuracy FROM r WHERE n > 0""",
     "garment_panels": "WITH s AS (SELECT s_suppkey, s_suppkey % 11 + 5 AS w, s_suppkey % 7 + 5 AS h FROM supplier) SELECT CAST(s_suppkey AS VARCHAR) AS stem, 'panel_' || p AS panel, v::BIGINT AS vertex, (CASE WHEN v IN (1, 2) THEN w ELSE 0 END)::DOUBLE AS x, (CASE WHEN v IN (2, 3) THEN h ELSE 0 END)::DOUBLE AS y, (CASE WHEN v % 2 = 0 THEN w ELSE h END)::DOUBLE AS length FROM s, (SELECT unnest([0, 1]) AS p), (SELECT unnest([0, 1, 2, 3]) AS v)",
     "garment_metrics": "WITH s AS (SELECT s_suppkey, (s_suppkey % 11 + 5)::DOUBLE AS w, (s_suppkey % 7 + 5)::DOUBLE AS h FROM supplier) SELECT CAST(s_suppkey AS VARCHAR) AS sample, true AS panel_count_match, 2::BIGINT AS gt_panels, round(100 * w * h / ((w + 1) * (h + 2)), 6) AS iou, CASE WHEN s_suppkey % 3 = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END AS stitch_accuracy, CASE WHEN s_suppkey % 3 = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END AS stitch_precision FROM s",
     "garment_same": "SELECT count(*) AS samples, count(*) AS valid, 100.0::DOUBLE AS panel_match_rate, 0.0::DOUBLE AS avg_chamfer_mm, 0.0::DOUBLE AS std_chamfer_mm, 100.0::DOUBLE AS avg_iou, 0.0::DOUBLE AS std_iou, 100.0::DOUBLE AS avg_stitch_accuracy, 0.0::DOUBLE AS std_stitch_accuracy FROM supplier",

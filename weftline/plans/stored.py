@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions import responses
+from weftline.functions import images, responses
 from weftline.operators import conversations, profile, tokens, vision
 from weftline.plans import inputs
 from weftline.plans.inputs import table
@@ -180,7 +180,32 @@ def label_alignment(spark, sf_dir):  # T5: labels cut at the right or filled at
     return rows.select("doc_id", F.array_join(F.transform(tokens.aligned_labels(F.col("ids"), F.col("labels")), lambda x: x.cast("string")), ",").alias("labels"))
 
 
-QUERIES = {f.__name__: f for f in (record_files, prompt_lines, image_records, image_paths, mode_scenes, archived_images, cut_images, laid_images, arrow_rows, built_corpus, built_batches, run_files, run_statistics, text_dump, copied_files, built_modes, mode_tokens, label_alignment)}
+def image_headers(spark, sf_dir):  # I3, I4: sizes from the headers of PNG and JPEG bytes, and of bytes that are neither
+    k = F.col("c_custkey")
+    word = lambda x, n: F.lpad(F.hex(x), n, "0")
+    w, h = k % 4000 + 1, k * 7 % 3000 + 1
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(w, 8), word(h, 8), F.lit("0802000000"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), word(h, 4), word(w, 4), F.lit("03"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.unhex(F.when(k % 3 == 0, png).when(k % 3 == 1, jpeg).otherwise(word(k, 16))).alias("content"))
+    return rows.select("c_custkey", images.resolution("content").alias("r")).select("c_custkey", F.col("r.width").cast("long").alias("width"), F.col("r.height").cast("long").alias("height"))
+
+
+def converted_files(spark, sf_dir):  # K4, S10, O15: YAML files as JSON files
+    folder, out = scratch(spark), scratch(spark)
+    raw = F.concat(F.col("n_nationkey").cast("string"), F.lit("_BedFactory: {w: 0.12345, n: "), F.lower(F.col("n_name")), F.lit("}\nblueprint: [1, 2.5]\n"))
+    sinks.save_each(table(spark, sf_dir, "nation").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("stem"), F.when(F.col("n_nationkey") % 6 != 5, raw).otherwise("a: [").alias("raw")), folder, suffix=".yaml")
+    sinks.save_each(files.converted(files.yaml_files(spark, folder), 3), out)
+    return files.texts(spark, out).select("stem", "raw")
+
+
+def saved_profile(spark, sf_dir):  # A10: a profile and its rating written as JSON and read back
+    folder = scratch(spark)
+    sinks.save_result(spark, {"profile": profile.quality(profile.profile(inputs.event_files(spark, sf_dir)))}, f"{folder}/analysis.json")
+    back = datasets.side_car(spark, folder, "analysis.json")["profile"][0]
+    return spark.createDataFrame([(back["files"], back["valid"], back["invalid"], back["rating"], len(back["common_keys"]))], "files long, valid long, invalid long, rating string, keys long")
+
+
+QUERIES = {f.__name__: f for f in (record_files, prompt_lines, image_records, image_paths, mode_scenes, archived_images, cut_images, laid_images, arrow_rows, built_corpus, built_batches, run_files, run_statistics, text_dump, copied_files, built_modes, mode_tokens, label_alignment, image_headers, converted_files, saved_profile)}
 
 _TURN = "(4 + octet_length(encode(role)) + octet_length(encode(coalesce(text, ''))))"
 _SHARDS = "WITH c AS (SELECT *, repeat(c_name, (c_custkey % 50)::INT) AS image, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer WHERE c_custkey % 10 <> 3), r AS (SELECT c_custkey, image, printf('images_shard_%04d.tar::c%06d_%08d.png', n // 100, c_custkey, n) AS ref FROM c)"
@@ -216,5 +241,8 @@ ORACLE = {
       SELECT 'unconditional' AS mode, stem, md5('{conversations.PROMPTS["unconditional"]}') AS ask_md5, answer, 0::BIGINT AS images FROM d UNION ALL SELECT 'contour', stem, md5('{conversations.PROMPTS["contour"]}'), answer, 0 FROM d
       UNION ALL SELECT 'panorama', stem, md5('{conversations.PROMPTS["panorama"]}'), answer, 1 FROM d WHERE doc_id % 3 <> 0 UNION ALL SELECT mode, stem, md5(replace('{conversations.PROMPTS["multi_view"]}', '{{n}}', CAST(n AS VARCHAR))), answer, n FROM d, m""",
     "mode_tokens": f"WITH l AS (SELECT conv_id, CAST(sum({_TURN}) AS BIGINT) AS n, arg_min(role, turn) AS role FROM conversations GROUP BY conv_id), k AS (SELECT *, n + CASE WHEN role = 'user' THEN CASE conv_id % 3 WHEN 1 THEN 9 WHEN 2 THEN 16 ELSE 0 END ELSE 0 END AS v FROM l) SELECT 'caption' AS mode, conv_id, n AS n_tokens, n AS n_labels FROM l WHERE n <= 300 UNION ALL SELECT 'panorama', conv_id, least(v, 300), least(v, 300) FROM k",
+    "image_headers": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 2 THEN c_custkey % 4000 + 1 END AS width, CASE WHEN c_custkey % 3 <> 2 THEN c_custkey * 7 % 3000 + 1 END AS height FROM customer",
+    "converted_files": """SELECT 's' || n_nationkey AS stem, '{' || chr(10) || '  "object_1": {' || chr(10) || '    "w": 0.123,' || chr(10) || '    "n": "' || lower(n_name) || '"' || chr(10) || '  },' || chr(10) || '  "blueprint": [' || chr(10) || '    1,' || chr(10) || '    2.5' || chr(10) || '  ]' || chr(10) || '}' AS raw FROM nation WHERE n_nationkey % 6 <> 5""",
+    "saved_profile": "WITH e AS (SELECT count(*) AS files, count(*) FILTER (WHERE event_id % 10 <> 9) AS valid, count(*) FILTER (WHERE event_id % 10 = 9) AS invalid FROM events) SELECT *, 'to improve' AS rating, 3::BIGINT AS keys FROM e",
     "label_alignment": "WITH d AS (SELECT doc_id, doc_id % 7 + 1 AS n, doc_id % 5 + 1 AS m FROM documents) SELECT doc_id, array_to_string(list_concat(list_transform(range(greatest(n - m, 0)), lambda i: '-100'), list_transform(range(least(n, m)), lambda i: CAST(101 + i AS VARCHAR))), ',') AS labels FROM d",
 }
