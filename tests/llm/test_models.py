@@ -123,3 +123,34 @@ def test_kneser_ney_is_the_definition():
     asked = [*grams, (0, 0, 0, ord("q")), (ord("t"), ord("h"), ord("e"), ord("z")), (ord("z"),) * 4, (ord("x"), ord("t"), ord("h"), ord("e"))]
     code = np.array([sum(s << 16 * (3 - i) for i, s in enumerate(g)) for g in asked], np.uint64)
     assert np.allclose(model.log_probs(code)[:, 0], [math.log(prob(g)) for g in asked], rtol=1e-4)
+
+
+def test_many_languages_keep_what_each_has_seen():
+    draw = np.random.default_rng(8)
+    texts = {f"l{k:02d}": ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"[k % 20 : k % 20 + 5] + " "), 80)) for _ in range(3)] for k in range(60)}
+    counts, plain = {}, {}
+    for lang, own in texts.items():
+        plain[lang] = _plain_kn(own)[1]
+        counts[lang] = np.unique(langid.grams(*langid.symbols(*raw(pa.array(own)))), return_counts=True)
+    model = langid.Model(counts)
+    asked = np.concatenate([c[0][:3] for c in counts.values()])
+    got = model.log_probs(asked)
+    for j, lang in enumerate(model.languages):
+        want = [math.log(plain[lang](tuple(int(c) >> 16 * b & 0xFFFF for b in (3, 2, 1, 0)))) for c in asked]
+        assert np.allclose(got[:, j], want, rtol=1e-4)
+    cells = sum(len(t.value) for t in (*model.tables.values(), *model.contexts.values()))
+    assert cells <= 9 * sum(len(c[0]) for c in counts.values())  # not each gram for each language
+    data, offsets = raw(pa.array([*(t[0] for t in texts.values()), "", "12"]))
+    n, mean, _ = langid._measure(model, data, offsets)
+    assert (n[-2:] == 0).all() and (mean[-2:] == 0).all()
+    best = [model.languages[j] for j in mean[:-2].argmin(1)]
+    assert sum(a == b for a, b in zip(best, texts)) >= 55
+
+
+def test_measures_do_not_depend_on_how_many_cells_are_held(monkeypatch):
+    texts = ["the cat sat", "", "a rat and the mat", "1 2", "x" * 500]
+    data, offsets = raw(pa.array(texts))
+    model = langid.Model({"a": np.unique(langid.grams(*langid.symbols(data, offsets)), return_counts=True)})
+    whole = langid._measure(model, data, offsets)
+    monkeypatch.setattr(langid, "CELLS", 7)
+    assert all(np.allclose(a, b) for a, b in zip(whole, langid._measure(model, data, offsets)))

@@ -2,9 +2,9 @@
 
 Each language has a model of order 4 over lower-case letters, with one boundary symbol for
 every run of other characters.  The models of all languages share sorted arrays of n-gram
-hashes, one for each order, with a column of log probabilities per language; an n-gram that no
-language has seen backs off through the context weights.  A text gets the language with the
-lowest cross-entropy per symbol.
+hashes, one for each order, with the languages that have each and their log probabilities - nothing is
+kept for a language that has not seen it - and a language backs off to its next shorter n-gram through
+its context weights.  A text gets the language with the lowest cross-entropy per symbol.
 
 Models are fitted on a bounded sample: about ``max_docs`` whole labelled documents of each
 language, chosen by a hash of doc_id; a fifth of them is set aside to calibrate rejection: a
@@ -25,6 +25,7 @@ first.  Repeated rows get equal results.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,62 +93,68 @@ def _key(code: np.ndarray, order: int) -> np.ndarray:
     return _salted(_mask(code, order), order)
 
 
+class _Table:
+    """Sorted hashes with the languages that have each, and a value for each of them."""
+
+    def __init__(self, hashes: list[np.ndarray], values: list[np.ndarray]):
+        """hashes, values: of each language."""
+        all_ = np.concatenate(hashes)
+        lang = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(h) for h in hashes])
+        order = np.lexsort((lang, all_))
+        keys, self.start = np.unique(all_[order], return_index=True)
+        self.start = np.append(self.start, len(all_))
+        self.index, self.lang, self.value = SortedHashes(keys), lang[order], np.concatenate(values)[order].astype(np.float32)
+
+    def cells(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, language, value) of the hashes that are here."""
+        at = self.index.find(hashes)
+        row = np.flatnonzero(at >= 0)
+        begin, n = self.start[at[row]], self.start[at[row] + 1] - self.start[at[row]]
+        flat = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(row, n), self.lang[flat], self.value[flat]
+
+
 class Model:
-    """Tables of all languages.  counts: language -> (4-gram codes, counts)."""
+    """Tables of all languages, of what each of them has.  counts: language -> (4-gram codes, counts)."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(counts)
-        seen: dict = {}
-        for lang, (codes, n) in counts.items():
-            levels = {ORDER: (codes, n.astype(np.float64))}
+        grams_, heads_ = ({k: ([], []) for k in range(1, ORDER + 1)} for _ in range(2))
+        floor = []
+        for lang in self.languages:
+            levels = {ORDER: (counts[lang][0], counts[lang][1].astype(np.float64))}
             for k in range(ORDER - 1, 0, -1):  # lower orders count distinct continuations
-                levels[k] = tuple(x if i == 0 else x.astype(np.float64) for i, x in enumerate(np.unique(_mask(levels[k + 1][0], k), return_counts=True)))
-            seen[lang] = levels
-        self.tables, self.contexts = {}, {}
-        below: tuple | None = None
-        for k in range(1, ORDER + 1):
-            codes = np.unique(np.concatenate([seen[x][k][0] for x in self.languages]))
-            heads = np.unique(np.concatenate([seen[x][k][0] >> U(16) for x in self.languages])) if k > 1 else np.zeros(1, U)
-            prob, weight = np.zeros((len(codes), len(self.languages))), np.ones((len(heads), len(self.languages)))
-            for j, lang in enumerate(self.languages):
-                own, n = seen[lang][k]
+                codes, n = np.unique(_mask(levels[k + 1][0], k), return_counts=True)
+                levels[k] = codes, n.astype(np.float64)
+            prob = np.zeros(0)
+            for k in range(1, ORDER + 1):
+                codes, n = levels[k]
                 once, twice = (n == 1).sum(), (n == 2).sum()
                 d = once / (once + 2 * twice) if once and twice else 0.5
-                head = own >> U(16) if k > 1 else np.zeros(len(own), U)
-                kinds, at = np.unique(head, return_inverse=True)
-                total, types = np.bincount(at, n), np.bincount(at)
-                weight[np.searchsorted(heads, kinds), j] = d * types / total
-                prob[np.searchsorted(codes, own), j] = np.maximum(n - d, 0) / total[at]
-            if k == 1:
-                self.floor = np.log(weight[0] / 65536)
-                prob += weight[0] / 65536
-            else:
-                prob += weight[np.searchsorted(heads, codes >> U(16))] * below[1][np.searchsorted(below[0], _mask(codes, k - 1))]
-            below = (codes, prob)
-            self.tables[k] = self._sorted(_key(codes, k), np.log(prob))
+                heads, at = np.unique(codes >> U(16) if k > 1 else np.zeros(len(codes), U), return_inverse=True)
+                total = np.bincount(at, n)
+                weight = d * np.bincount(at) / total
+                below = 1 / 65536 if k == 1 else prob[np.searchsorted(levels[k - 1][0], _mask(codes, k - 1))]
+                prob = np.maximum(n - d, 0) / total[at] + weight[at] * below
+                grams_[k][0].append(_key(codes, k))
+                grams_[k][1].append(np.log(prob))
+                heads_[k][0].append(_salted(heads, k + 8))
+                heads_[k][1].append(np.log(weight))
+                if k == 1:
+                    floor.append(np.log(weight[0] / 65536) if len(weight) else 0.0)
+        self.floor = np.array(floor, np.float32)
+        self.tables = {k: _Table(*grams_[k]) for k in grams_}
+        self.contexts = {k: _Table(*heads_[k]) for k in heads_ if k > 1}
+
+    def log_probs(self, code: np.ndarray) -> np.ndarray:
+        """Log probability of each gram's last symbol, a column per language: of the longest gram that it has, with the weights of longer contexts."""
+        out = np.repeat(self.floor[None, :], len(code), 0)
+        for k in range(1, ORDER + 1):
             if k > 1:
-                self.contexts[k] = self._sorted(_salted(heads, k + 8), np.log(weight))
-
-    @staticmethod
-    def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple:
-        order = np.argsort(keys)
-        return SortedHashes(keys[order]), values[order].astype(np.float32)
-
-    def log_probs(self, code: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Log probability of each gram's last symbol, a column per language."""
-        if order == 0:
-            return np.repeat(self.floor[None, :].astype(np.float32), len(code), 0)
-        index, values = self.tables[order]
-        at = index.find(_key(code, order))
-        out = values[at] if len(values) else np.zeros((len(code), len(self.languages)), np.float32)
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            rest = self.log_probs(code[miss], order - 1)
-            if order > 1:
-                index, weights = self.contexts[order]
-                head = index.find(_salted(_mask(code[miss], order) >> U(16), order + 8))
-                rest = rest + np.where(head[:, None] >= 0, weights[head], 0)
-            out[miss] = rest
+                row, lang, value = self.contexts[k].cells(_salted(_mask(code, k) >> U(16), k + 8))
+                out[row, lang] += value
+            row, lang, value = self.tables[k].cells(_key(code, k))
+            out[row, lang] = value
         return out
 
 
@@ -168,17 +175,28 @@ def _remember(bits: int):
     return run
 
 
+#: Cells of log probabilities that are held at a time.
+CELLS = 1 << 23
+
+
 def _measure(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple:
-    """For each text: symbols, letters or not, mean negative log probability by language, and its mean square for the best."""
+    """For each text: symbols, letters or not, and by language the mean negative log probability and its mean square."""
     sym, first = symbols(data, offsets)
-    n = np.diff(first)
-    lp = -model.log_probs(grams(sym, first))
-    sums = np.zeros((len(sym) + 1, lp.shape[1]))
-    np.cumsum(lp, axis=0, out=sums[1:])
-    mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)[:, None]
-    square = np.zeros((len(sym) + 1, lp.shape[1]))
-    np.cumsum(lp.astype(np.float64) ** 2, axis=0, out=square[1:])
-    return n, mean, (square[first[1:]] - square[first[:-1]]) / np.maximum(n, 1)[:, None]
+    n, code = np.diff(first), grams(sym, first)
+    sums, squares = (np.zeros((len(n), len(model.languages))) for _ in range(2))
+    step = max(1, CELLS // len(model.languages))
+    for at in range(0, len(code), step):
+        end = min(at + step, len(code))
+        which, kinds = pd.factorize(code[at:end])
+        lp = -model.log_probs(kinds)
+        a, b = np.searchsorted(first, at, "right") - 1, np.searchsorted(first, end)
+        edges = np.clip(first[a : b + 1], at, end) - at
+        full = a + np.flatnonzero(np.diff(edges) > 0)
+        own = lp[which].astype(np.float64)
+        sums[full] += np.add.reduceat(own, edges[full - a])
+        squares[full] += np.add.reduceat(own**2, edges[full - a])
+    most = np.maximum(n, 1)[:, None]
+    return n, sums / most, squares / most
 
 
 def _calibrate(held):
