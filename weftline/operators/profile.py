@@ -20,9 +20,10 @@ FIRST, TOP = 100, 20
 
 def room_count(raw: Column) -> Column:
     """Rooms of a scene's blueprint: 0 where there is none, null where the text is no JSON."""
-    rooms = F.get_json_object(raw, "$.blueprint.rooms")
+    scene = F.try_parse_json(raw)
+    rooms = F.try_variant_get(scene, "$.blueprint.rooms", "string")
     n = F.coalesce(F.size(F.json_object_keys(rooms)), F.json_array_length(rooms), F.lit(0))
-    return F.when(F.get_json_object(raw, "$").isNotNull(), n)
+    return F.when(scene.isNotNull(), n)
 
 
 def single_room(files: DataFrame, most: int = 1) -> DataFrame:

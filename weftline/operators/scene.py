@@ -160,11 +160,11 @@ def object_table(scenes: DataFrame, key: str = "file") -> DataFrame:
     Malformed scenes have none.
     """
     items = F.from_json("raw", "map<string,string>")
-    rows = scenes.select(F.col(key), F.posexplode(F.map_entries(items)).alias("pos", "x"))
-    spatial = F.get_json_object("x.value", "$.spatial")
-    rows = rows.where(~F.col("x.key").isin(*NO_OBJECT) & F.get_json_object("x.value", "$.class").isNotNull() & spatial.startswith("{"))
-    at = F.coalesce(F.from_json(F.get_json_object("x.value", "$.spatial.location"), "array<double>"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-    return rows.select(key, "pos", F.col("x.key").alias("id"), F.get_json_object("x.value", "$.class").alias("class"), at.alias("location"))
+    rows = scenes.select(F.col(key), F.posexplode(F.map_entries(items)).alias("pos", "x")).where(~F.col("x.key").isin(*NO_OBJECT))
+    rows = rows.withColumn("o", F.from_json("x.value", "class string, spatial struct<location: array<double>>"))  # one parse an object
+    rows = rows.where(F.col("o.class").isNotNull() & F.col("o.spatial").isNotNull())
+    at = F.coalesce("o.spatial.location", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    return rows.select(key, "pos", F.col("x.key").alias("id"), F.col("o.class").alias("class"), at.alias("location"))
 
 
 def object_lookup(scenes: DataFrame, wanted: DataFrame, key: str = "file") -> DataFrame:
@@ -175,22 +175,22 @@ def object_lookup(scenes: DataFrame, wanted: DataFrame, key: str = "file") -> Da
     return wanted.join(known.select(key, F.explode(entries).alias("id", "object")), [key, "id"], "left")
 
 
-def bounds(scenes: DataFrame, key: str = "file") -> DataFrame:
-    """(file, min_x, max_x, min_y, max_y, centre_x, centre_y) over all points of a scene; nulls where it has none."""
+_OUTLINE = "blueprint struct<rooms: map<string, struct<shape: struct<coordinates: array<array<array<double>>>>>>>, portal array<struct<seg: array<array<double>>>>"
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for name, raw in zip(part[key], part["raw"], strict=True):
-                try:
-                    xy = points(json.loads(raw))
-                except (ValueError, TypeError, AttributeError):
-                    xy = np.zeros((0, 2))
-                out.append((name, *(map(float, (*np.array([xy.min(0), xy.max(0)]).T.ravel(), *_centre(xy))) if len(xy) else [None] * 6)))
-            yield pd.DataFrame(out, columns=[key, "min_x", "max_x", "min_y", "max_y", "centre_x", "centre_y"])
-
-    kind = scenes.schema[key].dataType.simpleString()
-    return scenes.select(key, "raw").mapInPandas(run, f"{key} {kind}, min_x double, max_x double, min_y double, max_y double, centre_x double, centre_y double")
+
+def bounds(scenes: DataFrame, key: str = "file") -> DataFrame:
+    """(file, min_x, max_x, min_y, max_y, centre_x, centre_y) over all points of a scene, read by the JVM; nulls where it has none."""
+    none = F.array().cast("array<array<double>>")
+    rows = scenes.select(key, F.from_json("raw", _OUTLINE).alias("s"), F.from_json("raw", "map<string,string>").alias("items"))
+    rings = F.flatten(F.flatten(F.array_compact(F.transform(F.map_values("s.blueprint.rooms"), lambda r: r["shape"]["coordinates"]))))
+    ends = F.flatten(F.array_compact(F.transform("s.portal", lambda p: p["seg"])))
+    own = F.transform(F.map_values(F.map_filter("items", lambda k, v: ~k.isin(*NO_OBJECT))), lambda v: F.from_json(v, "spatial struct<location: array<double>>")["spatial"])
+    places = F.transform(F.filter(own, lambda x: x.isNotNull()), lambda x: F.coalesce(x["location"], F.array(F.lit(0.0), F.lit(0.0))))
+    all_ = F.concat(*[F.coalesce(x, none) for x in (rings, ends, places)])
+    rows = rows.select(key, F.filter(all_, lambda p: F.size(p) >= 2).alias("p"))
+    axis = lambda i: F.transform("p", lambda p: F.get(p, i))
+    rows = rows.select(key, F.array_min(axis(0)).alias("min_x"), F.array_max(axis(0)).alias("max_x"), F.array_min(axis(1)).alias("min_y"), F.array_max(axis(1)).alias("max_y"))
+    return rows.withColumns({"centre_x": (F.col("min_x") + F.col("max_x")) / 2, "centre_y": (F.col("min_y") + F.col("max_y")) / 2})
 
 
 def grid(n: int, reach: float) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ class Tokenizer:
     def plain(self, text: str) -> list[int]:
         raise NotImplementedError
 
-    def text(self, ids: list[int]) -> str:
+    def text(self, ids: np.ndarray) -> str:
         raise NotImplementedError
 
     def told(self) -> dict:
@@ -40,22 +41,21 @@ class Tokenizer:
         """The padding id; that of the end mark where no padding mark is set."""
         return self.special(self.pad or self.eos)
 
+    def array(self, text: str) -> np.ndarray:
+        """The ids of a text; marks stand for themselves."""
+        parts = [np.array([self.special(x)] if x in SPECIALS else self.plain(x), np.int32) for x in _MARK.split(text) if x]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in _MARK.split(text):
-            out += [self.special(part)] if part in SPECIALS else self.plain(part) if part else []
-        return out
+        return self.array(text).tolist()
 
     def decode(self, ids, skip_marks: bool = False) -> str:
-        out, run = [], []
-        for i in [*ids, None]:
-            if i is not None and i < self.size:
-                run.append(int(i))
-                continue
-            out.append(self.text(run) if run else "")
-            run = []
-            if i is not None and not skip_marks and i - self.size < len(SPECIALS):
-                out.append(SPECIALS[i - self.size])
+        x, out, at = np.asarray(ids, np.int64), [], 0
+        for i in [*np.flatnonzero(x >= self.size).tolist(), len(x)]:
+            out.append(self.text(x[at:i]) if i > at else "")
+            if i < len(x) and not skip_marks and x[i] - self.size < len(SPECIALS):
+                out.append(SPECIALS[x[i] - self.size])
+            at = i + 1
         return "".join(out)
 
 
@@ -64,11 +64,11 @@ class ByteTokenizer(Tokenizer):
 
     size = 256
 
-    def plain(self, text: str) -> list[int]:
-        return list(text.encode())
+    def plain(self, text: str) -> np.ndarray:
+        return np.frombuffer(text.encode(), np.uint8)
 
-    def text(self, ids: list[int]) -> str:
-        return bytes(ids).decode(errors="replace")
+    def text(self, ids: np.ndarray) -> str:
+        return ids.astype(np.uint8).tobytes().decode(errors="replace")
 
 
 class FileTokenizer(Tokenizer):
@@ -125,8 +125,8 @@ class FileTokenizer(Tokenizer):
             return self.held.encode(text, add_special_tokens=False).ids
         return self.held.encode_ordinary(text) if self.path.endswith(".tiktoken") else self.held.encode(text)
 
-    def text(self, ids: list[int]) -> str:
-        return self.held.decode(ids)
+    def text(self, ids: np.ndarray) -> str:
+        return self.held.decode(ids.tolist())
 
 
 def load_tokenizer(path: str | None = None, **options) -> Tokenizer:
@@ -152,18 +152,18 @@ def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, all_role
     Labels are the ids of assistant turns (``all_roles``: of every turn but the user's) and -100
     elsewhere.  A turn ends in marks that are tokens by themselves, so turns are encoded one by one.
     """
-    tok = tokenizer or ByteTokenizer()
+    tok, none = tokenizer or ByteTokenizer(), np.zeros(0, np.int32)
 
     @F.pandas_udf("input_ids array<int>, labels array<int>")
     def run(messages: pd.Series) -> pd.DataFrame:
         out = []
         for turns in messages:
-            ids, labels = [], []
+            ids, labels = [none], [none]
             for m in [] if turns is None else turns:
-                own = tok.encode(turn_text(m["role"], m["content"] or ""))
-                ids += own
-                labels += own if m["role"] == "assistant" or (all_roles and m["role"] != "user") else [IGNORE] * len(own)
-            out.append((ids, labels))
+                own = tok.array(turn_text(m["role"], m["content"] or ""))
+                ids.append(own)
+                labels.append(own if m["role"] == "assistant" or (all_roles and m["role"] != "user") else np.full(len(own), IGNORE, np.int32))
+            out.append((np.concatenate(ids), np.concatenate(labels)))
         return pd.DataFrame(out, columns=["input_ids", "labels"])
 
     rows = conversations.withColumn("_t", run("messages")).select(*[c for c in conversations.columns if c != "messages"], "_t.*")

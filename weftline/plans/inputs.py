@@ -33,13 +33,19 @@ def _object(kind, x, y) -> F.Column:
     return F.to_json(F.struct(kind.alias("class"), F.struct(F.array(x.cast("double"), y.cast("double"), F.lit(0.0)).alias("location"), rotation.alias("rotation")).alias("spatial")))
 
 
-def order_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, stem, path, raw): a scene an order; its objects are the line items, its rooms the different line states."""
+def order_scenes(spark: SparkSession, sf_dir: str, rooms: bool = True) -> DataFrame:
+    """(file, stem, path, raw): a scene an order; its objects are the line items, its rooms the different line states.
+
+    Without ``rooms`` a portal at the order's number takes their place.
+    """
     own = F.struct("l_linenumber", "l_returnflag", "l_quantity")
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(own)).alias("o"), F.array_sort(F.collect_set("l_linestatus")).alias("rooms"))
-    rooms = json_object(F.transform("rooms", lambda r: F.struct(r.alias("key"), F.lit('{"shape":{"coordinates":[[[0,0],[60,0],[60,8],[0,8]]]}}').alias("value"))))
+    states = json_object(F.transform("rooms", lambda r: F.struct(r.alias("key"), F.lit('{"shape":{"coordinates":[[[0,0],[60,0],[60,8],[0,8]]]}}').alias("value"))))
     objects = F.transform("o", lambda x, i: F.struct(F.concat(F.lit("object_"), (i + 1).cast("string")).alias("key"), _object(x["l_returnflag"], x["l_quantity"], x["l_linenumber"]).alias("value")))
-    plan = F.array(F.struct(F.lit("blueprint").alias("key"), F.concat(F.lit('{"rooms":'), rooms, F.lit("}")).alias("value")))
+    plan = F.array(F.struct(F.lit("blueprint").alias("key"), F.concat(F.lit('{"rooms":'), states, F.lit("}")).alias("value")))
+    if not rooms:
+        seg = F.concat(F.lit('[{"seg":[['), (F.col("l_orderkey") % 40).cast("string"), F.lit(",3.5],["), (F.col("l_orderkey") % 30).cast("string"), F.lit(",-1]]}]"))
+        plan = F.array(F.struct(F.lit("portal").alias("key"), seg.alias("value")))
     name = F.col("l_orderkey").cast("string")
     return rows.select(name.alias("file"), name.alias("stem"), name.alias("path"), json_object(F.concat(plan, objects)).alias("raw"))
 

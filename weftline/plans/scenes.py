@@ -29,6 +29,10 @@ def scene_bounds(spark, sf_dir):  # A29
     return scene.bounds(inputs.order_scenes(spark, sf_dir))
 
 
+def open_bounds(spark, sf_dir):  # A29: boxes of objects and portals, each scene its own
+    return scene.bounds(inputs.order_scenes(spark, sf_dir, rooms=False))
+
+
 def _placed(rows):
     rows = scene.object_table(rows)
     return _round(rows.select("file", "id", F.get("location", 0).alias("x"), F.get("location", 1).alias("y")))
@@ -197,7 +201,7 @@ def converted_yaml(spark, sf_dir):  # S10, O15, K4
     return rows.select("stem", F.array_join(F.map_keys(own), ",").alias("keys"), F.get_json_object(F.element_at(own, "object_1"), "$.w").cast("double").alias("w"))
 
 
-QUERIES = {f.__name__: f for f in (scene_objects, object_lookup, scene_bounds, scene_turned, scene_mirrored, scene_f1, scene_status, scene_f1_mean, scene_params, scene_rivals, scene_pair_params, params_accuracy, params_report, equal_params, garment_panels, garment_metrics, garment_same, garment_curves, garment_spec, garment_shapes, garment_pairs, room_counts, single_rooms, file_profile, file_quality, key_counts, json_structure, malformed_files, first_errors, content_match, first_by_name, converted_yaml)}
+QUERIES = {f.__name__: f for f in (scene_objects, object_lookup, scene_bounds, open_bounds, scene_turned, scene_mirrored, scene_f1, scene_status, scene_f1_mean, scene_params, scene_rivals, scene_pair_params, params_accuracy, params_report, equal_params, garment_panels, garment_metrics, garment_same, garment_curves, garment_spec, garment_shapes, garment_pairs, room_counts, single_rooms, file_profile, file_quality, key_counts, json_structure, malformed_files, first_errors, content_match, first_by_name, converted_yaml)}
 
 _X, _Y = "s_suppkey % 97 + 1", "s_suppkey // 97 % 50 + 1"
 _SCORED = "s AS (SELECT s_nationkey AS f, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 4 <> 1) AS tp FROM supplier GROUP BY s_nationkey), k AS (SELECT *, f <> 0 AND tp > 0 AS ok FROM s), t AS (SELECT unnest([0.1::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE]) AS threshold)"
@@ -286,6 +290,7 @@ SELECT class, kind, CAST(sum(n) AS BIGINT) AS n, CAST(sum(ok) AS BIGINT) AS ok,
     "scene_objects": "SELECT CAST(l_orderkey AS VARCHAR) AS file, row_number() OVER w AS pos, 'object_' || row_number() OVER w AS id, l_returnflag AS class, l_quantity AS x, l_linenumber::DOUBLE AS y FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity)",
     "object_lookup": "WITH l AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity) AS i FROM lineitem) SELECT CAST(o_orderkey AS VARCHAR) AS file, l_returnflag AS class FROM orders LEFT JOIN l ON o_orderkey = l_orderkey AND i = 2",
     "scene_bounds": "SELECT CAST(l_orderkey AS VARCHAR) AS file, 0.0::DOUBLE AS min_x, 60.0::DOUBLE AS max_x, 0.0::DOUBLE AS min_y, 8.0::DOUBLE AS max_y, 30.0::DOUBLE AS centre_x, 4.0::DOUBLE AS centre_y FROM lineitem GROUP BY l_orderkey",
+    "open_bounds": "WITH p AS (SELECT l_orderkey AS k, l_quantity::DOUBLE AS x, l_linenumber::DOUBLE AS y FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, (l_orderkey % 40)::DOUBLE, 3.5::DOUBLE FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, (l_orderkey % 30)::DOUBLE, -1.0::DOUBLE FROM lineitem) SELECT CAST(k AS VARCHAR) AS file, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, (min(x) + max(x)) / 2 AS centre_x, (min(y) + max(y)) / 2 AS centre_y FROM p GROUP BY k",
     "scene_turned": f"SELECT CAST(s_nationkey AS VARCHAR) AS file, 'object_' || s_suppkey AS id, (60 - ({_Y}))::DOUBLE AS x, ({_X})::DOUBLE AS y FROM supplier",
     "scene_mirrored": f"SELECT CAST(s_nationkey AS VARCHAR) AS file, 'object_' || s_suppkey AS id, (102.5 - ({_X}))::DOUBLE AS x, ({_Y} - 1)::DOUBLE AS y FROM supplier",
     "scene_f1": f"WITH {_SCORED}, a AS (SELECT count(*) AS n, count(*) FILTER (WHERE ok) AS n_ok, count(*) FILTER (WHERE NOT ok) AS n_missing, count(*) FILTER (WHERE false) AS n_error, avg(1.0::DOUBLE) FILTER (WHERE ok) AS macro_precision, round(avg(tp / n::DOUBLE) FILTER (WHERE ok), 6) AS macro_recall, round(avg(2 * tp / (n + tp)::DOUBLE) FILTER (WHERE ok), 6) AS macro_f1, {_MICRO} FROM k) SELECT threshold, n, n_ok, n_missing, n_error, macro_precision, macro_recall, macro_f1, tp::BIGINT AS tp, 0::BIGINT AS fp, fn::BIGINT AS fn, CASE WHEN tp > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS micro_precision, round(tp / (tp + fn), 6) AS micro_recall, round(2 * tp / (2 * tp + fn), 6) AS micro_f1 FROM a, t",
