@@ -1,6 +1,7 @@
 import json
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,14 +19,20 @@ ROOM = {
 }
 
 
+def _cell(v):
+    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
+        return None
+    return round(float(v), 4) if not isinstance(v, bool) and (isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "fiu") else v
+
+
 def _rows(frame, columns):
-    return sorted((tuple(round(float(v), 4) if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else None if v is None or v != v else v for v in r) for r in frame[columns].astype(object).values.tolist()), key=repr)
+    return sorted((tuple(map(_cell, r)) for r in frame[columns].astype(object).values.tolist()), key=repr)
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations", "events", "embeddings", "benchmark", "lineitem", "orders", "supplier", "part"):
+    for t in ("documents", "labels", "conversations", "events", "embeddings", "benchmark", "lineitem", "orders", "supplier", "part", "customer", "nation"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 

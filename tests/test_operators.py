@@ -99,6 +99,14 @@ def _brute_scores(gt, pred, thresholds, n, reach):
     return best
 
 
+def test_scenes_without_predictions_in_a_task_of_their_own(spark):
+    text = json.dumps(ROOM)
+    truths = spark.createDataFrame([("a", text), ("b", "{"), ("c", "{}")], "file string, raw string").repartition(3, "file")
+    for preds in ([], [("b", text)], [("c", text)]):
+        got = {r["file"]: r["status"] for r in scene.evaluate(truths, spark.createDataFrame(preds, "file string, raw string"), n=1).where("main").collect()}
+        assert got == {"a": "missing_pred", "b": "error", "c": "ok" if ("c", text) in preds else "missing_pred"}
+
+
 def test_best_places_are_those_of_all_places():
     draw = np.random.default_rng(4)
 

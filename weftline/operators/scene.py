@@ -363,7 +363,8 @@ def evaluate(truths: DataFrame, predictions: DataFrame, thresholds=(0.1, 0.25, 0
                 except (ValueError, TypeError, KeyError, AttributeError):
                     status, got, pairs = "error", [{} for _ in thresholds], None
                 out += [{"file": file, "threshold": t, "main": t == main, "status": status, "n_gt": n_gt, "pairs": pairs if t == main else None} | s for t, s in zip(thresholds, got, strict=True)]
-            yield pd.DataFrame(out, columns=columns).astype(dict.fromkeys(("tp", "fp", "fn", "n_gt"), "Int64") | {"angle": "Int32"})
+            rows_ = [[x.get(c) for c in columns] for x in out]  # what none of them has is null, not a number
+            yield pd.DataFrame(rows_, columns=columns, dtype=object).astype(dict.fromkeys(("tp", "fp", "fn", "n_gt"), "Int64") | {"angle": "Int32"})
 
     return rows.mapInPandas(run, SCORES)
 

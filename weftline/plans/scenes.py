@@ -276,7 +276,7 @@ ORACLE = {
       l AS (SELECT k, edge, arg_max(kind, pl) AS kind, arg_max(n, pl) AS n FROM e GROUP BY k, edge), p AS (SELECT unnest([0, 1]) AS p)
       SELECT CAST(k AS VARCHAR) AS stem, 'panel_' || p AS panel, CAST(edge AS BIGINT) AS edge, kind, array_to_string(list_transform(range(n), lambda j: CAST(k % 7 + j AS VARCHAR)), ',') AS params FROM l, p WHERE edge < CASE p WHEN 0 THEN 3 ELSE 5 END AND n = CASE kind WHEN 'quadratic' THEN 2 WHEN 'cubic' THEN 4 WHEN 'circle' THEN 3 ELSE -1 END""",
     "garment_spec": "SELECT CAST(s_suppkey AS VARCHAR) AS stem, 11.0::DOUBLE AS x, round(s_suppkey % 10 * 640 / 275.0::DOUBLE, 6) AS tx, -30.0::DOUBLE AS tz, 5::BIGINT AS n_edges, '[4,0]' AS last, len(list_filter(range(5), lambda j: (s_suppkey + j) % 11 <> 0))::BIGINT AS n_stitches, 100::BIGINT AS units FROM supplier",
-    "scene_rivals": f"{_RIVALS} SELECT f AS file, round(2 * tp / (n_gt + n_pred)::DOUBLE, 6) AS f1, round(tp / n_pred::DOUBLE, 6) AS precision, round(tp / n_gt::DOUBLE, 6) AS recall, tp, n_pred - tp AS fp, n_gt - tp AS fn, CAST(angle AS BIGINT) AS angle, mirror FROM best JOIN n USING (f) JOIN a USING (a) JOIN m USING (m) WHERE place = 1",
+    "scene_rivals": f"{_RIVALS} SELECT f AS file, round(2 * tp / (n_gt + n_pred)::DOUBLE, 6) AS f1, round(tp / n_pred::DOUBLE, 6) AS precision, round(tp / n_gt::DOUBLE, 6) AS recall, tp, n_pred - tp AS fp, n_gt - tp AS fn, CAST(angle AS BIGINT) AS angle, mirror FROM n LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (f) LEFT JOIN a USING (a) LEFT JOIN m USING (m)",
     "scene_pair_params": f"""{_RIVALS}, u AS (SELECT CASE WHEN z.kind = 0 THEN 'Bed' ELSE 'Chair' END AS class, z.k, z.pk FROM z JOIN best USING (f, a, m) WHERE place = 1 AND pk IS NOT NULL),
   o AS (SELECT class, 'object' AS kind, 1 AS n, CASE WHEN pk % 3 <> 0 THEN 1 ELSE 0 END AS ok, 0 AS extra, 0.0::DOUBLE AS e, NULL::DOUBLE AS v FROM u
     UNION ALL SELECT class, 'keys', 5, CASE WHEN pk % 3 <> 0 THEN 5 ELSE 4 END, 1, 0, NULL FROM u

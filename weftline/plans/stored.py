@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import images, responses
-from weftline.operators import conversations, profile, tokens, vision
+from weftline.operators import conversations, profile, tokens
 from weftline.plans import inputs
 from weftline.plans.inputs import table
 from weftline.plans.lengths import _FFD
@@ -81,7 +81,7 @@ def cut_images(spark, sf_dir):  # S27, K7, K8: shards read whole, by an index ma
     top = archives.roots(spark, [f"{root}/a/b"]).first()
     rows = refs.select("path", F.col("ref").alias("image_ref"), F.lit(top["root"].removesuffix("/.")).alias("root"))
     got = archives.cut_images(rows, archives.index(spark, root, recursive=True) if archives.create_index(spark, root) else archives.known_index(spark, root))
-    return got.select("path", F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("content_md5"))
+    return got.select("path", F.coalesce(F.octet_length("content"), F.lit(-1)).cast("long").alias("size"), F.md5("content").alias("content_md5"))
 
 
 def laid_images(spark, sf_dir):  # S26: images as files named by their references; Spark's reader leaves empty files out
@@ -228,7 +228,7 @@ ORACLE = {
     "image_paths": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '/abs/' || doc_id WHEN 1 THEN 's3:/b/' || doc_id ELSE CASE WHEN doc_id % 2 = 0 THEN '/own/' ELSE '/root/' END || doc_id END AS path FROM labels",
     "mode_scenes": "SELECT CAST(s_suppkey AS VARCHAR) AS stem, s_name AS caption, s_suppkey AS k FROM supplier WHERE s_suppkey % 9 <> 4 AND s_suppkey % 4 <> 0",
     "archived_images": f"{_SHARDS} SELECT '/x/' || c.c_custkey AS path, ref, md5(image) AS content_md5 FROM customer c LEFT JOIN r USING (c_custkey)",
-    "cut_images": "SELECT '/x/' || c_custkey AS path, CASE WHEN c_custkey % 10 <> 3 THEN length(c_name) * (c_custkey % 50) END AS size, CASE WHEN c_custkey % 10 <> 3 THEN md5(repeat(c_name, (c_custkey % 50)::INT)) END AS content_md5 FROM customer",
+    "cut_images": "SELECT '/x/' || c_custkey AS path, CASE WHEN c_custkey % 10 <> 3 THEN length(c_name) * (c_custkey % 50) ELSE -1 END AS size, CASE WHEN c_custkey % 10 <> 3 THEN md5(repeat(c_name, (c_custkey % 50)::INT)) END AS content_md5 FROM customer",
     "laid_images": f"{_SHARDS} SELECT sha256(ref) || '.png' AS name, md5(image) AS content_md5 FROM r WHERE image <> ''",
     "arrow_rows": "SELECT doc_id, lang FROM documents WHERE n_chars > 900 AND lang IN ('en', 'de')",
     "built_corpus": f"{_FFD.format(rows=_CAPTION_ROWS, capacity=9000)}, b AS (SELECT bin - 1 AS b, count(*) AS k, CAST(sum(n) AS BIGINT) AS n FROM f WHERE bin > 0 GROUP BY bin), t AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(b AS VARCHAR) || '-42')) <= floor(count(*) OVER () * 0.1) AS test FROM b) SELECT CASE WHEN test THEN 'test' ELSE 'train' END AS split, count(*) AS bins, CAST(sum(k) AS BIGINT) AS sequences, CAST(sum(n) AS BIGINT) AS tokens FROM t GROUP BY test",
