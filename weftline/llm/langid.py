@@ -25,7 +25,6 @@ first.  Repeated rows get equal results.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,8 +100,8 @@ class _Table:
         all_ = np.concatenate(hashes)
         lang = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(h) for h in hashes])
         order = np.lexsort((lang, all_))
-        keys, self.start = np.unique(all_[order], return_index=True)
-        self.start = np.append(self.start, len(all_))
+        keys, start = np.unique(all_[order], return_index=True)
+        self.start = np.append(start, len(all_)).astype(np.int32 if len(all_) < 2**31 else np.int64)
         self.index, self.lang, self.value = SortedHashes(keys), lang[order], np.concatenate(values)[order].astype(np.float32)
 
     def cells(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +175,7 @@ def _remember(bits: int):
 
 
 #: Cells of log probabilities that are held at a time.
-CELLS = 1 << 23
+CELLS = 1 << 20
 
 
 def _measure(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple:
@@ -187,14 +186,15 @@ def _measure(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple:
     step = max(1, CELLS // len(model.languages))
     for at in range(0, len(code), step):
         end = min(at + step, len(code))
-        which, kinds = pd.factorize(code[at:end])
-        lp = -model.log_probs(kinds)
+        kinds = pa.array(code[at:end]).dictionary_encode()
+        lp = -model.log_probs(kinds.dictionary.to_numpy())
         a, b = np.searchsorted(first, at, "right") - 1, np.searchsorted(first, end)
         edges = np.clip(first[a : b + 1], at, end) - at
         full = a + np.flatnonzero(np.diff(edges) > 0)
-        own = lp[which].astype(np.float64)
+        own = lp[kinds.indices.to_numpy()].astype(np.float64)
         sums[full] += np.add.reduceat(own, edges[full - a])
-        squares[full] += np.add.reduceat(own**2, edges[full - a])
+        own *= own
+        squares[full] += np.add.reduceat(own, edges[full - a])
     most = np.maximum(n, 1)[:, None]
     return n, sums / most, squares / most
 
