@@ -75,6 +75,16 @@ def test_odd_tables(spark):
         assert W.report(empty).count() == 0
 
 
+def test_sums_of_many_tasks_meet_in_rounds(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(300, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>").repartition(30)
+    whole = W.fit(df)
+    monkeypatch.setattr(W, "WIDE", 7)
+    monkeypatch.setattr(W, "FEW", 2)
+    again = W.fit(df)
+    assert whole.n == again.n == 300 and np.array_equal(whole.values, again.values) and whole.mean[0].tolist() == again.mean[0].tolist()
+
+
 def test_a_mean_far_from_the_spread(spark):
     rng = np.random.default_rng(9)
     x = 1e9 + rng.integers(-3, 4, (4000, 4)).astype(float)

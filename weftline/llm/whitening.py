@@ -3,9 +3,9 @@
 Sums of vectors and of centred outer products are kept as double-double numbers: products are split
 into themselves and their error (Veltkamp and Dekker), sums into themselves and theirs (Knuth), so
 nothing is lost to a mean that is large against the spread, or to many rows.  Each task sums its rows,
-tasks' high and low parts are merged in rounds of at most ``WIDE`` and ``FEW`` tasks - a partial sum has the
-size of the matrix, whatever the number of rows - and only those few meet in the driver, which solves the
-d x d matrix: LAPACK's syevd reduces it to tridiagonal form and solves that by divide and conquer.
+tasks' high and low parts are merged in rounds of ``WIDE`` and ``FEW`` tasks, where there are more - a partial sum
+has the size of the matrix, whatever the number of rows - and only those few meet in the driver, which solves
+the d x d matrix: LAPACK's syevd reduces it to tridiagonal form and solves that by divide and conquer.
 
 The mean is a double-double number too, and rows are centred before they are multiplied.
 
@@ -128,9 +128,10 @@ def _merge(batches: Iterator[pa.RecordBatch]):
 
 def _reduced(vectors: DataFrame, run) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
     """(n, (high, low)) over all rows of ``vectors``, a table of one column."""
-    parts = vectors.mapInArrow(run, PART)
+    parts, held_by = vectors.mapInArrow(run, PART), vectors.rdd.getNumPartitions()
     for tasks in (WIDE, FEW):
-        parts = parts.repartition(tasks).mapInArrow(_merge, PART)
+        if held_by > tasks:  # each has one sum at most
+            parts, held_by = parts.repartition(tasks).mapInArrow(_merge, PART), tasks
     n, held = 0, None
     for r in parts.collect():  # at most FEW rows of the matrix's size
         new = np.frombuffer(r["high"]), np.frombuffer(r["low"])
