@@ -62,13 +62,13 @@ def mode_scenes(spark, sf_dir):  # S8, S2: scenes and captions from folders
 
 
 def _archived(spark, sf_dir, **options):
-    root = archives.fresh_root(spark, scratch(spark))
-    rows = table(spark, sf_dir, "customer").select(F.format_string("c%06d", "c_custkey").alias("stem"), F.concat(F.lit("/x/"), F.col("c_custkey").cast("string")).alias("path"), F.when(F.col("c_custkey") % 10 != 3, F.repeat("c_name", (F.col("c_custkey") % 50).cast("int")).cast("binary")).alias("image"))
+    root, k = archives.fresh_root(spark, scratch(spark)), F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(F.format_string("c%06d", "s_suppkey").alias("stem"), F.concat(F.lit("/x/"), k.cast("string")).alias("path"), F.when(k % 10 != 3, F.repeat("s_name", (k % 50).cast("int")).cast("binary")).alias("image"))
     return root, written(archives.write_archives(rows, root, **options))
 
 
 def archived_images(spark, sf_dir):  # K5, S25, S29, J15: images written to shards and read by the index
-    root, refs = _archived(spark, sf_dir, shard_size=100)
+    root, refs = _archived(spark, sf_dir, shard_size=25)
     known = spark.createDataFrame([("own", root)], "base_key string, root string")
     rows = archives.with_root(refs.select("path", F.col("ref").alias("image_ref"), F.lit("own").alias("image_base")), known)
     got = archives.load_images(rows, archives.known_index(spark, root))
@@ -76,7 +76,7 @@ def archived_images(spark, sf_dir):  # K5, S25, S29, J15: images written to shar
 
 
 def cut_images(spark, sf_dir):  # S27, K7, K8: shards read whole, by an index made from them
-    root, refs = _archived(spark, sf_dir, shard_size=64)
+    root, refs = _archived(spark, sf_dir, shard_size=40)
     archives.write_info(spark, root, "own", ".", "png")
     top = archives.roots(spark, [f"{root}/a/b"]).first()
     rows = refs.select("path", F.col("ref").alias("image_ref"), F.lit(top["root"].removesuffix("/.")).alias("root"))
@@ -85,7 +85,7 @@ def cut_images(spark, sf_dir):  # S27, K7, K8: shards read whole, by an index ma
 
 
 def laid_images(spark, sf_dir):  # S26: images as files named by their references; Spark's reader leaves empty files out
-    root, refs = _archived(spark, sf_dir, shard_size=100)
+    root, refs = _archived(spark, sf_dir, shard_size=25)
     rows = refs.select(F.col("ref").alias("image_ref"), F.lit(root).alias("root"))
     folder = scratch(spark)
     laid = archives.materialize(archives.load_images(rows, archives.known_index(spark, root)), folder).where("image_path is not null")
@@ -208,7 +208,7 @@ def saved_profile(spark, sf_dir):  # A10: a profile and its rating written as JS
 QUERIES = {f.__name__: f for f in (record_files, prompt_lines, image_records, image_paths, mode_scenes, archived_images, cut_images, laid_images, arrow_rows, built_corpus, built_batches, run_files, run_statistics, text_dump, copied_files, built_modes, mode_tokens, label_alignment, image_headers, converted_files, saved_profile)}
 
 _TURN = "(4 + octet_length(encode(role)) + octet_length(encode(coalesce(text, ''))))"
-_SHARDS = "WITH c AS (SELECT *, repeat(c_name, (c_custkey % 50)::INT) AS image, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer WHERE c_custkey % 10 <> 3), r AS (SELECT c_custkey, image, printf('images_shard_%04d.tar::c%06d_%08d.png', n // 100, c_custkey, n) AS ref FROM c)"
+_SHARDS = "WITH c AS (SELECT *, repeat(s_name, (s_suppkey % 50)::INT) AS image, row_number() OVER (ORDER BY s_suppkey) - 1 AS n FROM supplier WHERE s_suppkey % 10 <> 3), r AS (SELECT s_suppkey, image, printf('images_shard_%04d.tar::c%06d_%08d.png', n // 25, s_suppkey, n) AS ref FROM c)"
 _RUN = """WITH s AS (SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN '{"rooms":{"n":' || s_suppkey || '}}' END AS plan FROM supplier), j AS (SELECT *, CASE k % 5 WHEN 0 THEN '"object_1":' || k || ',"b":[1,2.5]}' WHEN 3 THEN '"x":"é"}' END AS x FROM s)"""
 
 
@@ -227,8 +227,8 @@ ORACLE = {
     "image_records": "WITH c AS (SELECT * FROM customer WHERE c_custkey % 6 NOT IN (3, 5)) SELECT CAST(c_nationkey AS VARCHAR) AS id, count(*) AS n, 'look' AS prompt FROM c GROUP BY c_nationkey UNION ALL SELECT 'all', count(*), NULL FROM c",
     "image_paths": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '/abs/' || doc_id WHEN 1 THEN 's3:/b/' || doc_id ELSE CASE WHEN doc_id % 2 = 0 THEN '/own/' ELSE '/root/' END || doc_id END AS path FROM labels",
     "mode_scenes": "SELECT CAST(s_suppkey AS VARCHAR) AS stem, s_name AS caption, s_suppkey AS k FROM supplier WHERE s_suppkey % 9 <> 4 AND s_suppkey % 4 <> 0",
-    "archived_images": f"{_SHARDS} SELECT '/x/' || c.c_custkey AS path, ref, md5(image) AS content_md5 FROM customer c LEFT JOIN r USING (c_custkey)",
-    "cut_images": "SELECT '/x/' || c_custkey AS path, CASE WHEN c_custkey % 10 <> 3 THEN length(c_name) * (c_custkey % 50) ELSE -1 END AS size, CASE WHEN c_custkey % 10 <> 3 THEN md5(repeat(c_name, (c_custkey % 50)::INT)) END AS content_md5 FROM customer",
+    "archived_images": f"{_SHARDS} SELECT '/x/' || c.s_suppkey AS path, ref, md5(image) AS content_md5 FROM supplier c LEFT JOIN r USING (s_suppkey)",
+    "cut_images": "SELECT '/x/' || s_suppkey AS path, CASE WHEN s_suppkey % 10 <> 3 THEN length(s_name) * (s_suppkey % 50) ELSE -1 END AS size, CASE WHEN s_suppkey % 10 <> 3 THEN md5(repeat(s_name, (s_suppkey % 50)::INT)) END AS content_md5 FROM supplier",
     "laid_images": f"{_SHARDS} SELECT sha256(ref) || '.png' AS name, md5(image) AS content_md5 FROM r WHERE image <> ''",
     "arrow_rows": "SELECT doc_id, lang FROM documents WHERE n_chars > 900 AND lang IN ('en', 'de')",
     "built_corpus": f"{_FFD.format(rows=_CAPTION_ROWS, capacity=9000)}, b AS (SELECT bin - 1 AS b, count(*) AS k, CAST(sum(n) AS BIGINT) AS n FROM f WHERE bin > 0 GROUP BY bin), t AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(b AS VARCHAR) || '-42')) <= floor(count(*) OVER () * 0.1) AS test FROM b) SELECT CASE WHEN test THEN 'test' ELSE 'train' END AS split, count(*) AS bins, CAST(sum(k) AS BIGINT) AS sequences, CAST(sum(n) AS BIGINT) AS tokens FROM t GROUP BY test",
