@@ -224,7 +224,7 @@ def _encode_words(vocabulary: Vocabulary, sym: np.ndarray, begin: np.ndarray, le
 class Cache:
     """Plainly encoded words and their candidates by key, from slice to slice of a worker; starts anew when it holds ``most`` words."""
 
-    def __init__(self, most: int = 800_000):
+    def __init__(self, most: int = 400_000):
         self.most = most
         self.clear()
 
