@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -454,3 +455,32 @@ def test_packed_images_come_back(spark):
     one = {r["prompt"]: (r["id"], len(r["image_refs"])) for r in packing.prompt_records(packed, tok, "panorama").collect()}
     assert one["q2"] == ("v0", 1)
     assert packing.prompt_records(packed, tok, offset=1, count=1).count() == 1
+
+
+def test_token_arrays_come_in_small_parts(spark):
+    from weftline.session import BATCH, ROWS_A_BATCH, ship
+
+    sizes = np.array([5, 0, 3, 40, 1, 1, 8])
+    spans = tokens.pieces(sizes, 10)
+    assert [k for a, b in spans for k in range(a, b)] == list(range(7)) and all(sizes[a : b - 1].sum() < 10 for a, b in spans) and not tokens.pieces(sizes[:0])
+    parts = tokens.mapped(spark.createDataFrame([("x" * 2**20,)] * 8, "t string").coalesce(1), lambda batch: np.full(batch.num_rows, 2**20), lambda part: [pa.array([part.num_rows] * part.num_rows, pa.int64())], ("t",), n="long")
+    assert {r["n"] for r in parts.collect()} == {1}  # whatever the rows of a batch
+    held = spark.conf.get(BATCH)
+    try:
+        spark.conf.set(BATCH, "10000")
+        ship(spark)
+        assert int(spark.conf.get(BATCH)) == ROWS_A_BATCH
+        spark.conf.set(BATCH, "7")
+        ship(spark)
+        assert spark.conf.get(BATCH) == "7"
+    finally:
+        spark.conf.set(BATCH, held)
+
+
+def test_tokens_of_odd_conversations(spark):
+    df = spark.createDataFrame([(0, None), (1, []), (2, [("assistant", None)]), (3, [("user", "é<|im_end|>"), ("tool", "")])], "k int, messages array<struct<role:string,content:string>>").coalesce(1)
+    got = {r["k"]: r for r in tokens.decoded(tokens.tokenize(df, 100, all_roles=True)).collect()}
+    assert sorted(got) == [2, 3] and got[2]["text"] == got[2]["label_text"] == "<|im_start|>assistant\n<|im_end|>\n"
+    assert got[3]["text"] == "<|im_start|>user\né<|im_end|><|im_end|>\n<|im_start|>tool\n<|im_end|>\n" and got[3]["label_text"] == "<|im_start|>tool\n<|im_end|>\n"
+    rows = spark.createDataFrame([(None, None), ([65, 256], [-100, 256])], "input_ids array<int>, labels array<int>")
+    assert [(r["text"], r["label_text"]) for r in tokens.decoded(rows).collect()] == [(None, None), ("A<|im_start|>", "<|im_start|>")]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ IGNORE = -100
 START, STOP = "<|im_start|>", "<|im_end|>"
 #: Fixed marks of the chat form, each one token behind the vocabulary.
 SPECIALS = (START, STOP, "<|vision_start|>", "<|vision_end|>", "<|image_pad|>", "<|endoftext|>")
+#: Tokens that a task makes or decodes together.
+AT_ONCE = 1 << 20
 _MARK = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
 
 
@@ -146,6 +150,58 @@ def turn_text(role: str, content: str) -> str:
     return f"{START}{role}\n{content}{STOP}\n"
 
 
+def pieces(sizes: np.ndarray, most: int = AT_ONCE) -> list[tuple[int, int]]:
+    """Stretches of rows that begin within the same ``most`` tokens, so that each has at most that and its last row."""
+    before = np.cumsum(sizes) - sizes
+    return list(pairwise([0, *(np.flatnonzero(np.diff(before // most)) + 1).tolist(), len(sizes)])) if len(sizes) else []
+
+
+def mapped(rows: DataFrame, sizes, make, without: tuple = (), **added: str) -> DataFrame:
+    """The rows with columns ``added`` (name: type) from ``make(part)``, and without others, a few MB of tokens at a time.
+
+    A batch is told by its rows, whose token arrays may be long; sizes(batch) gives about the tokens of each.
+    """
+    rows = rows.drop(*added)
+    own = [c for c in rows.columns if c not in without]
+    schema = rows.select(*own, *[F.lit(None).cast(t).alias(c) for c, t in added.items()]).schema
+
+    def run(batches):
+        for batch in batches:
+            for a, b in pieces(sizes(batch)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], *make(part)], [*own, *added])
+
+    return rows.mapInArrow(run, schema)
+
+
+def id_lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+
+
+def _turn_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Where the turns of each row begin and end among all, and their roles and contents."""
+    messages = batch.column("messages")
+    flat = messages.flatten()
+    fields = dict(zip((f.name for f in flat.type), flat.flatten(), strict=True))
+    counts = pc.fill_null(pc.list_value_length(messages), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), fields["role"], fields["content"]
+
+
+def turn_sizes(batch: pa.RecordBatch) -> np.ndarray:
+    """The bytes of each row's contents."""
+    ends, _, content = _turn_columns(batch)
+    size = pc.fill_null(pc.binary_length(content), 0).to_numpy(zero_copy_only=False)
+    return np.diff(np.concatenate([[0], np.cumsum(size)])[ends])
+
+
+def turns(batch: pa.RecordBatch) -> list[list[tuple[str, str]]]:
+    """(role, content) of the turns of each row; no content is an empty one."""
+    ends, role, content = _turn_columns(batch)
+    own = [(r, c or "") for r, c in zip(role.to_pylist(), content.to_pylist(), strict=True)]
+    return [own[a:b] for a, b in pairwise(ends.tolist())]
+
+
 def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, all_roles: bool = False) -> DataFrame:
     """Adds input_ids, labels and n_tokens from ``messages``; rows beyond ``max_length`` go, and empty ones.
 
@@ -154,19 +210,16 @@ def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, all_role
     """
     tok, none = tokenizer or ByteTokenizer(), np.zeros(0, np.int32)
 
-    @F.pandas_udf("input_ids array<int>, labels array<int>")
-    def run(messages: pd.Series) -> pd.DataFrame:
-        out = []
-        for turns in messages:
-            ids, labels = [none], [none]
-            for m in [] if turns is None else turns:
-                own = tok.array(turn_text(m["role"], m["content"] or ""))
-                ids.append(own)
-                labels.append(own if m["role"] == "assistant" or (all_roles and m["role"] != "user") else np.full(len(own), IGNORE, np.int32))
-            out.append((np.concatenate(ids), np.concatenate(labels)))
-        return pd.DataFrame(out, columns=["input_ids", "labels"])
-
-    rows = conversations.withColumn("_t", run("messages")).select(*[c for c in conversations.columns if c != "messages"], "_t.*")
+    def make(part):
+        ids, labels = [], []
+        for row in turns(part):
+            own = [tok.array(turn_text(role, text)) for role, text in row]
+            told = [x if role == "assistant" or (all_roles and role != "user") else np.full(len(x), IGNORE, np.int32) for x, (role, _) in zip(own, row, strict=True)]
+            ids.append(np.concatenate([none, *own]))
+            labels.append(np.concatenate([none, *told]))
+        return id_lists(ids), id_lists(labels)
+
+    rows = mapped(conversations, turn_sizes, make, ("messages",), input_ids="array<int>", labels="array<int>")
     return length_filter(rows.withColumn("n_tokens", F.size("input_ids")), 1, max_length)
 
 
@@ -220,15 +273,24 @@ def collate(rows: DataFrame, batch_size: int, pad_id: int, order: list[str], max
     return out.drop("_n", "_to")
 
 
+def id_arrays(column: pa.ListArray) -> list[np.ndarray | None]:
+    """The arrays of a column of lists, null for null."""
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] if there else None for a, b, there in zip(ends[:-1].tolist(), ends[1:].tolist(), column.is_valid().to_pylist(), strict=True)]
+
+
 def decoded(rows: DataFrame, tokenizer=None) -> DataFrame:
     """Adds ``text`` (decoded input_ids) and ``label_text`` (decoded labels without -100)."""
     tok = tokenizer or ByteTokenizer()
 
-    @F.pandas_udf("string")
-    def run(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else tok.decode(x))
+    def sizes(batch):
+        return pc.fill_null(pc.list_value_length(batch.column("input_ids")), 0).to_numpy(zero_copy_only=False)
+
+    def make(part):
+        ids, labels = (id_arrays(part.column(c)) for c in ("input_ids", "labels"))
+        return pa.array([None if x is None else tok.decode(x) for x in ids], pa.string()), pa.array([None if x is None else tok.decode(x[x != IGNORE]) for x in labels], pa.string())
 
-    return rows.withColumns({"text": run("input_ids"), "label_text": run(F.filter("labels", lambda x: x != IGNORE))})
+    return mapped(rows, sizes, make, text="string", label_text="string")
 
 
 def position_ids(lengths: Column, to: Column) -> Column:

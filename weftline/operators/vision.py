@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,36 +61,31 @@ def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, fixed: i
     user's are labelled; where the text's own labels are shorter than the expanded ids they are
     filled up at the left.  Rows beyond ``max_length`` go, or are cut with ``truncate``.
     """
-    tok = tokenizer or tokens.ByteTokenizer()
+    tok, none = tokenizer or tokens.ByteTokenizer(), np.zeros(0, np.int32)
     start, end, image = (tok.special(x) for x in ("<|vision_start|>", "<|vision_end|>", "<|image_pad|>"))
 
-    @F.pandas_udf("input_ids array<int>, labels array<int>, has_image boolean")
-    def run(messages: pd.Series, n: pd.Series, counts: pd.Series) -> pd.DataFrame:
-        out = []
-        for turns, k, own in zip(messages, n, counts, strict=True):
-            ids, labels = [], []
-            k = 0 if k is None or k != k else int(k)
-            turns = [] if turns is None else turns
-            k = k if len(turns) and turns[0]["role"] == "user" else 0
-            for i, m in enumerate(turns):
-                part = tok.encode(tokens.turn_text(m["role"], m["content"] or ""))
-                labels += [tokens.IGNORE] * len(part) if m["role"] == "user" else part
-                if i == 0 and k:
-                    head = tok.encode(f"{tokens.START}user\n")
-                    part = head + [start, image, end] * k + part[len(head) :]
-                ids += part
+    def make(part):
+        ids, labels, some = [], [], []
+        for turns, k, own in zip(tokens.turns(part), part.column("_n").to_pylist(), part.column("_counts").to_pylist(), strict=True):
+            k = int(k) if k is not None and k == k and turns and turns[0][0] == "user" else 0
+            parts = [tok.array(tokens.turn_text(*turn)) for turn in turns]
+            told = [np.full(len(x), tokens.IGNORE, np.int32) if role == "user" else x for x, (role, _) in zip(parts, turns, strict=True)]
             if k:
-                per = [fixed] * k if fixed is not None else list(own) if own is not None and len(own) else [UNREADABLE] * k
-                ids = expanded(ids, per, start, image)
-            if truncate:
-                ids = ids[:max_length]
-            labels = labels[: len(ids)] if len(labels) >= len(ids) else [tokens.IGNORE] * (len(ids) - len(labels)) + labels
-            out.append((ids, labels, k > 0))
-        return pd.DataFrame(out, columns=["input_ids", "labels", "has_image"])
+                head = tok.array(f"{tokens.START}user\n")
+                parts[0] = np.concatenate([head, np.tile(np.array([start, image, end], np.int32), k), parts[0][len(head) :]])
+            row, told = (np.concatenate([none, *x]) for x in (parts, told))
+            if k:
+                per = [fixed] * k if fixed is not None else own or [UNREADABLE] * k
+                row = np.array(expanded(row, per, start, image), np.int32)
+            row = row[:max_length] if truncate else row
+            ids.append(row)
+            labels.append(told[: len(row)] if len(told) >= len(row) else np.concatenate([np.full(len(row) - len(told), tokens.IGNORE, np.int32), told]))
+            some.append(k > 0)
+        return tokens.id_lists(ids), tokens.id_lists(labels), pa.array(some, pa.bool_())
 
     n = F.col("num_images") if "num_images" in conversations.columns else F.lit(1)
     counts = F.col("image_token_counts") if "image_token_counts" in conversations.columns else F.lit(None).cast("array<int>")
-    rows = conversations.withColumn("_t", run("messages", n, counts)).select(*[c for c in conversations.columns if c != "messages"], "_t.*")
+    rows = tokens.mapped(conversations.withColumns({"_n": n, "_counts": counts}), tokens.turn_sizes, make, ("messages", "_n", "_counts"), input_ids="array<int>", labels="array<int>", has_image="boolean")
     return tokens.length_filter(rows.withColumn("n_tokens", F.size("input_ids")), 1, max_length)
 
 

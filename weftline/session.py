@@ -7,6 +7,11 @@ import os
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch: those of this library hold whole texts, token arrays and scenes.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_A_BATCH = 1000
+
+
 def session(name: str = "weftline", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     if master:
@@ -16,7 +21,7 @@ def session(name: str = "weftline", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        BATCH: str(ROWS_A_BATCH),
         "spark.ui.enabled": "false",
     } | conf
     for key, value in settings.items():
@@ -25,7 +30,12 @@ def session(name: str = "weftline", master: str | None = None, **conf: str) -> S
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers of a local session find this package; on a cluster it comes with the job (--py-files)."""
+    """Lets Python workers of a local session find this package; on a cluster it comes with the job (--py-files).
+
+    Arrow batches of a session made elsewhere get no more rows than those of ``session``.
+    """
+    if not 0 < int(spark.conf.get(BATCH)) <= ROWS_A_BATCH:
+        spark.conf.set(BATCH, str(ROWS_A_BATCH))
     own = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     held = env.get("PYTHONPATH", "")
