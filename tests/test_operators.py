@@ -484,3 +484,24 @@ def test_tokens_of_odd_conversations(spark):
     assert got[3]["text"] == "<|im_start|>user\né<|im_end|><|im_end|>\n<|im_start|>tool\n<|im_end|>\n" and got[3]["label_text"] == "<|im_start|>tool\n<|im_end|>\n"
     rows = spark.createDataFrame([(None, None), ([65, 256], [-100, 256])], "input_ids array<int>, labels array<int>")
     assert [(r["text"], r["label_text"]) for r in tokens.decoded(rows).collect()] == [(None, None), ("A<|im_start|>", "<|im_start|>")]
+
+
+def test_matches_of_crowded_places(monkeypatch):
+    """Thousands of objects: pairs nearby alone are compared, stretch by stretch, with the result of all pairs."""
+    draw = np.random.default_rng(6)
+    for n, pairs in ((60, 7), (300, 100), (300, 1 << 18)):
+        monkeypatch.setattr(scene, "PAIRS", pairs)
+        gt = ([*draw.choice(["a", "b", "c"], n)], draw.random((n, 2)) * 2)
+        pred = ([*draw.choice(["a", "b"], n)], np.round(draw.random((n, 2)) * 2, 1))
+        gt[1][5], pred[1][7] = [1e12, -1e12], [np.nan, 0]
+        used, want = set(), []
+        for i, (kind, at) in enumerate(zip(*gt)):
+            d = sorted((math.sqrt((x + 0.1 - at[0]) ** 2 + (y - at[1]) ** 2), j) for j, (k, (x, y)) in enumerate(zip(*pred)) if k == kind and j not in used and x == x)
+            if d and d[0][0] < 0.25:
+                used.add(d[0][1])
+                want.append((i, d[0][1]))
+        assert scene.match(gt, pred, (0.1, 0.0), 0.25) == want and len(want) > n / 3
+        assert scene.best_place(gt, [pred, pred], np.zeros(1), 0.25) == (int(scene.match_counts(gt, pred, np.zeros((1, 2)), (0.25,))[0, 0]), 0, 0)
+    many = (["a"] * 30_000, draw.random((30_000, 2)) * 40)  # all pairs would be 9e8
+    assert len(scene.match(many, (many[0], many[1][::-1] + 1e-9), threshold=0.01)) == 30_000
+    assert scene.match(([], []), many) == scene.match(many, ([], [])) == []

@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,8 @@ ANGLES, MIRRORS = (0, 90, 180, 270), ("none", "horizontal", "vertical")
 NO_OBJECT = ("blueprint", "portal")
 #: Tasks that evaluate scenes, for each core, at least.
 TASKS_A_CORE = 4
+#: Pairs of a truth and a prediction nearby that are compared together.
+PAIRS = 1 << 12
 
 
 def spatial_items(scene: dict) -> list[tuple[str, dict]]:
@@ -105,18 +108,24 @@ def offset(dx: float, dy: float) -> Move:
 
 def moved(scene: dict, move: Move) -> dict:
     """A copy of the scene with rooms, objects and portals moved."""
-    out = json.loads(json.dumps(scene))
-    one = lambda p: [*map(float, move(np.array(p[:2], float))), *p[2:]] if len(p) >= 2 else p
-    for shape, i in _rings(out):
+    return move_all(json.loads(json.dumps(scene)), move)
+
+
+def move_all(out: dict, move: Move) -> dict:
+    """The scene itself, with rooms, objects and portals moved, all points together."""
+    rings, items, portals = list(_rings(out)), [v["spatial"] for _, v in spatial_items(out)], out.get("portal") or []
+    here = [p for shape, i in rings for p in shape["coordinates"][i]] + [x.get("location") or [0, 0, 0] for x in items] + [p for portal in portals for p in portal.get("seg") or []]
+    there = iter(move(np.array([p[:2] for p in here if len(p) >= 2], float).reshape(-1, 2)).tolist())
+    one = lambda p: [*next(there), *p[2:]] if len(p) >= 2 else p
+    for shape, i in rings:
         shape["coordinates"][i] = [one(p)[:2] for p in shape["coordinates"][i]]
     angle = (lambda a: move.sign * a + move.turn) if move.sign != 1 or move.turn else (lambda a: a)
-    for _, v in spatial_items(out):
-        spatial = v["spatial"]
+    for spatial in items:
         spatial["location"] = one(spatial.get("location") or [0, 0, 0])
         rotation = spatial.get("rotation") or [0, 0, 0]
         if len(rotation) >= 3:
             spatial["rotation"] = [*rotation[:2], angle(rotation[2])]
-    for portal in out.get("portal") or []:
+    for portal in portals:
         if "seg" in portal:
             portal["seg"] = [one(p)[:2] for p in portal["seg"]]
         if "rot" in portal:
@@ -124,13 +133,22 @@ def moved(scene: dict, move: Move) -> dict:
     return out
 
 
+def placements(scene: dict, moves) -> list[tuple[list[str], np.ndarray]]:
+    """Classes and xy of the objects for each (angle, mirror): turned, mirrored, and the corner of all points moved to 0."""
+    own, whole, out = objects(scene), points(scene), []
+    kinds, at = [o[1] for o in own], np.array([o[2][:2] for o in own], float).reshape(-1, 2)
+    for angle, mirror in moves:
+        xy, all_ = at, whole
+        for step in (lambda p: turned(p, angle), lambda p: mirrored(p, mirror), to_origin):  # noqa: B023
+            move = step(all_)
+            all_, xy = move(all_), move(xy)
+        out.append((kinds, xy))
+    return out
+
+
 def placed(scene: dict, angle: int = 0, mirror: str = "none") -> tuple[list[str], np.ndarray]:
-    """Classes and xy of the objects after turning, mirroring and moving the corner of all points to 0."""
-    xy, all_ = np.array([o[2][:2] for o in objects(scene)], float).reshape(-1, 2), points(scene)
-    for step in (lambda p: turned(p, angle), lambda p: mirrored(p, mirror), to_origin):
-        move = step(all_)
-        all_, xy = move(all_), move(xy)
-    return [o[1] for o in objects(scene)], xy
+    """The placement of one angle and mirror."""
+    return placements(scene, [(angle, mirror)])[0]
 
 
 def transform(scenes: DataFrame, angle: float = 0, mirror: str = "none", origin: bool = False, dx: float = 0.0, dy: float = 0.0) -> DataFrame:
@@ -142,7 +160,8 @@ def transform(scenes: DataFrame, angle: float = 0, mirror: str = "none", origin:
         try:
             scene = json.loads(text)
             for step in (lambda p: turned(p, angle), lambda p: mirrored(p, mirror), to_origin if origin else lambda p: STAY, lambda p: offset(dx, dy)):
-                scene = moved(scene, step(points(scene)))
+                move = step(points(scene))
+                scene = scene if move is STAY else move_all(scene, move)  # the last step always moves
             return json.dumps(scene, ensure_ascii=False, separators=(",", ":"))
         except (ValueError, TypeError, AttributeError):
             return None
@@ -228,16 +247,63 @@ def match_counts(gt: tuple, pred: tuple, offsets: np.ndarray, thresholds) -> np.
     return out
 
 
+def near(truth: np.ndarray, own: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(truths, points) whose x and y are both within ``reach``, and some more: all of a stretch of truths at a time, in order.
+
+    Points are sorted into cells of at least the reach, so that only those of adjacent cells meet.
+    """
+    if not len(truth) or not len(own):
+        return
+    low = np.minimum(truth.min(0), own.min(0))
+    side = max(reach, float((np.maximum(truth.max(0), own.max(0)) - low).max()) / 2**30, 1e-300) * (1 + 1e-9)
+    a, b = (np.floor((x - low) / side).astype(np.int64) for x in (truth, own))
+    key = b[:, 0] << 32 | b[:, 1] + 1
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    rows = [(a[:, 0] + d) << 32 | a[:, 1] for d in (-1, 0, 1)]
+    first = np.stack([np.searchsorted(key, r) for r in rows], 1)
+    count = np.stack([np.searchsorted(key, r + 2, "right") for r in rows], 1) - first
+    before = np.cumsum(count.sum(1)) - count.sum(1)
+    for i, j in itertools.pairwise([0, *(np.flatnonzero(np.diff(before // PAIRS)) + 1).tolist(), len(truth)]):
+        n = count[i:j].ravel()
+        at = np.repeat(first[i:j].ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield np.repeat(np.repeat(np.arange(i, j), 3), n), order[at]
+
+
+def greedy(truth: np.ndarray, own: np.ndarray, shift, threshold: float) -> list[tuple[int, int]]:
+    """The pairs of truths, which in order take the nearest free point strictly within the threshold; the first of equals."""
+    some, mine = (np.flatnonzero(np.isfinite(x).all(1)) for x in (truth, own))
+    at, moved_ = truth[some], own[mine] + np.asarray(shift, float)
+    used, out = np.zeros(len(mine), bool), []
+    for i, j in near(at, moved_, threshold):
+        free = ~used[j]
+        i, j = i[free], j[free]
+        d = moved_[j] - at[i]
+        d = np.sqrt(d[:, 0] ** 2 + d[:, 1] ** 2)
+        hit = d < threshold
+        i, j, d = i[hit], j[hit], d[hit]
+        order = np.lexsort((j, d, i))
+        i, j = i[order], j[order].tolist()
+        edge = np.flatnonzero(np.diff(i, prepend=-1)).tolist()
+        taken = set()
+        for a, b in itertools.pairwise([*edge, len(j)]):
+            for k in range(a, b):
+                if j[k] not in taken:
+                    taken.add(j[k])
+                    out.append((int(some[i[a]]), int(mine[j[k]])))
+                    break
+        used[np.fromiter(taken, np.int64, len(taken))] = True
+    return out
+
+
 def match(gt: tuple, pred: tuple, shift=(0.0, 0.0), threshold: float = 0.5) -> list[tuple[int, int]]:
     """The pairs (truth, prediction) of one offset and threshold."""
-    used: set[int] = set()
-    out = []
-    for i, (kind, at) in enumerate(zip(*gt, strict=True)):
-        near = [(math.sqrt((x + shift[0] - at[0]) ** 2 + (y + shift[1] - at[1]) ** 2), j) for j, (k, (x, y)) in enumerate(zip(*pred, strict=True)) if k == kind and j not in used]
-        if near and min(near)[0] < threshold:
-            used.add(min(near)[1])
-            out.append((i, min(near)[1]))
-    return out
+    kinds, own_kinds = np.array(gt[0], object), np.array(pred[0], object)
+    truth, own, out = np.asarray(gt[1], float).reshape(-1, 2), np.asarray(pred[1], float).reshape(-1, 2), []
+    for kind in dict.fromkeys(gt[0]):
+        g, p = np.flatnonzero(kinds == kind), np.flatnonzero(own_kinds == kind)
+        out += [(int(g[i]), int(p[j])) for i, j in greedy(truth[g], own[p], shift, threshold)]
+    return sorted(out)
 
 
 def main_threshold(thresholds) -> float:
@@ -273,12 +339,15 @@ def most_matches(gt: tuple, pred: tuple, line: np.ndarray, threshold: float) ->
     kinds, own_kinds = np.array(gt[0], object), np.array(pred[0], object)
     truth, own = np.asarray(gt[1], float).reshape(-1, 2), np.asarray(pred[1], float).reshape(-1, 2)
     for kind in dict.fromkeys(gt[0]):
-        g, p = truth[kinds == kind], own[own_kinds == kind]
+        g, p = (x[np.isfinite(x).all(1)] for x in (truth[kinds == kind], own[own_kinds == kind]))
         if not len(p):
             continue
-        apart = g[:, None] - p[None]
-        i, j = np.nonzero((np.abs(apart) < threshold + np.abs(line).max() + slack).all(2))
-        centre = apart[i, j]
+        reach, parts = threshold + np.abs(line).max() + slack, [(np.zeros(0, np.int64),) * 2]
+        for i, j in near(g, p, reach):
+            close = (np.abs(g[i] - p[j]) < reach).all(1)
+            parts.append((i[close], j[close]))
+        i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
+        centre = g[i] - p[j]
         rest = (threshold + slack) ** 2 - (line[None] - centre[:, :1]) ** 2
         pair, row = np.nonzero(rest > 0)
         half = np.sqrt(rest[pair, row]) + slack
@@ -294,7 +363,11 @@ def best_place(truth: tuple, preds: list[tuple], line: np.ndarray, threshold: fl
     """(matches, transform, offset) with the most greedy matches; the first transform, then the first offset, of equals.
 
     Offsets are tried from the greatest bound on, until no other can be better or as good and earlier.
+    A single offset is tried without bounds, which take as long.
     """
+    if len(line) == 1:
+        counts = [len(match(truth, p, (line[0], line[0]), threshold)) for p in preds]
+        return max(counts), counts.index(max(counts)), 0
     offsets = np.stack(np.meshgrid(line, line, indexing="ij"), -1).reshape(-1, 2)
     bounds = [most_matches(truth, p, line, threshold).ravel() for p in preds]
     best = (-1, 0, 0)  # matches, and transform and offset below zero, so that greater is better
@@ -316,7 +389,7 @@ def best_scores(gt: dict, pred: dict, thresholds, n: int, reach: float) -> list[
     """For each threshold the best score over transforms and offsets; the earliest of equals (angle, mirror, x, y)."""
     truth, line = placed(gt), grid(n, reach)
     moves = list(itertools.product(ANGLES, MIRRORS))
-    preds = [placed(pred, *move) for move in moves]
+    preds = placements(pred, moves)
     n_pred, n_gt, out = len(preds[0][0]), len(truth[0]), []
     for t in thresholds:
         tp, k, at = best_place(truth, preds, line, t)
