@@ -505,3 +505,17 @@ def test_matches_of_crowded_places(monkeypatch):
     many = (["a"] * 30_000, draw.random((30_000, 2)) * 40)  # all pairs would be 9e8
     assert len(scene.match(many, (many[0], many[1][::-1] + 1e-9), threshold=0.01)) == 30_000
     assert scene.match(([], []), many) == scene.match(many, ([], [])) == []
+
+
+def test_params_are_compared_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    pairs = spark.createDataFrame([("a", '{"w": 0.5}'), (None, '{"w": 1}'), ("b", "{}")], "class string, gt string").withColumn("pred", counted("gt"))
+    got = {(r["class"], r["kind"]): r["n"] for r in params.compare(pairs).collect()}
+    assert got == {("a", "keys"): 1, ("a", "float"): 1, ("a", "object"): 1, ("b", "keys"): 0, ("b", "object"): 1, (None, "keys"): 2, (None, "float"): 1, (None, "int"): 1, (None, "object"): 3}
+    assert seen.value == 3

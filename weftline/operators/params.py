@@ -133,9 +133,9 @@ def compare(pairs: DataFrame, pred: str = "pred", truth: str = "gt", kind: str =
     """(class, kind, n, ok, extra, abs_error, rel_error, least, most): a row for each class and kind of value, and in total (class null)."""
     rows = pairs.select(F.col(kind).alias("class"), F.explode(compared(pred, truth)).alias("x")).select("class", "x.*")
     add = [F.sum(c).alias(c) for c in ("n", "ok", "extra", "abs_error", "rel_error")]
-    by = rows.groupBy("class", "kind").agg(*add, F.min("least").alias("least"), F.max("most").alias("most"))
-    total = by.groupBy("kind").agg(*add, F.min("least").alias("least"), F.max("most").alias("most"))
-    return by.where(F.col("class").isNotNull()).unionByName(total.withColumn("class", F.lit(None).cast("string")))
+    by = rows.groupingSets([[F.col("class"), F.col("kind")], [F.col("kind")]], "class", "kind")  # in one pass: what is compared may be long work
+    by = by.agg(*add, F.min("least").alias("least"), F.max("most").alias("most"), F.grouping("class").alias("_total"))
+    return by.where((F.col("_total") == 1) | F.col("class").isNotNull()).drop("_total")
 
 
 def summary(sums_: DataFrame) -> DataFrame:
