@@ -458,23 +458,25 @@ def test_packed_images_come_back(spark):
 
 
 def test_token_arrays_come_in_small_parts(spark):
-    from weftline.session import BATCH, ROWS_A_BATCH, ship
+    from weftline.session import BATCH, MOST_ROWS, ship
 
     sizes = np.array([5, 0, 3, 40, 1, 1, 8])
     spans = tokens.pieces(sizes, 10)
     assert [k for a, b in spans for k in range(a, b)] == list(range(7)) and all(sizes[a : b - 1].sum() < 10 for a, b in spans) and not tokens.pieces(sizes[:0])
     parts = tokens.mapped(spark.createDataFrame([("x" * 2**20,)] * 8, "t string").coalesce(1), lambda batch: np.full(batch.num_rows, 2**20), lambda part: [pa.array([part.num_rows] * part.num_rows, pa.int64())], ("t",), n="long")
     assert {r["n"] for r in parts.collect()} == {1}  # whatever the rows of a batch
-    held = spark.conf.get(BATCH)
+    held = {key: spark.conf.get(key) for key in MOST_ROWS}
     try:
-        spark.conf.set(BATCH, "10000")
-        ship(spark)
-        assert int(spark.conf.get(BATCH)) == ROWS_A_BATCH
+        for key, rows in MOST_ROWS.items():
+            spark.conf.set(key, "10000")
+            ship(spark)
+            assert int(spark.conf.get(key)) == rows
         spark.conf.set(BATCH, "7")
         ship(spark)
         assert spark.conf.get(BATCH) == "7"
     finally:
-        spark.conf.set(BATCH, held)
+        for key, rows in held.items():
+            spark.conf.set(key, rows)
 
 
 def test_tokens_of_odd_conversations(spark):

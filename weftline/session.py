@@ -7,9 +7,10 @@ import os
 from pyspark.sql import SparkSession
 
 
-#: Rows of an Arrow batch: those of this library hold whole texts, token arrays and scenes.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-ROWS_A_BATCH = 1000
+#: Rows of this library hold whole texts, token arrays and scenes: so many go into an Arrow batch, and are
+#: read from Parquet at once, by a reader that keeps room for all their array elements.
+BATCH, READ = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+MOST_ROWS = {BATCH: 1000, READ: 256}
 
 
 def session(name: str = "weftline", master: str | None = None, **conf: str) -> SparkSession:
@@ -21,7 +22,7 @@ def session(name: str = "weftline", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        BATCH: str(ROWS_A_BATCH),
+        **{key: str(rows) for key, rows in MOST_ROWS.items()},
         "spark.ui.enabled": "false",
     } | conf
     for key, value in settings.items():
@@ -32,10 +33,11 @@ def session(name: str = "weftline", master: str | None = None, **conf: str) -> S
 def ship(spark: SparkSession) -> SparkSession:
     """Lets Python workers of a local session find this package; on a cluster it comes with the job (--py-files).
 
-    Arrow batches of a session made elsewhere get no more rows than those of ``session``.
+    Batches of a session made elsewhere get no more rows than those of ``session``.
     """
-    if not 0 < int(spark.conf.get(BATCH)) <= ROWS_A_BATCH:
-        spark.conf.set(BATCH, str(ROWS_A_BATCH))
+    for key, rows in MOST_ROWS.items():
+        if not 0 < int(spark.conf.get(key)) <= rows:
+            spark.conf.set(key, str(rows))
     own = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     held = env.get("PYTHONPATH", "")
