@@ -521,3 +521,14 @@ def test_params_are_compared_once(spark):
     got = {(r["class"], r["kind"]): r["n"] for r in params.compare(pairs).collect()}
     assert got == {("a", "keys"): 1, ("a", "float"): 1, ("a", "object"): 1, ("b", "keys"): 0, ("b", "object"): 1, (None, "keys"): 2, (None, "float"): 1, (None, "int"): 1, (None, "object"): 3}
     assert seen.value == 3
+
+
+def test_rows_are_cut_before_they_are_numbered(spark, monkeypatch):
+    held, own = [], ranks.written
+    monkeypatch.setattr(ranks, "written", lambda df: held.append(df) or own(df))
+    rows = spark.createDataFrame([(i, [i] * (3 * i), [-100] * (3 * i)) for i in range(1, 6)], "row_id long, input_ids array<int>, labels array<int>")
+    got = {r["row_id"]: r for r in tokens.collate(rows, 2, 0, ["row_id"], 7).collect()}
+    assert max(len(r[c]) for r in held[0].collect() for c in ("input_ids", "labels")) == 7  # not 15
+    assert {k: (r["batch_id"], r["input_ids"], r["labels"], sum(r["attention_mask"])) for k, r in got.items()} == {
+        k: (b, [k] * n + [0] * (to - n), [-100] * to, n) for k, b, n, to in ((1, 0, 3, 6), (2, 0, 6, 6), (3, 1, 7, 7), (4, 1, 7, 7), (5, 2, 7, 7))
+    }

@@ -260,12 +260,12 @@ def padded(column: Column, to: Column, fill: int) -> Column:
 def collate(rows: DataFrame, batch_size: int, pad_id: int, order: list[str], max_length: int | None = None, fixed: bool = False) -> DataFrame:
     """Adds batch_id and attention_mask, and pads input_ids and labels to the longest of the batch (or to max_length if ``fixed``).
 
-    Longer rows are cut to ``max_length``.
+    Longer rows are cut to ``max_length``.  They are cut before they are numbered, which writes them.
     """
     from weftline.operators.ranks import batches
 
     cut = (lambda c: F.slice(c, F.lit(1), F.lit(max_length))) if max_length else F.col
-    held = batches(rows, batch_size, order).withColumns({"input_ids": cut("input_ids"), "labels": cut("labels")})
+    held = batches(rows.withColumns({"input_ids": cut("input_ids"), "labels": cut("labels")}), batch_size, order)
     longest = held.groupBy("batch_id").agg(F.lit(max_length).alias("_to") if fixed and max_length else F.max(F.size("input_ids")).alias("_to"))
     held = held.join(longest, "batch_id").withColumn("_n", F.size("input_ids"))
     mask = F.concat(F.array_repeat(F.lit(1), F.col("_n")), F.array_repeat(F.lit(0), F.col("_to") - F.col("_n")))
