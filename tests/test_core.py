@@ -44,6 +44,20 @@ def test_query_equals_sql(spark, duck, name):
     assert list(map(repr, _rows(got, sorted(got)))) == list(map(repr, _rows(want, sorted(got)))) or _rows(got, sorted(got)) == _rows(want, sorted(got))
 
 
+@pytest.mark.parametrize("name", ["pack_gate"])
+def test_query_with_tokens_in_many_parts_equals_sql(spark, duck, monkeypatch, name):
+    own, seen = tokens.pieces, spark.sparkContext.accumulator(0)
+
+    def small(sizes):
+        out = own(sizes, 5000)
+        seen.add(len(out))
+        return out
+
+    monkeypatch.setattr(tokens, "pieces", small)
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLE[name]).fetchdf()
+    assert _rows(got, sorted(got)) == _rows(want, sorted(got)) and seen.value > duck.execute("SELECT sum(length(text)) FROM conversations").fetchone()[0] // 15000
+
+
 def test_every_query_is_held_against_something():
     assert set(QUERIES) == set(ORACLE)
 
