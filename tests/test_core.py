@@ -44,7 +44,7 @@ def test_query_equals_sql(spark, duck, name):
     assert list(map(repr, _rows(got, sorted(got)))) == list(map(repr, _rows(want, sorted(got)))) or _rows(got, sorted(got)) == _rows(want, sorted(got))
 
 
-@pytest.mark.parametrize("name", ["pack_gate", "over_length", "labels_all_roles", "chat_render", "text_dump"])
+@pytest.mark.parametrize("name", ["pack_gate", "over_length", "labels_all_roles", "chat_render", "text_dump", "mode_tokens"])
 def test_query_with_tokens_in_many_parts_equals_sql(spark, duck, monkeypatch, name):
     own, seen = tokens.pieces, spark.sparkContext.accumulator(0)
 
