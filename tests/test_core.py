@@ -58,6 +58,16 @@ def test_query_with_tokens_in_many_parts_equals_sql(spark, duck, monkeypatch, na
     assert _rows(got, sorted(got)) == _rows(want, sorted(got)) and seen.value > duck.execute("SELECT sum(length(text)) FROM conversations").fetchone()[0] // 15000
 
 
+@pytest.mark.parametrize("name", ["over_length"])
+def test_no_token_array_leaves_a_worker(spark, duck, monkeypatch, name):
+    made, frame = [], type(spark.range(1))
+    own = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, schema, *a, **b: made.append(schema) or own(self, run, schema, *a, **b))
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLE[name]).fetchdf()
+    assert _rows(got, sorted(got)) == _rows(want, sorted(got))
+    assert made and not any({"input_ids", "labels"} & set(x.names) for x in made)
+
+
 def test_every_query_is_held_against_something():
     assert set(QUERIES) == set(ORACLE)
 

@@ -532,3 +532,17 @@ def test_rows_are_cut_before_they_are_numbered(spark, monkeypatch):
     assert {k: (r["batch_id"], r["input_ids"], r["labels"], sum(r["attention_mask"])) for k, r in got.items()} == {
         k: (b, [k] * n + [0] * (to - n), [-100] * to, n) for k, b, n, to in ((1, 0, 3, 6), (2, 0, 6, 6), (3, 1, 7, 7), (4, 1, 7, 7), (5, 2, 7, 7))
     }
+
+
+def test_counts_of_tokens_equal_those_of_the_arrays(spark):
+    turns = "array<struct<role:string,content:string>>"
+    rows = [(1, [("system", "sé"), ("user", "a b"), ("assistant", "c")], 2), (2, [("user", None), ("assistant", "x" * 50)], 1), (3, [], 0), (4, None, 1), (5, [("assistant", "<|vision_start|> \n")], None), (None, [("user", "z")], 0)]
+    df = spark.createDataFrame(rows, f"k long, messages {turns}, num_images int").withColumn("image_token_counts", F.array(F.lit(3), F.lit(5)))
+    size = lambda own: own.select("k", F.size("input_ids").alias("n_tokens"), F.size("labels").alias("n_labels"), F.size(F.filter("labels", lambda x: x != tokens.IGNORE)).alias("n_supervised"))
+    told = lambda own, *c: sorted(map(repr, own.select("k", *c).collect()))
+    counts = list(tokens.COUNTS)
+    for mode, more in (("caption", {}), ("panorama", {}), ("panorama", {"truncate": True}), ("multi_view", {"fixed": 9})):
+        for most in (10**9, 20):
+            assert told(tokens.tokenize_mode(df, mode, most, counted=True, **more), *counts) == told(size(tokens.tokenize_mode(df, mode, most, **more)), *counts)
+    assert told(tokens.tokenize(df, 10**9, all_roles=True, counted=True), *counts) == told(size(tokens.tokenize(df, 10**9, all_roles=True)), *counts)
+    assert told(tokens.tokenize(df, 10**9, counted=True)) == ["Row(k=1)", "Row(k=2)", "Row(k=5)", "Row(k=None)"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -202,37 +203,53 @@ def turns(batch: pa.RecordBatch) -> list[list[tuple[str, str]]]:
     return [own[a:b] for a, b in pairwise(ends.tolist())]
 
 
-def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, all_roles: bool = False) -> DataFrame:
+def array_columns(rows) -> tuple[pa.Array, ...]:
+    """Columns of (ids, labels) for each row."""
+    ids, labels = zip(*rows, strict=True)
+    return id_lists(ids), id_lists(labels)
+
+
+def count_columns(rows) -> tuple[pa.Array, ...]:
+    """Columns of the counts of ids, of labels, and of labels that are not -100, for (ids, labels) of each row."""
+    found = [(len(ids), len(labels), int(np.count_nonzero(labels != IGNORE))) for ids, labels in rows]
+    return tuple(pa.array(x, pa.int32()) for x in zip(*found, strict=True))
+
+
+#: What a row gets from its ids and labels: both, or their counts alone, for which no array leaves the worker.
+ARRAYS, COUNTS = {"input_ids": "array<int>", "labels": "array<int>"}, {"n_tokens": "int", "n_labels": "int", "n_supervised": "int"}
+
+
+def encoded(part: pa.RecordBatch, tok: Tokenizer, all_roles: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, labels) of each row, one by one."""
+    none = np.zeros(0, np.int32)
+    for row in turns(part):
+        own = [tok.array(turn_text(role, text)) for role, text in row]
+        told = [x if role == "assistant" or (all_roles and role != "user") else np.full(len(x), IGNORE, np.int32) for x, (role, _) in zip(own, row, strict=True)]
+        yield np.concatenate([none, *own]), np.concatenate([none, *told])
+
+
+def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, all_roles: bool = False, counted: bool = False) -> DataFrame:
     """Adds input_ids, labels and n_tokens from ``messages``; rows beyond ``max_length`` go, and empty ones.
 
     Labels are the ids of assistant turns (``all_roles``: of every turn but the user's) and -100
     elsewhere.  A turn ends in marks that are tokens by themselves, so turns are encoded one by one.
+    With ``counted`` the rows get n_tokens, n_labels and n_supervised in place of the arrays.
     """
-    tok, none = tokenizer or ByteTokenizer(), np.zeros(0, np.int32)
-
-    def make(part):
-        ids, labels = [], []
-        for row in turns(part):
-            own = [tok.array(turn_text(role, text)) for role, text in row]
-            told = [x if role == "assistant" or (all_roles and role != "user") else np.full(len(x), IGNORE, np.int32) for x, (role, _) in zip(own, row, strict=True)]
-            ids.append(np.concatenate([none, *own]))
-            labels.append(np.concatenate([none, *told]))
-        return id_lists(ids), id_lists(labels)
-
-    rows = mapped(conversations, turn_sizes, make, ("messages",), input_ids="array<int>", labels="array<int>")
-    return length_filter(rows.withColumn("n_tokens", F.size("input_ids")), 1, max_length)
+    tok, told = tokenizer or ByteTokenizer(), count_columns if counted else array_columns
+    rows = mapped(conversations, turn_sizes, lambda part: told(encoded(part, tok, all_roles)), ("messages",), **(COUNTS if counted else ARRAYS))
+    return length_filter(rows if counted else rows.withColumn("n_tokens", F.size("input_ids")), 1, max_length)
 
 
-def tokenize_mode(conversations: DataFrame, mode: str, max_length: int, tokenizer=None, **vision) -> DataFrame:
-    """Tokens by mode: with images for panorama and multi-view modes, else text alone."""
+def tokenize_mode(conversations: DataFrame, mode: str, max_length: int, tokenizer=None, counted: bool = False, **vision) -> DataFrame:
+    """Tokens by mode: with images for panorama and multi-view modes, else text alone; with ``counted`` their counts alone."""
     from weftline.operators import conversations as known
     from weftline.operators import vision as images
 
     if mode not in known.MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {', '.join(known.MODES)}")
     if mode == "panorama" or mode in known.MULTI_VIEW:
-        return images.tokenize(conversations, max_length, tokenizer, **vision)
-    return tokenize(conversations, max_length, tokenizer)
+        return images.tokenize(conversations, max_length, tokenizer, counted=counted, **vision)
+    return tokenize(conversations, max_length, tokenizer, counted=counted)
 
 
 def discarded(before: DataFrame, after: DataFrame) -> DataFrame:

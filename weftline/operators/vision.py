@@ -53,19 +53,19 @@ def expanded(ids, counts, start: int, image: int) -> list[int]:
     return out.tolist()
 
 
-def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, fixed: int | None = None, truncate: bool = False) -> DataFrame:
+def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, fixed: int | None = None, truncate: bool = False, counted: bool = False) -> DataFrame:
     """Adds input_ids, labels, has_image and n_tokens from ``messages`` with image counts in ``num_images`` (without it one each).
 
     The images stand in front of the first message, if it is the user's; else there are none.
     Every image takes ``fixed`` tokens, or its count in ``image_token_counts``.  All roles but the
     user's are labelled; where the text's own labels are shorter than the expanded ids they are
     filled up at the left.  Rows beyond ``max_length`` go, or are cut with ``truncate``.
+    With ``counted`` the rows get n_tokens, n_labels and n_supervised in place of the arrays.
     """
     tok, none = tokenizer or tokens.ByteTokenizer(), np.zeros(0, np.int32)
     start, end, image = (tok.special(x) for x in ("<|vision_start|>", "<|vision_end|>", "<|image_pad|>"))
 
-    def make(part):
-        ids, labels, some = [], [], []
+    def encoded(part, some):
         for turns, k, own in zip(tokens.turns(part), part.column("_n").to_pylist(), part.column("_counts").to_pylist(), strict=True):
             k = int(k) if k is not None and k == k and turns and turns[0][0] == "user" else 0
             parts = [tok.array(tokens.turn_text(*turn)) for turn in turns]
@@ -78,15 +78,18 @@ def tokenize(conversations: DataFrame, max_length: int, tokenizer=None, fixed: i
                 per = [fixed] * k if fixed is not None else own or [UNREADABLE] * k
                 row = np.array(expanded(row, per, start, image), np.int32)
             row = row[:max_length] if truncate else row
-            ids.append(row)
-            labels.append(told[: len(row)] if len(told) >= len(row) else np.concatenate([np.full(len(row) - len(told), tokens.IGNORE, np.int32), told]))
             some.append(k > 0)
-        return tokens.id_lists(ids), tokens.id_lists(labels), pa.array(some, pa.bool_())
+            yield row, told[: len(row)] if len(told) >= len(row) else np.concatenate([np.full(len(row) - len(told), tokens.IGNORE, np.int32), told])
+
+    def make(part):
+        some: list[bool] = []
+        own = (tokens.count_columns if counted else tokens.array_columns)(encoded(part, some))
+        return *own, pa.array(some, pa.bool_())
 
     n = F.col("num_images") if "num_images" in conversations.columns else F.lit(1)
     counts = F.col("image_token_counts") if "image_token_counts" in conversations.columns else F.lit(None).cast("array<int>")
-    rows = tokens.mapped(conversations.withColumns({"_n": n, "_counts": counts}), tokens.turn_sizes, make, ("messages", "_n", "_counts"), input_ids="array<int>", labels="array<int>", has_image="boolean")
-    return tokens.length_filter(rows.withColumn("n_tokens", F.size("input_ids")), 1, max_length)
+    rows = tokens.mapped(conversations.withColumns({"_n": n, "_counts": counts}), tokens.turn_sizes, make, ("messages", "_n", "_counts"), **(tokens.COUNTS if counted else tokens.ARRAYS), has_image="boolean")
+    return tokens.length_filter(rows if counted else rows.withColumn("n_tokens", F.size("input_ids")), 1, max_length)
 
 
 def token_count(width: Column, height: Column, patch: int = 16, merge: int = 2, least: int = 65_536, most: int = 16_777_216) -> Column:
