@@ -534,7 +534,7 @@ def test_rows_are_cut_before_they_are_numbered(spark, monkeypatch):
     }
 
 
-def test_counts_of_tokens_equal_those_of_the_arrays(spark):
+def test_counts_and_texts_of_tokens_equal_those_of_the_arrays(spark):
     turns = "array<struct<role:string,content:string>>"
     rows = [(1, [("system", "sé"), ("user", "a b"), ("assistant", "c")], 2), (2, [("user", None), ("assistant", "x" * 50)], 1), (3, [], 0), (4, None, 1), (5, [("assistant", "<|vision_start|> \n")], None), (None, [("user", "z")], 0)]
     df = spark.createDataFrame(rows, f"k long, messages {turns}, num_images int").withColumn("image_token_counts", F.array(F.lit(3), F.lit(5)))
@@ -545,4 +545,6 @@ def test_counts_of_tokens_equal_those_of_the_arrays(spark):
         for most in (10**9, 20):
             assert told(tokens.tokenize_mode(df, mode, most, counted=True, **more), *counts) == told(size(tokens.tokenize_mode(df, mode, most, **more)), *counts)
     assert told(tokens.tokenize(df, 10**9, all_roles=True, counted=True), *counts) == told(size(tokens.tokenize(df, 10**9, all_roles=True)), *counts)
+    for most in (10**9, 20):
+        assert told(tokens.rendered(df, most), "n_tokens", "text", "label_text") == told(tokens.decoded(tokens.tokenize(df, most)), "n_tokens", "text", "label_text")
     assert told(tokens.tokenize(df, 10**9, counted=True)) == ["Row(k=1)", "Row(k=2)", "Row(k=5)", "Row(k=None)"]

@@ -310,6 +310,17 @@ def decoded(rows: DataFrame, tokenizer=None) -> DataFrame:
     return mapped(rows, sizes, make, text="string", label_text="string")
 
 
+def rendered(conversations: DataFrame, max_length: int, tokenizer=None) -> DataFrame:
+    """What ``decoded`` gives for the rows of ``tokenize``, with n_tokens and without the arrays, which no worker hands on."""
+    tok = tokenizer or ByteTokenizer()
+
+    def make(part):
+        found = [(len(ids), tok.decode(ids), tok.decode(labels[labels != IGNORE])) for ids, labels in encoded(part, tok)]
+        return tuple(pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int32(), pa.string(), pa.string()), strict=True))
+
+    return length_filter(mapped(conversations, turn_sizes, make, ("messages",), n_tokens="int", text="string", label_text="string"), 1, max_length)
+
+
 def position_ids(lengths: Column, to: Column) -> Column:
     """Positions that start anew at each sub-sequence and in the padding, cut at ``to``."""
     total = F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
