@@ -143,7 +143,7 @@ def run_statistics(spark, sf_dir):  # R11, K11, K13: the counters of a run, and
 
 def text_dump(spark, sf_dir):  # K16: a line a row
     folder = scratch(spark)
-    sinks.save_texts(tokens.decoded(tokens.tokenize(inputs.conversations(spark, sf_dir), 10**9)), folder)
+    sinks.save_texts(tokens.rendered(inputs.conversations(spark, sf_dir), 10**9), folder)
     return spark.read.text(folder).select(_md5(F.col("value")).alias("line_md5")).groupBy("line_md5").agg(F.count("*").alias("n"))
 
 
