@@ -58,7 +58,7 @@ def test_query_with_tokens_in_many_parts_equals_sql(spark, duck, monkeypatch, na
     assert _rows(got, sorted(got)) == _rows(want, sorted(got)) and seen.value > duck.execute("SELECT sum(length(text)) FROM conversations").fetchone()[0] // 15000
 
 
-@pytest.mark.parametrize("name", ["over_length", "labels_all_roles", "chat_render", "text_dump"])
+@pytest.mark.parametrize("name", ["over_length", "labels_all_roles", "chat_render", "text_dump", "mode_tokens"])
 def test_no_token_array_leaves_a_worker(spark, duck, monkeypatch, name):
     made, frame = [], type(spark.range(1))
     own = frame.mapInArrow

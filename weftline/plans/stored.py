@@ -171,7 +171,7 @@ def built_modes(spark, sf_dir):  # P1c-P1f, P16: what each mode asks, and its im
 
 def mode_tokens(spark, sf_dir):  # T10, T4: tokens by mode, rows with images cut instead of dropped
     rows = inputs.conversations(spark, sf_dir).withColumns({"num_images": (F.col("conv_id") % 3).cast("int"), "image_token_counts": F.array(F.lit(7), F.lit(5)).cast("array<int>")})
-    told = lambda mode, **more: tokens.tokenize_mode(rows, mode, 300, **more).select(F.lit(mode).alias("mode"), "conv_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.size("labels").cast("long").alias("n_labels"))
+    told = lambda mode, **more: tokens.tokenize_mode(rows, mode, 300, counted=True, **more).select(F.lit(mode).alias("mode"), "conv_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_labels").cast("long").alias("n_labels"))
     return told("caption").unionByName(told("panorama", truncate=True))
 
 
