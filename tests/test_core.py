@@ -68,6 +68,19 @@ def test_no_token_array_leaves_a_worker(spark, duck, monkeypatch, name):
     assert made and not any({"input_ids", "labels"} & set(x.names) for x in made)
 
 
+def test_pack_gate_makes_tokens_once(spark, duck, monkeypatch):
+    own, seen = tokens.turn_sizes, spark.sparkContext.accumulator(0)
+
+    def counted(batch):
+        seen.add(batch.num_rows)
+        return own(batch)
+
+    monkeypatch.setattr(tokens, "turn_sizes", counted)
+    got, want = QUERIES["pack_gate"](spark, SF).toPandas(), duck.execute(ORACLE["pack_gate"]).fetchdf()
+    assert _rows(got, sorted(got)) == _rows(want, sorted(got))
+    assert seen.value == duck.execute("SELECT count(DISTINCT conv_id) FROM conversations").fetchone()[0]
+
+
 def test_every_query_is_held_against_something():
     assert set(QUERIES) == set(ORACLE)
 

@@ -548,3 +548,14 @@ def test_counts_and_texts_of_tokens_equal_those_of_the_arrays(spark):
     for most in (10**9, 20):
         assert told(tokens.rendered(df, most), "n_tokens", "text", "label_text") == told(tokens.decoded(tokens.tokenize(df, most)), "n_tokens", "text", "label_text")
     assert told(tokens.tokenize(df, 10**9, counted=True)) == ["Row(k=1)", "Row(k=2)", "Row(k=5)", "Row(k=None)"]
+
+
+def test_packing_keeps_rows_without_numbers_however_many_tasks_gather_them(spark, monkeypatch):
+    rows = [(b, i, [i or 0] * n, [-100] * n, n) for b, i, n in ((0, 1, 5), (0, None, 3), (None, 2, 4), (None, None, 7), (1, 3, 30), (0, 4, 2))]
+    df = spark.createDataFrame(rows, "batch_id long, row_id long, input_ids array<int>, labels array<int>, n_tokens long")
+    told = lambda own: sorted((str(r["batch_id"]), r["bin_id"], r["sequence_lengths"], r["input_ids"]) for r in own.collect())
+    got = told(packing.pack(df, 10))
+    assert [x[:3] for x in got] == [("0", 0, [5, 3, 2]), ("1", 0, [10]), ("None", 0, [7]), ("None", 1, [4])]
+    monkeypatch.setattr(packing, "GATHERED", 20)
+    assert packing.tasks(df) == 3 and packing.tasks(df.limit(0)) == 1
+    assert told(packing.pack(df, 10, packing.tasks(df))) == got

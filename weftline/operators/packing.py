@@ -19,6 +19,8 @@ from weftline.scratch import written
 
 #: Places that are looked up together.
 CHUNK = 256
+#: Tokens that a task gathers into bins.
+GATHERED = 1 << 23
 
 
 def first_fit(lengths: list[int], capacity: int) -> list[int]:
@@ -133,25 +135,35 @@ FLAT = {"image_refs": "image_refs", "image_bases": "image_bases", "image_token_c
 LISTED = {"has_image": "has_image", "image_ref": "image_refs", "image_base": "image_bases"}
 
 
-def pack(tokens: DataFrame, capacity: int) -> DataFrame:
+def tasks(tokens: DataFrame) -> int:
+    """How many tasks should gather these rows, so that each holds some 64 MB of token arrays at most, or one bin."""
+    return 1 + (tokens.agg(F.sum("n_tokens")).first()[0] or 0) // GATHERED
+
+
+def pack(tokens: DataFrame, capacity: int, gathered_by: int | None = None) -> DataFrame:
     """(batch_id, bin_id, input_ids, labels, sequence_lengths, n_tokens), and the image columns of the rows, if any.
 
     has_image, image_ref and image_base become arrays; image_refs, image_bases and
-    image_token_counts are concatenated, uncut, so no image is lost.
+    image_token_counts are concatenated, uncut, so no image is lost.  The rows are read several
+    times, so what is costly to make should be written first.  ``gathered_by``: tasks that gather
+    the bins, else as the session has it.
     """
-    rows = tokens.join(assign_bins(tokens, capacity), ["batch_id", "row_id"])
-    cut = lambda c: F.slice(F.col(c), 1, capacity)
     more = [c for c in (*LISTED, *FLAT) if c in tokens.columns]
-    parts = F.array_sort(F.collect_list(F.struct("place", cut("input_ids").alias("ids"), cut("labels").alias("labels"), *more)))
-    out = rows.groupBy("batch_id", "bin_id").agg(parts.alias("p"))
+    cut = lambda c: F.slice(F.col(c), 1, capacity)
+    own = tokens.select("batch_id", "row_id", cut("input_ids").alias("ids"), cut("labels").alias("labels"), *more)
+    bins = assign_bins(tokens, capacity).select(F.col("batch_id").alias("_b"), F.col("row_id").alias("_r"), "bin_id", "place")
+    rows = own.join(bins.hint("shuffle_hash"), F.col("batch_id").eqNullSafe(F.col("_b")) & F.col("row_id").eqNullSafe(F.col("_r")))
+    parts = F.array_sort(F.collect_list(F.struct("place", "ids", "labels", *more)))
+    dealt = rows.repartition(*[gathered_by] * bool(gathered_by), "batch_id", "bin_id")  # before they are grouped, which would collect and sort arrays on both sides
+    out = dealt.groupBy("batch_id", "bin_id").agg(parts.alias("p"))
     images = [F.col(f"p.{c}").alias(to) for c, to in LISTED.items() if c in more] + [F.flatten(F.filter(F.col(f"p.{c}"), lambda x: x.isNotNull())).alias(to) for c, to in FLAT.items() if c in more]
     out = out.select("batch_id", "bin_id", F.flatten("p.ids").alias("input_ids"), F.flatten("p.labels").alias("labels"), F.transform("p", lambda x: F.size(x["ids"])).alias("sequence_lengths"), *images)
     return out.withColumn("n_tokens", F.size("input_ids"))
 
 
-def packed_if(tokens: DataFrame, packing: bool, capacity: int) -> DataFrame:
+def packed_if(tokens: DataFrame, packing: bool, capacity: int, gathered_by: int | None = None) -> DataFrame:
     """The gate of the build: packed rows, or the rows as they are."""
-    return pack(tokens, capacity) if packing else tokens
+    return pack(tokens, capacity, gathered_by) if packing else tokens
 
 
 def first_label(labels: Column) -> Column:
