@@ -35,7 +35,8 @@ from weftline.llm._spark import arrow_batches
 from weftline.llm._text import SortedHashes, Spans, U, mix, mix_int, slices
 
 LONG = 64
-SLICE = 1 << 21
+#: Bytes of text encoded at once; the arrays of a slice take many times as much.
+SLICE = 1 << 18
 #: Symbols whose words are encoded together, so that the arrays stay in the processor's cache.
 AT_ONCE = 1 << 16
 SPACE_SIGN = "▁"
@@ -92,6 +93,15 @@ def _places(left, middle, right):
     return left.astype(U) << U(42) | middle.astype(U) << U(21) | right.astype(U)
 
 
+def _packed(places: np.ndarray) -> np.ndarray:
+    """Places in a word of ``LONG`` characters at most, as 32 bits."""
+    return (places >> U(42) << U(14) | (places >> U(21) & U(127)) << U(7) | places & U(127)).astype(np.uint32)
+
+
+def _unpacked(packed: np.ndarray) -> np.ndarray:
+    return _places(packed >> np.uint32(14), packed >> np.uint32(7) & np.uint32(127), packed & np.uint32(127))
+
+
 def _dropped(key, left, middle, right, cut: np.uint64):
     """Is the candidate over these character places skipped?"""
     if not cut:
@@ -222,30 +232,55 @@ def _encode_words(vocabulary: Vocabulary, sym: np.ndarray, begin: np.ndarray, le
 
 
 class Cache:
-    """Plainly encoded words and their candidates by key, from slice to slice of a worker; starts anew when it holds ``most`` words."""
+    """Plainly encoded words and their candidates by key, from slice to slice of a worker; starts anew when it holds ``most`` words.
+
+    A candidate is three places in a word of ``LONG`` characters at most, in one number of 32 bits.  Ids and
+    candidates are appended in place, so that a slice copies its own alone.
+    """
 
     def __init__(self, most: int = 400_000):
         self.most = most
+        self.ids, self.places = np.zeros(0, np.int32), np.zeros(0, np.uint32)
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.spans = np.zeros(0, U), np.zeros((0, 4), np.int64)
-        self.ids, self.places = np.zeros(0, np.int32), np.zeros(0, U)
+        self.keys, self.spans = np.zeros(0, U), np.zeros((0, 4), np.int32)
+        self.n_ids = self.n_places = 0
 
     def find(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The spans (ids from, how many, places from, how many) of each, and whether it is held."""
         if not len(self.keys):
             return np.zeros((len(kinds), 4), np.int64), np.zeros(len(kinds), bool)
         at = np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)
-        return self.spans[at], self.keys[at] == kinds
-
-    def keep(self, kinds: np.ndarray, spans: np.ndarray, ids: np.ndarray, places: np.ndarray) -> None:
-        if len(self.keys) + len(kinds) > self.most or max(len(ids), len(places)) > 16 * self.most:
+        return self.spans[at].astype(np.int64), self.keys[at] == kinds
+
+    def keep(self, kinds: np.ndarray, ids: np.ndarray, n: np.ndarray, places: np.ndarray, n_places: np.ndarray) -> np.ndarray:
+        """Takes words that are not held, by rising key, and gives their spans; they stay until ``settle``."""
+        spans = np.stack([self.n_ids + _starts(n), n, self.n_places + _starts(n_places), n_places], 1)
+        self.ids, self.n_ids = _appended(self.ids, self.n_ids, ids)
+        self.places, self.n_places = _appended(self.places, self.n_places, places)
+        if len(self.keys) + len(kinds) <= self.most:
+            at = np.searchsorted(self.keys, kinds)
+            self.keys, self.spans = np.insert(self.keys, at, kinds), np.insert(self.spans, at, spans.astype(np.int32), 0)
+        else:
+            self.keys = np.zeros(0, U)
+        return spans
+
+    def settle(self) -> None:
+        """At the end of a slice: lets all words go if they were too many."""
+        if not len(self.keys) or max(self.n_ids, self.n_places) > 16 * self.most:
             self.clear()
-            return
-        at = np.searchsorted(self.keys, kinds)
-        self.keys, self.spans = np.insert(self.keys, at, kinds), np.insert(self.spans, at, spans, 0)
-        self.ids, self.places = ids, places
+        if max(len(self.ids), len(self.places)) > 32 * self.most:
+            self.__init__(self.most)
+
+
+def _appended(held: np.ndarray, n: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """An array with ``more`` behind its first n values, and how many they are now."""
+    if n + len(more) > len(held):
+        held, old = np.empty(max(n + len(more), 2 * n), held.dtype), held
+        held[:n] = old[:n]
+    held[n : n + len(more)] = more
+    return held, n + len(more)
 
 
 def _starts(n: np.ndarray) -> np.ndarray:
@@ -286,25 +321,24 @@ def encode_texts(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray,
     cache = cache or Cache()
     spans, known = cache.find(kinds)
     new, seen = np.flatnonzero(~known), []
-    ids, n = _encode_words(vocabulary, sym, begin[at[new]], lengths[at[new]], kinds[new], U(0), seen)
+    got, n = _encode_words(vocabulary, sym, begin[at[new]], lengths[at[new]], kinds[new], U(0), seen)
     word, places = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, U), zip(*seen, strict=True), strict=True)) if seen else (np.zeros(0, np.int64), np.zeros(0, U))
-    n_places = np.bincount(word, minlength=len(new))
-    spans[new] = np.stack([len(cache.ids) + _starts(n), n, len(cache.places) + _starts(n_places), n_places], 1)
-    ids, places = np.concatenate([cache.ids, ids]), np.concatenate([cache.places, places[np.argsort(word, kind="stable")]])
-    cache.keep(kinds[new], spans[new], ids, places)
+    spans[new] = cache.keep(kinds[new], got, n, _packed(places[np.argsort(word, kind="stable")]), np.bincount(word, minlength=len(new)))
+    ids, n_ids = cache.ids, cache.n_ids
     where, size = spans[back, 0], spans[back, 1]
     if dropout > 0:
         keys = mix(mix(doc_ids[text].view(U) ^ U(mix_int(seed))) + place.astype(U))
         limit = U(min(2**64 - 1, int(dropout * 2**64)))
         n_places = spans[back, 2:].T
-        skipped = mix(np.repeat(keys, n_places[1]) ^ places[_spread(*n_places)]) < limit
+        skipped = mix(np.repeat(keys, n_places[1]) ^ _unpacked(cache.places[_spread(*n_places)])) < limit
         far = lengths > LONG
         far[np.repeat(np.arange(len(begin)), n_places[1])[skipped]] = True
         own, n = _encode_words(vocabulary, sym, begin[far], lengths[far], keys[far], limit)
-        where[far], size[far] = len(ids) + _starts(n), n
-        ids = np.concatenate([ids, own])
+        where[far], size[far] = n_ids + _starts(n), n
+        ids, _ = _appended(ids, n_ids, own)  # behind the words that are held, which the next slice writes over
     ends = np.cumsum(size)
     out = ids[_spread(where, size)]
+    cache.settle()
     marks = np.concatenate([[0], ends])[np.searchsorted(begin, first)]
     out, n_tokens = _expand(vocabulary, out.astype(np.int64), np.diff(marks))
     return out, np.concatenate([[0], np.cumsum(n_tokens)])
